@@ -24,13 +24,13 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the partition number above t
 
 def _with_layout(df: DataFrame, order: Sequence[Column], partitions: int | None) -> DataFrame:
     count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = checkpointed(df.repartitionByRange(count, *order).sortWithinPartitions(*order))
     mono = F.monotonically_increasing_id()
-    return laid.select(
+    laid = df.repartitionByRange(count, *order).sortWithinPartitions(*order).select(
         "*",
         F.shiftrightunsigned(mono, _ROW_BITS).alias("_part"),
         mono.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_pos"),
     )
+    return checkpointed(laid)
 
 
 def _offsets(laid: DataFrame, sums: dict[str, Column]) -> DataFrame:

@@ -63,16 +63,23 @@ def _falling(spark, d):
     return out.select("type", *[r6(c).alias(c) for c in ("baseline", "recent", "change")])
 
 
+# latency and failures that grow over the month
+WORSE = """e AS (SELECT *, value + 5 * day(ts) AS lat, (event_type = 'error' OR day(ts) > 15)::INTEGER AS err FROM events),
+ f AS (SELECT * FROM e ORDER BY ts, event_id LIMIT 100), l AS (SELECT * FROM e ORDER BY ts DESC, event_id DESC LIMIT 100),
+ fl AS (SELECT (SELECT count(*) FROM e) AS total_rows, (SELECT avg(lat) FROM f) AS bl, (SELECT avg(lat) FROM l) AS rl, (SELECT avg(err) FROM f) AS be, (SELECT avg(err) FROM l) AS re)"""
 query(
     "mon3_latency_error_alerts",
-    f"WITH {FIRST_LAST} " + " UNION ALL ".join([
-        ALERT.format("ACCURACY_DROP", "ba", "ra", "(ba - ra)", 0.05), ALERT.format("LATENCY_INCREASE", "bl", "rl", "((rl - bl) / bl)", 0.2),
-        ALERT.format("ERROR_RATE_INCREASE", "be", "re", "(re - be)", 0.1),
+    f"WITH {WORSE} " + " UNION ALL ".join([
+        ALERT.format("LATENCY_INCREASE", "bl", "rl", "((rl - bl) / bl)", 0.2), ALERT.format("ERROR_RATE_INCREASE", "be", "re", "(re - be)", 0.1),
     ]),
 )(
-    lambda spark, d: monitoring.alerts(events(spark, d), metrics()).select(
-        "type", *[r6(c).alias(c) for c in ("baseline", "recent", "change")]
-    )
+    lambda spark, d: monitoring.alerts(
+        events(spark, d),
+        {
+            "latency": F.col("value") + 5 * F.dayofmonth("ts"),
+            "error": ((F.col("event_type") == "error") | (F.dayofmonth("ts") > 15)).cast("double"),
+        },
+    ).select("type", *[r6(c).alias(c) for c in ("baseline", "recent", "change")])
 )
 query(
     "win4_rolling_accuracy",

@@ -83,18 +83,6 @@ def ranked_docs(spark, d):
 query("ret3_snippet", f"WITH {SNIPPET} SELECT * FROM snip")(lambda spark, d: retrieval.snippets(ranked_docs(spark, d)))
 query(
     "ret4_keyword_search",
-    f"""WITH {QA}, k AS (SELECT DISTINCT item_id AS id, lower({s_strip('w')}) AS keyword FROM (SELECT item_id, unnest(string_split(text, ',')) AS w FROM benchmark)
-   WHERE {s_strip('w')} <> ''),
- w AS (SELECT ord AS query_id, unnest(list_distinct(string_split_regex(lower({s_strip('question')}), '\\s+'))) AS keyword FROM qa)
- SELECT query_id, id, count(*) AS n_keywords FROM w JOIN k USING (keyword) GROUP BY ALL""",
-)(
-    lambda spark, d: retrieval.keyword_search(
-        qa(spark, d).select(F.col("ord").alias("query_id"), F.col("question").alias("query")),
-        table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("keywords")),
-    )
-)
-query(
-    "ret4_keyword_words",
     f"""WITH {QA}, k AS (SELECT DISTINCT item_id AS id, unnest({s_words("lower(replace(text, ',', ' '))")}) AS keyword FROM benchmark),
  w AS (SELECT ord AS query_id, unnest(list_distinct(string_split_regex(lower({s_strip('question')}), '\\s+'))) AS keyword FROM qa)
  SELECT query_id, id, count(*) AS n_keywords FROM w JOIN k USING (keyword) GROUP BY ALL""",
@@ -143,7 +131,7 @@ query(
 # answering: label centres ask, the nearest vectors are the documents of the same id
 query(
     "plan_answer_questions",
-    f"""WITH {CENTRES}, p AS (SELECT query_id, vec_id AS doc_id, {L2} AS distance FROM ctr, embeddings e),
+    f"""WITH {CENTRES}, p AS (SELECT query_id, vec_id AS doc_id, {L2} AS distance FROM ctr, embeddings e JOIN documents dd ON dd.doc_id = vec_id),
  top AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM p QUALIFY rank <= 3),
  rk AS (SELECT query_id, rank, text AS content FROM top JOIN documents USING (doc_id)),
  ln AS (SELECT query_id, rank, CASE WHEN contains(content, 'Question:') OR contains(content, 'Answer:') THEN []
