@@ -13,14 +13,14 @@ from pyspark.sql import Window as W
 
 from ..functions.common import strip
 from ..functions.text import text_hash
+from .staging import compute, keep
 
 
 def first_per_key(df: DataFrame, key: Column, order: str = "ord") -> DataFrame:
     """Drop rows without a key, keep the first row of every key."""
     w = W.partitionBy("_key").orderBy(order)
     return (
-        df.withColumn("_key", key)
-        .where(F.col("_key").isNotNull())
+        keep(compute(df, {"_key": key}), F.col("_key").isNotNull())
         .withColumn("_rn", F.row_number().over(w))
         .where(F.col("_rn") == 1)
         .drop("_key", "_rn")

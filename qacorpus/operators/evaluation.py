@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.score import exact_match
-from .ordering import quantiles
+from .ordering import quantile_values
 
 MAX_LABELS = 10_000
 
@@ -169,7 +169,7 @@ def eval_summary(df: DataFrame, latency: str = "inference_time", score: str = "q
     val = F.when(row_ok, F.col(score))
     size = F.when(row_ok, F.length(response))
     work = df.select(lat.alias("_lat"), val.alias("_val"), size.alias("_len"), ok.alias("_ok"))
-    medians = [quantiles(work, c, [0.5]).select("value").scalar() for c in ("_lat", "_val")]
+    medians = [F.lit(quantile_values(work, c, [0.5])[0]).cast("double") for c in ("_lat", "_val")]
     return work.agg(
         F.count(F.lit(1)).alias("total_questions"),
         F.count_if("_ok").alias("successful_responses"),

@@ -28,7 +28,7 @@ def match_rule_table(df: DataFrame, rules: DataFrame, text: str = "question", ou
     for r in rows:
         grouped.setdefault((r["rule_ord"], r["kind"]), []).append(tuple(r["pattern"]))
     profile = replace(MEDICAL, alert_rules=tuple((k, "critical", tuple(ps)) for (_, k), ps in grouped.items()))
-    return df.withColumn(out, emergency_rule(F.lower(F.col(text)), profile))
+    return df.withColumn("_low", F.lower(F.col(text))).withColumn(out, emergency_rule(F.col("_low"), profile)).drop("_low")
 
 
 def lookup_weights(df: DataFrame, weights: DataFrame, key: str, default: float, out: str = "weight") -> DataFrame:

@@ -11,6 +11,7 @@ no task ever sorts a whole group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -103,30 +104,34 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, report_rows: int = 10_
     return ranked(df, order, "_rank").where(F.col("_rank") <= n).drop("_rank")
 
 
-def quantiles(df: DataFrame, value: str, probabilities: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles of one column: one row per probability.
+def quantile_values(df: DataFrame, value: str, probabilities: Sequence[float]) -> list[float | None]:
+    """Exact linear-interpolated quantiles of one column (None for no rows).
 
     Values are counted first (map-side combined), then ranked by range partitions, so memory does not
-    grow with the number of distinct values as it does in the ``percentile`` aggregate.
+    grow with the number of distinct values as it does in the ``percentile`` aggregate.  Only the few
+    wanted values reach the driver.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     cum = running_totals(counts, [F.col("v")], {"upto": F.col("c")})
-    n = cum.agg(F.max("upto")).scalar()
-
-    def at(position: Column) -> Column:
-        inside = (position >= F.col("upto") - F.col("c")) & (position < F.col("upto"))
-        return F.max(F.when(inside, F.col("v")))
-
-    picked = []
-    for p in probabilities:
-        x = (n - 1) * F.lit(float(p))
-        picked += [at(F.floor(x)), at(F.ceil(x)), F.max(x - F.floor(x))]
-    row = cum.agg(*[c.alias(f"_{i}") for i, c in enumerate(picked)])
-    pairs = [
-        F.struct(
-            F.lit(float(p)).alias("p"),
-            (F.col(f"_{3 * i}") + (F.col(f"_{3 * i + 1}") - F.col(f"_{3 * i}")) * F.col(f"_{3 * i + 2}")).alias("value"),
-        )
-        for i, p in enumerate(probabilities)
-    ]
-    return row.select(F.inline(F.array(*pairs)))
+    n = cum.agg(F.max("upto")).first()[0]
+    if not n:
+        return [None] * len(probabilities)
+    positions = [(n - 1) * float(p) for p in probabilities]
+
+    def at(position: int) -> Column:
+        inside = (F.lit(position) >= F.col("upto") - F.col("c")) & (F.lit(position) < F.col("upto"))
+        return F.max(F.when(inside, F.col("v"))).cast("double")
+
+    wanted = sorted({math.floor(x) for x in positions} | {math.ceil(x) for x in positions})
+    row = cum.agg(*[at(x).alias(str(x)) for x in wanted]).first()
+    out = []
+    for x in positions:
+        low, high = row[str(math.floor(x))], row[str(math.ceil(x))]
+        out.append(low + (high - low) * (x - math.floor(x)))
+    return out
+
+
+def quantiles(df: DataFrame, value: str, probabilities: Sequence[float]) -> DataFrame:
+    """:func:`quantile_values` as rows (p, value)."""
+    rows = list(zip([float(p) for p in probabilities], quantile_values(df, value, probabilities)))
+    return df.sparkSession.createDataFrame(rows, "p double, value double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import word_count
 from ..functions.text import detect_language
-from .ordering import quantiles
+from .ordering import quantile_values
 
 
 def profile_nulls(df: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def describe(df: DataFrame, columns=LENGTHS) -> DataFrame:
     """AGG2: count, mean, sample std, min, quartiles, max per column, in one pass.
 
     Lengths are small integers, so the exact ``percentile`` holds few distinct values; for real-valued
-    columns use :func:`ordering.quantiles`.
+    columns use :func:`ordering.quantile_values`.
     """
     aggs = []
     for c in columns:
@@ -97,14 +97,16 @@ def histogram(df: DataFrame, value: str | Column, bins: int) -> DataFrame:
 
 def boxplot_stats(df: DataFrame, value: str) -> DataFrame:
     """AGG5: quartiles, whiskers at the last value inside 1.5 IQR, outlier count."""
-    q = quantiles(df, value, [0.25, 0.5, 0.75]).groupBy().pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value"))
-    box = q.select(F.struct(F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("q2"), F.col("`0.75`").alias("q3"))).scalar()
-    v, iqr = F.col(value), box["q3"] - box["q1"]
-    inside = v.between(box["q1"] - F.lit(1.5) * iqr, box["q3"] + F.lit(1.5) * iqr)
+    q1, median, q3 = quantile_values(df, value, [0.25, 0.5, 0.75])
+    v = F.col(value)
+    if q1 is None:
+        inside = F.lit(False)
+    else:
+        inside = v.between(F.lit(q1 - 1.5 * (q3 - q1)), F.lit(q3 + 1.5 * (q3 - q1)))
     return df.where(v.isNotNull()).agg(
-        F.max(box["q1"]).alias("q1"),
-        F.max(box["q2"]).alias("median"),
-        F.max(box["q3"]).alias("q3"),
+        F.max(F.lit(q1)).cast("double").alias("q1"),
+        F.max(F.lit(median)).cast("double").alias("median"),
+        F.max(F.lit(q3)).cast("double").alias("q3"),
         F.min(F.when(inside, v)).cast("double").alias("whisker_low"),
         F.max(F.when(inside, v)).cast("double").alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"),
@@ -125,7 +127,7 @@ def correlation(df: DataFrame, columns=LENGTHS) -> DataFrame:
 
 def score_stats(df: DataFrame, score: str = "score") -> DataFrame:
     """AGG7: population standard deviation."""
-    median = quantiles(df, score, [0.5]).select("value").scalar()
+    median = F.lit(quantile_values(df, score, [0.5])[0]).cast("double")
     return df.agg(
         F.min(score).alias("min"),
         F.max(score).alias("max"),

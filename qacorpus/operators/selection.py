@@ -11,6 +11,7 @@ from ..functions.features import question_variations
 from ..functions.score import selection_details
 from ..lexicon import MEDICAL, Profile
 from .ordering import hash_ranked, ranked, seeded_hash, top_n
+from .staging import compute, keep
 
 
 def sort_by_quality(df: DataFrame, score: str = "quality_score", order: str = "ord") -> DataFrame:
@@ -28,7 +29,7 @@ def score_rows(df: DataFrame, profile: Profile = MEDICAL) -> DataFrame:
 
 def select_top(df: DataFrame, target: int | None = 50_000, min_score: float = 0.8, order: str = "ord") -> DataFrame:
     """SRT2 / FLT10: score at least ``min_score``, best first, at most ``target`` rows."""
-    passed = df.where(F.col("score") >= F.lit(float(min_score)))
+    passed = keep(compute(df, {"score": F.col("score")}), F.col("score") >= F.lit(float(min_score)))
     return passed if target is None else top_n(passed, [F.desc("score"), F.col(order)], target)
 
 

@@ -30,8 +30,7 @@ def answer_questions(questions: DataFrame, docs: DataFrame, profile: Profile = M
     item = F.struct("rank", "topic", "category", "excerpt")
     sources = refs.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("sources"))
     joined = questions.drop("embedding").join(snippets(ranked), "query_id", "left").join(sources, "query_id", "left")
-    kind = emergency_rule(F.lower("question"), profile)
-    staged = joined.withColumn("alert_type", kind)
+    staged = joined.withColumn("_low", F.lower("question")).withColumn("alert_type", emergency_rule(F.col("_low"), profile)).drop("_low")
     return staged.withColumn(
         "answer",
         F.coalesce(emergency_message(F.col("alert_type"), profile), answer_template(F.col("disease"), F.col("snippet"))),

@@ -23,6 +23,7 @@ from ..functions.text import (
 from ..lexicon import MEDICAL, Profile
 from ..operators.dedupe import dedupe_exact, dedupe_hash
 from ..operators.fuzzy import dedupe_fuzzy
+from ..operators.staging import compute, keep
 from ..sources.readers import with_fallbacks
 
 CLEANER_VERSION = "qacorpus-1"
@@ -72,41 +73,39 @@ def funnel(df: DataFrame, profile: Profile = MEDICAL) -> DataFrame:
 
 def standard(df: DataFrame, profile: Profile = MEDICAL, processed_at=None) -> DataFrame:
     """Complete, relevant, inoffensive rows; basic cleaning; missing fields filled; first of equal questions."""
-    good = funnel(df, profile).where(F.col("status") == "cleaned").drop("status")
+    q, a, low = F.col("question"), F.col("answer"), F.col("_low")
+    staged = compute(with_fallbacks(df), {"_low": _pair_text()})
+    good = keep(staged, predicates.funnel_status(q, a, low, profile) == "cleaned").drop("_low")
 
     def base(c):
         return normalize_stats(expand_abbreviations(clean_text(c), profile))
 
-    cleaned = good.withColumn("question", base(F.col("question"))).withColumn(
-        "answer", normalize_answer(base(F.col("answer")))
-    )
+    texts = {"question": base(q), "answer": normalize_answer(base(a))}
     if "explanation" in df.columns:
-        cleaned = cleaned.withColumn("explanation", expand_abbreviations(clean_text(F.col("explanation")), profile))
+        texts["explanation"] = expand_abbreviations(clean_text(F.col("explanation")), profile)
     if "context" in df.columns:
-        cleaned = cleaned.withColumn("context", clean_text(F.col("context")))
+        texts["context"] = clean_text(F.col("context"))
     cleaned = (
-        cleaned.where((F.col("question") != "") & (F.col("answer") != ""))
+        keep(compute(good, texts), (q != "") & (a != ""))
         .withColumn("language", F.lit("english"))
         .withColumn("type", F.lit("medical_qa"))
         .withColumn("source", first_filled(_optional(df, "source"), F.lit("unified_cleaner")))
     )
-    out = fill_missing(cleaned, profile).drop("filled").withColumn("cleaner_version", F.lit(CLEANER_VERSION))
-    return dedupe_hash(out.withColumn("processed_at", F.lit(processed_at).cast("timestamp")))
+    unique = dedupe_hash(cleaned)
+    out = fill_missing(unique, profile).drop("filled").withColumn("cleaner_version", F.lit(CLEANER_VERSION))
+    return out.withColumn("processed_at", F.lit(processed_at).cast("timestamp"))
 
 
 def enhanced(df: DataFrame, profile: Profile = MEDICAL, processed_at=None) -> DataFrame:
     """Five-pass cleaning and metadata; nothing but empty rows is dropped."""
     base = with_fallbacks(df)
+    q, a = F.col("question"), F.col("answer")
     quality = F.coalesce(F.col("quality_score"), F.lit(0.8)) if "quality_score" in df.columns else F.lit(0.8)
-    out = (
-        base.where((strip(F.col("question")) != "") & (strip(F.col("answer")) != ""))
-        .withColumn("question", enhanced_clean(F.col("question"), profile))
-        .withColumn("answer", enhanced_clean(F.col("answer"), profile))
-        .where((F.col("question") != "") & (F.col("answer") != ""))
-        .withColumn("_low", _pair_text())
-    )
+    texts = {"question": enhanced_clean(q, profile), "answer": enhanced_clean(a, profile)}
+    out = keep(compute(base.where((strip(q) != "") & (strip(a) != "")), texts), (q != "") & (a != ""))
     return (
-        out.withColumn("language", detect_language(F.col("question")))
+        out.withColumn("_low", _pair_text())
+        .withColumn("language", detect_language(q))
         .withColumn("quality_score", quality)
         .withColumn("source", first_filled(_optional(df, "source"), F.lit("enhanced_cleaner")))
         .withColumn("type", F.lit("medical_qa"))
@@ -128,21 +127,18 @@ def thorough_stages(
     rows = dedupe_exact(with_fallbacks(df))
     if fuzzy:
         rows = dedupe_fuzzy(rows)
-    rows = (
-        rows.withColumn("_low", _pair_text())
-        .where(predicates.is_complete_thorough(q, a, profile))
-        .where(score.quality_basic(q, a, profile) >= F.lit(0.6))
-        .where(predicates.relevance_detailed(low, profile) >= min_detail)
-        .where(predicates.relevance_weighted(low, profile) >= F.lit(float(min_relevance)))
-        .drop("_low")
-    )
-    cleaned = rows.withColumn("question", comprehensive_clean(strip(q), profile)).withColumn(
-        "answer", comprehensive_clean(strip(a), profile)
-    )
+    rows = keep(
+        compute(rows, {"_low": _pair_text()}),
+        predicates.is_complete_thorough(q, a, profile)
+        & (score.quality_basic(q, a, profile) >= F.lit(0.6))
+        & (predicates.relevance_detailed(low, profile) >= min_detail)
+        & (predicates.relevance_weighted(low, profile) >= F.lit(float(min_relevance))),
+    ).drop("_low")
+    texts = {"question": comprehensive_clean(strip(q), profile), "answer": comprehensive_clean(strip(a), profile)}
     for name in ("explanation", "context"):
         if name in df.columns:
-            cleaned = cleaned.withColumn(name, comprehensive_clean(F.col(name), profile))
-    cleaned = dedupe_hash(cleaned.where((F.length(q) >= 10) & (F.length(a) >= 3)))
+            texts[name] = comprehensive_clean(F.col(name), profile)
+    cleaned = dedupe_hash(keep(compute(rows, texts), (F.length(q) >= 10) & (F.length(a) >= 3)))
     staged = (
         cleaned.withColumn("_lq", F.lower(q))
         .withColumn("_la", F.lower(a))
@@ -152,23 +148,20 @@ def thorough_stages(
         .withColumn("medical_terms_count", score.term_count(low, profile))
         .withColumn("_rel", predicates.is_relevant(low, profile))
     )
-    lq, la = F.col("_lq"), F.col("_la")
-    scored = (
-        staged.withColumn(
-            "quality_score",
-            score.quality_detailed(q, a, lq, la, F.col("_tq"), F.col("_ta"), F.col("_rel"), profile),
-        )
-        .withColumn("completeness_score", score.completeness(q, a, lq, la, F.col("medical_terms_count")))
-        .withColumn("specialty", classify.specialty(low, profile))
-        .withColumn("severity_level", classify.severity(low, profile))
-    )
-    quality = F.col("quality_score")
-    valid = scored.where(
+    lq, la, quality = F.col("_lq"), F.col("_la"), F.col("quality_score")
+    scores = {
+        "quality_score": score.quality_detailed(q, a, lq, la, F.col("_tq"), F.col("_ta"), F.col("_rel"), profile),
+        "completeness_score": score.completeness(q, a, lq, la, F.col("medical_terms_count")),
+    }
+    valid = keep(
+        compute(staged, scores),
         predicates.valid_thorough(q, a, quality, F.col("completeness_score"), F.col("medical_terms_count"))
-        & predicates.valid_combined(q, a, quality)
+        & predicates.valid_combined(q, a, quality),
     )
     return (
-        valid.withColumn("verdict", predicates.final_verdict(q, a, quality, low, profile))
+        valid.withColumn("specialty", classify.specialty(low, profile))
+        .withColumn("severity_level", classify.severity(low, profile))
+        .withColumn("verdict", predicates.final_verdict(q, a, quality, low, profile))
         .withColumn("language", F.lit("english"))
         .withColumn("type", F.lit("medical_qa"))
         .withColumn("source", first_filled(_optional(df, "source"), F.lit("thorough_cleaner")))
@@ -181,7 +174,8 @@ def thorough_stages(
 
 def thorough(df: DataFrame, profile: Profile = MEDICAL, **options) -> DataFrame:
     """The main corpus build: validated rows, best quality first."""
-    passed = thorough_stages(df, profile, **options).where(F.col("verdict") == "passed").drop("verdict")
+    stages = thorough_stages(df, profile, **options)
+    passed = keep(compute(stages, {"verdict": F.col("verdict")}), F.col("verdict") == "passed").drop("verdict")
     return passed.orderBy(F.desc("quality_score"), "ord")
 
 

@@ -11,6 +11,7 @@ from ..lexicon import (
 )
 from ..operators import profiling, selection
 from ..operators.learning import tfidf
+from ..operators.staging import compute, keep
 from ..plans import curate
 from .base import (
     FIXTURE, LABELLED, QA, W_, labelled, lit, qa, qa_low, query, r6, s_any, s_anyword, s_distinct, s_first, s_hits, s_lookup,
@@ -122,19 +123,26 @@ def scored(spark, d):
     ).withColumn("completeness_score", score.completeness(q(), a(), F.col("lq"), F.col("la"), F.col("terms")))
 
 
+def filtered(spark, d, condition):
+    """Scores are finished before the filter looks at them."""
+    rows = scored(spark, d)
+    names = ("quality_score", "completeness_score", "terms")
+    return keep(compute(rows, {n: F.col(n) for n in names}), condition)
+
+
 query(
     "flt7_valid_thorough",
     f"""WITH {SCORED} SELECT ord FROM scored WHERE quality_score >= 0.6::DOUBLE AND completeness_score >= 0.5::DOUBLE
  AND terms >= 2 AND length(question) >= 15 AND length(answer) >= 20""",
 )(
-    lambda spark, d: scored(spark, d)
-    .where(predicates.valid_thorough(q(), a(), F.col("quality_score"), F.col("completeness_score"), F.col("terms")))
-    .select("ord")
+    lambda spark, d: filtered(
+        spark, d, predicates.valid_thorough(q(), a(), F.col("quality_score"), F.col("completeness_score"), F.col("terms"))
+    ).select("ord")
 )
 query(
     "flt8_valid_combined",
     f"WITH {SCORED} SELECT ord FROM scored WHERE length(question) BETWEEN 10 AND 1000 AND length(answer) BETWEEN 5 AND 5000 AND quality_score >= 0.6::DOUBLE",
-)(lambda spark, d: scored(spark, d).where(predicates.valid_combined(q(), a(), F.col("quality_score"))).select("ord"))
+)(lambda spark, d: filtered(spark, d, predicates.valid_combined(q(), a(), F.col("quality_score"))).select("ord"))
 query("flt9_final_verdict", f"WITH {SCORED} SELECT {VERDICT} AS verdict, count(*) AS n FROM scored GROUP BY 1")(
     lambda spark, d: curate.verdict_counts(
         scored(spark, d).withColumn("verdict", predicates.final_verdict(q(), a(), F.col("quality_score"), low(), P))

@@ -19,6 +19,7 @@ from ..functions.classify import emergency_message, emergency_rule, emergency_se
 from ..functions.text import text_hash
 from ..lexicon import MEDICAL, Profile
 from ..operators.monitoring import ACCURACY_DROP, BASE_ROWS
+from ..operators.staging import compute, keep
 from ..plans.answer import valid_requests
 from ..schema import PREDICTION_LOG
 from ..session import new_path
@@ -148,9 +149,11 @@ def conversation_memory(
 
 def triage_stream(questions: DataFrame, profile: Profile = MEDICAL) -> DataFrame:
     """STR6: alert rows for incoming questions; stateless, so an alert leaves with its micro-batch."""
-    kind = questions.withColumn("alert_type", emergency_rule(F.lower("question"), profile))
+    staged = questions.withColumn("_low", F.lower("question"))
+    kind = compute(staged, {"alert_type": emergency_rule(F.col("_low"), profile)})
     return (
-        kind.where(F.col("alert_type").isNotNull())
+        keep(kind, F.col("alert_type").isNotNull())
+        .drop("_low")
         .withColumn("severity", emergency_severity(F.col("alert_type"), profile))
         .withColumn("alert_message", emergency_message(F.col("alert_type"), profile))
     )
