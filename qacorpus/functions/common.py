@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # One class for Unicode whitespace that means the same to Java and to RE2.
@@ -129,3 +129,8 @@ def lookup(key: Column, mapping: dict[str, float], default: float) -> Column:
     for k, v in mapping.items():
         out = F.when(key == k, F.lit(float(v))) if out is None else out.when(key == k, F.lit(float(v)))
     return out.otherwise(F.lit(float(default)))
+
+
+def moment(df: DataFrame, ts: str, value) -> Column:
+    """A point in time in the type of the column, so that the comparison reaches the Parquet scan."""
+    return (value if isinstance(value, Column) else F.lit(value)).cast(df.schema[ts].dataType)

@@ -16,6 +16,7 @@ from .common import (
     WORD_END,
     WORD_START,
     WS,
+    any_of,
     let,
     quote,
     quote_replacement,
@@ -41,6 +42,14 @@ def _sub(needs: str | None, pattern: str, replacement: str) -> Step:
     return lambda t: F.when(t.contains(needs), F.regexp_replace(t, pattern, replacement)).otherwise(t)
 
 
+def _may_hold(t: Column, phrases) -> Column:
+    """Cheap test that is true whenever a case-insensitive regex of the phrases could match.
+
+    Letters whose lower case is not the ASCII letter they match without case are let through.
+    """
+    return let(F.lower(t), lambda low: any_of(low, [p.lower() for p in phrases] + ["ſ", "ı", "\u0307"]))
+
+
 def clean_text(c: Column) -> Column:
     """TXT1: drop tags, URLs and mail addresses, tidy option letters, punctuation runs and whitespace."""
     options = [_sub(None, rf"{WS}*\((?:{x}|{x.lower()})\){WS}*", f" ({x}) ") for x in "ABCD"]
@@ -147,22 +156,26 @@ def fix_grammar(c: Column) -> Column:
 
 def enhance_terms(c: Column, profile: Profile = MEDICAL) -> Column:
     """TXT7: whole-word phrase replacement, case-insensitive, in list order."""
-    trigger = "(?iu)" + whole_word(profile.phrases)
 
     def body(t: Column) -> Column:
         out = t
         for phrase, replacement in profile.phrases.items():
             out = F.regexp_replace(out, "(?iu)" + whole_word([phrase]), quote_replacement(replacement))
-        return F.when(t.rlike(trigger), out).otherwise(t)
+        return F.when(_may_hold(t, profile.phrases), out).otherwise(t)
 
     return let(c, body)
 
 
 def remove_redundant(c: Column, profile: Profile = MEDICAL) -> Column:
     """TXT8: delete filler phrases."""
-    for alternatives in profile.fillers:
-        c = F.regexp_replace(c, "(?iu)" + whole_word(alternatives), "")
-    return strip(squeeze(c))
+
+    def body(t: Column) -> Column:
+        out = t
+        for alternatives in profile.fillers:
+            out = F.regexp_replace(out, "(?iu)" + whole_word(alternatives), "")
+        return F.when(_may_hold(t, [p for ps in profile.fillers for p in ps]), out).otherwise(t)
+
+    return strip(squeeze(let(c, body)))
 
 
 def final_polish(c: Column) -> Column:
@@ -237,7 +250,7 @@ def standardize_synonyms(c: Column, synonyms: dict[str, tuple] | None = None) ->
         out = t
         for variant, canonical in pairs:
             out = F.regexp_replace(out, "(?iu)" + quote(variant), quote_replacement(canonical))
-        return F.when(t.rlike("(?iu)" + "|".join(quote(v) for v, _ in pairs)), out).otherwise(t)
+        return F.when(_may_hold(t, [v for v, _ in pairs]), out).otherwise(t)
 
     return let(c, body)
 

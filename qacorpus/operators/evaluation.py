@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.common import moment
 from ..functions.score import exact_match
 from .ordering import quantile_values
 
@@ -225,7 +226,7 @@ def accuracy_by_group(df: DataFrame, group: str, pred: str, true: str) -> DataFr
 def qa_analytics(df: DataFrame, start, end, ts: str = "created_at", confidence: str = "confidence",
                  latency: str = "response_time_ms", rating: str = "feedback_rating") -> DataFrame:
     """AGG19: totals of a closed time window."""
-    inside = df.where(F.col(ts).between(F.lit(start), F.lit(end)))
+    inside = df.where(F.col(ts).between(moment(df, ts, start), moment(df, ts, end)))
     return inside.agg(
         F.count(F.lit(1)).alias("total_questions"),
         F.avg(confidence).alias("avg_confidence"),
@@ -236,7 +237,7 @@ def qa_analytics(df: DataFrame, start, end, ts: str = "created_at", confidence:
 
 def top_questions(df: DataFrame, start, end, ts: str = "created_at", question: str = "question", k: int = 10) -> DataFrame:
     """AGG19: most frequent questions of the window."""
-    inside = df.where(F.col(ts).between(F.lit(start), F.lit(end)))
+    inside = df.where(F.col(ts).between(moment(df, ts, start), moment(df, ts, end)))
     return inside.groupBy(question).agg(F.count(F.lit(1)).alias("frequency")).orderBy(F.desc("frequency"), question).limit(k)
 
 

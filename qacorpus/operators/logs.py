@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.common import moment
 from ..functions.classify import triage_action, triage_category, triage_severity
 
 
@@ -34,7 +35,7 @@ def usage_totals(log: DataFrame, user: str = "user_id", confidence: str = "confi
 
 def recent_stats(log: DataFrame, cutoff, ts: str = "ts", confidence: str = "confidence", latency: str = "response_time") -> DataFrame:
     """LOG3"""
-    return log.where(F.col(ts) >= F.lit(cutoff)).agg(
+    return log.where(F.col(ts) >= moment(log, ts, cutoff)).agg(
         F.count(F.lit(1)).alias("total_questions"),
         F.avg(confidence).alias("avg_confidence"),
         F.avg(latency).alias("avg_response_time"),
@@ -44,14 +45,14 @@ def recent_stats(log: DataFrame, cutoff, ts: str = "ts", confidence: str = "conf
 def recent_topics(log: DataFrame, cutoff, topic: str, ts: str = "ts", k: int = 10) -> DataFrame:
     """LOG3: most frequent topics since the cutoff."""
     return (
-        log.where(F.col(ts) >= F.lit(cutoff)).groupBy(topic).agg(F.count(F.lit(1)).alias("n"))
+        log.where(F.col(ts) >= moment(log, ts, cutoff)).groupBy(topic).agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), topic).limit(k)
     )
 
 
 def error_summary(errors: DataFrame, now, kind: str = "error_type", ts: str = "ts", tie: str = "event_id", message: str = "message") -> DataFrame:
     """LOG4: per error type of the last 24 hours: count, last-hour count, latest record."""
-    at = F.lit(now).cast("timestamp")
+    at = moment(errors, ts, now)
     day = errors.where(F.col(ts) > at - F.expr("INTERVAL 24 HOURS"))
     return day.groupBy(kind).agg(
         F.count(F.lit(1)).alias("total_24h"),
@@ -82,7 +83,7 @@ def rate_limit(
     """
     span = seconds * 1_000_000
     block = max(block_seconds or 60 * seconds, seconds) * 1_000_000
-    t = requests.withColumn("_t", F.unix_micros(ts))
+    t = requests.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
     own = F.floor(F.col("_t") / block)
     late = F.pmod(F.col("_t"), F.lit(block)) >= block - span
     spread = t.withColumn("_own", own).withColumn(

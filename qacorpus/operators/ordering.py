@@ -1,9 +1,9 @@
 """Ranks and running totals over a total order, without a single-partition window.
 
-``ranked`` range-partitions on the order columns, sorts inside partitions and pins the layout with a
-reliable checkpoint; a row's rank is its position in its partition plus the number of rows in earlier
-partitions.  Ties and hot values only stretch one range as far as the unique tie-break allows, so the
-order columns must end in a unique column.
+``ranked`` range-partitions on the order columns, sorts inside partitions, numbers the rows and writes
+them to the shared folder, so that partition and position are fixed; a row's rank is its position plus
+the number of rows in earlier partitions.  The order columns must end in a unique column: then a hot
+value is split over ranges like any other run of rows.
 
 ``hash_ranked`` ranks inside groups by a hash.  A hot group is cut into hash buckets first, so
 no task ever sorts a whole group.
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import checkpointed
+from ..session import write_out
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
@@ -31,7 +31,7 @@ def _with_layout(df: DataFrame, order: Sequence[Column], partitions: int | None)
         F.shiftrightunsigned(mono, _ROW_BITS).alias("_part"),
         mono.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_pos"),
     )
-    return checkpointed(laid)
+    return write_out(laid, "ranked")
 
 
 def _offsets(laid: DataFrame, sums: dict[str, Column]) -> DataFrame:
@@ -97,7 +97,7 @@ def hash_ranked(
     )
 
 
-def top_n(df: DataFrame, order: Sequence[Column], n: int, report_rows: int = 10_000) -> DataFrame:
+def top_n(df: DataFrame, order: Sequence[Column], n: int, report_rows: int = 1_000) -> DataFrame:
     """First ``n`` rows of the order.  Small n keeps a per-task heap; large n cuts by global rank."""
     if n <= report_rows:
         return df.orderBy(*order).limit(n)

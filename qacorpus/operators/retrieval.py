@@ -68,10 +68,10 @@ def vector_topk(
     dims = max(1, first["n"] if first else 1)
     per_block = max(1, block_floats // dims)
     count = q.limit(per_block + 1).count()
-    best = _block_topk(k + (1 if exclude_self else 0), metric)
+    best = _block_topk(k + int(exclude_self), metric)
     schema = "query_id bigint, doc_id bigint, distance double"
     if count <= per_block:
-        out = _scan_with_broadcast(q, d, best, schema)
+        out = _scan_with_broadcast(q, d, best, schema, k + int(exclude_self))
     else:
         out = _block_by_block(q, d, best, schema, per_block)
     if exclude_self:
@@ -80,11 +80,15 @@ def vector_topk(
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _first_k(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    return found.sort_values(["query_id", "distance", "doc_id"]).groupby("query_id", sort=False).head(k)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _scan_with_broadcast(q: DataFrame, d: DataFrame, best, schema: str) -> DataFrame:
+def _scan_with_broadcast(q: DataFrame, d: DataFrame, best, schema: str, k: int) -> DataFrame:
     pdf = q.toPandas()  # at most one block
     vectors = _matrix(pdf["embedding"]) if len(pdf) else np.zeros((0, 1))
     shared = q.sparkSession.sparkContext.broadcast((pdf["query_id"].to_numpy(), vectors))
@@ -92,10 +96,14 @@ def _scan_with_broadcast(q: DataFrame, d: DataFrame, best, schema: str) -> DataF
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q_vecs = shared.value
         step = max(1, 4_000_000 // max(1, len(q_ids)))  # bounds the distance matrix
+        so_far = None
         for batch in it:
             for i in range(0, len(batch) if len(q_ids) else 0, step):
                 piece = batch.iloc[i : i + step]
-                yield best(q_ids, q_vecs, piece["doc_id"].to_numpy(), _matrix(piece["embedding"]))
+                found = best(q_ids, q_vecs, piece["doc_id"].to_numpy(), _matrix(piece["embedding"]))
+                so_far = found if so_far is None else _first_k(pd.concat([so_far, found]), k)
+        if so_far is not None:
+            yield so_far
 
     return d.mapInPandas(scan, schema)
 

@@ -79,8 +79,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, d: str) -> DataFrame:
     """Prediction-log stand-in: an ``error`` event is a failure, ``value`` the latency."""
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.withColumn("ok", (F.col("event_type") != "error").cast("double"))
+    return table(spark, d, "events").withColumn("ok", (F.col("event_type") != "error").cast("double"))
 
 
 def ntz(name: str):

@@ -190,7 +190,7 @@ query(
 
 
 def _window():
-    return F.lit(START).cast("timestamp"), F.lit(END).cast("timestamp")
+    return START, END
 
 
 query(

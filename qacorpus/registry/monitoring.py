@@ -125,11 +125,13 @@ def _mon4(spark, d):
 
 query(
     "mon5_should_retrain",
-    f"""WITH {FIRST_LAST} SELECT total_rows, array_to_string(list_filter([CASE WHEN total_rows > 200 AND ba - ra > 0.05 THEN 'drop' END, 'Last training was 45 days ago',
- CASE WHEN total_rows > 10000 THEN 'rows' END], lambda s: s IS NOT NULL AND s LIKE 'Last%'), '|') AS reasons, true AS retrain FROM fl""",
+    f"""WITH {FIRST_LAST} SELECT total_rows, array_to_string(list_filter([
+   CASE WHEN total_rows > 200 AND ba - ra > 0.05 THEN 'Accuracy dropped by ' || printf('%.2f', (ba - ra) * 100) || '%' END,
+   'Last training was 45 days ago', CASE WHEN total_rows > 10000 THEN 'Accumulated ' || format('{{:,}}', total_rows) || ' new samples' END],
+ lambda s: s IS NOT NULL), '|') AS reasons, true AS retrain FROM fl""",
 )(
     lambda spark, d: monitoring.should_retrain(events(spark, d), F.col("ok"), at(NOW), at("2023-12-16 00:00:00")).select(
-        "total_rows", F.array_join(F.filter("reasons", lambda s: s.startswith("Last")), "|").alias("reasons"), "retrain"
+        "total_rows", F.array_join("reasons", "|").alias("reasons"), "retrain"
     )
 )
 query(
@@ -167,19 +169,19 @@ query(
     "log3_recent_stats",
     f"WITH {EVENTS} SELECT count(*) AS total_questions, round(avg(ok), 6) AS avg_confidence, round(avg(value), 6) AS avg_response_time FROM ev WHERE ts >= '{CUT}'",
 )(
-    lambda spark, d: logs.recent_stats(events(spark, d), at(CUT), confidence="ok", latency="value")
+    lambda spark, d: logs.recent_stats(events(spark, d), CUT, confidence="ok", latency="value")
     .withColumn("avg_confidence", r6("avg_confidence"))
     .withColumn("avg_response_time", r6("avg_response_time"))
 )
 query("log3_recent_topics", f"SELECT event_type, count(*) AS n FROM events WHERE ts >= '{CUT}' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(
-    lambda spark, d: logs.recent_topics(events(spark, d), at(CUT), "event_type")
+    lambda spark, d: logs.recent_topics(events(spark, d), CUT, "event_type")
 )
 query(
     "log4_error_summary",
     f"""SELECT event_type AS error_type, count(*) AS total_24h, count_if(ts > TIMESTAMP '{NOW}' - INTERVAL 1 HOUR)::BIGINT AS recent_1h, max(ts) AS latest_ts,
  arg_max(props, event_id) AS latest_message FROM events WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR GROUP BY 1""",
 )(
-    lambda spark, d: logs.error_summary(events(spark, d), at(NOW), "event_type", message="props").select(
+    lambda spark, d: logs.error_summary(events(spark, d), NOW, "event_type", message="props").select(
         F.col("event_type").alias("error_type"), "total_24h", "recent_1h", ntz("latest_ts"), "latest_message"
     )
 )

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import writers
 from ..sources.writers import prediction_log
 from ..session import new_path
 from ..streaming import jobs
-from .base import EVENTS, FIXTURE, events, ntz, query, r6, table
+from . import monitoring  # noqa: F401  (registers the alert query first)
+from .base import EVENTS, FIXTURE, ORACLES, QA, QUERIES, events, ntz, qa, query, r6, table
+from .splits import RATIOS, STRATIFIED, stratified
 from .texts import LEVELS, pick_sql, rules_sql
 
 
@@ -61,7 +64,7 @@ def _log(spark, d):
     """Events written as a daily JSON-lines prediction log, then followed as a stream."""
     folder = new_path(spark, "predictions")
     rows = events(spark, d).select(
-        F.col("ts").alias("timestamp"), F.col("event_type").alias("question"), F.lit("a").alias("answer"), F.lit("a").alias("prediction"),
+        F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("question"), F.lit("a").alias("answer"), F.lit("a").alias("prediction"),
         F.create_map(F.lit("accuracy"), F.col("ok")).alias("metrics"),
     )
     prediction_log(rows, folder)
@@ -128,3 +131,64 @@ def _alerts(spark, d):
     jobs.start_alerts(rows, folder, "ts").awaitTermination()
     found = spark.read.schema("type string, baseline double, recent double").json(f"{folder}/alerts")
     return found.select("type", r6("baseline").alias("baseline"), r6("recent").alias("recent"))
+
+
+# ---- sinks: written to the shared folder and read back
+
+query(
+    "snk1_write_dataset",
+    f"""WITH {QA} SELECT unnest(['csv', 'json', 'parquet']) AS format, count(*) AS n, sum(length(question) + length(answer))::BIGINT AS chars FROM qa""",
+)(lambda spark, d: _datasets(spark, d))
+
+
+def _datasets(spark, d):
+    paths = writers.write_dataset(qa(spark, d), new_path(spark, "dataset"))
+    schema = qa(spark, d).schema
+    size = F.sum(F.length("question") + F.length("answer")).cast("bigint").alias("chars")
+    csv = {"header": True, "multiLine": True, "escape": '"'}
+    out = None
+    for fmt in ("csv", "json", "parquet"):
+        rows = spark.read.schema(schema).format(fmt).options(**(csv if fmt == "csv" else {})).load(paths[fmt])
+        one = rows.agg(F.count(F.lit(1)).alias("n"), size).select(F.lit(fmt).alias("format"), "n", "chars")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+query(
+    "snk2_write_splits",
+    f"""WITH {STRATIFIED} SELECT count(*) AS total, count_if(split = 'train')::BIGINT AS train, count_if(split = 'val')::BIGINT AS val, count_if(split = 'test')::BIGINT AS test,
+ 0.7::DOUBLE AS train_ratio, 0.15::DOUBLE AS val_ratio, 0.15::DOUBLE AS test_ratio FROM split""",
+)(
+    lambda spark, d: writers.write_splits(stratified(spark, d), new_path(spark, "splits"), RATIOS).drop(
+        "train_path", "val_path", "test_path"
+    )
+)
+query(
+    "snk3_audit_log",
+    f"""WITH {QA} SELECT strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(turn), '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT conv_id) AS users FROM qa GROUP BY 1""",
+)(lambda spark, d: _audit(spark, d))
+
+
+def _audit(spark, d):
+    path = new_path(spark, "audit")
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("turn") * 3600)
+    rows = qa(spark, d).select(
+        F.col("conv_id").alias("user_id"), "question", "answer", F.array(F.lit("kb")).alias("sources"),
+        F.lit(0.5).alias("processing_time"), at.alias("created_at"),
+    )
+    writers.audit_log(rows, path)
+    log = spark.read.parquet(path)
+    return log.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users")
+    )
+
+
+query("snk5_alert_log", f"SELECT type, 'm' AS model, count(*) AS n FROM ({ORACLES['mon3_latency_error_alerts']}) GROUP BY type")(
+    lambda spark, d: _alert_log(spark, d)
+)
+
+
+def _alert_log(spark, d):
+    path = new_path(spark, "alerts")
+    writers.alert_log(QUERIES["mon3_latency_error_alerts"](spark, d), path, "m", "2024-01-30 12:00:00")
+    return spark.read.json(path).groupBy("type", "model").agg(F.count(F.lit(1)).alias("n"))

@@ -49,13 +49,10 @@ def new_path(spark: SparkSession, kind: str) -> str:
 
 
 def write_out(df: DataFrame, kind: str = "stage") -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives the loss of executors."""
+    """Write Parquet to the shared folder and read it back.
+
+    Cuts lineage, survives the loss of executors, and later steps read only the columns they need.
+    """
     path = new_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint that keeps the partitioning and the row order inside partitions."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -139,7 +139,7 @@ def conversation_memory(
         yield pd.DataFrame({"user_id": [key[0]], "n_seen": [seen], "memory": [text]})
 
     rows = exchanges.select(
-        F.col(user).cast("string").alias("user_id"), F.unix_micros(ts).alias("ts_us"), F.col(tie).alias("tie"),
+        F.col(user).cast("string").alias("user_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"), F.col(tie).alias("tie"),
         "question", "answer",
     )
     return rows.groupBy("user_id").applyInPandasWithState(
