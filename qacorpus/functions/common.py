@@ -1,8 +1,8 @@
 """Shared column helpers: Unicode-aware whitespace, word boundaries, lexicon scans.
 
-Lexicon scans are chains of ``contains`` built as balanced trees.  They stay inside generated
-code and, on 109 terms, ran 3.5x faster here than ``exists`` over an array or one alternation regex.
-Always apply them to an already lower-cased column so that the text is lower-cased once.
+Short lexicon scans are chains of ``contains``; longer ones loop over a literal array with the text
+bound once (:func:`let`).  Both took the same time here on 109 terms, four times less than one
+alternation regex, but a long chain makes generated methods that the JIT refuses.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ NON_WS = f"[^{WS_INNER}]"
 WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + (
     "    　"
 )
+# Lists up to this length become a chain of ``contains``.
+SHORT_LIST = 8
 # Word boundaries are spelled out: the meaning of \b depends on the JDK version.
 WORD = r"[\p{L}\p{N}_]"
 WORD_START = f"(?<!{WORD})"
@@ -71,10 +73,18 @@ def distinct_words(lower: Column) -> Column:
     return F.size(F.array_distinct(words(lower)))
 
 
+def _literals(terms) -> Column:
+    return F.array(*[F.lit(t) for t in terms])
+
+
 def any_of(c: Column, terms: Iterable[str]) -> Column:
     """True when any term is a substring."""
     terms = list(dict.fromkeys(terms))
-    return balanced(lambda a, b: a | b, [c.contains(t) for t in terms]) if terms else F.lit(False)
+    if not terms:
+        return F.lit(False)
+    if len(terms) > SHORT_LIST:
+        return let(c, lambda x: F.exists(_literals(terms), lambda t: x.contains(t)))
+    return balanced(lambda a, b: a | b, [c.contains(t) for t in terms])
 
 
 def all_of(c: Column, terms: Iterable[str]) -> Column:
@@ -86,6 +96,8 @@ def hits(c: Column, terms: Iterable[str], weight: int = 1) -> Column:
     terms = list(terms)
     if not terms:
         return F.lit(0)
+    if len(terms) > SHORT_LIST:
+        return let(c, lambda x: F.size(F.filter(_literals(terms), lambda t: x.contains(t)))) * F.lit(weight)
     return balanced(lambda a, b: a + b, [F.when(c.contains(t), weight).otherwise(0) for t in terms])
 
 
@@ -95,11 +107,14 @@ def occurrences(c: Column, terms: Iterable[str]) -> Column:
     if not terms:
         return F.lit(0)
 
-    def one(t: str) -> Column:
-        gone = F.length(c) - F.length(F.replace(c, F.lit(t), F.lit("")))
-        return F.when(c.contains(t), (gone / F.lit(len(t))).cast("int")).otherwise(0)
+    def one(x: Column, t: Column, size: Column) -> Column:
+        gone = F.length(x) - F.length(F.replace(x, t, F.lit("")))
+        return F.when(x.contains(t), (gone / size).cast("int")).otherwise(0)
 
-    return balanced(lambda a, b: a + b, [one(t) for t in terms])
+    if len(terms) > SHORT_LIST:
+        listed = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(len(t)).alias("n")) for t in terms])
+        return let(c, lambda x: F.aggregate(listed, F.lit(0), lambda acc, t: acc + one(x, t["t"], t["n"])))
+    return balanced(lambda a, b: a + b, [one(c, F.lit(t), F.lit(len(t))) for t in terms])
 
 
 def starts_with_any(c: Column, prefixes: Iterable[str]) -> Column:

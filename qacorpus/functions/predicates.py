@@ -6,30 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..lexicon import GENERIC_ANSWERS, MEDICAL, Profile
-from .common import any_of, balanced, distinct_words, hits, matches_any, occurrences, strip, whole_word
+from .common import any_of, balanced, distinct_words, hits, let, matches_any, occurrences, strip, whole_word
 
 
 def is_complete(q: Column, a: Column, profile: Profile = MEDICAL) -> Column:
     """FLT1"""
     q, a = strip(q), strip(a)
     return F.coalesce(
-        (F.length(q) >= 10) & (F.length(a) >= 3) & any_of(F.lower(q), profile.question_markers), F.lit(False)
+        (F.length(q) >= 10) & (F.length(a) >= 3) & let(F.lower(q), lambda lq: any_of(lq, profile.question_markers)),
+        F.lit(False),
     )
 
 
 def is_complete_thorough(q: Column, a: Column, profile: Profile = MEDICAL) -> Column:
     """FLT2"""
     q, a = strip(q), strip(a)
-    lq, la = F.lower(q), F.lower(a)
-    return F.coalesce(
-        (F.length(q) >= 15)
-        & (F.length(a) >= 5)
-        & any_of(lq, profile.question_indicators)
-        & ~la.isin(*GENERIC_ANSWERS)
-        & (distinct_words(lq) >= 4)
-        & (distinct_words(la) >= 3),
-        F.lit(False),
-    )
+    asks = let(F.lower(q), lambda lq: any_of(lq, profile.question_indicators) & (distinct_words(lq) >= 4))
+    tells = let(F.lower(a), lambda la: ~la.isin(*GENERIC_ANSWERS) & (distinct_words(la) >= 3))
+    return F.coalesce((F.length(q) >= 15) & (F.length(a) >= 5) & asks & tells, F.lit(False))
 
 
 def is_relevant(low: Column, profile: Profile = MEDICAL) -> Column:

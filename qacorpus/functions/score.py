@@ -18,7 +18,7 @@ from ..lexicon import (
     RESPONSE_PREVENTION,
     Profile,
 )
-from .common import any_of, distinct_words, hits, lookup, occurrences, strip, word_count, words
+from .common import any_of, distinct_words, hits, let, lookup, occurrences, strip, word_count, words
 
 
 def _sum(*parts: tuple[Column, float]) -> Column:
@@ -31,21 +31,25 @@ def _cap(c: Column) -> Column:
 
 def quality_basic(q: Column, a: Column, profile: Profile = MEDICAL) -> Column:
     """SCR1"""
-    q, a = strip(q), strip(a)
-    lq, la = F.lower(q), F.lower(a)
-    both = (q != "") & (a != "")
-    return _cap(
-        _sum(
-            (F.length(q).between(20, 500), 0.15),
-            (any_of(lq, profile.score_markers), 0.15),
-            (any_of(lq, profile.score_terms), 0.10),
-            (F.length(a).between(10, 2000), 0.15),
-            (a.contains(".") | (F.length(a) > 50), 0.10),
-            (any_of(la, profile.informative), 0.15),
-            (both, 0.10),
-            (both, 0.10),
+
+    def body(t: Column) -> Column:
+        qq, aa, lq, la = t["q"], t["a"], t["lq"], t["la"]
+        both = (qq != "") & (aa != "")
+        return _cap(
+            _sum(
+                (F.length(qq).between(20, 500), 0.15),
+                (any_of(lq, profile.score_markers), 0.15),
+                (any_of(lq, profile.score_terms), 0.10),
+                (F.length(aa).between(10, 2000), 0.15),
+                (aa.contains(".") | (F.length(aa) > 50), 0.10),
+                (any_of(la, profile.informative), 0.15),
+                (both, 0.10),
+                (both, 0.10),
+            )
         )
-    )
+
+    q, a = strip(q), strip(a)
+    return let(F.struct(q.alias("q"), a.alias("a"), F.lower(q).alias("lq"), F.lower(a).alias("la")), body)
 
 
 def term_count(low: Column, profile: Profile = MEDICAL) -> Column:
