@@ -7,9 +7,9 @@ one-by-one scan, but no pair list is ever built:
 2. The remaining texts are sorted by length and cut into tiles of bounded size.  Similarity above ``t``
    forces ``min(len)/max(len) > t/(2-t)``, so a tile only meets tiles inside that length window.
 3. In a (target tile, source tile) task two upper bounds are evaluated as array operations: shared
-   characters and shared character pairs (both as multisets).  Only survivors reach ``difflib``, earliest
-   first, and the search for a target stops at its first hit.  A task therefore returns at most one row
-   per target, however many near copies there are.
+   characters and shared runs of three characters (both as multisets).  Only survivors reach ``difflib``,
+   earliest first, and the search for a target stops at its first hit.  A task therefore returns at most
+   one row per target, however many near copies there are.
 4. Rows without an earlier neighbour are kept, rows whose earliest neighbour is kept are dropped, and the
    few undecided rows go round again against the newly kept ones until none is left.
 
@@ -19,6 +19,8 @@ number of distinct texts per length window, as is the greedy rule itself; the co
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,7 +33,7 @@ from .dedupe import first_per_key
 from .ordering import running_totals
 
 TILE_WEIGHT = 2_000_000  # characters + 1000 per row: at most 2,000 rows or 2 MB of text in a tile
-_CHAR_BINS, _PAIR_BINS = 64, 512
+_CHAR_BINS, _GRAM_BINS, _GRAM = 64, 1024, 3
 
 
 def normalized_question(c):
@@ -40,15 +42,16 @@ def normalized_question(c):
 
 
 def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of characters and of character 3-grams, hashed into bins (merging only raises a minimum sum)."""
     chars = np.zeros((len(texts), _CHAR_BINS), np.int32)
-    pairs = np.zeros((len(texts), _PAIR_BINS), np.int32)
+    grams = np.zeros((len(texts), _GRAM_BINS), np.int32)
     for i, t in enumerate(texts):
         codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
         chars[i] = np.bincount(codes % _CHAR_BINS, minlength=_CHAR_BINS)
-        if len(codes) > 1:
-            both = (codes[:-1] * np.uint32(31) + codes[1:]) % _PAIR_BINS
-            pairs[i] = np.bincount(both, minlength=_PAIR_BINS)
-    return chars, pairs
+        if len(codes) >= _GRAM:
+            h = codes[:-2] * np.uint32(961) + codes[1:-1] * np.uint32(31) + codes[2:]
+            grams[i] = np.bincount((h ^ (h >> np.uint32(7))) % _GRAM_BINS, minlength=_GRAM_BINS)
+    return chars, grams
 
 
 def _compare(threshold: float, autojunk: bool):
@@ -59,8 +62,8 @@ def _compare(threshold: float, autojunk: bool):
         sources = group[~group["is_target"]].sort_values("ord")
         out = []
         if len(targets) and len(sources):
-            t_chars, t_pairs = _bags(targets["norm"].tolist())
-            s_chars, s_pairs = _bags(sources["norm"].tolist())
+            t_chars, t_grams = _bags(targets["norm"].tolist())
+            s_chars, s_grams = _bags(sources["norm"].tolist())
             s_ord, s_len = sources["ord"].to_numpy(), sources["len"].to_numpy()
             s_norm, s_kept = sources["norm"].tolist(), sources["kept"].to_numpy()
             any_kept = bool(s_kept.any())
@@ -70,9 +73,10 @@ def _compare(threshold: float, autojunk: bool):
                 shared = np.minimum(s_chars[:earlier], t_chars[i]).sum(axis=1)
                 cand = np.flatnonzero(2.0 * shared > threshold * total)
                 if len(cand):
-                    # M matched characters lie in at most total-2M+1 runs, so at least 3M-total-1 pairs match
-                    need = (1.5 * threshold - 1.0) * total[cand] - 1.0
-                    cand = cand[np.minimum(s_pairs[cand], t_pairs[i]).sum(axis=1) >= need]
+                    # M matched characters lie in at most total-2M+1 runs and a run of m holds m-2 grams, so
+                    # at least M-2(total-2M+1) grams are shared, and M > threshold/2 * total
+                    need = (2.5 * threshold - 2.0) * total[cand] - 2.0
+                    cand = cand[np.minimum(s_grams[cand], t_grams[i]).sum(axis=1) >= need]
                 first = None
                 dropped = False
                 for j in cand:
@@ -118,8 +122,13 @@ def _neighbours(targets: DataFrame, sources: DataFrame, ranges: DataFrame, thres
     right = sources.join(window, "len").select(
         *cols, "kept", F.lit(False).alias("is_target"), spread.alias("tt"), F.col("tile").alias("st")
     )
+    # tile pairs are few and heavy: an explicit count keeps adaptive execution from merging them
+    tasks = max(
+        int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * left.sparkSession.sparkContext.defaultParallelism
+    )
     hits = (
         left.unionByName(right)
+        .repartition(tasks, "tt", "st")
         .groupBy("tt", "st")
         .applyInPandas(_compare(threshold, autojunk), "ord bigint, hit_kept boolean, earliest bigint")
     )
@@ -140,6 +149,10 @@ def fuzzy_kept(
     )
     unique = first_per_key(norm, F.col("norm")).withColumn("len", F.length("norm"))
     weighted = running_totals(unique, [F.col("len"), F.col("ord")], {"cum": F.col("len") + 1000})
+    # small inputs get smaller tiles, so that there are tile pairs for every core
+    total = weighted.agg(F.max("cum")).first()[0] or 1
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tile_weight = max(1, min(tile_weight, int(total / math.ceil(math.sqrt(4 * cores)))))
     tiled = write_out(
         weighted.select("ord", "len", "norm", F.floor(F.col("cum") / tile_weight).alias("tile")), "tiles"
     )

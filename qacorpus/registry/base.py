@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import classify
 from ..functions.common import NON_WS, WS, WS_CHARS
 from ..lexicon import Profile
+from ..session import spread
 from ..sources.readers import qa_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +78,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """A table whose long texts are worked on."""
+    return spread(table(spark, d, name), key)
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     """Prediction-log stand-in: an ``error`` event is a failure, ``value`` the latency."""
     return table(spark, d, "events").withColumn("ok", (F.col("event_type") != "error").cast("double"))

@@ -11,14 +11,14 @@ from ..operators.selection import concat_all, most_common
 from ..sources import readers
 from .base import (
     FIXTURE, LABELLED, QA, labelled, lit, qa, query, r6, s_lookup, s_nwords, s_squeeze, s_strip,
-    s_words, table,
+    s_words, table, texts,
 )
 from .texts import rules_sql
 
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").withColumn("ord", F.col("doc_id"))
+    return texts(spark, d).withColumn("ord", F.col("doc_id"))
 
 
 # ---- sources

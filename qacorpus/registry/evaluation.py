@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import evaluation, learning
-from .base import DOC_PAIRS, EVENTS, events, ntz, query, r6, table
+from .base import DOC_PAIRS, EVENTS, events, ntz, query, r6, table, texts
 from .texts import CATEGORIES, argmax_sql
 
 # predicted category: keyword classifier on the text; true category: language
@@ -18,7 +18,7 @@ CLASSIFIED = f"cls AS (SELECT doc_id, source, {TRUE_SQL} AS t, {argmax_sql('lowe
 def classified(spark, d):
     from ..functions.classify import keyword_argmax
 
-    rows = table(spark, d, "documents").select("doc_id", "source", "lang", F.lower("text").alias("low"))
+    rows = texts(spark, d).select("doc_id", "source", "lang", F.lower("text").alias("low"))
     truth = F.create_map(*[F.lit(x) for kv in TRUTH.items() for x in kv])
     return rows.select("doc_id", "source", truth[F.col("lang")].alias("t"), keyword_argmax(F.col("low"), CATEGORIES).alias("p"))
 

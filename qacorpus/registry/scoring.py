@@ -15,7 +15,7 @@ from ..operators.staging import compute, keep
 from ..plans import curate
 from .base import (
     FIXTURE, LABELLED, QA, W_, labelled, lit, qa, qa_low, query, r6, s_any, s_anyword, s_distinct, s_first, s_hits, s_lookup,
-    s_nwords, s_occ, s_strip, s_sum, s_word, s_wordcount, s_words, table,
+    s_nwords, s_occ, s_strip, s_sum, s_word, s_wordcount, s_words, table, texts,
 )
 from .texts import q_abbr, q_clean, q_fillers, q_grammar, q_polish1, q_polish2, q_stats, q_terms, q_units
 
@@ -107,7 +107,7 @@ over_qa(
 )
 # the default medical profile over every document
 query("flt6_is_offensive_default", f"SELECT doc_id, {s_anyword('lower(text)', OFFENSIVE_DEFAULT)} AS offensive FROM documents")(
-    lambda spark, d: table(spark, d, "documents").select("doc_id", predicates.is_offensive(F.lower("text")).alias("offensive"))
+    lambda spark, d: texts(spark, d).select("doc_id", predicates.is_offensive(F.lower("text")).alias("offensive"))
 )
 
 SCORED = f"""{QA}, scored AS (SELECT *, {DETAIL_SCORE} AS quality_score, {COMPLETENESS} AS completeness_score, {s_occ('low', ALL)} AS terms FROM qa)"""
@@ -318,7 +318,7 @@ query(
  regexp_matches(text, '{D}')::INTEGER AS has_numbers, len(regexp_extract_all(text, '{D}'))::INTEGER AS number_count
  FROM (SELECT *, {s_nwords('text')} AS n, {s_hits('lower(text)', P.text_terms)} AS h FROM documents)""",
 )(
-    lambda spark, d: table(spark, d, "documents")
+    lambda spark, d: texts(spark, d)
     .select("doc_id", features.text_features(F.col("text"), P).alias("f"))
     .select("doc_id", "f.*")
     .withColumn("avg_word_length", r6("avg_word_length"))
@@ -347,7 +347,7 @@ query(
  idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term)
  SELECT doc_id, term, round(tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)), 6) AS weight FROM tf JOIN idf USING (term)""",
 )(
-    lambda spark, d: tfidf(table(spark, d, "documents"), "doc_id", "text", 1000, list(STOP)).withColumn("weight", r6("weight"))
+    lambda spark, d: tfidf(texts(spark, d), "doc_id", "text", 1000, list(STOP)).withColumn("weight", r6("weight"))
 )
 
 # ---- whole profiles

@@ -8,7 +8,7 @@ from ..functions import classify, features, text
 from ..functions.common import NON_WS, WS
 from .base import (
     FIXTURE, QA, W_, lit, low_text, qa, qa_low, query, s_all, s_any, s_first, s_hits, s_phrase, s_squeeze, s_steps,
-    s_strip, s_sub, s_word, s_words, table,
+    s_strip, s_sub, s_word, s_words, table, texts,
 )
 
 ABBR = " ".join(f"WHEN {lit(k)} THEN {lit(f'{k} ({v})')}" for k, v in FIXTURE.abbreviations.items())
@@ -89,14 +89,14 @@ def docs_sql(*steps):
 
 
 def over_docs(fn):
-    return lambda spark, d: table(spark, d, "documents").select("doc_id", fn(F.col("text")).alias("x"))
+    return lambda spark, d: texts(spark, d).select("doc_id", fn(F.col("text")).alias("x"))
 
 
 COMPREHENSIVE = (q_clean, q_abbr, q_stats, q_units, q_grammar, q_terms, q_fillers, q_polish1, q_polish2)
 
 query("txt1_clean_text", docs_sql(q_clean))(over_docs(text.clean_text))
 query("txt1_clean_html", s_steps("pages", "page_id", "html", [q_clean]))(
-    lambda spark, d: table(spark, d, "pages").select("page_id", text.clean_text(F.col("html")).alias("x"))
+    lambda spark, d: texts(spark, d, "pages", "page_id").select("page_id", text.clean_text(F.col("html")).alias("x"))
 )
 query("txt2_expand_abbreviations", docs_sql(q_abbr))(over_docs(lambda c: text.expand_abbreviations(c, FIXTURE)))
 query("txt3_normalize_stats", docs_sql(q_stats))(over_docs(text.normalize_stats))
@@ -173,7 +173,7 @@ query(
  array_to_string(list_transform(range(1, greatest(1, least(len(w) - 1, 10) + 1)), lambda i: w[i] || ' ' || w[i + 1]), '|') AS first_bigrams,
  greatest(len(w) - 2, 0)::INTEGER AS n_trigrams FROM (SELECT doc_id, {s_words('lower(text)')} AS w FROM documents)""",
 )(
-    lambda spark, d: table(spark, d, "documents").select(
+    lambda spark, d: texts(spark, d).select(
         "doc_id",
         F.size(text.ngrams(F.col("text"), 1)).alias("n_words"),
         F.array_join(text.ngrams(F.col("text"), 2, 10), "|").alias("first_bigrams"),
@@ -210,7 +210,7 @@ MCQ = ("(a)", "(b)", "(c)", "(d)", "choose", "select")
 query(
     "cls3_qa_type",
     f"SELECT doc_id, CASE WHEN {s_any('lower(text)', MCQ)} THEN 'medical_mcq' ELSE 'medical_qa' END AS type FROM documents",
-)(lambda spark, d: table(spark, d, "documents").select("doc_id", classify.qa_type(F.lower("text")).alias("type")))
+)(lambda spark, d: texts(spark, d).select("doc_id", classify.qa_type(F.lower("text")).alias("type")))
 
 CATEGORIES = {"Alpha": ("tion", "ing", "stth"), "Beta": ("keit", "ung", "schl"), "Gamma": ("eau", "que", "ment"),
               "Delta": ("ción", "ado", "los"), "Other": ("xyzzy",)}
@@ -224,7 +224,7 @@ def argmax_sql(x):
 
 
 query("cls5_keyword_argmax", f"SELECT doc_id, {argmax_sql('lower(text)')} AS category FROM documents")(
-    lambda spark, d: table(spark, d, "documents")
+    lambda spark, d: texts(spark, d)
     .select("doc_id", F.lower("text").alias("low"))
     .select("doc_id", classify.keyword_argmax(F.col("low"), CATEGORIES).alias("category"))
 )
@@ -233,7 +233,7 @@ query(
     "cls6_disease_specialty",
     f"SELECT doc_id, {s_first('lower(text)', {k.capitalize(): v for k, v in GROUPS.items()}, 'General Medicine')} AS specialty FROM documents",
 )(
-    lambda spark, d: table(spark, d, "documents")
+    lambda spark, d: texts(spark, d)
     .select("doc_id", F.lower("text").alias("low"))
     .select("doc_id", classify.disease_specialty(F.col("low"), GROUPS).alias("specialty"))
 )
@@ -277,7 +277,7 @@ query(
     f"""SELECT doc_id, k AS alert_type, {pick_sql('k', LEVELS)} AS severity, {pick_sql('k', FIXTURE.alert_messages)} AS message
  FROM (SELECT doc_id, {rules_sql('lower(text)')} AS k FROM documents)""",
 )(
-    lambda spark, d: table(spark, d, "documents")
+    lambda spark, d: texts(spark, d)
     .select("doc_id", F.lower("text").alias("low"))
     .select("doc_id", classify.emergency_rule(F.col("low"), FIXTURE).alias("alert_type"))
     .select(

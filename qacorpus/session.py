@@ -56,3 +56,13 @@ def write_out(df: DataFrame, kind: str = "stage") -> DataFrame:
     path = new_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy text work a task per core when the input has fewer splits than that.
+
+    A file with one row group is one task, however many cores there are.  Inputs with enough splits, as on
+    a cluster, are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
