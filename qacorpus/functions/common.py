@@ -73,8 +73,13 @@ def distinct_words(lower: Column) -> Column:
     return F.size(F.array_distinct(words(lower)))
 
 
+def sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _literals(terms) -> Column:
-    return F.array(*[F.lit(t) for t in terms])
+    """Literal array; one parsed expression instead of one call into the JVM per term."""
+    return F.expr(f"array({', '.join(map(sql_text, terms))})")
 
 
 def any_of(c: Column, terms: Iterable[str]) -> Column:
@@ -112,7 +117,7 @@ def occurrences(c: Column, terms: Iterable[str]) -> Column:
         return F.when(x.contains(t), (gone / size).cast("int")).otherwise(0)
 
     if len(terms) > SHORT_LIST:
-        listed = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(len(t)).alias("n")) for t in terms])
+        listed = F.expr(f"array({', '.join(f'struct({sql_text(t)} AS t, {len(t)} AS n)' for t in terms)})")
         return let(c, lambda x: F.aggregate(listed, F.lit(0), lambda acc, t: acc + one(x, t["t"], t["n"])))
     return balanced(lambda a, b: a + b, [one(c, F.lit(t), F.lit(len(t))) for t in terms])
 

@@ -20,6 +20,7 @@ from .common import (
     let,
     quote,
     quote_replacement,
+    sql_text,
     squeeze,
     strip,
     whole_word,
@@ -74,16 +75,11 @@ def clean_text(c: Column) -> Column:
 
 def expand_abbreviations(c: Column, profile: Profile = MEDICAL) -> Column:
     """TXT2: every whole-word abbreviation gets its expansion in brackets, in list order."""
-    rules = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("k"),
-                F.lit(WORD_START + quote(k) + WORD_END).alias("p"),
-                F.lit(quote_replacement(f"{k} ({v})")).alias("r"),
-            )
-            for k, v in profile.abbreviations.items()
-        ]
-    )
+    rows = [
+        f"struct({sql_text(k)} AS k, {sql_text(WORD_START + quote(k) + WORD_END)} AS p, {sql_text(quote_replacement(f'{k} ({v})'))} AS r)"
+        for k, v in profile.abbreviations.items()
+    ]
+    rules = F.expr(f"array({', '.join(rows)})")
     return F.aggregate(
         rules,
         c,

@@ -93,7 +93,7 @@ def ntz(name: str):
 
 
 def qa(spark: SparkSession, d: str) -> DataFrame:
-    return qa_pairs(table(spark, d, "conversations"))
+    return qa_pairs(spread(table(spark, d, "conversations"), "conv_id", "turn"))
 
 
 def low_text():

@@ -58,11 +58,12 @@ def write_out(df: DataFrame, kind: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy text work a task per core when the input has fewer splits than that.
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give CPU-heavy text work a task per core when a scan has fewer splits than that.
 
-    A file with one row group is one task, however many cores there are.  Inputs with enough splits, as on
-    a cluster, are returned as they are, without a shuffle.
+    A file with one row group is one task, however many cores there are.  Scans with enough splits, as on
+    a cluster, are returned as they are, without a shuffle.  Only for plain scans: counting the splits of
+    a plan with exchanges would run it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores, *keys)
