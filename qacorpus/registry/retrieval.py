@@ -9,7 +9,7 @@ from ..plans.answer import answer_questions, valid_requests
 from .base import FIXTURE, QA, events, lit, ntz, qa, query, r6, s_strip, s_words, table
 from .texts import pick_sql, rules_sql
 
-# the query side of the vector search is every tenth label's centre: one mean vector per label
+# the query side of the vector search: one mean vector per label
 CENTRES = """ctr AS (SELECT label AS query_id, list(v ORDER BY i) AS embedding FROM (
   SELECT label, i, avg(embedding[i]::DOUBLE) AS v FROM embeddings, range(1, 65) r(i) GROUP BY label, i) GROUP BY label)"""
 

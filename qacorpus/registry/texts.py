@@ -85,7 +85,7 @@ def q_polish2(x):
 
 
 def docs_sql(*steps):
-    return s_steps("documents", "doc_id", "text", steps).replace("AS x FROM", "AS x FROM", 1) + " ORDER BY doc_id"
+    return s_steps("documents", "doc_id", "text", steps)
 
 
 def over_docs(fn):
