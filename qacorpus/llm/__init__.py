@@ -1,6 +1,6 @@
 """Operators for large training corpora, one module each, with their queries and SQL twins."""
 
 from .base import ORACLES, QUERIES
-from . import decontaminate, exact_dedup, language_id, resharding  # noqa: F401  (register)
+from . import decontaminate, exact_dedup, language_id, minhash_dedup, resharding  # noqa: F401  (register)
 
 __all__ = ["ORACLES", "QUERIES"]
