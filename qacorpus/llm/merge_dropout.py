@@ -7,7 +7,7 @@ under another seed and the same ones under the same seed.  Characters without a
 and bytes and gives the text back exactly.
 
 The variant of a chunk is a hash of its document and its place in it, modulo ``VARIANTS``: equal words still get several
-segmentations, and a task's table of finished (chunk, variant) pairs keeps the agenda off the hot path.  That table has a bound,
+segmentations, and a worker's table of finished (chunk, variant) pairs keeps the agenda off the hot path.  That table has a bound,
 chunks longer than ``LONG`` are not put into it.
 
 Spaces are written as U+2581; a U+2581 of the text itself becomes byte pieces, so that decoding can't take it for a space.  A
@@ -18,6 +18,7 @@ gives none; rows are independent, so repeated rows, null ids and extra columns d
 from __future__ import annotations
 
 import heapq
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,8 @@ from .base import query, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT, SEED, VARIANTS, LONG = 0.1, 17, 4, 64
-TABLE_CHUNKS = 300_000
+#: Chunks of each of the two generations of the table.
+TABLE_CHUNKS = 400_000
 #: A chunk: spaces and what follows up to the next space.  Pieces never have a space after another character.
 CHUNK = regex.compile("▁*[^▁]+|▁+")
 
@@ -47,54 +49,82 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.text = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         plain = [i for i in range(len(self.text)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        self.score = {self.text[i]: model.get_score(i) for i in plain}
+        self.merges = {self.text[i]: (-model.get_score(i), xxhash.xxh32_intdigest(self.text[i]), self.text[i]) for i in plain}
         self.id = {self.text[i]: i for i in plain}
         self.byte = {int(self.text[i][3:5], 16): i for i in range(len(self.text)) if model.is_byte(i)}
         self.back = {i: b for b, i in self.byte.items()}
         assert len(self.byte) == 256, "the model needs byte pieces"
         assert all(SPACE not in p.lstrip(SPACE) for p in self.id), "a piece holds a space after another character"
 
-    def segment(self, symbols: list[str], key: str, variant: int, seed: int, threshold: int) -> list[str]:
-        """Agenda of merges over ``symbols``; ``threshold`` of 2^32 candidates are skipped."""
-        score = self.score
+    def segment(self, symbols: list[str], key: int, threshold: int) -> list[str]:
+        """Agenda of merges over ``symbols``; the keyed hash skips ``threshold`` of 2^32 candidates."""
+        if len(symbols) <= LONG:
+            return self.segment_short(symbols, key, threshold)
+        merges = self.merges.get
         n = len(symbols)
         part: list[str | None] = list(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[float, int, str, int]] = []
 
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n:
-                whole = part[i] + part[j]
-                s = score.get(whole)
-                if s is not None and not (threshold and xxhash.xxh32_intdigest(f"{variant}|{key}|{i}|{len(part[i])}|{whole}", seed) < threshold):
-                    heapq.heappush(agenda, (-s, i, whole, j))
+        def offer(i: int, j: int) -> None:
+            known = merges(part[i] + part[j])
+            if known is not None:
+                # the place and the pair go into the hash by way of the multipliers
+                x = ((known[1] ^ key) * 0x9E3779B1 + i * 0x85EBCA77) & 0xFFFFFFFF
+                if (x ^ (x >> 15)) * 0xC2B2AE3D & 0xFFFFFFFF >= threshold:
+                    heapq.heappush(agenda, (known[0], i, known[2], j))
 
         for i in range(n - 1):
-            offer(i)
+            offer(i, i + 1)
         while agenda:
             _, i, whole, j = heapq.heappop(agenda)
             if part[i] is None or after[i] != j or part[j] is None or len(part[i]) + len(part[j]) != len(whole):
                 continue  # one of the two has changed since
             part[i], part[j] = whole, None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                offer(i, k)
+            if (h := before[i]) >= 0:
+                offer(h, i)
         return [p for p in part if p is not None]
 
-    def chunk_ids(self, chunk: str, variant: int, seed: int, threshold: int) -> tuple[int, ...]:
-        """Ids of a chunk that has its spaces as U+2581; symbols without a piece become byte pieces."""
+    def segment_short(self, part: list[str], key: int, threshold: int) -> list[str]:
+        """The same for few symbols: the agenda is a list with a place for each adjacent pair, its least entry is taken."""
+        merges, never = self.merges.get, 1e30
+        at = list(range(len(part)))  # of the first character, as the heap has it
+
+        def offer(i: int) -> float:
+            known = merges(part[i] + part[i + 1])
+            if known is None:
+                return never
+            x = ((known[1] ^ key) * 0x9E3779B1 + at[i] * 0x85EBCA77) & 0xFFFFFFFF
+            return known[0] if (x ^ (x >> 15)) * 0xC2B2AE3D & 0xFFFFFFFF >= threshold else never
+
+        agenda = [offer(i) for i in range(len(part) - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
+            i = agenda.index(best)
+            part[i] += part[i + 1]
+            del part[i + 1], at[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = offer(i)
+            if i:
+                agenda[i - 1] = offer(i - 1)
+        return part
+
+    def chunk_ids(self, chunk: str, variant: int, seed: int, threshold: int) -> bytes:
+        """Ids of a chunk that has its spaces as U+2581, as packed 32-bit numbers; symbols without a piece become byte pieces."""
         out: list[int] = []
-        for p in self.segment(list(chunk), chunk, variant, seed, threshold):
+        for p in self.segment(list(chunk), xxhash.xxh32_intdigest(chunk, seed * 1_000 + variant), threshold):
             i = self.id.get(p)
             if i is None:
                 out.extend(self.byte[b] for b in p.encode("utf-8", "surrogatepass"))
             else:
                 out.append(i)
-        return tuple(out)
+        return struct.pack(f"<{len(out)}i", *out)
 
 
 @lru_cache(maxsize=2)
@@ -106,32 +136,41 @@ class Encoder:
     def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         self.pieces, self.seed, self.variants = pieces(path), seed, variants
         self.threshold = round(dropout * 2**32)
-        self.done: list[dict[str, tuple[int, ...]]] = [{} for _ in range(variants)]
+        self.new: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.literal = struct.pack("<3i", *(self.pieces.byte[b] for b in SPACE.encode()))
+
+    def chunk(self, chunk: str, variant: int) -> bytes:
+        ids = self.old[variant].get(chunk)
+        if ids is None:
+            ids = self.pieces.chunk_ids(chunk, variant, self.seed, self.threshold)
+        if len(chunk) <= LONG:
+            new = self.new[variant]
+            if len(new) >= TABLE_CHUNKS // self.variants:  # keep what was in use lately
+                self.old[variant] = new
+                new = self.new[variant] = {}
+            new[chunk] = ids
+        return ids
 
     def encode(self, text: str, document: object) -> np.ndarray:
         """Piece ids of a text; ``document`` keys the variants of its chunks."""
-        if not text:
-            return np.zeros(0, np.int32)
-        literal = self.pieces.byte
-        out: list[int] = []
+        out: list[bytes] = []
         start = xxhash.xxh32_intdigest(str(document), self.seed)
-        for k, part in enumerate(text.split(SPACE)):
+        for k, part in enumerate(text.split(SPACE) if text else ()):
             if k:
-                out.extend(literal[b] for b in SPACE.encode())
+                out.append(self.literal)
             spaced = part.replace(" ", SPACE) if k else SPACE + part.replace(" ", SPACE)
             for place, chunk in enumerate(CHUNK.findall(spaced), start):
                 # consecutive places of a text take the variants in turn
                 variant = place % self.variants
-                known = self.done[variant]
-                ids = known.get(chunk)
-                if ids is None:
-                    ids = self.pieces.chunk_ids(chunk, variant, self.seed, self.threshold)
-                    if len(chunk) <= LONG:
-                        if len(known) >= TABLE_CHUNKS // self.variants:
-                            known.clear()
-                        known[chunk] = ids
-                out.extend(ids)
-        return np.array(out, np.int32)
+                out.append(self.new[variant].get(chunk) or self.chunk(chunk, variant))
+        return np.frombuffer(b"".join(out), np.int32)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, dropout: float, seed: int) -> Encoder:
+    """One per Python worker, so that its table outlives a task."""
+    return Encoder(path, dropout, seed)
 
 
 def decode(ids, path: str = MODEL) -> str:
@@ -162,7 +201,7 @@ def encode_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     extra = [T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("lossless", T.BooleanType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(path, dropout, seed), Decoder(path)
+        own, decoder = encoder(path, dropout, seed), Decoder(path)
         for batch in batches:
             ids = batch.column(names.index(id_col))
             for a in range(0, batch.num_rows, 500):  # pieces of a few hundred texts at a time
@@ -170,7 +209,7 @@ def encode_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 found, same = [], []
                 for key, text in zip(ids.slice(a, 500), part.column(names.index(text_col))):
                     t = text.as_py()
-                    got = None if t is None else encoder.encode(t, key.as_py())
+                    got = None if t is None else own.encode(t, key.as_py())
                     found.append(got)
                     same.append(None if t is None else decoder.decode(got.tolist()) == t)
                 lengths = [0 if x is None else len(x) for x in found]
