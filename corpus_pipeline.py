@@ -1,12 +1,72 @@
-"""The corpus pipeline; its stages follow as their operators are built."""
+"""The corpus pipeline: language ID, exact dedup, near-dedup, decontamination, pieces.
+
+Every stage takes ``(spark, docs, sf_dir)``, works on all rows its predecessor kept and returns a DataFrame; all but the last
+return the columns of ``documents``.  Rows are told apart by their id; an id on several rows stands or falls with all of them, and
+rows without an id pass the stages that judge by id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from qacorpus.llm.base import staged, table
+from qacorpus.llm.decontaminate import contamination, is_contaminated
+from qacorpus.llm.exact_dedup import exact_groups
+from qacorpus.llm.language_id import identify, query_model
+from qacorpus.llm.merge_dropout import encode_rows
+from qacorpus.llm.minhash_dedup import near_groups
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id isn't among ``ids`` (one column ``doc_id``, each id once, no null)."""
+    return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language (no text, or no letter) go."""
+    named = identify(docs, query_model(docs), COLUMNS)
+    return named.where("lang_pred != 'und'").select(*COLUMNS)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return _without(docs, staged(exact_groups(docs).where("not kept and id is not null").select(F.col("id").alias("doc_id")).distinct(), "gone"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest id stays."""
+    return _without(docs, staged(near_groups(docs).where("not kept and id is not null").select(F.col("id").alias("doc_id")).distinct(), "gone"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with too many words from benchmark items go."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    hit = found.where(is_contaminated(F.col("n_hit"), F.col("n_words")) & F.col("id").isNotNull())
+    return _without(docs, staged(hit.select(F.col("id").alias("doc_id")).distinct(), "gone"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts as pieces, checked to decode to the text."""
+    return encode_rows(docs).select("doc_id", "lang", "source", "pieces", "n_pieces", "lossless")
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("minhash_near_dedup", near),
+    ("benchmark_decontamination", decontaminated),
+    ("merge_dropout_pieces", pieces),
+]
+#: Language ID and merge-dropout can't be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each one written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -36,6 +36,8 @@ SPACE = "▁"
 DROPOUT, SEED, VARIANTS, LONG = 0.1, 17, 4, 64
 #: Chunks of each of the two generations of the table.
 TABLE_CHUNKS = 400_000
+#: Slots of the table of pairs, about a sixteenth of them taken; rank of no merge.
+PAIR_SLOTS, NEVER = 1 << 20, 2**31 - 1
 #: A chunk: spaces and what follows up to the next space.  Pieces never have a space after another character.
 CHUNK = regex.compile("▁*[^▁]+|▁+")
 
@@ -56,10 +58,133 @@ class Pieces:
         assert len(self.byte) == 256, "the model needs byte pieces"
         assert all(SPACE not in p.lstrip(SPACE) for p in self.id), "a piece holds a space after another character"
 
+        # symbols beyond the pieces: characters that only occur inside pieces
+        singles = sorted({c for piece in self.id for c in piece} - set(self.id))
+        self.symbol = {**self.id, **{c: len(self.text) + k for k, c in enumerate(singles)}}
+        self.singles = singles
+        longer = sorted((piece for piece in self.id if len(piece) > 1), key=lambda piece: self.merges[piece][0])
+        # the numpy agenda needs distinct scores; only runs of spaces share one, and chunks with such a run go to the heap
+        words = [piece for piece in longer if piece.strip(SPACE)]
+        self.ranked = len({self.merges[piece][0] for piece in words}) == len(words)
+        self.by_rank = np.array([self.id[piece] for piece in longer], np.int32)
+        self.hash_by_rank = np.array([self.merges[piece][1] for piece in longer], np.uint32)
+        pairs = [
+            (self.symbol[piece[:k]] << 32 | self.symbol[piece[k:]], rank)
+            for rank, piece in enumerate(longer) for k in range(1, len(piece)) if piece[:k] in self.symbol and piece[k:] in self.symbol
+        ]
+        keys, ranks = np.array([a for a, _ in pairs], np.int64), np.array([b for _, b in pairs], np.int32)
+        self.pair_keys, self.pair_ranks = np.full(PAIR_SLOTS, -1, np.int64), np.full(PAIR_SLOTS, NEVER, np.int32)
+        slots = self.slots(keys)
+        while len(keys):  # open addressing: whoever finds its slot taken goes on to the next one
+            free = self.pair_keys[slots] < 0
+            self.pair_keys[slots[free]], self.pair_ranks[slots[free]] = keys[free], ranks[free]
+            left = self.pair_keys[slots] != keys
+            keys, ranks, slots = keys[left], ranks[left], (slots[left] + 1) & (PAIR_SLOTS - 1)
+        points = np.full(0x110000, -1, np.int32)
+        for c, k in self.symbol.items():
+            if len(c) == 1:
+                points[ord(c)] = k
+        self.points = points
+
+    @staticmethod
+    def slots(keys: np.ndarray) -> np.ndarray:
+        x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((x ^ (x >> np.uint64(29))) >> np.uint64(20)).astype(np.int64) & (PAIR_SLOTS - 1)
+
+    def offers(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, key: np.ndarray, threshold: int) -> np.ndarray:
+        """Rank of the merge of each pair of symbols; NEVER where there is none or the keyed hash skips it."""
+        keys = (left.astype(np.int64) << 32) | right
+        keys[(left < 0) | (right < 0)] = -2
+        slots = self.slots(keys)
+        found = self.pair_ranks[slots]
+        here = self.pair_keys[slots]
+        todo = np.flatnonzero((here != keys) & (here != -1))
+        found[here != keys] = NEVER
+        while len(todo):
+            slots[todo] = (slots[todo] + 1) & (PAIR_SLOTS - 1)
+            here = self.pair_keys[slots[todo]]
+            hit = here == keys[todo]
+            found[todo[hit]] = self.pair_ranks[slots[todo[hit]]]
+            todo = todo[~hit & (here != -1)]
+        if threshold:
+            some = np.flatnonzero(found != NEVER)
+            x = (self.hash_by_rank[found[some]] ^ key[some]) * np.uint32(0x9E3779B1) + at[some].astype(np.uint32) * np.uint32(0x85EBCA77)
+            x = (x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
+            found[some[x < threshold]] = NEVER
+        return found
+
+    def segment_many(self, chunks: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
+        """:meth:`chunk_ids` of many chunks of at most ``LONG`` characters: all agendas of like length step together."""
+        out: list[bytes] = [b""] * len(chunks)
+        lengths = np.array([len(c) for c in chunks])
+        order = np.argsort(lengths, kind="stable")
+        for part in np.split(order, np.searchsorted(lengths[order], (6, 8, 10, 12, 16, 24, 40), side="right")):
+            for a in range(0, len(part), 8_192):
+                self._step_all([chunks[k] for k in part[a : a + 8_192]], part[a : a + 8_192], keys, threshold, out)
+        return out
+
+    def _step_all(self, chunks: list[str], rows: np.ndarray, keys: np.ndarray, threshold: int, out: list[bytes]) -> None:
+        width = max(map(len, chunks))
+        points = np.frombuffer("".join(c.ljust(width, "\0") for c in chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, width)
+        sizes = np.array([len(c) for c in chunks])
+        inside = np.arange(width) < sizes[:, None]
+        # characters without a symbol are -2 - code point: they never merge
+        sym = np.where(inside, self.points[points], -1).astype(np.int64)
+        sym = np.where(inside & (sym < 0), -2 - points.astype(np.int64), sym)
+        at = np.broadcast_to(np.arange(width), sym.shape).copy()
+        key = keys[rows]
+        agenda = np.full((len(sym), max(width - 1, 1)), NEVER, np.int32)
+        for c in range(width - 1):
+            agenda[:, c] = self.offers(sym[:, c], sym[:, c + 1], at[:, c], key, threshold)
+        while len(sym):
+            best = agenda.argmin(axis=1)
+            n = np.arange(len(sym))
+            rank = agenda[n, best]
+            done = rank == NEVER
+            if done.any():
+                self._finish(sym[done], rows[done], out)
+                live = ~done
+                sym, at, agenda, key, rows, best, rank = sym[live], at[live], agenda[live], key[live], rows[live], best[live], rank[live]
+                if not len(sym):
+                    return
+                n = np.arange(len(sym))
+            sym[n, best] = self.by_rank[rank]
+            # the right one of the pair goes, what follows moves up
+            take = np.arange(sym.shape[1] - 1)
+            take = take + (take > best[:, None])
+            sym, at = np.take_along_axis(sym, take, 1), np.take_along_axis(at, take, 1)
+            if agenda.shape[1] > 1:
+                drop = np.arange(agenda.shape[1] - 1)
+                agenda = np.take_along_axis(agenda, drop + (drop >= best[:, None]), 1)
+                right = np.flatnonzero(best < sym.shape[1] - 1)
+                b = best[right]
+                agenda[right, b] = self.offers(sym[right, b], sym[right, b + 1], at[right, b], key[right], threshold)
+                left = np.flatnonzero(best > 0)
+                b = best[left] - 1
+                agenda[left, b] = self.offers(sym[left, b], sym[left, b + 1], at[left, b], key[left], threshold)
+            else:
+                agenda = np.full((len(sym), 1), NEVER, np.int32)
+
+    def _finish(self, sym: np.ndarray, rows: np.ndarray, out: list[bytes]) -> None:
+        count = (sym != -1).sum(axis=1)
+        plain = ((sym >= 0) & (sym < len(self.text)) | (sym == -1)).all(axis=1)
+        flat = sym[sym != -1].astype("<i4").tobytes()
+        end = 4 * np.cumsum(count)
+        for k, (row, b, n, ok) in enumerate(zip(rows.tolist(), end.tolist(), (4 * count).tolist(), plain.tolist())):
+            if ok:
+                out[row] = flat[b - n : b]
+                continue
+            ids: list[int] = []
+            for x in sym[k][: n // 4].tolist():
+                if 0 <= x < len(self.text):
+                    ids.append(x)
+                else:
+                    c = self.singles[x - len(self.text)] if x >= 0 else chr(-2 - x)
+                    ids.extend(self.byte[v] for v in c.encode("utf-8", "surrogatepass"))
+            out[row] = struct.pack(f"<{len(ids)}i", *ids)
+
     def segment(self, symbols: list[str], key: int, threshold: int) -> list[str]:
         """Agenda of merges over ``symbols``; the keyed hash skips ``threshold`` of 2^32 candidates."""
-        if len(symbols) <= LONG:
-            return self.segment_short(symbols, key, threshold)
         merges = self.merges.get
         n = len(symbols)
         part: list[str | None] = list(symbols)
@@ -89,32 +214,6 @@ class Pieces:
                 offer(h, i)
         return [p for p in part if p is not None]
 
-    def segment_short(self, part: list[str], key: int, threshold: int) -> list[str]:
-        """The same for few symbols: the agenda is a list with a place for each adjacent pair, its least entry is taken."""
-        merges, never = self.merges.get, 1e30
-        at = list(range(len(part)))  # of the first character, as the heap has it
-
-        def offer(i: int) -> float:
-            known = merges(part[i] + part[i + 1])
-            if known is None:
-                return never
-            x = ((known[1] ^ key) * 0x9E3779B1 + at[i] * 0x85EBCA77) & 0xFFFFFFFF
-            return known[0] if (x ^ (x >> 15)) * 0xC2B2AE3D & 0xFFFFFFFF >= threshold else never
-
-        agenda = [offer(i) for i in range(len(part) - 1)]
-        while agenda:
-            best = min(agenda)
-            if best == never:
-                break
-            i = agenda.index(best)
-            part[i] += part[i + 1]
-            del part[i + 1], at[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = offer(i)
-            if i:
-                agenda[i - 1] = offer(i - 1)
-        return part
-
     def chunk_ids(self, chunk: str, variant: int, seed: int, threshold: int) -> bytes:
         """Ids of a chunk that has its spaces as U+2581, as packed 32-bit numbers; symbols without a piece become byte pieces."""
         out: list[int] = []
@@ -140,31 +239,80 @@ class Encoder:
         self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
         self.literal = struct.pack("<3i", *(self.pieces.byte[b] for b in SPACE.encode()))
 
-    def chunk(self, chunk: str, variant: int) -> bytes:
-        ids = self.old[variant].get(chunk)
-        if ids is None:
-            ids = self.pieces.chunk_ids(chunk, variant, self.seed, self.threshold)
-        if len(chunk) <= LONG:
-            new = self.new[variant]
-            if len(new) >= TABLE_CHUNKS // self.variants:  # keep what was in use lately
-                self.old[variant] = new
-                new = self.new[variant] = {}
-            new[chunk] = ids
-        return ids
+    def _learn(self, missing: set[tuple[str, int]]) -> dict[tuple[str, int], bytes]:
+        """Segment what the table lacks; chunks longer than LONG go to the heap and are not put into the table."""
+        fresh: dict[tuple[str, int], bytes] = {}
+        many: list[tuple[str, int]] = []
+        for chunk, variant in missing:
+            ids = self.old[variant].get(chunk)
+            if ids is not None:
+                fresh[chunk, variant] = ids
+            elif len(chunk) <= LONG and self.pieces.ranked and 2 * SPACE not in chunk:
+                many.append((chunk, variant))
+            else:
+                fresh[chunk, variant] = self.pieces.chunk_ids(chunk, variant, self.seed, self.threshold)
+        if many:
+            keys = np.array([xxhash.xxh32_intdigest(c, self.seed * 1_000 + v) for c, v in many], np.uint32)
+            fresh.update(zip(many, self.pieces.segment_many([c for c, _ in many], keys, self.threshold)))
+        for (chunk, variant), ids in fresh.items():
+            if len(chunk) <= LONG:
+                if len(self.new[variant]) >= TABLE_CHUNKS // self.variants:  # keep what was in use lately
+                    self.old[variant], self.new[variant] = self.new[variant], {}
+                self.new[variant][chunk] = ids
+        return fresh
+
+    def encode_many(self, texts: list[str | None], documents: list) -> list[np.ndarray | None]:
+        """Piece ids of texts; ``documents`` key the variants of their chunks."""
+        plans: list[list | None] = []
+        missing: set[tuple[str, int]] = set()
+        turn = list(range(self.variants))
+        for text, document in zip(texts, documents):
+            if text is None:
+                plans.append(None)
+                continue
+            plan: list = []
+            start = xxhash.xxh32_intdigest(str(document), self.seed) % self.variants
+            for k, part in enumerate(text.split(SPACE) if text else ()):
+                if k:
+                    plan.append(self.literal)
+                chunks = CHUNK.findall(part.replace(" ", SPACE) if k else SPACE + part.replace(" ", SPACE))
+                for o in turn:
+                    # consecutive places of a text take the variants in turn
+                    variant = (start + o) % self.variants
+                    own = chunks[o :: self.variants]
+                    missing.update((c, variant) for c in set(own).difference(self.new[variant]))
+                plan.append((start, chunks))
+            plans.append(plan)
+        held = self.new[:]
+        fresh = self._learn(missing)
+
+        def ids(chunk: str, variant: int) -> bytes:
+            got = held[variant].get(chunk)
+            return fresh[chunk, variant] if got is None else got
+
+        out: list[np.ndarray | None] = []
+        for plan in plans:
+            if plan is None:
+                out.append(None)
+                continue
+            parts: list[bytes] = []
+            for step in plan:
+                if isinstance(step, bytes):
+                    parts.append(step)
+                    continue
+                start, chunks = step
+                got: list = [None] * len(chunks)
+                for o in turn:
+                    variant = (start + o) % self.variants
+                    got[o :: self.variants] = map(held[variant].get, chunks[o :: self.variants])
+                if None in got:
+                    got = [ids(c, (start + k) % self.variants) if g is None else g for k, (c, g) in enumerate(zip(chunks, got))]
+                parts.append(b"".join(got))
+            out.append(np.frombuffer(b"".join(parts), np.int32))
+        return out
 
     def encode(self, text: str, document: object) -> np.ndarray:
-        """Piece ids of a text; ``document`` keys the variants of its chunks."""
-        out: list[bytes] = []
-        start = xxhash.xxh32_intdigest(str(document), self.seed)
-        for k, part in enumerate(text.split(SPACE) if text else ()):
-            if k:
-                out.append(self.literal)
-            spaced = part.replace(" ", SPACE) if k else SPACE + part.replace(" ", SPACE)
-            for place, chunk in enumerate(CHUNK.findall(spaced), start):
-                # consecutive places of a text take the variants in turn
-                variant = place % self.variants
-                out.append(self.new[variant].get(chunk) or self.chunk(chunk, variant))
-        return np.frombuffer(b"".join(out), np.int32)
+        return self.encode_many([text], [document])[0]
 
 
 @lru_cache(maxsize=2)
@@ -206,12 +354,9 @@ def encode_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids = batch.column(names.index(id_col))
             for a in range(0, batch.num_rows, 500):  # pieces of a few hundred texts at a time
                 part = batch.slice(a, 500)
-                found, same = [], []
-                for key, text in zip(ids.slice(a, 500), part.column(names.index(text_col))):
-                    t = text.as_py()
-                    got = None if t is None else own.encode(t, key.as_py())
-                    found.append(got)
-                    same.append(None if t is None else decoder.decode(got.tolist()) == t)
+                texts = part.column(names.index(text_col)).to_pylist()
+                found = own.encode_many(texts, ids.slice(a, 500).to_pylist())
+                same = [None if t is None else decoder.decode(x.tolist()) == t for t, x in zip(texts, found)]
                 lengths = [0 if x is None else len(x) for x in found]
                 offsets = pa.array(np.cumsum([0, *lengths]).astype(np.int32))
                 flat = pa.array(np.concatenate([x for x in found if x is not None] or [np.zeros(0, np.int32)]), pa.int32())
