@@ -35,7 +35,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT, SEED, VARIANTS, LONG = 0.1, 17, 4, 64
 #: Chunks of each of the two generations of the table.
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 100_000
 #: Slots of the table of pairs, about a sixteenth of them taken; rank of no merge.
 PAIR_SLOTS, NEVER = 1 << 20, 2**31 - 1
 #: A chunk: spaces and what follows up to the next space.  Pieces never have a space after another character.
