@@ -115,7 +115,8 @@ def latency_tracker(log: DataFrame, function: str = "function", duration: str =
     )
     pos = F.row_number().over(W.partitionBy(function).orderBy(F.desc(ts), F.desc(tie)))
     last = log.withColumn("_p", pos).where(F.col("_p") <= recent).groupBy(function).agg(F.avg(duration).alias("recent_avg"))
-    return totals.join(last, function)
+    last = last.withColumnRenamed(function, "_function")
+    return totals.join(last, F.col(function).eqNullSafe(F.col("_function")), "left").drop("_function")
 
 
 def triage(df: DataFrame, text: str = "question", severities: dict | None = None, categories: dict | None = None) -> DataFrame:

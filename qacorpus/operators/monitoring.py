@@ -97,6 +97,7 @@ def ks_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """WIN5 / MON4: two-sample Kolmogorov-Smirnov D with sizes, means and the asymptotic p-value.
 
     Each sample is counted per distinct value before any shuffle; running totals come from range blocks.
+    With an empty sample the statistic, the p-value and that sample's mean are null.
     """
     def side(df: DataFrame, first: bool) -> DataFrame:
         counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
@@ -106,15 +107,15 @@ def ks_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     counts = side(a, True).unionByName(side(b, False)).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     cum = running_totals(counts, [F.col("v")], {"ca": F.col("a"), "cb": F.col("b")})
     sizes = cum.agg(F.struct(F.sum("a").alias("na"), F.sum("b").alias("nb"))).scalar()
-    gap = F.abs(F.col("ca") / sizes["na"] - F.col("cb") / sizes["nb"])
+    gap = F.abs(F.try_divide("ca", F.nullif(sizes["na"], F.lit(0))) - F.try_divide("cb", F.nullif(sizes["nb"], F.lit(0))))
     d = cum.agg(
-        F.sum("a").alias("n_recent"),
-        F.sum("b").alias("n_reference"),
+        F.coalesce(F.sum("a"), F.lit(0)).alias("n_recent"),
+        F.coalesce(F.sum("b"), F.lit(0)).alias("n_reference"),
         F.max(gap).alias("statistic"),
-        (F.sum(F.col("v") * F.col("a")) / F.sum("a")).alias("recent_mean"),
-        (F.sum(F.col("v") * F.col("b")) / F.sum("b")).alias("reference_mean"),
+        F.try_divide(F.sum(F.col("v") * F.col("a")), F.sum("a")).alias("recent_mean"),
+        F.try_divide(F.sum(F.col("v") * F.col("b")), F.sum("b")).alias("reference_mean"),
     )
-    lam2 = F.col("statistic") * F.col("statistic") * F.col("n_recent") * F.col("n_reference") / (F.col("n_recent") + F.col("n_reference"))
+    lam2 = F.try_divide(F.col("statistic") * F.col("statistic") * F.col("n_recent") * F.col("n_reference"), F.col("n_recent") + F.col("n_reference"))
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(200)),
         F.lit(0.0),
@@ -122,7 +123,7 @@ def ks_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     )
     # the alternating series does not settle for tiny lambda, where p is 1
     p = F.when(lam2 < F.lit(0.01), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(2.0) * series)))
-    return d.withColumn("pvalue", p)
+    return d.withColumn("pvalue", F.when(F.col("statistic").isNotNull(), p))
 
 
 def detect_drift(recent: DataFrame, reference: DataFrame, features: dict[str, Column], alpha: float = 0.05) -> DataFrame:

@@ -78,22 +78,24 @@ def hash_ranked(
 
     Buckets are the first hex digits of the hash (16^digits of them).  The table of bucket sizes is
     counted with map-side combining and is at most groups x buckets rows; it is joined on its keys, and the
-    window that follows needs no further shuffle.  Group columns must not be null; ``key`` must be unique.
+    window that follows needs no further shuffle.  Groups are joined as structs, in which a null equals a
+    null, so rows with a null group are a group like any other; ``key`` must be unique.
     """
-    h = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", F.substring("_h", 1, bucket_digits))
-    sizes = h.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*groups).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    group = F.struct(*groups) if groups else F.lit(0)
+    h = df.withColumns({"_h": seeded_hash(key, seed), "_g": group}).withColumn("_b", F.substring("_h", 1, bucket_digits))
+    sizes = h.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("_g").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select(
-        *groups,
+        "_g",
         "_b",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(W.partitionBy(*groups)).alias(f"{name}_n"),
+        F.sum("_n").over(W.partitionBy("_g")).alias(f"{name}_n"),
     )
-    inside = W.partitionBy(*groups, "_b").orderBy("_h", key)
-    joined = h.join(sizes, [*groups, "_b"])
+    inside = W.partitionBy("_g", "_b").orderBy("_h", key)
+    joined = h.join(sizes, ["_g", "_b"])
     return (
         joined.withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("bigint"))
-        .drop("_h", "_b", "_before")
+        .drop("_h", "_g", "_b", "_before")
     )
 
 
