@@ -127,8 +127,8 @@ class Model:
                 to = self.flat[s + c]
                 dead = np.flatnonzero(to == 0)
                 if len(dead):  # the phrase ends before this symbol, the next begins with it; an unknown symbol is a phrase
-                    n[dead] += 1
                     again = self.flat[root + c[dead]]
+                    n[dead] += 1 + ((again == 0) & (s[dead] != root))
                     to[dead] = np.where(again == 0, root, again)
                 state[:k] = to
             n += state != root
