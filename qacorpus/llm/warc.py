@@ -4,7 +4,7 @@ Writing: every page gives a request, a response (or a revisit, where another pag
 metadata record; request and metadata name the response in ``WARC-Concurrent-To``.  Archives are gzip-compressed text files whose
 rows are records and whose line separator is the record's end.
 
-Reading: records are rows of a text scan whose separator is a record's end and the next one's start, so files of any size stream
+Reading: records are rows of a text scan whose separator is the first line of a record (no part of it repeats at a block's end), so files of any size stream
 through a task.  Payloads that hold that very byte sequence are written in base64, so the cut is exact.  Blocks are taken by their
 Content-Length.
 
@@ -60,7 +60,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
         return F.format_string(f"<urn:capture:{kind}:%s:%s>", page, F.col("row").cast("string"))
 
     uri = F.regexp_replace("url", r"[\r\n]+", " ")
-    coded = F.contains(F.col("html"), F.lit(END + VERSION))
+    coded = F.contains(F.col("html"), F.lit(VERSION))
     body = F.when(coded, F.base64(F.encode("html", "UTF-8"))).otherwise(F.col("html"))
     head = F.when(coded, F.lit(HTTP + EOL + "Content-Transfer-Encoding: base64" + END)).otherwise(F.lit(HTTP + END))
     first = F.when(F.col("original").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
@@ -88,7 +88,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """``type, record_id, concurrent_to, target_uri, digest, refers_to, block``: one row per record."""
-    raw = spark.read.option("lineSep", END + VERSION + EOL).text(path)
+    raw = spark.read.option("lineSep", VERSION + EOL).text(path)
     head = F.substring_index("value", END, 1)
 
     def field(name: str) -> Column:
