@@ -77,10 +77,10 @@ def _outside(rows: DataFrame) -> DataFrame:
     return rows.join(top, "key").where("component != top").drop("top")
 
 
-def _prefix_rows(rows: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+def _prefix_rows(rows: DataFrame, items_of: Callable[[DataFrame], DataFrame], t: Threshold) -> DataFrame:
     """``key`` (a shingle), ``node, n, component, at``: each node's first shingles in order of rarity."""
     nodes = staged(rows.select("node", "component").distinct(), "nodes")
-    one = staged(sets.join(nodes, "node").select("node", "component", F.size("items").alias("n"), F.explode("items").alias("key")), "tokens")
+    one = staged(items_of(nodes).join(nodes, "node").select("node", "component", F.size("items").alias("n"), F.explode("items").alias("key")), "tokens")
     rarity = staged(one.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "rarity")
     # shingles of one node only can't be shared: they only push the others back, so their number is enough
     shared = one.join(rarity, "key").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("order"))
@@ -91,17 +91,21 @@ def _prefix_rows(rows: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     )
 
 
-def links(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: Threshold) -> DataFrame:
+def links(
+    items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: Threshold,
+    verify: Callable[[DataFrame, DataFrame, Threshold], DataFrame] = verified, shingles: Callable[[DataFrame], DataFrame] = lambda sets: sets,
+) -> DataFrame:
     """Verified ``u, v`` among ``items`` (``node, n, bands``: an id, its set size and its band keys; one row per node).
 
-    ``sets_of`` gets a table of nodes and returns ``node, items`` (distinct shingle hashes).
+    ``sets_of`` gets a table of nodes and returns ``node, items`` (distinct shingle hashes).  Where sets are larger than what they are
+    made from, it may return that instead: ``verify`` then confirms pairs on it, and ``shingles`` makes ``node, items`` of it.
     """
     rows = items.select("node", "n", F.explode("bands").alias("key"))
     many = staged(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "many")
     live = staged(rows.join(many, "key"), "live")
     sets = staged(sets_of(live.select("node").distinct()), "sets")
     small = live.where(F.col("c") <= SMALL)
-    found = verified(_pairs(small, small, "key", t), sets, t)
+    found = verify(_pairs(small, small, "key", t), sets, t)
     large = live.where(F.col("c") > SMALL).drop("c")
     if large.isEmpty():
         return found
@@ -114,15 +118,19 @@ def links(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: Thresh
         best = outside.groupBy("key").agg(F.max(F.struct("degree", -F.col("node"), "node", "n", "component")).alias("p"))
         pivots = staged(best.select("key", F.col("p.node").alias("node"), F.col("p.n").alias("n"), F.col("p.component").alias("component")), "pivots")
         other = F.col("a.component") != F.col("b.component")
-        found = staged(found.union(verified(_pairs(open_rows, pivots, "key", t, other), sets, t)).distinct(), "links")
+        found = staged(found.union(verify(_pairs(open_rows, pivots, "key", t, other), sets, t)).distinct(), "links")
     open_rows = staged(_labelled(large, found), "open")
     if open_rows.isEmpty():
         return found
-    first = staged(_prefix_rows(open_rows, sets, t), "prefix")
+    
+    def items_of(nodes: DataFrame) -> DataFrame:
+        return shingles(sets.join(nodes, "node", "left_semi"))
+
+    first = staged(_prefix_rows(open_rows, items_of, t), "prefix")
     spans = staged(first.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "spans")
     first = staged(first.join(spans, "key", "left_semi"), "prefix")
     # at the first shingle two sets share, what follows it must be enough for the overlap the threshold needs
     need = F.ceil((F.col("a.n") + F.col("b.n")) * t.num / (t.den + t.num))
     room = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
     rest = _pairs(_outside(first), first, "key", t, (F.col("a.component") != F.col("b.component")) & (room >= need))
-    return staged(found.union(verified(rest, sets, t)).distinct(), "links")
+    return staged(found.union(verify(rest, sets, t)).distinct(), "links")
