@@ -26,8 +26,8 @@ from .near import Threshold, links
 
 CHARS, COORDINATES, ROWS = 8, 40, 4
 LIKE = Threshold(85, 100)
-#: Shingles in hand at a time.
-CHUNK = 60_000
+#: Shingles in hand at a time: their runs of coordinates stay in the processor's cache.
+CHUNK = 8_000
 
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
