@@ -27,6 +27,8 @@ from .base import query, table
 
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL = 60, 1_500, 30_000
 SEGMENT = 1_024
+#: Parts of a language whose sample is cut on its own before the parts meet.
+PARTS = 256
 #: Characters parsed at a time: bounds the memory of a task whatever the texts are.
 BATCH_CHARS = 2_000_000
 
@@ -176,13 +178,17 @@ class Model:
 
 
 def training_sample(labelled: DataFrame, text_col: str, lang_col: str, seed_col: str) -> dict[str, list[str]]:
-    """The bounded sample: cut by a group limit before the shuffle, so a language with most rows leaves each task as few."""
-    order = W.partitionBy("lang").orderBy("h", "text")
+    """The bounded sample.  Every task leaves ``TRAIN_DOCS`` rows a language and part; the parts of a language are cut again on
+    their own, so what one task gets in the end doesn't grow with the number of tasks."""
     rows = (
         labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
         .select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, TRAIN_CHARS).alias("text"), F.xxhash64(seed_col).alias("h"))
-        .withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_DOCS).orderBy("lang", "n").collect()
+        .withColumn("part", F.pmod("h", F.lit(PARTS)))
     )
+    for keys in (["lang", "part"], ["lang"]):
+        order = W.partitionBy(*keys).orderBy("h", "text")
+        rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_DOCS)
+    rows = rows.orderBy("lang", "n").collect()
     samples: dict[str, list[str]] = {}
     for r in rows:
         have = samples.setdefault(r.lang, [])

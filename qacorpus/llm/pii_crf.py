@@ -23,6 +23,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .base import query, table
 
@@ -38,6 +39,8 @@ DIGIT, HINT, TOKEN = regex.compile("[0-9]"), regex.compile("[0-9@]"), regex.comp
 REACH, LABELLED, EPOCHS = 3, 400, 6
 #: Texts are searched for stretches in windows around their hints of so many characters.
 MARGIN = 80
+#: Parts of the hashes whose smallest are found on their own.
+PARTS = 256
 BUCKETS = 1 << 12
 
 
@@ -315,7 +318,9 @@ def labelled_table(docs: DataFrame, text_col: str = "text", limit: int = LABELLE
             yield pd.Series(rows)
 
     texts = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    some = texts.orderBy("h", "text").limit(limit)  # a top-n by hash: each task leaves that many rows
+    # a top-n by hash, each part of the hashes on its own before they meet: a task's input doesn't grow with the number of tasks
+    inside = W.partitionBy(F.pmod("h", F.lit(PARTS))).orderBy("h", "text")
+    some = texts.withColumn("n", F.row_number().over(inside)).where(F.col("n") <= limit).orderBy("h", "text").limit(limit)
     return some.select("h", F.posexplode(cut("text")).alias("k", "s")).orderBy("h", "k").limit(limit).select("s.*")
 
 
