@@ -100,10 +100,10 @@ def hash_ranked(
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int, report_rows: int = 1_000) -> DataFrame:
-    """First ``n`` rows of the order.  Small n keeps a per-task heap; large n cuts by global rank."""
+    """First ``n`` rows of the order, in that order.  Small n keeps a per-task heap; large n cuts by global rank."""
     if n <= report_rows:
         return df.orderBy(*order).limit(n)
-    return ranked(df, order, "_rank").where(F.col("_rank") <= n).drop("_rank")
+    return ranked(df, order, "_rank").where(F.col("_rank") <= n).orderBy("_rank").drop("_rank")
 
 
 def quantile_values(df: DataFrame, value: str, probabilities: Sequence[float]) -> list[float | None]:

@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A side is broadcast only when it was counted and holds at most this many rows.
-BROADCAST_ROWS = 1_000_000
-
 
 def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """Session for tests and the local bench.  On a cluster use the one the platform gives you."""
@@ -33,7 +30,8 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor sees: ``spark.checkpoint.dir`` as the session gives it.
 
-    Only where that is unset (local tests) a temporary folder is made and registered.
+    Where that is unset a temporary folder is made and registered, but only for a local master: on a cluster every executor
+    would write to its own disk.
     """
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
@@ -41,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
         return known.get()
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-qacorpus-")
     context.setCheckpointDir(path)
     return context._jsc.sc().getCheckpointDir().get()

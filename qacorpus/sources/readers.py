@@ -6,6 +6,7 @@ import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.common import first_filled
 from ..operators.ordering import top_n
@@ -117,16 +118,21 @@ def max_records(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
     return top_n(df, [F.col(order)], n)
 
 
-def qa_pairs(conversations: DataFrame, turn_bits: int = 24) -> DataFrame:
-    """SRC5: every user turn with the assistant turn that follows it (turns are numbered consecutively).
+def qa_pairs(conversations: DataFrame, turn_bits: int = 24, block: int = 1_024) -> DataFrame:
+    """SRC5: every user turn whose next turn, whatever its number, is the assistant's, with that turn as the answer.
 
-    A join on (conversation, turn) spreads one very long conversation over all tasks; a window per
-    conversation would put it into one.
+    Turns are ordered inside blocks of ``block`` turn numbers, and the last turn of a block takes the first one of the conversation's
+    next block from a table of one row per block: one very long conversation is many tasks, never one.  Turns of equal
+    number follow each other by role and text; rows without a conversation or turn are in no pair.
     """
-    user = conversations.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
-    reply = conversations.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
-    )
-    return user.join(reply, ["conv_id", "turn"]).select(
-        (F.shiftleft("conv_id", turn_bits) + F.col("turn")).alias("ord"), "conv_id", "turn", "question", "answer"
+    rows = conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", "role", "text")
+    rows = rows.withColumns({"_block": F.floor(F.col("turn") / block).cast("bigint"), "_turn": F.struct("turn", "role", "text")})
+    inside = W.partitionBy("conv_id", "_block").orderBy("_turn")
+    heads = rows.groupBy("conv_id", "_block").agg(F.min("_turn").alias("_head"))
+    heads = heads.select("conv_id", "_block", F.lead("_head").over(W.partitionBy("conv_id").orderBy("_block")).alias("_after"))
+    follows = rows.withColumn("_next", F.lead("_turn").over(inside)).where("role = 'user'").join(heads, ["conv_id", "_block"], "left")
+    reply = F.coalesce("_next", "_after")
+    return follows.where(reply["role"] == "assistant").select(
+        (F.shiftleft("conv_id", turn_bits) + F.col("turn")).alias("ord"), "conv_id", "turn",
+        F.col("text").alias("question"), reply["text"].alias("answer"),
     )

@@ -1,10 +1,14 @@
 """Rows that joins and divisions must not lose."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from qacorpus.operators.logs import latency_tracker
 from qacorpus.operators.monitoring import ks_statistic
+from qacorpus.operators.ordering import top_n
 from qacorpus.operators.selection import stratified_split
+from qacorpus.session import shared_dir
+from qacorpus.sources.readers import qa_pairs
 
 
 def test_null_stratum_is_split_like_any_other(spark):
@@ -25,3 +29,43 @@ def test_empty_samples_have_no_statistic(spark):
     assert (r.n_recent, r.n_reference, r.statistic, r.pvalue, r.recent_mean, r.reference_mean) == (0, 2, None, None, None, 1.5)
     assert ks_statistic(none, none, "v").first().statistic is None
     assert ks_statistic(some, some, "v").first().statistic == 0.0
+
+
+def test_pairs_across_gaps_and_blocks(spark):
+    rows = [
+        (1, 1, "user", "a"), (1, 3, "assistant", "b"),  # a gap in the numbers
+        (1, 5, "user", "c"), (1, 5_000, "assistant", "d"),  # the answer is some blocks away
+        (1, 5_001, "user", "e"), (1, 5_002, "system", "f"), (1, 5_003, "assistant", "g"),  # not the next turn
+        (2, 1, "user", "h"), (3, 2, "assistant", "i"),  # another conversation
+        (None, 1, "user", "j"), (None, 2, "assistant", "k"), (4, None, "user", "l"),
+    ]
+    got = qa_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert sorted((r.conv_id, r.turn, r.question, r.answer) for r in got.collect()) == [(1, 1, "a", "b"), (1, 5, "c", "d")]
+
+
+def test_top_n_is_ordered_beyond_the_heap(spark):
+    rows = spark.range(5_000).select(F.col("id").alias("ord"), F.xxhash64("id").alias("h"))
+    want = [r.ord for r in rows.orderBy("h", "ord").limit(2_000).collect()]
+    assert [r.ord for r in top_n(rows, [F.col("h"), F.col("ord")], 2_000).collect()] == want
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Unset:
+        """A session of a cluster that names no shared folder."""
+
+        sparkContext = conf = _jsc = property(lambda self: self)
+        master = "spark://host:7077"
+
+        def sc(self):
+            return self
+
+        getConf = getCheckpointDir = sc
+
+        def isDefined(self):
+            return False
+
+        def get(self, key, default=None):
+            return default
+
+    with pytest.raises(ValueError):
+        shared_dir(Unset())
