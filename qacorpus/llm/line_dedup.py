@@ -1,8 +1,9 @@
 """Fuzzy line deduplication: MinHash over character shingles, banding, exact Jaccard verification, distributed union-find.
 
 A line is a part of a text between line feeds, compared after trimming white space and lower-casing A-Z.  Its set is its distinct
-shingles of ``CHARS`` characters (a shorter line is one shingle).  Lines of similarity 0.85 or more are linked (a pair right at
-the limit is missed with a chance of 6e-4, one of 0.9 with 2e-5), every link is verified on the full sets, and of each component
+shingles of ``CHARS`` characters (a shorter line is one shingle).  One permutation gives all coordinates of a line's signature: a
+shingle costs one place, not ``COORDINATES``.  Lines of similarity 0.85 or more are linked (a pair right at
+the limit is missed with a chance of 6e-4 or less, one of 0.9 with 2e-5), every link is verified on the full sets, and of each component
 the first line by (document id, row, line number) stays; copies of one line are one node.  Blank lines are kept, they belong to
 no component.
 
@@ -13,21 +14,27 @@ document id comes before all others.  Extra columns don't matter.  No rows give
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import lower_ascii, query, staged, table
-from .circulant import PLACES, band_keys, mix, permutations
+from .base import query, staged, table
+from .circulant import SEED, mix, odd
 from .components import components
 from .near import Threshold, links
 
 CHARS, COORDINATES, ROWS = 8, 40, 4
 LIKE = Threshold(85, 100)
-#: Shingles in hand at a time: their runs of coordinates stay in the processor's cache.
+#: Shingles in hand at a time: they stay in the processor's cache.
 CHUNK = 8_000
+#: Characters of lines in one batch of results.
+HELD = 1_000_000
+#: A coordinate without a shingle; above all values.
+EMPTY = np.uint64(1 << 32)
 
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,50 +65,78 @@ def chunks(lines: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def line_bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles and band keys of each line."""
-    sigma, runs = permutations(COORDINATES)
-    sizes, bands = [], []
-    for part in chunks(lines):
-        h, counts = shingle_hashes(part)
-        starts = np.cumsum(counts) - counts
-        places = sigma[(h & np.uint64(PLACES - 1)).astype(np.int64)]
-        if len(h) > 4 * CHUNK:  # one very long line
-            sig = np.full((len(part), COORDINATES), PLACES, np.int32)
-            owner = np.repeat(np.arange(len(part)), counts)
-            for a in range(0, len(h), CHUNK):
-                own, first = np.unique(owner[a : a + CHUNK], return_index=True)
-                sig[own] = np.minimum(sig[own], np.minimum.reduceat(runs[places[a : a + CHUNK]], first, axis=0))
-        else:
-            sig = np.minimum.reduceat(runs[places], starts, axis=0)
-        keyed = np.sort((np.repeat(np.arange(len(part), dtype=np.uint64), counts) << np.uint64(44)) | (h >> np.uint64(20)))
-        new = np.ones(len(keyed), np.int64)
-        new[1:] = keyed[1:] != keyed[:-1]
-        sizes.append(np.add.reduceat(new, starts))
-        bands.append(np.stack([band_keys(s, ROWS) for s in sig]) if len(part) < 8 else _many_bands(sig))
-    width = COORDINATES // ROWS
-    return (np.concatenate(sizes), np.concatenate(bands)) if sizes else (np.zeros(0, np.int64), np.zeros((0, width), np.int64))
-
-
-def _many_bands(sig: np.ndarray) -> np.ndarray:
-    """:func:`band_keys` of many signatures."""
-    from .circulant import odd
-
-    parts = sig.astype(np.uint64).reshape(len(sig), -1, ROWS)
-    h = (parts * odd(ROWS, 4)).sum(axis=2, dtype=np.uint64) + np.arange(1, parts.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+@lru_cache(maxsize=1)
+def _donors() -> np.ndarray:
+    """Where an empty place looks for a value: every place in an order of its own, the same for all lines."""
+    rng = np.random.Generator(np.random.PCG64(SEED))
+    return np.argsort(rng.random((COORDINATES, COORDINATES)), axis=1).T
+
+
+def signatures(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """MinHash by one permutation: the upper half of a shingle's hash tells its coordinate, the least lower half there is the value.
+
+    A coordinate without a shingle takes the value of the first filled one in its own order of all coordinates (densification).
+    """
+    sig = np.full(len(counts) * COORDINATES, EMPTY, np.uint64)
+    place = ((h >> np.uint64(32)) * np.uint64(COORDINATES)) >> np.uint64(32)
+    np.minimum.at(sig, np.repeat(np.arange(len(counts)) * COORDINATES, counts) + place.astype(np.int64), h & np.uint64(0xFFFFFFFF))
+    sig = sig.reshape(-1, COORDINATES)
+    own = sig.copy()
+    for donor in _donors():
+        line, at = np.nonzero(sig == EMPTY)
+        if not len(line):
+            break
+        sig[line, at] = own[line, donor[at]]
+    return sig
+
+
+def line_bands(lines: list[str]) -> np.ndarray:
+    """Band keys of each line."""
+    return np.concatenate([np.zeros((0, COORDINATES // ROWS), np.int64), *(_bands(signatures(*shingle_hashes(part))) for part in chunks(lines))])
+
+
+def _bands(sig: np.ndarray) -> np.ndarray:
+    """One 64-bit key per band of each signature; the band's number is part of the key."""
+    parts = sig.reshape(len(sig), -1, ROWS)
+    h = (mix(parts) * odd(ROWS, 4)).sum(axis=2, dtype=np.uint64) + np.arange(1, parts.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return mix(h).view(np.int64)
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """``node, n, bands`` of ``node, line``."""
+def normal_lines(text: str) -> list[str]:
+    """Lines as they are compared: A-Z lower-cased, trimmed."""
+    return [part.strip(" \t\r\x0b\x0c") for part in text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split("\n")]
+
+
+def _spots(rows: DataFrame) -> DataFrame:
+    """``id, row, at, node, line, bands`` of every line that isn't blank, in one pass over ``id, row, text``."""
+
+    def out(batch: pa.RecordBatch, docs: list[int], ats: list[int], lines: list[str]) -> pa.RecordBatch:
+        nodes = np.array([int.from_bytes(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for x in lines], np.int64)
+        bands = line_bands(lines)
+        offsets = pa.array(np.arange(len(bands) + 1, dtype=np.int32) * bands.shape[1])
+        of = pa.array(docs, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(of), batch.column(1).take(of), pa.array(ats, pa.int32()), pa.array(nodes), pa.array(lines, pa.string()),
+             pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))], names=["id", "row", "at", "node", "line", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, bands = line_bands(batch.column(1).to_pylist())
-            offsets = pa.array(np.arange(len(bands) + 1, dtype=np.int32) * bands.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))], names=["node", "n", "bands"])
-
-    return lines.mapInArrow(run, "node long, n int, bands array<long>")
+            docs, ats, lines, held = [], [], [], 0
+            for k, text in enumerate(batch.column(2)):
+                for at, line in enumerate(normal_lines(text.as_py())):
+                    if line:
+                        docs.append(k)
+                        ats.append(at)
+                        lines.append(line)
+                        held += len(line)
+                        if held >= HELD:
+                            yield out(batch, docs, ats, lines)
+                            docs, ats, lines, held = [], [], [], 0
+            if lines:
+                yield out(batch, docs, ats, lines)
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, row long, at int, node long, line string, bands array<long>")
 
 
 def _sets(lines: DataFrame) -> DataFrame:
@@ -155,23 +190,21 @@ def verified_lines(pairs: DataFrame, lines: DataFrame, t: Threshold) -> DataFram
     return staged(both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "links")
 
 
-def _line(part: F.Column) -> F.Column:
-    return lower_ascii(F.btrim(part, F.lit(" \t\r\x0b\x0c")))
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Threshold = LIKE) -> DataFrame:
     """One row per input row: ``id, text`` (without the dropped lines), ``n_lines``, ``n_dropped``, ``dropped`` (line numbers from 0)."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    parts = rows.where(F.col("text").isNotNull()).select("id", "row", F.posexplode(F.split("text", "\n")).alias("at", "part"))
-    lines = parts.select("id", "row", "at", _line(F.col("part")).alias("line")).where("line != ''").withColumn("node", F.xxhash64("line"))
-    spots = staged(lines.select("id", "row", "at", "node"), "spots")
-    first = spots.groupBy("node").agg(F.min(F.struct("id", "row", "at")).alias("first"))
+    spots = staged(_spots(rows.where("text != ''")), "spots")
     # every different line once; a line that stands in very many documents leaves each task once
-    texts = staged(lines.select("node", "line").dropDuplicates(["node"]), "lines")
-    items = staged(_signed(texts), "items")
+    lines = staged(spots.groupBy("node").agg(F.min(F.struct("id", "row", "at")).alias("first"), F.first("bands").alias("bands")), "lines")
+    first = lines.select("node", "first")
+    # the set sizes a pair may have aren't looked at before it is verified: band keys tell more
+    items = lines.select("node", F.lit(1).alias("n"), "bands")
 
     def lines_of(nodes: DataFrame) -> DataFrame:
-        return texts.join(nodes, "node", "left_semi")
+        """The text of a line from its first place alone, so that copies don't meet in one task."""
+        owners = first.join(nodes, "node").select("node", F.xxhash64("first.id", "first.row", "first.at").alias("spot"))
+        texts = spots.select("node", F.xxhash64("id", "row", "at").alias("spot"), "line")
+        return texts.join(owners, ["node", "spot"]).select("node", "line").dropDuplicates(["node"])
 
     found = staged(components(links(items, lines_of, like, verified_lines, _sets)), "components")
     named = staged(first.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "named")
