@@ -17,9 +17,11 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 20))).first()
-    return r[0], r[1] or 0
+def _settled(edges: DataFrame) -> bool:
+    """Every node hangs on one root, and no root hangs on another.  As edges go down, roots are the smallest of their component."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
+    open_ = F.col("up") + F.col("root") > 1
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where(open_ & (F.col("up") > 0)).agg(F.count("*")).first()[0] == 0
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -28,9 +30,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Nodes without an edge are not in the result.  An empty edge table gives an empty result.
     """
     now = staged(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(now)
     for _ in range(max_rounds):
-        if not mark[0]:
+        if _settled(now):
             break
         # large star: every larger neighbour gets the smallest node of the neighbourhood
         around = _both(now)
@@ -41,10 +42,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        new = _mark(now)
-        if new == mark:
-            break
-        mark = new
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("u")).distinct()
