@@ -13,8 +13,6 @@ from ..functions.common import moment
 from ..functions.score import exact_match
 from .ordering import quantile_values
 
-MAX_LABELS = 10_000
-
 
 def join_truth(predictions: DataFrame, truth: DataFrame, key: str) -> DataFrame:
     """JN5: predictions with their truth by row id."""
@@ -35,25 +33,28 @@ def label_union(df: DataFrame, true: str, pred: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, true: str = "expected_category", pred: str = "predicted_category",
-                     normalize: bool = False) -> DataFrame:
-    """AGG8: dense long form over the sorted label union; ``normalize`` divides by row sums (0 if empty).
+                     normalize: bool = False, dense: bool = True) -> DataFrame:
+    """AGG8: long form over the sorted label union; ``normalize`` divides by row sums (0 if empty).
 
-    The label set is bounded (checked): the output itself is labels x labels.
+    Dense output is labels x labels rows; with ``dense=False`` only pairs that occur.  Null is a label like any other.
     """
     counts = pair_counts(df, true, pred)
-    labels = label_union(df, true, pred)
-    if labels.limit(MAX_LABELS + 1).count() > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    all_labels = labels.agg(F.array_sort(F.collect_set("label"))).scalar()
-    per_true = counts.groupBy("true_label").agg(
-        F.map_from_entries(F.collect_list(F.struct("pred_label", "n"))).alias("m"), F.sum("n").alias("total")
-    )
-    rows = labels.join(per_true, labels["label"] == per_true["true_label"], "left").select(
-        F.col("label").alias("true_label"), "m", F.coalesce("total", F.lit(0)).alias("total"),
-        F.explode(all_labels).alias("pred_label"),
-    )
-    n = F.coalesce(F.try_element_at("m", F.col("pred_label")), F.lit(0)).cast("bigint")
-    out = rows.select("true_label", "pred_label", n.alias("n"), "total")
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  (map keys can't be null)
+    if dense:
+        labels = label_union(df, true, pred)
+        all_labels = labels.agg(F.array_sort(F.collect_list(F.struct("label")))).scalar()
+        per_true = counts.groupBy("true_label").agg(
+            F.map_from_entries(F.collect_list(F.struct(key("pred_label"), "n"))).alias("m"), F.sum("n").alias("total")
+        )
+        rows = labels.join(per_true, labels["label"].eqNullSafe(per_true["true_label"]), "left").select(
+            F.col("label").alias("true_label"), "m", F.coalesce("total", F.lit(0)).alias("total"),
+            F.explode(all_labels).alias("_l"),
+        ).select("true_label", "m", "total", F.col("_l.label").alias("pred_label"))
+        n = F.coalesce(F.try_element_at("m", key("pred_label")), F.lit(0)).cast("bigint")
+        out = rows.select("true_label", "pred_label", n.alias("n"), "total")
+    else:
+        totals = counts.groupBy(F.col("true_label").alias("_t")).agg(F.sum("n").alias("total"))
+        out = counts.join(totals, F.col("true_label").eqNullSafe(F.col("_t"))).select("true_label", "pred_label", "n", "total")
     if normalize:
         share = F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("total")), F.lit(0.0))
         return out.select("true_label", "pred_label", share.alias("share"))

@@ -6,24 +6,27 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.classify import emergency_rule
 from ..lexicon import MEDICAL
+from ..session import write_out
+from .ordering import ranked
 
-MAX_RULES = 2_000
+#: Up to so many patterns become one expression over the text; larger rule tables are joined.
+INLINE_RULES = 2_000
+#: Characters of a keyword that texts are joined on.
+GRAM = 3
 
 
-def match_rule_table(df: DataFrame, rules: DataFrame, text: str = "question", out: str = "alert_type") -> DataFrame:
+def match_rule_table(df: DataFrame, rules: DataFrame, text: str = "question", out: str = "alert_type", inline: int = INLINE_RULES) -> DataFrame:
     """JN3: first rule (by ``ord``) with a pattern whose keywords all occur in the text.
 
-    ``rules``: rule_ord int, kind string, pattern array<string>.  Rules are configuration, so they are read
-    once (size checked) and become one expression over the text; the text table is neither joined nor
-    shuffled.
+    ``rules``: rule_ord int, kind string, pattern array<string>.  A small rule table is configuration: it is read once and
+    becomes one expression, and the text table is neither joined nor shuffled.  A larger one meets the texts by keyword.
     """
-    rows = rules.orderBy("rule_ord").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rule patterns")
+    rows = rules.orderBy("rule_ord").limit(inline + 1).collect()
+    if len(rows) > inline:
+        return _match_by_keyword(df, rules, text, out)
     grouped: dict[tuple, list] = {}
     for r in rows:
         grouped.setdefault((r["rule_ord"], r["kind"]), []).append(tuple(r["pattern"]))
@@ -31,6 +34,28 @@ def match_rule_table(df: DataFrame, rules: DataFrame, text: str = "question", ou
     return df.withColumn("_low", F.lower(F.col(text))).withColumn(out, emergency_rule(F.col("_low"), profile)).drop("_low")
 
 
+def _match_by_keyword(df: DataFrame, rules: DataFrame, text: str, out: str) -> DataFrame:
+    """Keywords are found through the substring of ``GRAM`` characters they begin with; a pattern counts its keywords that occur.
+
+    Keywords shorter than that are found through their own length of substring.
+    """
+    rows = write_out(df.withColumn("_id", F.monotonically_increasing_id()), "ruled")
+    patterns = write_out(rules.select("rule_ord", "kind", F.array_distinct("pattern").alias("pattern")).withColumn("_p", F.monotonically_increasing_id()), "rules")
+    keyed = patterns.select("_p", F.explode("pattern").alias("word")).withColumn("gram", F.substring("word", 1, GRAM))
+    words = keyed.select("gram", "word").distinct()
+    low = rows.select("_id", F.lower(F.col(text)).alias("low"))
+    grams = low.select("_id", "low", F.explode(F.array_distinct(F.flatten(F.array(*[_substrings("low", n) for n in range(1, GRAM + 1)])))).alias("gram"))
+    found = grams.join(words, "gram").where(F.contains("low", "word")).select("_id", "word").distinct()
+    met = found.join(keyed.select("_p", "word"), "word").groupBy("_id", "_p").agg(F.count("*").alias("n"))
+    whole = met.join(patterns.select("_p", "rule_ord", "kind", F.size("pattern").alias("size")), "_p").where("n = size")
+    best = whole.groupBy("_id").agg(F.min(F.struct("rule_ord", "kind"))["kind"].alias(out))
+    return rows.join(best, "_id", "left").drop("_id")
+
+
+def _substrings(column: str, n: int):
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(column) - n + 1)), lambda i: F.substring(F.col(column), i, F.lit(n)))
+
+
 def lookup_weights(df: DataFrame, weights: DataFrame, key: str, default: float, out: str = "weight") -> DataFrame:
     """JN6: weight by key with a default for unknown keys.
 
@@ -42,9 +67,9 @@ def lookup_weights(df: DataFrame, weights: DataFrame, key: str, default: float,
 
 
 def label_index(df: DataFrame, label: str) -> DataFrame:
-    """FEA5: sorted distinct labels, 0-based index, row count.  Windows see one row per label."""
+    """FEA5: sorted distinct labels, 0-based index, row count.  Ranks come from ranges of labels, not from one task."""
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("label_id", F.row_number().over(W.orderBy("label")) - 1)
+    return ranked(counts, [F.col("label")], "_rank").withColumn("label_id", (F.col("_rank") - 1).cast("int")).drop("_rank")
 
 
 def join_label_index(df: DataFrame, labels: DataFrame, label: str) -> DataFrame:

@@ -61,9 +61,11 @@ def vector_topk(
     stay where they are.  A larger one is cut into blocks; every block meets every bounded part of the
     documents in a task of its own, and nothing passes through the driver.  Either way two blocks meet as
     a matrix product and only k rows per query leave a task.
+
+    Rows without a vector are in no result; vectors of different widths are an error.
     """
-    d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(vector).alias("embedding"))
-    q = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).alias("embedding"))
+    d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(vector).alias("embedding")).where(F.col("embedding").isNotNull())
+    q = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).alias("embedding")).where(F.col("embedding").isNotNull())
     first = q.select(F.size("embedding").alias("n")).first()
     dims = max(1, first["n"] if first else 1)
     per_block = max(1, block_floats // dims)

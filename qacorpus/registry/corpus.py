@@ -148,13 +148,42 @@ query(
     "dup5_drop_duplicates",
     "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1",
 )(lambda spark, d: dedupe.dedupe_raw(docs(spark, d), "text").select("doc_id"))
+# the same with copies in capitals and with wider spaces, so that the three keys differ and the exclusion has something to exclude
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"  # other capitals differ between engines (sharp s)
+VARIANTS = f"""variants AS (SELECT doc_id * 3 AS ord, text FROM documents UNION ALL SELECT doc_id * 3 + 1, translate(text, '{LOWER}', '{UPPER}') FROM documents
+ UNION ALL SELECT doc_id * 3 + 2, replace(text, ' ', '  ') FROM documents)"""
+
+
+def variants(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id") * 3, "text", F.translate("text", LOWER, UPPER), F.replace("text", F.lit(" "), F.lit("  "))).toDF("k", "a", "b", "c")
+    return rows.select("k", F.posexplode(F.array("a", "b", "c")).alias("i", "text")).select((F.col("k") + F.col("i")).alias("ord"), "text")
+
+
+for _name, _key, _drop in (
+    ("dup1_dedupe_exact_variants", LOWKEY, dedupe.dedupe_exact),
+    ("dup2_dedupe_hash_variants", NORMKEY, dedupe.dedupe_hash),
+    ("dup5_drop_duplicates_variants", "text", dedupe.dedupe_raw),
+):
+    query(
+        _name,
+        f"WITH {VARIANTS} SELECT ord FROM variants WHERE {_key} <> '' QUALIFY row_number() OVER (PARTITION BY {_key} ORDER BY ord) = 1",
+    )(lambda spark, d, _drop=_drop: _drop(variants(spark, d), "text").select("ord"))
+query(
+    "jn1_exclude_seen_variants",
+    f"""WITH {VARIANTS} SELECT ord FROM variants WHERE {NORMKEY} NOT IN (SELECT {NORMKEY} FROM documents WHERE lang = 'en')""",
+)(lambda spark, d: dedupe.exclude_seen(variants(spark, d), table(spark, d, "documents").where("lang = 'en'"), "text", "text").select("ord"))
+query(
+    "dup4_dedupe_incremental_variants",
+    f"""WITH {VARIANTS} SELECT ord FROM variants WHERE {NORMKEY} <> '' AND {NORMKEY} NOT IN (SELECT {NORMKEY} FROM documents WHERE lang = 'en')
+ QUALIFY row_number() OVER (PARTITION BY {NORMKEY} ORDER BY ord) = 1""",
+)(lambda spark, d: dedupe.dedupe_incremental(variants(spark, d), table(spark, d, "documents").where("lang = 'en'"), "text").select("ord"))
 query("dup3_dedupe_fuzzy")(
     lambda spark, d: dedupe_fuzzy(qa(spark, d), "question", autojunk=False).select("ord", "question")
 )
 query("jn2_fuzzy_self_join")(
     lambda spark, d: dedupe_fuzzy(
         table(spark, d, "benchmark").unionByName(
-            table(spark, d, "conversations").where(F.col("role") == "user").select(
+            table(spark, d, "conversations").select(
                 (F.shiftleft("conv_id", 24) + F.col("turn") + 1_000_000).alias("item_id"), "text"
             )
         ).withColumnRenamed("item_id", "ord"),

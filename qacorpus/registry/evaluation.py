@@ -236,8 +236,7 @@ query(
 
 
 def training_rows(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("question"), F.col("lang").alias("label"))
-    return docs.join(table(spark, d, "labels").select("doc_id"), "doc_id")
+    return table(spark, d, "documents").select("doc_id", F.col("text").alias("question"), F.col("lang").alias("label"))
 
 
 def _parts(spark, d):

@@ -124,6 +124,9 @@ def qa_pairs(conversations: DataFrame, turn_bits: int = 24, block: int = 1_024)
     Turns are ordered inside blocks of ``block`` turn numbers, and the last turn of a block takes the first one of the conversation's
     next block from a table of one row per block: one very long conversation is many tasks, never one.  Turns of equal
     number follow each other by role and text; rows without a conversation or turn are in no pair.
+
+    ``ord`` packs (conversation, turn) into one number; values that don't fit are an error, never a number that another row has.
+    Give fewer ``turn_bits`` for larger conversation ids, or number the conversations first.
     """
     rows = conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", "role", "text")
     rows = rows.withColumns({"_block": F.floor(F.col("turn") / block).cast("bigint"), "_turn": F.struct("turn", "role", "text")})
@@ -132,7 +135,10 @@ def qa_pairs(conversations: DataFrame, turn_bits: int = 24, block: int = 1_024)
     heads = heads.select("conv_id", "_block", F.lead("_head").over(W.partitionBy("conv_id").orderBy("_block")).alias("_after"))
     follows = rows.withColumn("_next", F.lead("_turn").over(inside)).where("role = 'user'").join(heads, ["conv_id", "_block"], "left")
     reply = F.coalesce("_next", "_after")
+    most = 1 << (63 - turn_bits)
+    fits = F.col("conv_id").between(-most, most - 1) & F.col("turn").between(0, (1 << turn_bits) - 1)
     return follows.where(reply["role"] == "assistant").select(
-        (F.shiftleft("conv_id", turn_bits) + F.col("turn")).alias("ord"), "conv_id", "turn",
+        F.when(fits, F.shiftleft("conv_id", turn_bits) + F.col("turn")).otherwise(F.raise_error(F.lit("conversation or turn too large for ord"))).alias("ord"),
+        "conv_id", "turn",
         F.col("text").alias("question"), reply["text"].alias("answer"),
     )

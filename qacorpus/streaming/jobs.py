@@ -103,7 +103,7 @@ def start_alerts(
 
 
 def dedupe_stream(rows: DataFrame, ts: str, column: str = "question", delay: str = "7 days") -> DataFrame:
-    """STR4: first row of every normalised question; a question is remembered for the watermark delay."""
+    """STR4: one row of every normalised question (whichever comes first to its task); a question is remembered for the watermark delay."""
     return (
         rows.withColumn("qhash", text_hash(F.col(column)))
         .where(F.col("qhash").isNotNull())

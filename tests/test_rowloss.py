@@ -3,9 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from qacorpus.operators.evaluation import confusion_matrix
 from qacorpus.operators.logs import latency_tracker
+from qacorpus.operators.matching import label_index, match_rule_table
 from qacorpus.operators.monitoring import ks_statistic
 from qacorpus.operators.ordering import top_n
+from qacorpus.operators.retrieval import vector_topk
 from qacorpus.operators.selection import stratified_split
 from qacorpus.session import shared_dir
 from qacorpus.sources.readers import qa_pairs
@@ -69,3 +72,38 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         shared_dir(Unset())
+
+
+def test_large_rule_tables_match_like_small_ones(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["Chest pain and sweating", "no pain", "ab in x", "", None, "fever"])], "ord long, question string")
+    rules = [(1, "heart", ["chest pain", "sweat"]), (0, "short", ["ab", "x"]), (2, "heat", ["fever"]), (3, "late", ["fever"])]
+    rules = spark.createDataFrame(rules, "rule_ord int, kind string, pattern array<string>")
+    want = {0: "heart", 1: None, 2: "short", 3: None, 4: None, 5: "heat"}
+    for inline in (2_000, 0):
+        assert {r.ord: r.alert_type for r in match_rule_table(rows, rules, inline=inline).collect()} == want
+
+
+def test_null_labels_in_the_confusion_matrix(spark):
+    rows = spark.createDataFrame([("a", "a"), ("a", None), (None, "a"), (None, None), ("b", "a")], "expected_category string, predicted_category string")
+    got = {(r.true_label, r.pred_label): r.n for r in confusion_matrix(rows).collect()}
+    assert len(got) == 9 and got[("a", None)] == got[(None, "a")] == got[(None, None)] == got[("b", "a")] == 1 and got[("b", "b")] == 0
+    sparse = {(r.true_label, r.pred_label): r.share for r in confusion_matrix(rows, normalize=True, dense=False).collect()}
+    assert len(sparse) == 5 and sparse[("a", None)] == 0.5 and sparse[("b", "a")] == 1.0
+
+
+def test_rows_without_a_vector(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, embedding array<double>")
+    got = vector_topk(rows, rows, 1, query_id="id", doc_id="id").collect()
+    assert sorted((r.query_id, r.doc_id) for r in got) == [(1, 1), (3, 3)]
+
+
+def test_order_numbers_never_collide(spark):
+    rows = spark.createDataFrame([(1 << 40, 1, "user", "a"), (1 << 40, 2, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="too large for ord"):
+        qa_pairs(rows).collect()
+    assert qa_pairs(rows, turn_bits=16).first().ord == (1 << 56) + 1
+
+
+def test_label_index_without_one_task(spark):
+    rows = spark.createDataFrame([("b",), ("a",), ("b",), ("c",)], "label string")
+    assert sorted((r.label, r.n, r.label_id) for r in label_index(rows, "label").collect()) == [("a", 1, 0), ("b", 2, 1), ("c", 1, 2)]
