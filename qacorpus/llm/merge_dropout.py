@@ -2,25 +2,30 @@
 
 Encoding follows the merge rule of a BPE piece model: a chunk (a run of spaces and the letters behind it) starts as its
 characters, and an agenda of adjacent pairs, best score first and leftmost among equals, joins them.  With dropout, a candidate
-merge is skipped when a keyed hash of (seed, variant, chunk, place, pair) falls under the rate, so the same text gives other pieces
-under another seed and the same ones under the same seed.  Characters without a piece become byte pieces.  Decoding joins pieces
-and bytes and gives the text back exactly.
+merge is skipped when a hash of the pair and its place in the chunk falls under the rate.  That hash is keyed by the seed, the
+document and the place of the chunk in the document, so every occurrence of a word draws on its own, and the same document gets
+the same pieces under the same seed.  Characters without a piece become byte pieces.  Decoding joins pieces and bytes and gives
+the text back exactly.
 
-The variant of a chunk is a hash of its document and its place in it, modulo ``VARIANTS``: equal words still get several
-segmentations, and a worker's table of finished (chunk, variant) pairs keeps the agenda off the hot path.  That table has a bound,
-chunks longer than ``LONG`` are not put into it.
+What is remembered between occurrences doesn't depend on their keys: the candidates of a chunk in the order in which its agenda
+offers them, and for each of them the run that follows when it is the first one skipped (:class:`Runs`).  An occurrence tests all
+candidates of a run with its own key and goes from run to run until none is skipped.  A run that isn't there is made where a slice
+needs it more than once; any other occurrence has an agenda of its own.  The runs are bounded; chunks longer than ``LONG`` have none.
 
 Spaces are written as U+2581; a U+2581 of the text itself becomes byte pieces, so that decoding can't take it for a space.  A
 leading space is added, as the model's training does, and removed when decoding.  Null texts give null pieces and an empty text
-gives none; rows are independent, so repeated rows, null ids and extra columns don't matter.  No pieces are trained here.
+gives none; rows are independent, so repeated rows and extra columns don't matter, and a row with a null id is keyed by its text.
+No pieces are trained here.
 """
 
 from __future__ import annotations
 
 import heapq
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +38,9 @@ from .base import query, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-DROPOUT, SEED, VARIANTS, LONG = 0.1, 17, 4, 64
-#: Chunks of each of the two generations of the table.
-TABLE_CHUNKS = 100_000
+DROPOUT, SEED, LONG = 0.1, 17, 64
+#: Runs and candidates that a worker remembers; chunks whose candidates are tested together.
+RUNS, OFFERS, SLICE = 500_000, 6_000_000, 1 << 16
 #: Slots of the table of pairs, about a sixteenth of them taken; rank of no merge.
 PAIR_SLOTS, NEVER = 1 << 20, 2**31 - 1
 #: A chunk: spaces and what follows up to the next space.  Pieces never have a space after another character.
@@ -183,8 +188,11 @@ class Pieces:
                     ids.extend(self.byte[v] for v in c.encode("utf-8", "surrogatepass"))
             out[row] = struct.pack(f"<{len(ids)}i", *ids)
 
-    def segment(self, symbols: list[str], key: int, threshold: int) -> list[str]:
-        """Agenda of merges over ``symbols``; the keyed hash skips ``threshold`` of 2^32 candidates."""
+    def segment(self, symbols: list[str], key: int, threshold: int, skips: frozenset[int] | None = None, offered: list | None = None) -> list[str]:
+        """Agenda of merges over ``symbols``; the keyed hash skips ``threshold`` of 2^32 candidates.
+
+        With ``skips`` those candidates are skipped instead, by their number, and every candidate's hash and place go to ``offered``.
+        """
         merges = self.merges.get
         n = len(symbols)
         part: list[str | None] = list(symbols)
@@ -193,7 +201,13 @@ class Pieces:
 
         def offer(i: int, j: int) -> None:
             known = merges(part[i] + part[j])
-            if known is not None:
+            if known is None:
+                return
+            if skips is not None:
+                offered.append((known[1], i))
+                if len(offered) - 1 not in skips:
+                    heapq.heappush(agenda, (known[0], i, known[2], j))
+            else:
                 # the place and the pair go into the hash by way of the multipliers
                 x = ((known[1] ^ key) * 0x9E3779B1 + i * 0x85EBCA77) & 0xFFFFFFFF
                 if (x ^ (x >> 15)) * 0xC2B2AE3D & 0xFFFFFFFF >= threshold:
@@ -214,10 +228,10 @@ class Pieces:
                 offer(h, i)
         return [p for p in part if p is not None]
 
-    def chunk_ids(self, chunk: str, variant: int, seed: int, threshold: int) -> bytes:
-        """Ids of a chunk that has its spaces as U+2581, as packed 32-bit numbers; symbols without a piece become byte pieces."""
+    def pack(self, parts: list[str]) -> bytes:
+        """Ids of symbols as packed 32-bit numbers; symbols without a piece become byte pieces."""
         out: list[int] = []
-        for p in self.segment(list(chunk), xxhash.xxh32_intdigest(chunk, seed * 1_000 + variant), threshold):
+        for p in parts:
             i = self.id.get(p)
             if i is None:
                 out.extend(self.byte[b] for b in p.encode("utf-8", "surrogatepass"))
@@ -225,91 +239,181 @@ class Pieces:
                 out.append(i)
         return struct.pack(f"<{len(out)}i", *out)
 
+    def keyed_ids(self, chunk: str, key: int, threshold: int) -> bytes:
+        """Ids of a chunk that has its spaces as U+2581, for the key of an occurrence."""
+        return self.pack(self.segment(list(chunk), key, threshold))
+
+    def chunk_ids(self, chunk: str, variant: int, seed: int, threshold: int) -> bytes:
+        """:meth:`keyed_ids` for a key made from the chunk, a number and the seed."""
+        return self.keyed_ids(chunk, xxhash.xxh32_intdigest(chunk, seed * 1_000 + variant), threshold)
+
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def occurrence_keys(document: object, text: str, seed: int, n: int) -> np.ndarray:
+    """Keys of the ``n`` chunks of a document by their places; a document without an id is told apart by its text."""
+    name = b"t" + text.encode("utf-8", "surrogatepass") if document is None else f"d{document}".encode("utf-8", "surrogatepass")
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(xxhash.xxh64_intdigest(name, seed))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
+class Grown:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.data, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, values) -> None:
+        end = self.n + len(values)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(end - len(self.data), len(self.data)), self.data.dtype)])
+        self.data[self.n : end] = values
+        self.n = end
+
+
+def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Positions ``start[k], start[k] + 1, ...``, ``count[k]`` of each."""
+    before = np.cumsum(count) - count
+    return np.arange(int(count.sum())) + np.repeat(start - before, count)
+
+
+class Runs:
+    """Runs of the agenda with given skips, independent of any key.
+
+    A run is the chunk and the numbers of its skipped candidates.  It holds the candidates behind the last skipped one (hash and
+    place), for each of them the run in which it is the first skipped one (-1: not made), and the ids that come out when none is.
+    """
+
+    def __init__(self, own: Pieces):
+        self.own, self.root = own, {}
+        self.names: list[str] = []
+        self.start, self.count, self.ids_start, self.ids_count = (Grown(np.int64) for _ in range(4))
+        self.chunk, self.parent, self.skip, self.behind = (Grown(np.int32) for _ in range(4))
+        self.hash, self.place, self.next, self.ids = Grown(np.uint32), Grown(np.uint32), Grown(np.int32), Grown(np.int32)
+        self.root[None] = self._put([], np.array([own.byte[b] for b in SPACE.encode()]), -1, -1, -1, 0)  # a U+2581 of the text
+
+    def _put(self, offered: list, ids: np.ndarray, chunk: int, parent: int, skip: int, behind: int) -> int:
+        run = self.start.n
+        for grown, value in ((self.start, self.hash.n), (self.count, len(offered)), (self.ids_start, self.ids.n), (self.ids_count, len(ids)),
+                             (self.chunk, chunk), (self.parent, parent), (self.skip, skip), (self.behind, behind)):
+            grown.add((value,))
+        if offered:
+            self.hash.add([h for h, _ in offered])
+            self.place.add([i for _, i in offered])
+            self.next.add(np.full(len(offered), -1, np.int32))
+        self.ids.add(ids)
+        return run
+
+    def full(self) -> bool:
+        return self.start.n >= RUNS or self.hash.n >= OFFERS
+
+    def _make(self, chunk: int, parent: int, skip: int) -> int:
+        skips, run = set() if skip < 0 else {skip}, parent
+        while run >= 0:
+            skips.add(int(self.skip.data[run]))
+            run = int(self.parent.data[run])
+        offered: list = []
+        parts = self.own.segment(list(self.names[chunk]), 0, 0, frozenset(skips), offered)
+        return self._put(offered[skip + 1 :], np.frombuffer(self.own.pack(parts), np.int32), chunk, parent, skip, skip + 1)
+
+    def add_root(self, chunk: str) -> None:
+        self.names.append(chunk)
+        self.root[chunk] = self._make(len(self.names) - 1, -1, -1)
+
+    def add_next(self, run: int, at: int) -> None:
+        """The run in which the candidate at position ``at``, one of ``run``, is skipped too."""
+        skip = int(self.behind.data[run]) + at - int(self.start.data[run])
+        self.next.data[at] = made = self._make(int(self.chunk.data[run]), run, skip)
+        assert made > run
+
+    def walk(self, run: np.ndarray, keys: np.ndarray, threshold: int) -> np.ndarray:
+        """The run in which each occurrence skips no more, -1 where it isn't there."""
+        final = np.full(len(run), -1, np.int64)
+        live = np.flatnonzero(run >= 0)
+        run = run[live]
+        while len(live):
+            count = self.count.data[run]
+            at = ragged(self.start.data[run], count)
+            owner = np.repeat(np.arange(len(live), dtype=np.int32), count)
+            x = (self.hash.data[at] ^ np.repeat(keys[live], count)) * np.uint32(0x9E3779B1) + self.place.data[at] * np.uint32(0x85EBCA77)
+            x = (x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
+            skipped = np.flatnonzero(x < threshold)
+            who = owner[skipped]
+            first = np.ones(len(who), bool)
+            first[1:] = who[1:] != who[:-1]
+            who, at = who[first], at[skipped[first]]
+            ends = np.ones(len(live), bool)
+            ends[who] = False
+            final[live[ends]] = run[ends]
+            lack = np.flatnonzero(self.next.data[at] < 0)
+            places, one, often = np.unique(at[lack], return_index=True, return_counts=True)
+            for place, k in zip(places[often > 1].tolist(), one[often > 1].tolist()):
+                if self.full():
+                    break
+                self.add_next(int(run[who[lack[k]]]), place)
+            there = self.next.data[at] >= 0
+            live, run = live[who[there]], self.next.data[at[there]]
+        return final
+
+
 class Encoder:
-    def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        self.pieces, self.seed, self.variants = pieces(path), seed, variants
+    def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED):
+        self.pieces, self.seed = pieces(path), seed
         self.threshold = round(dropout * 2**32)
-        self.new: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.literal = struct.pack("<3i", *(self.pieces.byte[b] for b in SPACE.encode()))
-
-    def _learn(self, missing: set[tuple[str, int]]) -> dict[tuple[str, int], bytes]:
-        """Segment what the table lacks; chunks longer than LONG go to the heap and are not put into the table."""
-        fresh: dict[tuple[str, int], bytes] = {}
-        many: list[tuple[str, int]] = []
-        for chunk, variant in missing:
-            ids = self.old[variant].get(chunk)
-            if ids is not None:
-                fresh[chunk, variant] = ids
-            elif len(chunk) <= LONG and self.pieces.ranked and 2 * SPACE not in chunk:
-                many.append((chunk, variant))
+        self.runs = Runs(self.pieces)
+
+    def _slice(self, chunks: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some chunks one after the other, and how many each has; None is a U+2581 of the text."""
+        if self.runs.full():  # words in use come back at once
+            self.runs = Runs(self.pieces)
+        runs, own = self.runs, self.pieces
+        at = np.fromiter(map(runs.root.get, chunks, repeat(-1)), np.int64, len(chunks))
+        lack = np.flatnonzero(at < 0).tolist()
+        for c, n in Counter(chunks[k] for k in lack).items():
+            if n > 1 and len(c) <= LONG and not runs.full():
+                runs.add_root(c)
+        at[lack] = [runs.root.get(chunks[k], -1) for k in lack]
+        final = runs.walk(at, keys, self.threshold)
+        alone = np.flatnonzero(final < 0)
+        found: list[bytes] = [b""] * len(alone)
+        many: list[int] = []
+        for k, place in enumerate(alone.tolist()):
+            c = chunks[place]
+            if len(c) <= LONG and own.ranked and 2 * SPACE not in c:
+                many.append(k)
             else:
-                fresh[chunk, variant] = self.pieces.chunk_ids(chunk, variant, self.seed, self.threshold)
+                found[k] = own.keyed_ids(c, int(keys[place]), self.threshold)
         if many:
-            keys = np.array([xxhash.xxh32_intdigest(c, self.seed * 1_000 + v) for c, v in many], np.uint32)
-            fresh.update(zip(many, self.pieces.segment_many([c for c, _ in many], keys, self.threshold)))
-        for (chunk, variant), ids in fresh.items():
-            if len(chunk) <= LONG:
-                if len(self.new[variant]) >= TABLE_CHUNKS // self.variants:  # keep what was in use lately
-                    self.old[variant], self.new[variant] = self.new[variant], {}
-                self.new[variant][chunk] = ids
-        return fresh
+            for k, ids in zip(many, own.segment_many([chunks[p] for p in alone[many].tolist()], keys[alone[many]], self.threshold)):
+                found[k] = ids
+        counts = runs.ids_count.data[np.maximum(final, 0)]
+        starts = runs.ids_start.data[np.maximum(final, 0)]
+        counts[alone] = [len(x) // 4 for x in found]
+        starts[alone] = runs.ids.n + np.cumsum(counts[alone]) - counts[alone]
+        pool = np.concatenate([runs.ids.data[: runs.ids.n], np.frombuffer(b"".join(found), np.int32)])
+        return pool[ragged(starts, counts)], counts
 
     def encode_many(self, texts: list[str | None], documents: list) -> list[np.ndarray | None]:
-        """Piece ids of texts; ``documents`` key the variants of their chunks."""
-        plans: list[list | None] = []
-        missing: set[tuple[str, int]] = set()
-        turn = list(range(self.variants))
+        """Piece ids of texts; ``documents`` and the places of the chunks key the draws."""
+        chunks: list[str | None] = []
+        ends, keys = [0], []
         for text, document in zip(texts, documents):
-            if text is None:
-                plans.append(None)
-                continue
-            plan: list = []
-            start = xxhash.xxh32_intdigest(str(document), self.seed) % self.variants
             for k, part in enumerate(text.split(SPACE) if text else ()):
                 if k:
-                    plan.append(self.literal)
-                chunks = CHUNK.findall(part.replace(" ", SPACE) if k else SPACE + part.replace(" ", SPACE))
-                for o in turn:
-                    # consecutive places of a text take the variants in turn
-                    variant = (start + o) % self.variants
-                    own = chunks[o :: self.variants]
-                    missing.update((c, variant) for c in set(own).difference(self.new[variant]))
-                plan.append((start, chunks))
-            plans.append(plan)
-        held = self.new[:]
-        fresh = self._learn(missing)
-
-        def ids(chunk: str, variant: int) -> bytes:
-            got = held[variant].get(chunk)
-            return fresh[chunk, variant] if got is None else got
-
-        out: list[np.ndarray | None] = []
-        for plan in plans:
-            if plan is None:
-                out.append(None)
-                continue
-            parts: list[bytes] = []
-            for step in plan:
-                if isinstance(step, bytes):
-                    parts.append(step)
-                    continue
-                start, chunks = step
-                got: list = [None] * len(chunks)
-                for o in turn:
-                    variant = (start + o) % self.variants
-                    got[o :: self.variants] = map(held[variant].get, chunks[o :: self.variants])
-                if None in got:
-                    got = [ids(c, (start + k) % self.variants) if g is None else g for k, (c, g) in enumerate(zip(chunks, got))]
-                parts.append(b"".join(got))
-            out.append(np.frombuffer(b"".join(parts), np.int32))
-        return out
+                    chunks.append(None)
+                chunks.extend(CHUNK.findall(part.replace(" ", SPACE) if k else SPACE + part.replace(" ", SPACE)))
+            keys.append(occurrence_keys(document, text or "", self.seed, len(chunks) - ends[-1]))
+            ends.append(len(chunks))
+        key = np.concatenate([np.zeros(0, np.uint32), *keys])
+        parts = [self._slice(chunks[a : a + SLICE], key[a : a + SLICE]) for a in range(0, len(chunks), SLICE)]
+        flat = np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in parts)])
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)]))])
+        return [None if t is None else flat[total[a] : total[b]] for t, a, b in zip(texts, ends, ends[1:])]
 
     def encode(self, text: str, document: object) -> np.ndarray:
         return self.encode_many([text], [document])[0]
@@ -317,7 +421,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, dropout: float, seed: int) -> Encoder:
-    """One per Python worker, so that its table outlives a task."""
+    """One per Python worker, so that its runs outlive a task."""
     return Encoder(path, dropout, seed)
 
 

@@ -188,6 +188,24 @@ def test_dropout_varies_with_the_seed_and_numpy_equals_the_heap():
     assert p.segment_many(chunks, keys, threshold) == [p.chunk_ids(x, 1, 7, threshold) for x in chunks]
 
 
+def test_every_occurrence_of_a_word_draws_on_its_own():
+    p, rate = merge_dropout.pieces(merge_dropout.MODEL), 0.3
+    e = merge_dropout.Encoder(dropout=rate, seed=5)
+    text = " ".join(["internationalization of retitioning"] * 300)
+    chunks = ["▁" + w for w in text.split(" ")]
+    for document in (1, 2, None):
+        keys = merge_dropout.occurrence_keys(document, text, 5, len(chunks)).tolist()
+        direct = [p.keyed_ids(c, k, e.threshold) for c, k in zip(chunks, keys)]
+        assert e.encode(text, document).tobytes() == b"".join(direct)
+        assert len(set(direct[::3])) > 50
+    assert e.encode(text, 1).tobytes() != e.encode(text, 2).tobytes()
+    plain = p.keyed_ids("▁of", 0, 0)
+    kept = [p.keyed_ids("▁of", k, e.threshold) == plain for d in range(20) for k in merge_dropout.occurrence_keys(d, "", 5, 500).tolist()]
+    offered = []
+    p.segment(list("▁of"), 0, 0, frozenset(), offered)
+    assert np.mean(kept) >= (1 - rate) ** len(offered) - 0.02
+
+
 def test_pieces_of_rows(spark):
     got = merge_dropout.encode_rows(frame(spark, ROWS).withColumn("pieces", F.lit("old"))).collect()
     assert sorted((r.n_pieces is None, r.lossless) for r in got if r.text is not None) == [(False, True)] * 4
