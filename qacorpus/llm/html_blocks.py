@@ -4,8 +4,10 @@ A page is cut into blocks at block-level tags.  Pass one looks at every block on
 share of stop words, and the containers it stands in (menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments, by element, role, class or id).  It is main text, boilerplate, or undecided: short blocks, and blocks of middling stop
 word share.  In pass two each undecided block takes the label of the nearest decided block (main text where both sides are as
-near and differ).  Where a page marks its article (``article`` or ``main``), blocks outside it are boilerplate, and blocks inside
-are main text unless they are link lists or stand in one of those containers.
+near and differ).  Where a page marks its article (``article`` or ``main``), the mark moves the limits of pass one (``INSIDE``,
+``OUTSIDE``): inside it lower stop word shares do, and short, link-heavy or odd blocks are undecided; outside it only long dense
+text is main text.  Undecided blocks of an article take the nearest decided label of the article, as the containers in and around
+it say nothing about it.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed in page order;
 nothing is capped.  Unclosed and misnested tags, unclosed comments and scripts are read the way browsers do in broad terms (they
@@ -61,6 +63,23 @@ WHITE, WORD = re.compile(r"\s+"), re.compile(r"\w+")
 LINKS_MAX, SHORT, LONG, STOPS_LOW, STOPS_HIGH = 0.4, 70, 200, 0.10, 0.20
 
 
+@dataclass(frozen=True)
+class Limits:
+    links: float  # boilerplate above this share of link text
+    doubt: float  # undecided above this one
+    low: float  # stop word shares: ``poor`` below the first, main text from the second on
+    high: float
+    long: int  # characters that main text has
+    short: int  # label of short blocks without links, of short blocks with links, of blocks with few stop words
+    linked: int
+    poor: int
+
+
+OPEN = Limits(LINKS_MAX, LINKS_MAX, STOPS_LOW, STOPS_HIGH, LONG, -1, 0, 0)
+INSIDE = Limits(0.8, LINKS_MAX, 0.05, STOPS_LOW, SHORT, -1, -1, -1)
+OUTSIDE = Limits(0.2, 0.2, STOPS_HIGH, 0.30, LONG, 0, 0, 0)
+
+
 @dataclass
 class Block:
     text: str
@@ -149,20 +168,22 @@ def blocks(page: str) -> list[Block]:
 
 def first_pass(b: Block, marked: bool, stops: frozenset[str]) -> int:
     """1 main text, 0 boilerplate, -1 undecided."""
-    size = max(len(b.text), 1)
     if b.boiler:
         return 0
-    if marked:
-        return int(b.main and (b.links / size <= LINKS_MAX or size >= LONG))
-    if b.links / size > LINKS_MAX:
+    at = (INSIDE if b.main else OUTSIDE) if marked else OPEN
+    size = max(len(b.text), 1)
+    share = b.links / size
+    if share > at.links and not (b.heading and at is INSIDE):
         return 0
     if size < SHORT or b.heading:
-        return 0 if b.links and not b.heading else -1
+        return at.linked if b.links and not b.heading else at.short
+    if share > at.doubt:
+        return -1
     found = WORD.findall(b.text.lower())
-    share = sum(w in stops for w in found) / max(len(found), 1)
-    if share >= STOPS_HIGH:
-        return 1 if size > LONG else -1
-    return -1 if share >= STOPS_LOW else 0
+    stop = sum(w in stops for w in found) / max(len(found), 1)
+    if stop >= at.high:
+        return 1 if size > at.long else -1
+    return -1 if stop >= at.low else at.poor
 
 
 def second_pass(labels: list[int]) -> list[int]:
@@ -195,7 +216,11 @@ def main_text(page: str | None, stops: frozenset[str] = STOP_WORDS) -> str:
         return ""
     found = blocks(page)
     marked = any(b.main for b in found)
-    labels = second_pass([first_pass(b, marked, stops) for b in found])
+    labels = [first_pass(b, marked, stops) for b in found]
+    article = [k for k, b in enumerate(found) if b.main and not b.boiler]
+    for k, label in zip(article, second_pass([labels[k] for k in article])):
+        labels[k] = label
+    labels = second_pass(labels)
     return "\n".join(b.text for b, keep in zip(found, labels) if keep)
 
 

@@ -86,6 +86,15 @@ def test_main_text_by_density():
     assert second_pass([-1, -1]) == [1, 1] and second_pass([0, -1, 1]) == [0, 1, 1]
 
 
+def test_both_passes_judge_a_marked_article():
+    good = "This is the text of a page that has the words of the language in it and so it is kept for the reader. " * 3
+    half, odd = "<p>See also <a href=1>this one</a></p>", "Brm krz plk vrt zzk qrx vlk mnt brr stt kll zzt prr grm hlk wrz."
+    links = "".join(f"<li><a href={k}>Link number {k}</a></li>" for k in range(4))
+    assert main_text(f"<article><p>{good}</p>{half}<p>{good}</p></article>") == "\n".join([good.strip(), "See also this one", good.strip()])
+    assert main_text(f"<article><p>{good}</p><p>{odd}</p><p>{good}</p><ul>{links}</ul><p>{odd}</p></article>") == "\n".join([good.strip(), odd, good.strip()])
+    assert main_text(f"<div>Menu</div><div>{good}</div><article><p>{good}</p></article><p>{odd}</p>") == "\n".join([good.strip()] * 2)
+
+
 def test_extract_keeps_rows_and_columns(spark):
     pages = spark.createDataFrame([(1, None, PAGE, "t", 5), (1, None, PAGE, "t", 5), (None, "u", None, "t", 5)], "page_id long, url string, html string, text string, z int")
     got = extract(pages).collect()
