@@ -6,8 +6,11 @@ labelled token sequences by stochastic gradient on the exact log-likelihood (for
 in numpy batches.  Sequences are stretches of ``REACH`` tokens around each token that holds a digit or an at sign, as nothing else can
 be part of such data; a decoded span is added where it overlaps no base span and passes the same plausibility check as its kind.
 
-The labelled table of the query is cut from the documents themselves: at most ``LABELLED`` stretches, those of smallest hash, with
-the base spans as tags (``LABELLED`` is the documented bound of the fit; decoding reads every text whole).
+The labelled table of the query is made from different texts of the documents, those of smallest hash: at most ``LABELLED`` stretches
+(the documented bound of the fit; decoding reads every text whole), at most ``OF_TEXT`` a text as they stand with the base spans as
+tags, and ``FILLED`` a text with a template put between two words.  ``TEMPLATES`` are personal data in forms that the patterns miss
+(other separators, no plus sign), with their tags, and numbers that are none (dates, amounts, versions).  Stretches whose numbers
+could be personal data but aren't base spans have no known label and are left out.
 
 Null or empty texts have no spans.  Rows are independent: repeated rows, null ids and extra columns don't matter.  With an empty
 labelled table the field adds nothing.
@@ -16,7 +19,10 @@ labelled table the field adds nothing.
 from __future__ import annotations
 
 import hashlib
+import random
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -37,10 +43,17 @@ PHONE = regex.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT, HINT, TOKEN = regex.compile("[0-9]"), regex.compile("[0-9@]"), regex.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 #: Tokens kept on either side of a token with a digit or an at sign; labelled stretches; training passes.
 REACH, LABELLED, EPOCHS = 3, 400, 6
+OF_TEXT, FILLED = 2, 4
+#: Kind (None: no personal data) and form of what is put into texts; # is a digit.
+TEMPLATES = (
+    ("phone", "###-###-####"), ("phone", "(###) ###-####"), ("phone", "###.###.####"), ("phone", "### ### ####"), ("phone", "00## ### ### ####"),
+    ("phone", "1-###-###-####"), ("card", "####.####.####.####"), ("card", "####/####/####/####"), ("card", "####_####_####_####"),
+    ("card", "####  ####  ####  ####"), ("card", "####--####--####--####"), ("phone", "+# ### ### ####"), ("card", "#### #### #### ####"),
+    (None, "####-##-##"), (None, "##/##/####"), (None, "##:##:##"), (None, "#.#.##"), (None, "#,###.##"), (None, "####"), (None, "##%"),
+    (None, "####-##-##T##:##:##"), (None, "###,###,###"), (None, "##.#"), (None, "########"), (None, "####-####"), (None, "# of ###"),
+)
 #: Texts are searched for stretches in windows around their hints of so many characters.
 MARGIN = 80
-#: Parts of the hashes whose smallest are found on their own.
-PARTS = 256
 BUCKETS = 1 << 12
 
 
@@ -302,26 +315,66 @@ def all_spans(texts: list[str | None], field: Field) -> list[tuple[list, list]]:
     return [(b, sorted(m, key=lambda s: (s[1], rank(s[0]), s[2]))) for b, m in zip(base, more)]
 
 
+def fill(kind: str | None, form: str, rng: random.Random) -> str:
+    """A template with digits; a card's last one makes its check sum right."""
+    out = "".join(str(rng.randrange(1, 10)) if c == "#" else c for c in form)
+    if kind != "card":
+        return out
+    return next(x for x in (out[:-1] + str(d) for d in range(10)) if luhn("".join(DIGIT.findall(x))))
+
+
+def unknown(run: list[tuple[str, int, int]], tags: list[int]) -> bool:
+    """Whether digits outside tagged spans are as many in a row as a number of personal data has."""
+    digits = 0
+    for (t, a, _), tag in zip(run, tags):
+        if tag or t[0].isalpha():
+            digits = 0
+        elif t.isascii() and t.isdigit():
+            digits += len(t)
+            if digits >= 9:
+                return True
+    return False
+
+
+def labelled_stretches(text: str) -> list[tuple[list[tuple[str, int, int]], list[int]]]:
+    """Stretches of a text as they stand, then with templates put between its words."""
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    spans, out = base_spans(text), []
+    for run in stretches(text):
+        tags = tags_of(run, spans)
+        if len(run) <= 60 and not unknown(run, tags):
+            out.append((run, tags))
+            if len(out) == OF_TEXT:
+                break
+    gaps = [m.start() for m in islice(regex.finditer(r"\s", text), 1_000)] or [len(text)]
+    for kind, form in rng.sample(TEMPLATES, FILLED):
+        p, put = rng.choice(gaps), fill(kind, form, rng)
+        left, right = regex.sub("[0-9@+]", "", text[max(0, p - MARGIN) : p]), regex.sub("[0-9@+]", "", text[p : p + MARGIN])
+        a, b = len(left) + 1, len(left) + 1 + len(put)
+        for run in stretches(f"{left} {put} {right}"):
+            out.append((run, tags_of(run, [(kind, a, b)] if kind else [])))
+    return out
+
+
 def labelled_table(docs: DataFrame, text_col: str = "text", limit: int = LABELLED) -> DataFrame:
-    """``tokens, starts, ends, tags``: at most ``limit`` stretches with their base tags, those of smallest hash."""
+    """``tokens, starts, ends, tags``: at most ``limit`` labelled stretches, of the different texts of smallest hash."""
 
     @F.pandas_udf("array<struct<tokens:array<string>,starts:array<int>,ends:array<int>,tags:array<int>>>")
     def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            rows = []
-            for text in part:
-                spans = base_spans(text)
-                rows.append([
-                    {"tokens": [t for t, _, _ in run], "starts": [a for _, a, _ in run], "ends": [b for _, _, b in run], "tags": tags_of(run, spans)}
-                    for run in stretches(text) if len(run) <= 60
-                ])
-            yield pd.Series(rows)
+            yield pd.Series([
+                [
+                    {"tokens": [t for t, _, _ in run], "starts": [a for _, a, _ in run], "ends": [b for _, _, b in run], "tags": tags}
+                    for run, tags in labelled_stretches(text)
+                ]
+                for text in part
+            ])
 
     texts = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    # a top-n by hash, each part of the hashes on its own before they meet: a task's input doesn't grow with the number of tasks
-    inside = W.partitionBy(F.pmod("h", F.lit(PARTS))).orderBy("h", "text")
-    some = texts.withColumn("n", F.row_number().over(inside)).where(F.col("n") <= limit).orderBy("h", "text").limit(limit)
-    return some.select("h", F.posexplode(cut("text")).alias("k", "s")).orderBy("h", "k").limit(limit).select("s.*")
+    # hashes first, without copies; then one row of each, which every task cuts before the rows meet
+    least = [r.h for r in texts.select("h").distinct().orderBy("h").limit(limit).collect()]
+    one = texts.where(F.col("h").isin(least)).withColumn("n", F.row_number().over(W.partitionBy("h").orderBy("text"))).where("n = 1")
+    return one.select("h", F.posexplode(cut("text")).alias("k", "s")).orderBy("h", "k").limit(limit).select("s.*")
 
 
 def train(labelled: DataFrame) -> Field:

@@ -170,6 +170,23 @@ def test_personal_data_of_rows(spark):
     assert find_personal_data(rows, train(labelled_table(frame(spark, []))), ["doc_id"]).where(F.size("found") > 0).count() == 2
 
 
+def test_the_field_adds_what_the_patterns_miss(spark):
+    words = "der die und the house mail of call from order page number in with cat dog tree river stone".split()
+    rng = random.Random(11)
+    noise = ["on ####-##-## we", "page ## of ###", "at ##:## in", "for #,###.## of", "call +# (###) ###-#### now", "version #.#.##"]
+    lines = [" ".join(rng.choices(words, k=25)) + " " + pii_crf.fill(None, rng.choice(noise), rng) + " " + " ".join(rng.choices(words, k=25)) for _ in range(150)]
+    copies = ["copy 12 " + " ".join(words)] * 600
+    table = labelled_table(frame(spark, [(k, t, "s") for k, t in enumerate([*lines, *copies])]))
+    assert 300 < table.count() <= 400 and table.where(F.array_contains("tokens", "copy")).count() <= pii_crf.OF_TEXT + pii_crf.FILLED
+    field = train(table)
+    planted = ["743-555-3824", "(743) 555-3824", "4111.1111.1111.1111", "4111/1111/1111/1111"]
+    for p in planted:
+        text = f"the house of the river {p} in the tree with stone"
+        assert base_spans(text) == [] and [text[a:b] for _, a, b in pii_crf.all_spans([text], field)[0][1]] == [p], p
+    clean = ["on 2024-05-17 we saw page 12 of 345", "at 12:45 in the house for 1,234.56 of stone", "version 3.1.12 of the tree in 1998"]
+    assert [m for _, m in pii_crf.all_spans(clean, field)] == [[], [], []]
+
+
 TEXTS = ["", " ", "▁a ▁▁ b", "  two  spaces ", "\n\t\x00 end", "😀 ñandú ﬁ", "word " * 50, "x" * 3_000, "The quick brown fox jumps over the lazy dog."]
 
 
