@@ -26,9 +26,9 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (no text, or no letter) go."""
+    """Documents without a letter go, also where there is no label to learn a language from."""
     named = identify(docs, query_model(docs), COLUMNS)
-    return named.where("lang_pred != 'und'").select(*COLUMNS)
+    return named.where((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

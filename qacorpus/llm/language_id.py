@@ -39,7 +39,7 @@ def _symbols(texts: list[str]) -> dict[str, int]:
 
 
 def code_table(symbols: dict[str, int]) -> np.ndarray:
-    """Code of every character of the basic plane; characters beyond it count as unknown letters."""
+    """Code of every character of the basic plane; letters beyond it count as unknown ones (:func:`encode`)."""
     codes = np.zeros(0x10000, np.uint8 if len(symbols) < 254 else np.uint16)
     for k in range(0x10000):
         c = chr(k)
@@ -49,7 +49,12 @@ def code_table(symbols: dict[str, int]) -> np.ndarray:
 
 def encode(text: str, codes: np.ndarray) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return codes[np.minimum(points, 0xFFFF)]
+    coded = codes[np.minimum(points, 0xFFFF)]
+    far = np.flatnonzero(points > 0xFFFF)
+    if len(far):
+        distinct, which = np.unique(points[far], return_inverse=True)
+        coded[far] = np.array([0 if chr(c).isalpha() else 1 for c in distinct.tolist()], coded.dtype)[which]
+    return coded
 
 
 def squeeze(coded: np.ndarray) -> np.ndarray:

@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from qacorpus.llm import merge_dropout, pii_crf
 from qacorpus.llm.html_blocks import extract, main_text, second_pass
-from qacorpus.llm.language_id import Model, fit, identify, suffix_automaton
+from qacorpus.llm.language_id import Model, encode, fit, identify, suffix_automaton
 from qacorpus.llm.pii_crf import Field, base_spans, find_personal_data, labelled_table, stretches, tags_of, train
 from qacorpus.llm.resharding import affected, min_cost_flow, reshard
 from qacorpus.llm.warc import read_records, transactions, write_archives
@@ -277,3 +278,13 @@ def test_language_of_rows(spark):
     assert all(r.lang_pred == r.source for r in got if r.doc_id is not None and r.doc_id < 5)
     assert [r.lang_pred for r in got if r.doc_id == 7] == ["und"]
     assert identify(rows, fit(frame(spark, []), lang_col="source"), ["doc_id"]).where("lang_pred != 'und'").count() == 0
+
+
+def test_letters_beyond_the_basic_plane(spark):
+    texts = ["\U0001E900\U0001E901 \U0001E902", "\U00010330\U00010331", "\U0001D400\U0001D401", "\U00020000", "\U0001F600 \U0001F601!", "12 \U0001F600"]
+    names, scores = Model(LANGS).predict(texts)
+    assert [n == "und" for n in names] == [False] * 4 + [True] * 2 and all((s > 0) == (n != "und") for n, s in zip(names, scores))
+    model = Model(LANGS)
+    assert encode("a\U0001E900\U0001F600", model.codes)[1:].tolist() == [0, 1]
+    rows = spark.createDataFrame([(k, t, None, "s", 1) for k, t in enumerate(texts + ["no label", "", None])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, rows, "").collect()) == [0, 1, 2, 3, 6]
