@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, near-dedup, decontamination, pieces.
 
 Every stage takes ``(spark, docs, sf_dir)``, works on all rows its predecessor kept and returns a DataFrame; all but the last
-return the columns of ``documents``.  Rows are told apart by their id; an id on several rows stands or falls with all of them, and
-rows without an id pass the stages that judge by id.
+return the columns of ``documents``.  A stage that judges rows gives each of them a number of its own in a written table, so null ids
+and ids on several rows are no matter: every row is judged by itself.  Ties between rows of one id go by that number.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from qacorpus.llm.minhash_dedup import near_groups
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id isn't among ``ids`` (one column ``doc_id``, each id once, no null)."""
-    return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with ``_row``, a number of their own; written once, so that it stays."""
+    return staged(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,20 +32,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
-    return _without(docs, staged(exact_groups(docs).where("not kept and id is not null").select(F.col("id").alias("doc_id")).distinct(), "gone"))
+    """Of equal texts the row with the largest id stays (null before all ids)."""
+    rows = _numbered(docs)
+    judged = exact_groups(rows.select(F.struct("doc_id", "_row").alias("key"), "text"), "key")
+    gone = staged(judged.where("not kept").select("id._row"), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays."""
-    return _without(docs, staged(near_groups(docs).where("not kept and id is not null").select(F.col("id").alias("doc_id")).distinct(), "gone"))
+    """Of each component of near copies the row with the smallest id stays (null behind all ids)."""
+    rows = _numbered(docs)
+    judged = near_groups(rows, "_row").select(F.col("id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = judged.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(staged(first.select("first._row"), "kept"), "_row", "left_semi").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with too many words from benchmark items go."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where(is_contaminated(F.col("n_hit"), F.col("n_words")) & F.col("id").isNotNull())
-    return _without(docs, staged(hit.select(F.col("id").alias("doc_id")).distinct(), "gone"))
+    rows = _numbered(docs)
+    found = contamination(rows, table(spark, sf_dir, "benchmark"), "_row")
+    gone = staged(found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("id").alias("_row")), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
