@@ -289,7 +289,7 @@ def plausible(kind: str, found: str) -> bool:
     if kind == "email":
         return "@" in found and bool(regex.search("[A-Za-z]", found))
     if kind == "ip":
-        return found.count(".") == 3 and regex.fullmatch("[0-9.]+", found) is not None and passes("ip", found)
+        return regex.fullmatch(r"[0-9]+(\.[0-9]+){3}", found) is not None and passes("ip", found)
     if kind == "card":
         return passes("card", found)
     return 9 <= digits <= 15 and regex.fullmatch(r"\+?[\x20().0-9-]+", found) is not None

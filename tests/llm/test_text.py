@@ -186,6 +186,7 @@ def test_the_field_adds_what_the_patterns_miss(spark):
         assert base_spans(text) == [] and [text[a:b] for _, a, b in pii_crf.all_spans([text], field)[0][1]] == [p], p
     clean = ["on 2024-05-17 we saw page 12 of 345", "at 12:45 in the house for 1,234.56 of stone", "version 3.1.12 of the tree in 1998"]
     assert [m for _, m in pii_crf.all_spans(clean, field)] == [[], [], []]
+    assert not pii_crf.plausible("ip", "1...2") and not pii_crf.plausible("ip", "1.2.3.") and pii_crf.plausible("ip", "1.2.3.4")
 
 
 TEXTS = ["", " ", "▁a ▁▁ b", "  two  spaces ", "\n\t\x00 end", "😀 ñandú ﬁ", "word " * 50, "x" * 3_000, "The quick brown fox jumps over the lazy dog."]
