@@ -20,19 +20,20 @@ in UTF-8 byte order), extra columns don't matter.  No rows, or none that is freq
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from qacorpus.operators.ordering import running_totals
 
 from .base import query, staged, table
-from .circulant import mix, odd
+from .circulant import mix
 
 DEPTH, LEAST, TOP = 5, 100, 2_000
 #: Occurrences of prefixes that make up a group.
@@ -49,14 +50,20 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[list(BREAKS)] = 2
 
 
-def _odd(salt: int) -> np.uint64:
-    return odd(1, salt)[0]
-
-
 def lang_salt(lang: str, seed: int) -> int:
     return int.from_bytes(blake2b(f"{seed}|{lang}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
+@lru_cache(maxsize=4)
+def _table(size: int, salt: int) -> np.ndarray:
+    return mix(np.arange(size, dtype=np.uint64) + np.uint64(1_000_003 * salt + 77)) | np.uint64(1)
+
+
+def _place_keys(longest: int, seed: int) -> np.ndarray:
+    """A multiplier for each place in a word."""
+    return _table(1_024, 3 * seed) if longest <= 1_024 else _table.__wrapped__(longest, 3 * seed)
+
+
 class Words:
     """The words of some texts: ``symbol``, a second hash ``check``, piece numbers, and where each word stands in ``data``."""
 
@@ -75,13 +82,13 @@ class Words:
         self.piece = np.cumsum(kind == 2)[self.start]
         offsets = np.cumsum(lengths) - lengths
         place = np.arange(int(lengths.sum())) - np.repeat(offsets, lengths)
-        keys = mix(place.astype(np.uint64) + np.uint64(77 + 1_000 * seed)) | np.uint64(1) if int(lengths.max()) > 64 else odd(64, 2 + 1_000 * seed)[place]
+        keys = _place_keys(int(lengths.max()), seed)[place]
         bytes_in = b[inside]
-        doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), self.start, side="right")
-        salt = np.array(salts, np.uint64)[doc] + lengths.astype(np.uint64)
-        self.symbol = mix(np.add.reduceat(odd(256, 1 + seed)[bytes_in] * keys, offsets) + salt)
+        self.doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), self.start, side="right")
+        salt = np.array(salts, np.uint64)[self.doc] + lengths.astype(np.uint64)
+        self.symbol = mix(np.add.reduceat(_table(256, 3 * seed + 1)[bytes_in] * keys, offsets) + salt)
         self.symbol[self.symbol == 0] = 1  # zero stands for no word
-        self.check = mix(np.add.reduceat(odd(256, 9 + seed)[bytes_in] * (keys ^ np.uint64(0x5851F42D4C957F2C)), offsets) ^ salt)
+        self.check = mix(np.add.reduceat(_table(256, 3 * seed + 2)[bytes_in] * (keys ^ np.uint64(0x5851F42D4C957F2C)), offsets) ^ salt)
 
     def texts(self, at: np.ndarray) -> pa.Array:
         lengths = self.stop[at] - self.start[at]
@@ -143,8 +150,7 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
                 continue
             order, first = _groups(words.symbol, words.check)
             at = order[first]
-            doc = np.searchsorted(np.cumsum([len(t) for t in words.data.split(b"\n")] if False else words.ends), words.start[at], side="right") if False else words.doc[at]
-            names = pa.array(langs, pa.string()).take(pa.array(doc))
+            names = pa.array(langs, pa.string()).take(pa.array(words.doc[at]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(words.symbol[at].view(np.int64)), pa.array(words.check[at].view(np.int64)), names, words.texts(at),
                  pa.array(np.diff(np.append(first, len(order))))], names=["symbol", "check", "lang", "word", "c"])
@@ -155,8 +161,8 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
 
 def bit_map(keys: DataFrame, column: str) -> np.ndarray:
     """A map of ``2^MAP_BITS`` bits in which the bit of every key is set; at most that many bits reach the driver, whatever the table."""
-    at = F.shiftrightunsigned(F.col(column), 64 - MAP_BITS)
-    words = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    at = keys.select(F.shiftrightunsigned(F.col(column), 64 - MAP_BITS).alias("bit"))
+    words = at.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
     out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
@@ -323,7 +329,7 @@ def _starts(prefixes: DataFrame, budget: int) -> np.ndarray:
     return np.sort(starts.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63))
 
 
-def _symbols_differ(words: DataFrame) -> bool:
+def _distinct_symbols(words: DataFrame) -> bool:
     return words.groupBy("symbol").agg(F.count("*").alias("m")).where("m > 1").limit(1).count() == 0
 
 
@@ -354,7 +360,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     for seed in range(8):
         every = staged(word_counts(rows, seed), "words")
-        if _symbols_differ(every):
+        if _distinct_symbols(every):
             break
     else:
         raise RuntimeError("words share their symbols under every seed")
@@ -392,3 +398,44 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = spelled.select("lang", phrase.alias("phrase"), "a", "l", "r", "n", "score").withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)),
+grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces), (SELECT unnest(range(1, 6)) AS k)
+  WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+c AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+covered AS (
+  SELECT DISTINCT x.lang, x.phrase FROM c x JOIN c y ON x.lang = y.lang AND y.k > x.k AND y.a >= x.a
+    AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ')),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, j, array_to_string(w[1 : j], ' ') AS lp, array_to_string(w[j + 1 : k], ' ') AS rp
+  FROM c, (SELECT unnest(range(1, 5)) AS j) WHERE j < k),
+s AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, j, l.a AS l, r.a AS r, n.n AS n,
+    (1000::HUGEINT * cuts.a * n.n) // (l.a::HUGEINT * r.a) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = lp AND l.k = j
+  JOIN f r ON r.lang = cuts.lang AND r.phrase = rp AND r.k = cuts.k - j JOIN n ON n.lang = cuts.lang),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS m FROM s) WHERE m = 1),
+ranked AS (
+  SELECT lang, phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM best b WHERE NOT EXISTS (SELECT 1 FROM covered v WHERE v.lang = b.lang AND v.phrase = b.phrase))
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op11_phrase_collocations", SQL)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
