@@ -33,13 +33,12 @@ from pyspark.sql import Window as W
 from qacorpus.operators.ordering import running_totals
 
 from .base import query, staged, table
+from .bitmaps import bit_map, in_map
 from .circulant import mix
 
 DEPTH, LEAST, TOP = 5, 100, 2_000
 #: Occurrences of prefixes that make up a group.
 BUDGET = 1 << 18
-#: Bits of the map of frequent words or prefixes: 16 MB.
-MAP_BITS = 27
 #: Bytes of text in hand at a time, and words or suffixes added up before they are sent.
 CHUNK, HELD = 1 << 21, 1 << 20
 #: Prefix keys that one task of a prefix count gets, about.
@@ -159,20 +158,6 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     return raw.groupBy("symbol", "check", "lang", "word").agg(F.sum("c").alias("c"))
 
 
-def bit_map(keys: DataFrame, column: str) -> np.ndarray:
-    """A map of ``2^MAP_BITS`` bits in which the bit of every key is set; at most that many bits reach the driver, whatever the table."""
-    at = keys.select(F.shiftrightunsigned(F.col(column), 64 - MAP_BITS).alias("bit"))
-    words = at.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys >> np.uint64(64 - MAP_BITS)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-
-
 def prefix_key(symbols: list[np.ndarray]) -> np.ndarray:
     """One 64-bit key of a sequence of symbols; its length is part of it."""
     h = np.full(len(symbols[0]), np.uint64(len(symbols)))
@@ -208,19 +193,22 @@ class Suffixes:
             self.symbols[k][rows] = 0
 
     def prefixes(self, heavy: list[np.ndarray], known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Key and length of each suffix's prefix: one word longer where the shorter one is heavy.
+        """Key and length of each suffix's prefix: one word longer where the shorter one is heavy.  A suffix that ends with a heavy prefix
+        counts as one word longer than it is: other leaves of its last node are under longer prefixes.
 
         With ``known`` (the map of frequent prefixes) a suffix whose longer prefix is rare is cut to the heavy one, where its leaf is.
         """
         key, length = prefix_key(self.symbols[:2]), np.full(len(self.at), 2, np.int64)
         for level, keys in enumerate(heavy, 3):
-            more = np.flatnonzero((length == level - 1) & (self.length >= level) & np.isin(key, keys))
+            over = np.flatnonzero((length == level - 1) & np.isin(key, keys))
+            length[over] = level
+            more = over[self.length[over] >= level]
             longer = prefix_key([s[more] for s in self.symbols[:level]])
             if known is not None:
                 ok = in_map(known, longer)
                 self.cut_to(more[~ok], level - 1)
                 more, longer = more[ok], longer[ok]
-            key[more], length[more] = longer, level
+            key[more] = longer
         return key, length
 
 
@@ -235,7 +223,7 @@ def prefix_counts(docs: DataFrame, seed: int, parts: int, level: int, heavy: lis
         for words, _ in _chunks(batches, seed):
             suffixes = Suffixes(words, frequent.value, None if prefixes is None else prefixes.value)
             key, length = suffixes.prefixes(heavy, None)
-            held.append(key[length == level])
+            held.append(key[(length == level) & (suffixes.length >= level)])
             size += len(held[-1])
             if size >= HELD:
                 yield from _sent(np.concatenate(held), parts)
@@ -308,7 +296,7 @@ def subtrees(docs: DataFrame, seed: int, starts: np.ndarray, heavy: list[np.ndar
             first = np.flatnonzero(new)
             counts = total[np.append(first[1:], len(c))] - total[first]
             # leaves of a node above its prefix stand in other groups too: such parts are added up afterwards
-            keep = (columns[d - 1][first] != 0) & ((counts >= LEAST) | (prefix[first] > d)) & (d > 1)
+            keep = (columns[d - 1][first] != 0) & ((counts >= LEAST) | (np.maximum.reduceat(prefix, first) > d)) & (d > 1)
             first = first[keep]
             out.append([*(columns[k][first] if k < d else np.zeros(len(first), np.int64) for k in range(DEPTH)), np.full(len(first), d), counts[keep]])
         joined = [np.concatenate(x) for x in zip(*out)]
