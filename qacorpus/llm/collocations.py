@@ -3,8 +3,8 @@
 The suffix tree of all pieces, cut off at ``DEPTH`` words, is built in parts that fit a memory budget:
 
 1. words are counted; only those with ``LEAST`` occurrences can stand in a candidate, so other words end a suffix;
-2. word prefixes (two words at first) are counted; those below ``LEAST`` end a suffix too, and a prefix with more than ``BUDGET``
-   occurrences is replaced by its extensions by one word, again counted, until all fit or ``DEPTH`` is reached;
+2. word prefixes of two and three words are counted; a suffix ends before a run of words that is rarer than ``LEAST``, and a prefix with
+   more than ``BUDGET`` occurrences is replaced by its extensions by one word, again counted, until all fit or ``DEPTH`` is reached;
 3. prefixes, in one fixed order, are cut into groups of at most twice ``BUDGET`` occurrences.  Every task cuts its texts into
    suffixes, adds up equal ones and sends them to the group of their prefix; each group sorts what it got, which puts every subtree's
    leaves next to each other, and reads the count of a node from the total of its leaves.
@@ -169,7 +169,7 @@ def prefix_key(symbols: list[np.ndarray]) -> np.ndarray:
 class Suffixes:
     """Suffixes that start at words of a chunk: symbols (zero behind the end) and lengths, cut at words or prefixes known to be rare."""
 
-    def __init__(self, words: Words, frequent: np.ndarray, prefixes: np.ndarray | None):
+    def __init__(self, words: Words, frequent: np.ndarray, prefixes: np.ndarray | None, triples: bool):
         s, n = words.symbol, len(words.symbol)
         usable = in_map(frequent, s)
         joined = np.zeros(n, bool)  # this word and the next one
@@ -177,11 +177,16 @@ class Suffixes:
         if prefixes is not None:
             at = np.flatnonzero(joined)
             joined[at] = in_map(prefixes, prefix_key([s[at], s[at + 1]]))
+        three = np.zeros(n, bool)  # this word and the next two
+        three[:-1] = joined[:-1] & joined[1:]
+        if triples:
+            at = np.flatnonzero(three)
+            three[at] = in_map(prefixes, prefix_key([s[at], s[at + 1], s[at + 2]]))
         self.at = np.flatnonzero(joined)
         self.length = np.full(len(self.at), 2, np.int64)
         on = np.ones(len(self.at), bool)
-        padded = np.append(joined, np.zeros(DEPTH, bool))
-        for step in range(1, DEPTH - 1):
+        padded = np.append(three, np.zeros(DEPTH, bool))
+        for step in range(DEPTH - 2):
             on &= padded[self.at + step]
             self.length += on
         longer = np.append(s, np.zeros(DEPTH, np.uint64))
@@ -213,7 +218,7 @@ class Suffixes:
 
 
 def prefix_counts(docs: DataFrame, seed: int, parts: int, level: int, heavy: list[np.ndarray], frequent, prefixes) -> DataFrame:
-    """``key, c`` of prefixes of ``level`` words with ``LEAST`` occurrences or more; beyond two words, those whose shorter prefix is heavy.
+    """``key, c`` of prefixes of ``level`` words with ``LEAST`` occurrences or more; beyond three words, those whose shorter prefix is heavy.
 
     Keys and counts travel as blocks of numbers: a part of the key range per block, added up in each task.
     """
@@ -221,9 +226,12 @@ def prefix_counts(docs: DataFrame, seed: int, parts: int, level: int, heavy: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for words, _ in _chunks(batches, seed):
-            suffixes = Suffixes(words, frequent.value, None if prefixes is None else prefixes.value)
-            key, length = suffixes.prefixes(heavy, None)
-            held.append(key[(length == level) & (suffixes.length >= level)])
+            suffixes = Suffixes(words, frequent.value, None if prefixes is None else prefixes.value, level > 3)
+            if level < 4:
+                held.append(prefix_key([s[suffixes.length >= level] for s in suffixes.symbols[:level]]))
+            else:
+                key, length = suffixes.prefixes(heavy, None)
+                held.append(key[(length == level) & (suffixes.length >= level)])
             size += len(held[-1])
             if size >= HELD:
                 yield from _sent(np.concatenate(held), parts)
@@ -265,7 +273,7 @@ def subtrees(docs: DataFrame, seed: int, starts: np.ndarray, heavy: list[np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for words, _ in _chunks(batches, seed):
-            suffixes = Suffixes(words, frequent.value, prefixes.value)
+            suffixes = Suffixes(words, frequent.value, prefixes.value, True)
             key, length = suffixes.prefixes(heavy, prefixes.value)
             group = np.maximum(np.searchsorted(starts, key, side="right") - 1, 0)
             held.append([*suffixes.symbols, group, length])
@@ -308,6 +316,11 @@ def subtrees(docs: DataFrame, seed: int, starts: np.ndarray, heavy: list[np.ndar
     return nodes.select(F.slice(F.array(*SYMBOLS), 1, F.col("d").cast("int")).alias("symbols"), F.col("d").cast("int").alias("d"), "a")
 
 
+def _heavy(prefixes: DataFrame, budget: int) -> np.ndarray:
+    """Keys of more than ``budget`` occurrences, sorted; at most one for each ``budget`` words of the corpus."""
+    return np.sort(prefixes.where(F.col("c") > budget).select("key").toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64))
+
+
 def _starts(prefixes: DataFrame, budget: int) -> np.ndarray:
     """The first key of each group: one number for each ``budget`` occurrences."""
     # signed and unsigned order differ; keys are compared as the tasks do, unsigned
@@ -359,23 +372,21 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     frequent = share(bit_map(words, "symbol"))
     parts = size // PART + 1
 
-    heavy, known, levels, level = [], None, [], 2
-    while True:
-        counted = staged(prefix_counts(rows, seed, parts, level, heavy, frequent, known), "prefixes")
-        levels.append(counted)
-        over = counted.where(F.col("c") > budget) if level < DEPTH else counted.limit(0)
-        # at most one for each ``budget`` words of the corpus
-        keys = np.sort(over.select("key").toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64))
-        every_prefix = levels[0]
-        for more in levels[1:]:
-            every_prefix = every_prefix.union(more)
-        if not len(keys):
-            break
-        if level == 2:
-            known = share(bit_map(counted, "key"))
-        heavy.append(keys)
-        level += 1
+    pairs = staged(prefix_counts(rows, seed, parts, 2, [], frequent, None), "prefixes")
+    counted = staged(prefix_counts(rows, seed, parts, 3, [], frequent, share(bit_map(pairs, "key"))), "prefixes")
+    every_prefix = pairs.union(counted)
     known = share(bit_map(every_prefix, "key"))
+    heavy = [_heavy(pairs, budget)]
+    for level in range(4, DEPTH + 1):
+        # a heavy prefix has a heavy shorter one, so there is nothing to extend where no prefix of this level is heavy
+        more = _heavy(counted, budget)
+        if not len(more):
+            break
+        heavy.append(more)
+        counted = staged(prefix_counts(rows, seed, parts, level, heavy, frequent, known), "prefixes")
+        every_prefix = every_prefix.union(counted)
+    if len(heavy) > 1:
+        known = share(bit_map(every_prefix, "key"))
     starts = _starts(every_prefix, budget)
     phrases = staged(subtrees(rows, seed, starts, heavy, frequent, known), "phrases")
 
