@@ -38,6 +38,8 @@ TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: The base patterns, as given.
 EMAIL = regex.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = regex.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The same matches without trying every digit of a long run as a start: a match starts where a number starts.
+IP_STARTS = regex.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = regex.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = regex.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT, HINT, TOKEN = regex.compile("[0-9]"), regex.compile("[0-9@]"), regex.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
@@ -69,7 +71,8 @@ def luhn(digits: str) -> bool:
 
 def passes(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(int(p) <= 255 for p in found.split("."))
+        numbers = [p.lstrip("0") for p in found.split(".")]
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in numbers)
     digits = "".join(DIGIT.findall(found))
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
@@ -85,7 +88,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
         # a match holds an at sign, so only the stretch of characters around each one is searched
         found += [(m.start(), 0, m.end()) for m in _around_at(text)]
     if DIGIT.search(text):
-        for k, pattern in ((1, IP), (2, CARD)):
+        for k, pattern in ((1, IP_STARTS), (2, CARD)):
             found += [(m.start(), k, m.end()) for m in pattern.finditer(text) if passes(KINDS[k], m[0])]
         if "+" in text:
             found += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if passes("phone", m[0])]
