@@ -10,7 +10,8 @@ Content-Length.
 
 Assembly: request and metadata records join the response by their concurrent-to identifiers, one nested row per capture.
 
-Null html is an empty payload; a null url leaves out the target, line breaks in a url become spaces.  Rows with a null page id are
+Null html is an empty payload; a null url leaves out the target, line breaks in a url become spaces, and in a url that holds the
+separator one letter of it is percent-encoded.  A revisit refers to the record id of its response.  Rows with a null page id are
 captures like others, but refer to and are referred to by none with an id unless theirs is the only kind.  Repeated rows are
 captures of their own (record ids hold a row number); the rows of the largest page id are all responses.  Empty tables give
 archives without records.  Extra columns don't matter.
@@ -41,25 +42,30 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """``page_id, url, html`` with digest, size, record type and the page that a revisit refers to."""
+    """``page_id, url, html, row`` with digest, size, and page and row of the response that a revisit refers to.
+
+    ``row`` is the row's place in the scan, which is the same whenever the same files are read.
+    """
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("html"), F.octet_length(payload).cast("long").alias("size"), F.sha1(F.encode(payload, "UTF-8")).alias("digest"))
+    rows = pages.select("page_id", "url", payload.alias("html"), F.octet_length(payload).cast("long").alias("size"), F.sha1(F.encode(payload, "UTF-8")).alias("digest"),
+                        F.monotonically_increasing_id().alias("row"))
     # counts are combined before the shuffle; only payloads that occur again are joined
-    same = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("original"))
+    best = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("original")
+    same = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.count("*").alias("n"), best)
     again = staged(same.where("n > 1 and original is not null").drop("n"), "payloads")
-    revisit = F.col("original").isNotNull() & ~F.col("original").eqNullSafe(F.col("page_id"))
+    revisit = F.col("original").isNotNull() & ~F.col("original.page_id").eqNullSafe(F.col("page_id"))
     return rows.join(again, ["digest", "size"], "left").withColumn("original", F.when(revisit, F.col("original")))
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Three records per page (``page_id, url, html``) as gzip-compressed WARC files."""
-    c = captures(pages).withColumn("row", F.monotonically_increasing_id())
+    c = captures(pages)
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
 
-    def name(kind: str) -> Column:
-        return F.format_string(f"<urn:capture:{kind}:%s:%s>", page, F.col("row").cast("string"))
+    def name(kind: str, of: Column = page, row: str = "row") -> Column:
+        return F.format_string(f"<urn:capture:{kind}:%s:%s>", of, F.col(row).cast("string"))
 
-    uri = F.regexp_replace("url", r"[\r\n]+", " ")
+    uri = F.replace(F.regexp_replace("url", r"[\r\n]+", " "), F.lit(VERSION), F.lit("%57ARC/1.1"))
     coded = F.contains(F.col("html"), F.lit(VERSION))
     body = F.when(coded, F.base64(F.encode("html", "UTF-8"))).otherwise(F.col("html"))
     head = F.when(coded, F.lit(HTTP + EOL + "Content-Transfer-Encoding: base64" + END)).otherwise(F.lit(HTTP + END))
@@ -67,7 +73,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
     main = _record(
         [("WARC-Type", first), ("WARC-Record-ID", name("main")), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest),
-         ("WARC-Refers-To", F.when(F.col("original").isNotNull(), F.format_string("<urn:page:%s>", F.col("original").cast("string")))),
+         ("WARC-Refers-To", F.when(F.col("original").isNotNull(), name("main", F.col("original.page_id").cast("string"), "original.row"))),
          ("WARC-Profile", F.when(F.col("original").isNotNull(), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
          ("Content-Type", F.lit("application/http;msgtype=response"))],
         F.when(F.col("original").isNull(), F.concat(head, body)).otherwise(head),
@@ -126,7 +132,17 @@ def metadata_field(name: str) -> Column:
     return F.regexp_extract("metadata.block", rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
 
 
-@query("op7_warc_transactions")
+SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS original FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN original <> page_id THEN original END AS refers_to FROM o
+"""
+
+
+@query("op7_warc_transactions", SQL)
 def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "llm-warc")
     write_archives(table(spark, sf_dir, "pages"), path)
@@ -135,10 +151,13 @@ def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = metadata_field("pageId")
     told = metadata_field("payloadBytes").cast("long")
     stored = F.col("response.type") == "response"
-    return rows.select(
+    read = staged(rows.select(
         F.when(page != "-", page.cast("long")).alias("page_id"),
         F.when(stored, F.octet_length("response.payload").cast("long")).otherwise(told).alias("payload_bytes"),
         F.when(stored, F.sha1(F.encode("response.payload", "UTF-8"))).otherwise(F.col("response.digest")).alias("payload_digest"),
-        F.col("response.type").alias("record_type"),
-        F.nullif(F.regexp_extract("response.refers_to", "<urn:page:(.*)>", 1), F.lit("")).cast("long").alias("refers_to"),
-    )
+        F.col("response.type").alias("record_type"), "record_id", F.col("response.refers_to").alias("refers"),
+    ), "captures")
+    # only responses that a revisit names are joined: one row each, whatever the number of revisits
+    named = staged(read.where("refers is not null").select(F.col("refers").alias("record_id")).distinct(), "named")
+    known = named.join(read.where("record_type = 'response'").select("record_id", F.col("page_id").alias("refers_to")), "record_id")
+    return read.join(known.withColumnRenamed("record_id", "refers"), "refers", "left").drop("refers", "record_id")
