@@ -90,15 +90,15 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, id_col:
             cost: Callable[[int, int], int] = lambda i, j: int(i != j)) -> tuple[DataFrame, dict[tuple[int, int], int]]:
     """Rows with ``_size``, ``_crc``, ``_old``, ``_shard``, ``_slot``, and the flow they follow.
 
-    ``old_shard`` is a shard number below ``n_old`` for every row.  Rows of :func:`affected` shards are written anew with their
+    ``old_shard`` is a shard number below ``n_old`` (null: shard 0).  Columns of ``docs`` with one of the names used here are replaced.  Rows of :func:`affected` shards are written anew with their
     texts, one folder per new shard, under the shared folder; the files of the other shards stay as they are.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
-    taken = ["_size", "_crc", "_old", "_class", "_block", "_shard", "_slot", "_at", "_start", "_tie"]
+    taken = ["_size", "_crc", "_old", "_class", "_block", "_blocks", "_shard", "_slot", "_at", "_start", "_tie", "_offset"]
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
     sized = docs.drop(*[c for c in taken if c in docs.columns]).withColumns(
-        {"_size": size, "_crc": F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")), "_old": old_shard.cast("int")}
+        {"_size": size, "_crc": F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")), "_old": F.coalesce(old_shard.cast("int"), F.lit(0))}
     ).withColumn("_class", F.floor(F.log2(F.col("_size"))).cast("int"))
     # at most n_old x 40 rows
     classes = sized.groupBy("_old", "_class").agg(F.count("*").alias("n"), F.sum("_size").alias("b")).collect()
@@ -138,9 +138,9 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, id_col:
     # gapless slots: rows of the shard in the blocks before, plus the place inside the block
     runs = files.groupBy("_shard", *key).agg(F.count("*").alias("rows"), F.min("_tie").alias("first"))
     order = W.partitionBy("_shard").orderBy("_old", F.desc("_class"), "_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = staged(runs.select("_shard", *key, (F.coalesce(F.sum("rows").over(order), F.lit(0)) - F.col("first")).alias("offset")), "offsets")
-    out = files.join(offsets, ["_shard", *key]).withColumn("_slot", F.col("offset") + F.col("_tie"))
-    return out.drop("_class", "_block", "_at", "_tie", "offset"), flow
+    offsets = staged(runs.select("_shard", *key, (F.coalesce(F.sum("rows").over(order), F.lit(0)) - F.col("first")).alias("_offset")), "offsets")
+    out = files.join(offsets, ["_shard", *key]).withColumn("_slot", F.col("_offset") + F.col("_tie"))
+    return out.drop("_class", "_block", "_at", "_tie", "_offset"), flow
 
 
 def affected(flow: dict[tuple[int, int], int]) -> set[int]:
