@@ -6,8 +6,9 @@ comments, by element, role, class or id).  It is main text, boilerplate, or unde
 word share.  In pass two each undecided block takes the label of the nearest decided block (main text where both sides are as
 near and differ).  Where a page marks its article (``article`` or ``main``), the mark moves the limits of pass one (``INSIDE``,
 ``OUTSIDE``): inside it lower stop word shares do, and short, link-heavy or odd blocks are undecided; outside it only long dense
-text is main text.  Undecided blocks of an article take the nearest decided label of the article, as the containers in and around
-it say nothing about it.
+text is main text.  In an article undecided blocks without links are main text, those with links take the nearest label of main text
+or of a container; blocks left out for their links have no say.  Class names count as a whole (``has-sidebar`` is no sidebar), and
+not on an element that holds most of the page's text.  In a page without any stop word length and links decide.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed in page order;
 nothing is capped.  Unclosed and misnested tags, unclosed comments and scripts are read the way browsers do in broad terms (they
@@ -46,19 +47,28 @@ SILENT = frozenset("script style noscript template svg math iframe object canvas
 BOILER = frozenset("nav footer aside form button select textarea menu dialog header".split())
 MAIN = frozenset(("article", "main"))
 BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-BOILER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|side-?bar|"
-    r"comments?|comment-list|respond|disqus|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"share|sharing|social|related|recommended|widget|toolbar|pagination|skip-link)(?=$|[\s_-])",
-    re.I,
+#: Words of class names and ids that tell boilerplate; such a name is made of these and of AFFIXES alone (``has-sidebar`` is a layout).
+BOILER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
+    "breadcrumbs header masthead footer sidebar comment comments respond disqus cookie cookies consent gdpr notice alert popup modal overlay "
+    "newsletter subscribe signup login share sharing social related recommended widget widgets toolbar pagination skip".split()
 )
+AFFIXES = frozenset(
+    "site page main global top bottom left right primary secondary box bar list section container wrapper wrap area block inner outer item items "
+    "link links post posts article articles form panel slot unit message buttons icons mobile desktop sticky fixed user reader thread side".split()
+)
+#: Before these words ``post`` and ``article`` tell a part of the page, before others a part of the article.
+OF_ARTICLE = frozenset("header footer nav navigation menu notice".split())
+COMMENTS = frozenset("comment comments respond disqus".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))",
     re.S,
 )
 ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WHITE, WORD = re.compile(r"\s+"), re.compile(r"\w+")
+WHITE, WORD, WORDS_OF_NAME = re.compile(r"\s+"), re.compile(r"\w+"), re.compile(r"[-_]+")
+#: A container that is boilerplate by its name alone isn't when it holds more than this share of the page's text.
+MOST = 0.67
 #: Limits of pass one.
 LINKS_MAX, SHORT, LONG, STOPS_LOW, STOPS_HIGH = 0.4, 70, 200, 0.10, 0.20
 
@@ -87,32 +97,49 @@ class Block:
     boiler: bool  # stands in a container of boilerplate
     main: bool  # stands in the marked article
     heading: bool
+    named: tuple[int, ...] = ()  # containers around it that are boilerplate by their name alone
+
+
+def boiler_name(value: str) -> bool:
+    """Whether a class or id is a name of boilerplate: all its words tell it, one at least by itself."""
+    words = [w for w in WORDS_OF_NAME.split(value.lower()) if w and not w.isdigit()]
+    found = [w for w in words if w in BOILER_WORDS]
+    if not found or any(w not in BOILER_WORDS and w not in AFFIXES for w in words):
+        return False
+    return not ({"post", "article"} & set(words) and OF_ARTICLE.issuperset(found))
 
 
-def _is_boiler(name: str, attrs: str) -> bool:
+def _is_boiler(name: str, attrs: str) -> str:
+    """How an element is boilerplate: ``mark`` (element or role), ``comments`` or ``name`` (class or id), or not at all."""
     if name in BOILER:
-        return True
+        return "mark"
     if name in ("html", "body", "article", "main") or "=" not in attrs:
-        return False
+        return ""
+    how = ""
     for m in ATTR.finditer(attrs):
         value = m[2] or m[3] or m[4] or ""
-        if (value.lower().strip() in BOILER_ROLE) if m[1].lower() == "role" else BOILER_NAME.search(value):
-            return True
-    return False
+        if m[1].lower() == "role":
+            if value.lower().strip() in BOILER_ROLE:
+                return "mark"
+            continue
+        for part in value.split():
+            if boiler_name(part):
+                how = "comments" if how == "comments" or COMMENTS & set(WORDS_OF_NAME.split(part.lower())) else "name"
+    return how
 
 
 def blocks(page: str) -> list[Block]:
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article: of open block-level elements
+    stack: list[tuple[str, str, bool, int]] = []  # name, boilerplate, article, number: of open block-level elements
     parts: list[str] = []
-    links, in_link, boiler, main, heading = 0, False, False, False, False
+    links, in_link, boiler, main, heading, named, number = 0, False, False, False, False, (), 0
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = WHITE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                found.append(Block(text, links, boiler, main, heading))
+                found.append(Block(text, links, boiler, main, heading, named))
             parts.clear()
         links = 0
 
@@ -158,16 +185,26 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()  # closed by the next one
             off = _is_boiler(name, m["attrs"])
             if name == "header" and any(s[2] for s in stack):
-                off = False  # the head of an article holds its title
-            stack.append((name, off, name in MAIN))
-        boiler, main = any(s[1] for s in stack), any(s[2] for s in stack)
+                off = ""  # the head of an article holds its title
+            number += 1
+            stack.append((name, off, name in MAIN, number))
+        boiler, main = any(s[1] in ("mark", "comments") for s in stack), any(s[2] for s in stack)
+        named = tuple(s[3] for s in stack if s[1] == "name")
         heading = any(len(s[0]) == 2 and s[0][0] == "h" and s[0][1].isdigit() for s in stack)
     flush()
+    size: dict[int, int] = {}
+    for b in found:
+        for k in b.named:
+            size[k] = size.get(k, 0) + len(b.text)
+    whole, marked = sum(len(b.text) for b in found), any(b.main for b in found)
+    layout = {k for k, n in size.items() if n > MOST * whole and (not marked or any(b.main and k in b.named for b in found))}
+    for b in found:
+        b.boiler = b.boiler or any(k not in layout for k in b.named)
     return found
 
 
-def first_pass(b: Block, marked: bool, stops: frozenset[str]) -> int:
-    """1 main text, 0 boilerplate, -1 undecided."""
+def first_pass(b: Block, marked: bool, stops: frozenset[str] | None) -> int:
+    """1 main text, 0 boilerplate, -1 undecided.  Without stop words (None) length and links decide."""
     if b.boiler:
         return 0
     at = (INSIDE if b.main else OUTSIDE) if marked else OPEN
@@ -179,6 +216,8 @@ def first_pass(b: Block, marked: bool, stops: frozenset[str]) -> int:
         return at.linked if b.links and not b.heading else at.short
     if share > at.doubt:
         return -1
+    if stops is None:
+        return 1 if size > at.long else -1
     found = WORD.findall(b.text.lower())
     stop = sum(w in stops for w in found) / max(len(found), 1)
     if stop >= at.high:
@@ -211,16 +250,29 @@ def second_pass(labels: list[int]) -> list[int]:
     return out
 
 
+def article_pass(found: list[Block], labels: list[int]) -> list[int]:
+    """Pass two inside the marked article: main text and containers vote, blocks that are left out for their links don't.
+
+    An undecided block without links is main text, one with links takes the nearest vote; without a vote it is main text.
+    """
+    inside = [k for k, b in enumerate(found) if b.main]
+    votes = [labels[k] if labels[k] == 1 or found[k].boiler else -1 for k in inside]
+    out = list(labels)
+    for k, label in zip(inside, second_pass(votes)):
+        if labels[k] < 0:
+            out[k] = label if found[k].links else 1
+    return out
+
+
 def main_text(page: str | None, stops: frozenset[str] = STOP_WORDS) -> str:
     if not page:
         return ""
     found = blocks(page)
     marked = any(b.main for b in found)
-    labels = [first_pass(b, marked, stops) for b in found]
-    article = [k for k, b in enumerate(found) if b.main and not b.boiler]
-    for k, label in zip(article, second_pass([labels[k] for k in article])):
-        labels[k] = label
-    labels = second_pass(labels)
+    # no stop word at all says nothing about blocks: another language than those of the list, or one written without spaces
+    told = any(w in stops for b in found if not b.boiler for w in WORD.findall(b.text.lower()))
+    labels = [first_pass(b, marked, stops if told else None) for b in found]
+    labels = second_pass(article_pass(found, labels))
     return "\n".join(b.text for b, keep in zip(found, labels) if keep)
 
 
