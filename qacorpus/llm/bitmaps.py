@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,3 +23,14 @@ def bit_map(keys: DataFrame, column: str) -> np.ndarray:
 def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = keys >> np.uint64(64 - MAP_BITS)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose 64-bit ``column`` may be among ``keys``: before a join, what can't match isn't shuffled."""
+    shared = df.sparkSession.sparkContext.broadcast(bit_map(keys, key))
+
+    @F.arrow_udf("boolean")
+    def maybe(values: pa.Array) -> pa.Array:
+        return pa.array(in_map(shared.value, values.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return df.where(maybe(column))

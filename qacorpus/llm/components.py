@@ -2,7 +2,8 @@
 
 Every round hooks all larger neighbours of a node to its smallest neighbour and then all smaller ones (large star, small star).
 Minima are combined before the shuffle and joined back as written tables, so a node with very many neighbours is no task of its
-own.  Rounds grow with the logarithm of the longest chain.  Every round is written to the shared folder.
+own.  Rounds grow with the logarithm of the longest chain.  Every round is written to the shared folder, the
+round before is deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import staged
+from .base import discard, staged
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -35,13 +36,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         # large star: every larger neighbour gets the smallest node of the neighbourhood
         around = _both(now)
-        low = staged(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = around.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        first_low = staged(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = around.where("v > u").join(first_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = staged(large, "large")
         # small star: a node and its smaller neighbours get the smallest of them
         low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before, first_low, low, large)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("u")).distinct()

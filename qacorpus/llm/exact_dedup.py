@@ -46,7 +46,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hashed.where("shared").groupBy("full_hash").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id")).where("group_size > 1"),
         "groups",
     )
-    out = hashed.join(groups, "full_hash", "left")
+    columns = ["id", "full_hash", "group_size", "keep_id"]
+    # rows found to be alone have no hash to join on: one null key would hold nearly all rows
+    alone = hashed.where("full_hash is null").select("id", "full_hash", F.lit(None).cast("long").alias("group_size"), F.lit(None).cast(hashed.schema["id"].dataType).alias("keep_id"))
+    out = hashed.where("full_hash is not null").join(groups, "full_hash", "left").select(*columns).union(alone)
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return out.select(
         "id", "full_hash", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.alias("keep_id"),

@@ -1,13 +1,13 @@
 """Near-duplicate documents by circulant MinHash, banding and exact Jaccard verification.
 
 A document's set is its distinct shingles of five words (A-Z lower-cased, words divided by ASCII white space; fewer words are one
-shingle).  Documents with equal sets form one class, represented by its smallest id; classes get circulant MinHash signatures of
+shingle).  Documents with equal sets form one class, the node of all that follows; classes get circulant MinHash signatures of
 ``COORDINATES`` values in bands of ``ROWS`` (a pair of similarity 0.75 is missed with a chance of 5e-6), and links between classes
 are verified on full sets (see :mod:`.near`).  Components come from a distributed union-find.
 
-Null or empty texts have no set: size 0, linked with nothing.  Rows with the same id count as one node.  A row with a null id gets
-the component of its class, or null where its class has no id.  Repeated rows are repeated in the result; other columns
-don't matter.  No rows give no rows.
+Null or empty texts have no set: size 0, linked with nothing.  An id on several rows is one document: the classes of its texts hang
+together.  Rows with a null id link like others; they get the smallest id of their component, null where it has none.
+Repeated rows are repeated in the result; other columns don't matter.  No rows give no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import query, staged, table
+from .bitmaps import maybe_in
 from .circulant import band_keys, set_hash, shingle_set, signature
 from .components import components
 from .near import Threshold, links
@@ -29,12 +30,12 @@ LIKE = Threshold(75, 100)
 
 
 def _described(docs: DataFrame, words: int) -> DataFrame:
-    """``node, n, h1, h2, bands`` of every row."""
+    """``id, node, n, h1, h2, bands`` of every row of ``id, node, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, h1, h2, bands = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), words)
                 n.append(len(s))
                 a, b = set_hash(s) if len(s) else (0, 0)
@@ -44,43 +45,55 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
             offsets = np.cumsum([0, *map(len, bands)]).astype(np.int32)
             flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                names=["node", "n", "h1", "h2", "bands"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                names=["id", "node", "n", "h1", "h2", "bands"],
             )
 
-    return docs.mapInArrow(run, "node long, n int, h1 long, h2 long, bands array<long>")
+    return docs.mapInArrow(run, "id long, node long, n int, h1 long, h2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text.as_py(), words).view(np.int64) for text in batch.column(1)]
+            sets = [shingle_set(text.as_py(), words).view(np.int64) for text in batch.column(2)]
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["node", "items"])
 
     return docs.mapInArrow(run, "node long, items array<long>")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, like: Threshold = LIKE) -> DataFrame:
     """One row per input row: ``id, n_shingles, component_id, kept``."""
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    # a row's spot tells its text again without shuffling the copies of a text
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
     every = staged(_described(texts, words), "described")
-    classes = staged(every.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("node").alias("first")), "classes")
-    # the row of the smallest id carries the class's bands; copies have other ids and fall out of the join
-    owners = every.where("n > 0 and node is not null").select("h1", "h2", "n", F.col("node").alias("first"), "bands")
-    items = owners.join(classes.where("first is not null"), ["h1", "h2", "n", "first"]).select(F.col("first").alias("node"), "n", "bands").dropDuplicates(["node"])
+    sets = every.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.min("node").alias("spot"))
+    classes = staged(sets.withColumn("class", F.monotonically_increasing_id()), "classes")
+    owners = every.select("h1", "h2", "n", F.col("node").alias("spot"), "bands").join(classes, ["h1", "h2", "n", "spot"])
+    items = owners.select(F.col("class").alias("node"), "n", "bands").dropDuplicates(["node"])
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        # an id may stand on more than one row: the first set by hash is taken, as in ``items``
-        return _sets(texts.where(F.col("text").isNotNull()).join(nodes, "node", "left_semi"), words).dropDuplicates(["node"])
-
-    linked = components(links(staged(items, "items"), sets_of, like))
-    named = classes.join(linked.withColumnRenamed("node", "first"), "first", "left").select("h1", "h2", "n", F.coalesce("component", "first").alias("component"))
-    out = every.select("node", "n", "h1", "h2").join(staged(named, "components"), ["h1", "h2", "n"], "left")
-    component = F.when(F.col("n") == 0, F.col("node")).otherwise(F.col("component"))
-    return out.select(F.col("node").alias("id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"),
-                      component.eqNullSafe(F.col("node")).alias("kept"))
+        wanted = staged(classes.select(F.col("class").alias("node"), "spot").join(nodes, "node"), "wanted")
+        some = maybe_in(texts.where(F.col("text").isNotNull()).withColumnRenamed("node", "spot"), "spot", wanted, "spot")
+        found = some.join(wanted, "spot").select("id", "node", "text")
+        return _sets(found, words).dropDuplicates(["node"])
+
+    rows = staged(every.join(classes.select("h1", "h2", "n", "class"), ["h1", "h2", "n"], "left").select("id", "n", "class"), "rows")
+    linked = links(staged(items, "items"), sets_of, like)
+    joined = components(linked.union(shared_ids(rows)))
+    named = classes.select(F.col("class").alias("node"), "first").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = staged(named.join(staged(smallest, "smallest"), "component").select(F.col("node").alias("class"), "component_id"), "components")
+    out = rows.join(named, "class", "left")
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
+    return out.select("id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def shared_ids(rows: DataFrame) -> DataFrame:
+    """``u, v``: classes (``class``) in which one id stands."""
+    spans = rows.where("id is not null and class is not null").groupBy("id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
+    return rows.join(spans, "id").where("class > lo").select(F.col("class").alias("u"), F.col("lo").alias("v"))
 
 
 @query("op5_minhash_near_dedup")

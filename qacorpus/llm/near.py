@@ -6,20 +6,21 @@ row.  Larger buckets are mostly near copies of one item, so:
 1. the item that is in most large buckets is the pivot of each of its buckets, and all members are verified against it; members
    of one component need no more comparisons among each other;
 2. items of buckets that still span components go, once each, through an exact prefix join: shingles are ordered by rarity among
-   these items, and two sets that reach the threshold must share one of their first shingles.  Only pairs of different components
-   are compared, probing from the items outside the largest component of a shingle.  This step has no cap, and it loses no
-   link that the buckets held.
+   these items, and two sets that reach the threshold must share one of their first shingles: one of the first n - ceil(t n) + 1 of the
+   larger set and of the first n - ceil(2t / (1 + t) n) + 1 of the smaller one, so a shingle that only stands further back in all of
+   them makes no pair.  Sets meet by shingle and band of sizes.  Only pairs of different components are compared, probing from the
+   items outside the largest component of a shingle.  This step has no cap, and it loses no link that the buckets held.
 
 Every link is confirmed on full sets of 64-bit shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .base import staged
 from .components import components
@@ -40,9 +41,13 @@ class Threshold:
     def holds(self, both: Column, a: Column, b: Column) -> Column:
         return both * self.den >= (a + b - both) * self.num
 
-    def prefix(self, n: Column) -> Column:
-        """Shingles to look at, in one order for all sets: n - ceil(t n) + 1."""
-        return n - F.ceil(n * self.num / self.den).cast("int") + 1
+    def short_prefix(self, n: Column) -> Column:
+        """Shingles of a set that must hold one in common with any set at least as large: n - ceil(2t / (1 + t) n) + 1."""
+        return n - F.expr(f"cast((2 * {self.num} * n + {self.num + self.den - 1}) div {self.num + self.den} as int)") + 1
+
+    def band(self, n: Column) -> Column:
+        """Band of sizes: sets that reach the threshold stand in the same band or in neighbouring ones.  Any rounding is the same for one size."""
+        return F.floor(F.log(n.cast("double")) / F.lit(math.log(self.den / self.num)) + F.lit(1e-6)).cast("int")
 
 
 def _pairs(left: DataFrame, right: DataFrame, key: str, t: Threshold, more: Column | None = None) -> DataFrame:
@@ -91,6 +96,15 @@ def _prefix_rows(rows: DataFrame, items_of: Callable[[DataFrame], DataFrame], t:
     )
 
 
+def _sized(larger: DataFrame, smaller: DataFrame, t: Threshold, more: Column) -> DataFrame:
+    """Pairs of a set and one at most as large that share a shingle of the first one's prefix and of the second one's short prefix."""
+    band = t.band(F.col("n"))
+    a = larger.withColumn("band", F.explode(F.array(band, band - 1, band - 2)))
+    b = smaller.where(F.col("at") < t.short_prefix(F.col("n"))).withColumn("band", band)
+    spot = F.struct("key", "band")
+    return _pairs(a.withColumn("spot", spot), b.withColumn("spot", spot), "spot", t, more & (F.col("a.n") >= F.col("b.n")))
+
+
 def links(
     items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: Threshold,
     verify: Callable[[DataFrame, DataFrame, Threshold], DataFrame] = verified, shingles: Callable[[DataFrame], DataFrame] = lambda sets: sets,
@@ -132,5 +146,7 @@ def links(
     # at the first shingle two sets share, what follows it must be enough for the overlap the threshold needs
     need = F.ceil((F.col("a.n") + F.col("b.n")) * t.num / (t.den + t.num))
     room = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    rest = _pairs(_outside(first), first, "key", t, (F.col("a.component") != F.col("b.component")) & (room >= need))
+    more = (F.col("a.component") != F.col("b.component")) & (room >= need)
+    outside = staged(_outside(first), "outside")
+    rest = _sized(outside, first, t, more).union(_sized(first, outside, t, more)).distinct()
     return staged(found.union(verify(rest, sets, t)).distinct(), "links")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from qacorpus.operators.ordering import running_totals
 
 from .base import query, staged, table
-from .bitmaps import bit_map, in_map
+from .bitmaps import maybe_in
 from .circulant import mix, set_hash, shingle_set
 from .components import components
 from .near import Threshold
@@ -402,7 +402,6 @@ def tree_links(cells: DataFrame, words: int, t: Threshold, seed: int) -> DataFra
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, like: Threshold = LIKE,
                        tile: int = TILE, hot_share: float = HOT_SHARE, hot_least: int = HOT_LEAST) -> DataFrame:
     """One row per input row: ``id, n_shingles, component_id`` (smallest id reachable by links)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     for seed in range(8):
         every = staged(described(rows, words, seed, hot_least), "described")
@@ -420,13 +419,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = staged(prefix_rows(rows.select("text"), words, like, seed, parts, hot), "first")
     groups = staged(candidate_groups(first), "groups")
     members = staged(groups.join(classes.select("node", "n", "t"), "node"), "members")
-    wanted = spark.sparkContext.broadcast(bit_map(members, "t"))
-
-    @F.arrow_udf("boolean")
-    def maybe(t: pa.Array) -> pa.Array:
-        return pa.array(in_map(wanted.value, t.to_numpy(zero_copy_only=False).view(np.uint64)))
-
-    known = rows.where(F.col("text").isNotNull()).select("t", "text").where(maybe("t"))
+    known = maybe_in(rows.where(F.col("text").isNotNull()).select("t", "text"), "t", members, "t")
     known = known.groupBy("t", F.xxhash64("text", F.lit(1)).alias("u")).agg(F.first("text").alias("text"))
     found = staged(known.join(members.select("t", "node"), "t").select("node", "text"), "texts")
     links = staged(tree_links(tiled(members, tile).join(found, "node"), words, like, seed), "links")

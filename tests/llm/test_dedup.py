@@ -118,6 +118,31 @@ def test_near_groups_repeated_rows_and_null_ids(spark):
     assert sorted((r.id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 5, False), (5, 5, True), (5, 5, True), (9, 5, False)]
 
 
+def test_near_groups_link_through_null_and_repeated_ids(spark):
+    base = [f"w{k}" for k in range(60)]
+    near_to = lambda *ks: " ".join("x" if k in ks else w for k, w in enumerate(base))
+    other = " ".join(f"u{k}" for k in range(40))
+    comp = lambda rows: sorted((r.id or 0, r.component_id or 0) for r in near_groups(docs(spark, rows)).collect())
+    # a chain whose middle has no id: the ends are too far apart
+    assert comp([(1, near_to()), (None, near_to(5)), (2, near_to(5, 30))]) == [(0, 1), (1, 1), (2, 1)]
+    # near copies of the first text of an id that stands on two rows
+    assert comp([(1, near_to()), (1, other), (2, near_to(7)), (3, near_to(50))]) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+    # one id holds two texts together
+    assert comp([(5, near_to()), (5, other), (3, near_to(7)), (4, other + " more")]) == [(3, 3), (4, 3), (5, 3), (5, 3)]
+
+
+def test_a_shared_passage_makes_few_comparisons(spark, monkeypatch):
+    """10,000 documents of 50 words share 82 % of their shingles: no pair reaches 0.75, and hardly any is compared."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(86))
+    rows = [(k, " ".join(f"u{rng.randrange(10**8)}" for _ in range(18)) + " " + passage) for k in range(10_000)]
+    compared = []
+    plain = near.verified
+    monkeypatch.setattr(near_groups.__globals__["links"], "__defaults__", (lambda p, s, t: compared.append(near.staged(p, "p")) or plain(compared[-1], s, t), lambda sets: sets))
+    got = near_groups(docs(spark, rows)).where("kept").count()
+    assert got == 10_000 and sum(p.count() for p in compared) < 1_000_000
+
+
 def brute_hits(rows, items):
     def words(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
