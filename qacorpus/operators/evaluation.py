@@ -33,10 +33,10 @@ def label_union(df: DataFrame, true: str, pred: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, true: str = "expected_category", pred: str = "predicted_category",
-                     normalize: bool = False, dense: bool = True) -> DataFrame:
+                     normalize: bool = False, dense: bool = False) -> DataFrame:
     """AGG8: long form over the sorted label union; ``normalize`` divides by row sums (0 if empty).
 
-    Dense output is labels x labels rows; with ``dense=False`` only pairs that occur.  Null is a label like any other.
+    Pairs that occur; with ``dense=True`` all labels x labels rows, zeros included.  Null is a label like any other.
     """
     counts = pair_counts(df, true, pred)
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  (map keys can't be null)
@@ -76,7 +76,7 @@ def class_metrics(df: DataFrame, true: str = "expected_category", pred: str = "p
     """AGG9: one-vs-rest counts and rates per label; every count row feeds at most two labels."""
     counts = pair_counts(df, true, pred)
     total = counts.agg(F.sum("n")).scalar()
-    same = F.col("true_label") == F.col("pred_label")
+    same = F.col("true_label").eqNullSafe(F.col("pred_label"))  # null is a label like any other
     zero = F.lit(0).cast("bigint")
     parts = F.array(
         F.struct(F.col("true_label").alias("label"), F.when(same, F.col("n")).otherwise(zero).alias("tp"),
@@ -143,7 +143,7 @@ def confusion_highlights(df: DataFrame, true: str = "expected_category", pred: s
         F.min(F.struct((-F.col("f1_score")).alias("k"), "label")).alias("best_f1"),
         F.min(F.struct(F.col("f1_score").alias("k"), "label")).alias("worst_f1"),
     )
-    off = pair_counts(df, true, pred).where(F.col("true_label") != F.col("pred_label"))
+    off = pair_counts(df, true, pred).where(~F.col("true_label").eqNullSafe(F.col("pred_label")))
     worst_pair = off.agg(F.min(F.struct((-F.col("n")).alias("k"), "true_label", "pred_label"))).scalar()
     return one.select(
         F.col("best.label").alias("best_recall_label"),

@@ -6,16 +6,17 @@ one-by-one scan, but no pair list is ever built:
 1. Exact copies of the normalised text are combined first (a hot text becomes one row).
 2. The remaining texts are sorted by length and cut into tiles of bounded size.  Similarity above ``t``
    forces ``min(len)/max(len) > t/(2-t)``, so a tile only meets tiles inside that length window.
-3. In a (target tile, source tile) task two upper bounds are evaluated as array operations: shared
-   characters and shared runs of three characters (both as multisets).  Survivors are tested earliest
-   first against the longest common subsequence (bit-parallel, many times faster than ``difflib``, and
+3. In a (target tile, source tile) task an inverted index of runs of three characters finds the sources that share
+   as many of them with a target as the threshold asks for, rare runs first, so the lists of common runs make no
+   candidates.  A bound on shared characters comes next.  Survivors are tested earliest first against the longest common subsequence (bit-parallel, many times faster than ``difflib``, and
    never below its matches), then with ``difflib``; the search for a target stops at its first hit.  A
    task therefore returns at most one row per target, however many near copies there are.
 4. Rows without an earlier neighbour are kept, rows whose earliest neighbour is kept are dropped, and the
    few undecided rows go round again against the newly kept ones until none is left.
 
-All three bounds hold for every pair above the threshold, so nothing is missed.  The work is quadratic in the
-number of distinct texts per length window, as is the greedy rule itself; the constant is small.
+All bounds hold for every pair above the threshold, so nothing is missed, and no pair is made that shares too few runs.
+The texts of a length window still meet in tile pairs: at 0.9 of difflib a run of about five characters is all
+that two similar texts surely share, so no shorter list of partners is exact.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from .dedupe import first_per_key
 from .ordering import running_totals
 
 TILE_WEIGHT = 2_000_000  # characters + 1000 per row: at most 2,000 rows or 2 MB of text in a tile
-_CHAR_BINS, _GRAM_BINS, _GRAM = 64, 1024, 3
+_CHAR_BINS, _GRAM = 64, 3
 
 
 def normalized_question(c):
@@ -42,17 +43,63 @@ def normalized_question(c):
     return F.regexp_replace(normalize_key(c), rf"[^\p{{L}}\p{{N}}_{WS_INNER}]", "")
 
 
-def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of characters and of character 3-grams, hashed into bins (merging only raises a minimum sum)."""
+def _char_bags(texts: list[str]) -> np.ndarray:
+    """Counts of characters, hashed into bins (merging only raises a minimum sum)."""
     chars = np.zeros((len(texts), _CHAR_BINS), np.int32)
-    grams = np.zeros((len(texts), _GRAM_BINS), np.int32)
     for i, t in enumerate(texts):
-        codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-        chars[i] = np.bincount(codes % _CHAR_BINS, minlength=_CHAR_BINS)
-        if len(codes) >= _GRAM:
-            h = codes[:-2] * np.uint32(961) + codes[1:-1] * np.uint32(31) + codes[2:]
-            grams[i] = np.bincount((h ^ (h >> np.uint32(7))) % _GRAM_BINS, minlength=_GRAM_BINS)
-    return chars, grams
+        chars[i] = np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % _CHAR_BINS, minlength=_CHAR_BINS)
+    return chars
+
+
+def _grams(text: str) -> np.ndarray:
+    """The text's runs of ``_GRAM`` characters, each with its how-manieth occurrence: sets of these share what the multisets share.
+
+    64-bit hashes; two that meet only raise a count.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(codes) < _GRAM:
+        return np.zeros(0, np.uint64)
+    gram = np.sort((codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:])
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    again = np.arange(len(gram)) - np.repeat(first, np.diff(np.append(first, len(gram))))
+    h = gram * np.uint64(0x9E3779B97F4A7C15) + again.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ (h >> np.uint64(29))
+
+
+class _GramIndex:
+    """Inverted lists of the grams of some texts: which texts hold a gram, so only texts that share one are ever looked at."""
+
+    def __init__(self, texts: list[str]):
+        grams = [_grams(t) for t in texts]
+        flat, owner = np.concatenate([np.zeros(0, np.uint64), *grams]), np.repeat(np.arange(len(texts)), [len(g) for g in grams])
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.owner, self.size = flat[order], owner[order], len(texts)
+
+    def sharing(self, text: str, upto: int, need: np.ndarray) -> np.ndarray:
+        """The first ``upto`` texts that share at least ``need`` grams (one number each) with this one.
+
+        The rarest grams go first: a text that shares ``k`` of ``n`` grams holds one of the ``n - k + 1`` rarest ones, so the lists of
+        the commonest grams only add to texts found before.
+        """
+        grams = _grams(text)
+        low, high = np.searchsorted(self.keys, grams), np.searchsorted(self.keys, grams, side="right")
+        order = np.argsort(high - low)
+        low, high = low[order], high[order]
+        least = max(1, int(np.ceil(need.min())))
+        rare = max(0, len(grams) - least + 1)
+        found = np.zeros(self.size, bool)
+        found[self._owners(low[:rare], high[:rare])] = True
+        found = np.flatnonzero(found[:upto])
+        if not len(found):
+            return found
+        place = np.full(self.size, -1)
+        place[found] = np.arange(len(found))
+        at = place[self._owners(low, high)]
+        return found[np.bincount(at[at >= 0], minlength=len(found)) >= need[found]]
+
+    def _owners(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        sizes = high - low
+        return self.owner[np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
 def _positions(text: str) -> dict[str, int]:
@@ -81,21 +128,23 @@ def _compare(threshold: float, autojunk: bool):
         sources = group[~group["is_target"]].sort_values("ord")
         out = []
         if len(targets) and len(sources):
-            t_chars, t_grams = _bags(targets["norm"].tolist())
-            s_chars, s_grams = _bags(sources["norm"].tolist())
+            t_chars, s_chars = _char_bags(targets["norm"].tolist()), _char_bags(sources["norm"].tolist())
             s_ord, s_len = sources["ord"].to_numpy(), sources["len"].to_numpy()
             s_norm, s_kept = sources["norm"].tolist(), sources["kept"].to_numpy()
+            index = _GramIndex(s_norm)
             any_kept = bool(s_kept.any())
             for i, (o, n, text) in enumerate(zip(targets["ord"], targets["len"], targets["norm"])):
                 earlier = int(np.searchsorted(s_ord, o))
                 total = s_len[:earlier] + n
-                shared = np.minimum(s_chars[:earlier], t_chars[i]).sum(axis=1)
-                cand = np.flatnonzero(2.0 * shared > threshold * total)
-                if len(cand):
-                    # M matched characters lie in at most total-2M+1 runs and a run of m holds m-2 grams, so
-                    # at least M-2(total-2M+1) grams are shared, and M > threshold/2 * total
-                    need = (2.5 * threshold - 2.0) * total[cand] - 2.0
-                    cand = cand[np.minimum(s_grams[cand], t_grams[i]).sum(axis=1) >= need]
+                # M matched characters lie in at most total-2M+1 runs and a run of m holds m-2 grams, so at least
+                # M-2(total-2M+1) grams are shared, and M > threshold/2 * total
+                need = (2.5 * threshold - 2.0) * total - 2.0
+                if not earlier:
+                    continue
+                # the shortest texts need no shared gram at all
+                cand = np.union1d(index.sharing(text, earlier, np.maximum(need, 1.0)), np.flatnonzero(need <= 0))
+                shared = np.minimum(s_chars[cand], t_chars[i]).sum(axis=1)
+                cand = cand[2.0 * shared > threshold * total[cand]]
                 first = None
                 dropped = False
                 masks = _positions(text) if len(cand) else {}

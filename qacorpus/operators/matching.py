@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,50 +15,93 @@ from ..lexicon import MEDICAL
 from ..session import write_out
 from .ordering import ranked
 
-#: Up to so many patterns become one expression over the text; larger rule tables are joined.
+#: Up to so many patterns become one expression over the text; larger rule tables go through keyword automata.
 INLINE_RULES = 2_000
-#: Characters of a keyword that texts are joined on.
-GRAM = 3
+#: Keywords of one automaton.
+KEYWORDS = 50_000
 
 
 def match_rule_table(df: DataFrame, rules: DataFrame, text: str = "question", out: str = "alert_type", inline: int = INLINE_RULES) -> DataFrame:
     """JN3: first rule (by ``ord``) with a pattern whose keywords all occur in the text.
 
-    ``rules``: rule_ord int, kind string, pattern array<string>.  A small rule table is configuration: it is read once and
-    becomes one expression, and the text table is neither joined nor shuffled.  A larger one meets the texts by keyword.
+    ``rules``: rule_ord int, kind string, pattern array<string>.  A pattern that is null, empty or holds a null keyword matches no text;
+    an empty keyword occurs in every text that isn't null; of rules with one ``rule_ord`` the first kind by name counts.  A small
+    rule table is configuration: it is read once and becomes one expression, and the text table is neither joined nor shuffled.
+    A larger one is matched by automata; the rows that come out are the same.
     """
-    rows = rules.orderBy("rule_ord").limit(inline + 1).collect()
+    usable = rules.where((F.size("pattern") > 0) & F.forall("pattern", lambda w: w.isNotNull())).select("rule_ord", "kind", "pattern")
+    rows = usable.orderBy("rule_ord", "kind").limit(inline + 1).collect()
     if len(rows) > inline:
-        return _match_by_keyword(df, rules, text, out)
+        return _match_by_automaton(df, usable, text, out)
     grouped: dict[tuple, list] = {}
     for r in rows:
         grouped.setdefault((r["rule_ord"], r["kind"]), []).append(tuple(r["pattern"]))
+    if not grouped:
+        return df.withColumn(out, F.lit(None).cast("string"))
     profile = replace(MEDICAL, alert_rules=tuple((k, "critical", tuple(ps)) for (_, k), ps in grouped.items()))
     return df.withColumn("_low", F.lower(F.col(text))).withColumn(out, emergency_rule(F.col("_low"), profile)).drop("_low")
 
 
-def _match_by_keyword(df: DataFrame, rules: DataFrame, text: str, out: str) -> DataFrame:
-    """Keywords are found through the substring of ``GRAM`` characters they begin with; a pattern counts its keywords that occur.
+def _keyword_ids(low: DataFrame, words: DataFrame, blocks: int) -> DataFrame:
+    """``_id, ids``: numbers of all keywords that occur in each text; rows without one are left out.
 
-    Keywords shorter than that are found through their own length of substring.
+    One Aho-Corasick automaton for each block of at most about ``KEYWORDS`` keywords, built once and sent to the tasks; the texts
+    stream through it and only numbers come out.  More keywords mean more passes over the texts, not larger automata.
+    """
+
+    def through(block: int) -> DataFrame:
+        automaton = ahocorasick.Automaton()
+        for r in words.where(F.col("block") == block).select("word", "w").toLocalIterator():
+            automaton.add_word(r["word"], r["w"])
+        automaton.make_automaton()
+        shared = low.sparkSession.sparkContext.broadcast(automaton)
+
+        @F.arrow_udf("array<bigint>")
+        def found(texts: pa.Array) -> pa.Array:
+            machine = shared.value
+            return pa.array([sorted({w for _, w in machine.iter(t)}) if t else [] for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+        return low.select("_id", found("low").alias("ids"))
+
+    passes = [through(k) for k in range(blocks)]
+    whole = reduce(lambda a, b: a.union(b), passes).where(F.size("ids") > 0)
+    if blocks > 1:
+        whole = whole.groupBy("_id").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
+    return whole
+
+
+def _match_by_automaton(df: DataFrame, rules: DataFrame, text: str, out: str) -> DataFrame:
+    """Texts to keyword numbers, those to patterns through each pattern's rarest keyword, then the first whole pattern.
+
+    A text meets a pattern only where the keyword of it that the fewest texts hold occurs, and the numbers it carries tell whether the
+    others do, so texts are never copied and a keyword of every other text brings no join rows unless a pattern has no rarer one.
     """
     rows = write_out(df.withColumn("_id", F.monotonically_increasing_id()), "ruled")
     patterns = write_out(rules.select("rule_ord", "kind", F.array_distinct("pattern").alias("pattern")).withColumn("_p", F.monotonically_increasing_id()), "rules")
-    keyed = patterns.select("_p", F.explode("pattern").alias("word")).withColumn("gram", F.substring("word", 1, GRAM))
-    words = keyed.select("gram", "word").distinct()
+    keyed = patterns.select("_p", F.explode("pattern").alias("word"))
+    words = keyed.where("word != ''").select("word").distinct()
+    blocks = -(-words.count() // KEYWORDS)
+    words = write_out(words.select("word", F.monotonically_increasing_id().alias("w"), F.pmod(F.xxhash64("word"), F.lit(max(1, blocks))).alias("block")), "words")
     low = rows.select("_id", F.lower(F.col(text)).alias("low"))
-    grams = low.select("_id", "low", F.explode(F.array_distinct(F.flatten(F.array(*[_substrings("low", n) for n in range(1, GRAM + 1)])))).alias("gram"))
-    found = grams.join(words, "gram").where(F.contains("low", "word")).select("_id", "word").distinct()
-    met = found.join(keyed.select("_p", "word"), "word").groupBy("_id", "_p").agg(F.count("*").alias("n"))
-    whole = met.join(patterns.select("_p", "rule_ord", "kind", F.size("pattern").alias("size")), "_p").where("n = size")
-    best = whole.groupBy("_id").agg(F.min(F.struct("rule_ord", "kind"))["kind"].alias(out))
+    numbered = keyed.join(words.select("word", "w"), "word")
+    if blocks:
+        met = write_out(_keyword_ids(low, words, blocks), "met")
+        held = write_out(met.select(F.explode("ids").alias("w")).groupBy("w").agg(F.count("*").alias("c")), "held")
+        # patterns with a keyword that no text holds fall out of the join
+        whole = numbered.join(held, "w", "left").groupBy("_p").agg(F.collect_list("w").alias("need"), F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "w")).alias("rare"))
+        whole = whole.where("rare.c > 0").join(patterns.select("_p", "rule_ord", "kind"), "_p").select(F.col("rare.w").alias("w"), "need", "rule_ord", "kind")
+        pairs = met.select("_id", "ids", F.explode("ids").alias("w")).join(whole, "w")
+        hits = pairs.where(F.size(F.array_except("need", "ids")) == 0).select("_id", "rule_ord", "kind")
+    else:
+        hits = low.select("_id", F.lit(0).alias("rule_ord"), F.lit("").alias("kind")).limit(0)
+    # patterns of the empty keyword alone hold for every text that isn't null
+    always = patterns.where(F.forall("pattern", lambda w: w == "")).agg(F.min(F.struct("rule_ord", "kind")).alias("r")).first()["r"]
+    if always is not None:
+        hits = hits.union(low.where(F.col("low").isNotNull()).select("_id", F.lit(always["rule_ord"]), F.lit(always["kind"])))
+    best = hits.groupBy("_id").agg(F.min(F.struct("rule_ord", "kind"))["kind"].alias(out))
     return rows.join(best, "_id", "left").drop("_id")
 
 
-def _substrings(column: str, n: int):
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(column) - n + 1)), lambda i: F.substring(F.col(column), i, F.lit(n)))
-
-
 def lookup_weights(df: DataFrame, weights: DataFrame, key: str, default: float, out: str = "weight") -> DataFrame:
     """JN6: weight by key with a default for unknown keys.
 

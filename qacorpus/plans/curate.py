@@ -120,13 +120,16 @@ def enhanced(df: DataFrame, profile: Profile = MEDICAL, processed_at=None) -> Da
 
 def thorough_stages(
     df: DataFrame, profile: Profile = MEDICAL, fuzzy: bool = True, processed_at=None, min_relevance: float = 2.0,
-    min_detail: int = 5,
+    min_detail: int = 5, **fuzzy_options,
 ) -> DataFrame:
-    """Rows that survive cleaning and validation, with the final verdict in ``verdict``; not sorted."""
+    """Rows that survive cleaning and validation, with the final verdict in ``verdict``; not sorted.
+
+    ``fuzzy_options`` go to :func:`dedupe_fuzzy`.
+    """
     q, a, low = F.col("question"), F.col("answer"), F.col("_low")
     rows = dedupe_exact(with_fallbacks(df))
     if fuzzy:
-        rows = dedupe_fuzzy(rows)
+        rows = dedupe_fuzzy(rows, **fuzzy_options)
     rows = keep(
         compute(rows, {"_low": _pair_text()}),
         predicates.is_complete_thorough(q, a, profile)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..lexicon import WEIGHT_SEVERITY
 from ..operators import dedupe, matching, profiling
@@ -177,17 +178,41 @@ query(
     f"""WITH {VARIANTS} SELECT ord FROM variants WHERE {NORMKEY} <> '' AND {NORMKEY} NOT IN (SELECT {NORMKEY} FROM documents WHERE lang = 'en')
  QUALIFY row_number() OVER (PARTITION BY {NORMKEY} ORDER BY ord) = 1""",
 )(lambda spark, d: dedupe.dedupe_incremental(variants(spark, d), table(spark, d, "documents").where("lang = 'en'"), "text").select("ord"))
-query("dup3_dedupe_fuzzy")(
-    lambda spark, d: dedupe_fuzzy(qa(spark, d), "question", autojunk=False).select("ord", "question")
+# Edited copies of the benchmark items (two characters changed) must go, whatever else is in the table must stay.  The twin
+# drops a text when an earlier one of like length is within a few edits; in these tables nothing lies near that limit.
+LAST = 1 << 50
+SIMILAR = """u AS (SELECT * FROM n WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord) = 1)
+ SELECT ord, {text} FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.ord < a.ord AND length(b.k) BETWEEN 0.8 * length(a.k) AND 1.25 * length(a.k)
+   AND 20 * levenshtein(a.k, b.k) < length(a.k) + length(b.k))"""
+BARE = "regexp_replace({key}, '[^\\p{{L}}\\p{{N}}_ ]', '', 'g')"
+
+
+def edited(spark, d):
+    text = F.concat(F.substring("text", 1, 10), F.lit("zq"), F.expr("substring(text, 13)"))
+    return table(spark, d, "benchmark").select((F.col("item_id") + LAST).alias("ord"), text.alias("text"))
+
+
+EDITED = f"SELECT item_id + {LAST} AS ord, left(text, 10) || 'zq' || substring(text, 13) AS text FROM benchmark"
+query(
+    "dup3_dedupe_fuzzy",
+    f"""WITH {QA}, s AS (SELECT item_id AS ord, text FROM benchmark UNION ALL SELECT ord + 1000000, question FROM qa UNION ALL {EDITED}),
+ n AS (SELECT ord, text AS question, {BARE.format(key=NORMKEY)} AS k FROM s), {SIMILAR.format(text='question')}""",
+)(
+    lambda spark, d: dedupe_fuzzy(
+        table(spark, d, "benchmark").toDF("ord", "text").unionByName(qa(spark, d).select((F.col("ord") + 1_000_000).alias("ord"), F.col("question").alias("text")))
+        .unionByName(edited(spark, d)).withColumnRenamed("text", "question"), "question", autojunk=False,
+    ).select("ord", "question")
 )
-query("jn2_fuzzy_self_join")(
+query(
+    "jn2_fuzzy_self_join",
+    f"""WITH s AS (SELECT item_id AS ord, text FROM benchmark UNION ALL SELECT conv_id * 16777216 + turn + 1000000, text FROM conversations UNION ALL {EDITED}),
+ n AS (SELECT ord, text, {BARE.format(key=NORMKEY)} AS k FROM s), {SIMILAR.format(text='text')}""",
+)(
     lambda spark, d: dedupe_fuzzy(
-        table(spark, d, "benchmark").unionByName(
-            table(spark, d, "conversations").select(
-                (F.shiftleft("conv_id", 24) + F.col("turn") + 1_000_000).alias("item_id"), "text"
-            )
-        ).withColumnRenamed("item_id", "ord"),
-        "text",
+        table(spark, d, "benchmark").toDF("ord", "text").unionByName(
+            table(spark, d, "conversations").select((F.col("conv_id") * (1 << 24) + F.col("turn") + 1_000_000).alias("ord"), "text")
+        ).unionByName(edited(spark, d)),
+        "text", autojunk=False,
     ).select("ord", "text")
 )
 query(
@@ -207,6 +232,28 @@ def _rules(spark, d):
     return matching.match_rule_table(text, rules, "both").select("ord", "alert_type")
 
 
+# Five thousand rules of one or two words, the first of the vocabulary of the documents, over all turns.
+RULE_COUNT = 5_000
+query(
+    "jn3_many_rules",
+    f"""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{5,}}')) AS w FROM documents),
+ r AS (SELECT w, row_number() OVER (ORDER BY w) AS rule_ord, lead(w) OVER (ORDER BY w) AS w2 FROM v QUALIFY rule_ord <= {RULE_COUNT}),
+ t AS (SELECT conv_id, turn, lower(text) AS low FROM conversations),
+ m AS (SELECT conv_id, turn, min(rule_ord) AS best FROM t JOIN r ON contains(low, w) AND (rule_ord % 2 = 0 OR w2 IS NULL OR contains(low, w2)) GROUP BY 1, 2)
+ SELECT t.conv_id, t.turn, 'rule' || best AS alert_type FROM t LEFT JOIN m ON t.conv_id = m.conv_id AND t.turn = m.turn""",
+)(lambda spark, d: _many_rules(spark, d))
+
+
+def _many_rules(spark, d):
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{5,})"), 1)).alias("w")).distinct()
+    first = words.orderBy("w").limit(RULE_COUNT + 1)
+    by_word = W.orderBy("w")  # a rule table of bounded length
+    rules = first.select("w", F.row_number().over(by_word).alias("rule_ord"), F.lead("w").over(by_word).alias("w2")).where(F.col("rule_ord") <= RULE_COUNT)
+    pair = F.when(F.col("rule_ord") % 2 == 0, F.array("w")).otherwise(F.array_compact(F.array("w", "w2")))
+    rules = rules.select("rule_ord", F.concat(F.lit("rule"), F.col("rule_ord").cast("string")).alias("kind"), pair.alias("pattern"))
+    return matching.match_rule_table(table(spark, d, "conversations"), rules, "text").select("conv_id", "turn", "alert_type")
+
+
 query(
     "jn6_weight_lookup",
     f"WITH {LABELLED} SELECT ord, severity_level, {s_lookup('severity_level', {k: v for k, v in WEIGHT_SEVERITY.items() if k != 'low'}, 0.9)} AS weight FROM labelled",

@@ -39,14 +39,14 @@ query(
     "agg8_confusion_matrix",
     f"""WITH {CLASSIFIED}, {LABELS_SQL} SELECT a.label AS true_label, b.label AS pred_label, count(cls.doc_id) AS n
  FROM lb a CROSS JOIN lb b LEFT JOIN cls ON t = a.label AND p = b.label GROUP BY ALL""",
-)(lambda spark, d: evaluation.confusion_matrix(classified(spark, d), "t", "p"))
+)(lambda spark, d: evaluation.confusion_matrix(classified(spark, d), "t", "p", dense=True))
 query(
     "agg8_confusion_normalized",
     f"""WITH {CLASSIFIED}, {LABELS_SQL}, n AS (SELECT a.label AS true_label, b.label AS pred_label, count(cls.doc_id) AS n
  FROM lb a CROSS JOIN lb b LEFT JOIN cls ON t = a.label AND p = b.label GROUP BY ALL)
  SELECT true_label, pred_label, round(coalesce(n / nullif(sum(n) OVER (PARTITION BY true_label), 0), 0.0), 6) AS share FROM n""",
 )(
-    lambda spark, d: evaluation.confusion_matrix(classified(spark, d), "t", "p", normalize=True).withColumn("share", r6("share"))
+    lambda spark, d: evaluation.confusion_matrix(classified(spark, d), "t", "p", normalize=True, dense=True).withColumn("share", r6("share"))
 )
 NAMES = ["Alpha", "Beta", "Gamma", "Delta", "Other"]
 query(

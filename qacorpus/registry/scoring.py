@@ -386,8 +386,7 @@ query(
         "ord", "question", "answer", "specialty", "severity_level", "medical_terms_count"
     )
 )
-query(
-    "curate_thorough",
+CURATE_THOROUGH = (
     f"""WITH {QA}, first AS (SELECT * FROM qa QUALIFY row_number() OVER (PARTITION BY lower({SQ}) ORDER BY ord) = 1),
  good AS (SELECT * FROM first WHERE {COMPLETE2} AND {BASIC} >= 0.6::DOUBLE AND {DETAILED} >= 5 AND {WEIGHTED} >= 2.0::DOUBLE),
  cleaned AS ({staged_sql('good', (q_clean, q_abbr, q_stats, q_units, q_grammar, q_terms, q_fillers, q_polish1, q_polish2))}),
@@ -397,16 +396,29 @@ query(
  SELECT ord, question, answer, round(quality_score, 6) AS quality_score, round(completeness_score, 6) AS completeness_score,
  terms AS medical_terms_count, {s_first('low', P.specialty, 'general_medicine')} AS specialty, {s_first('low', P.severity, 'moderate')} AS severity_level
  FROM s WHERE quality_score >= 0.6::DOUBLE AND completeness_score >= 0.5::DOUBLE AND terms >= 2 AND length(question) BETWEEN 15 AND 1000
- AND length(answer) BETWEEN 20 AND 5000 AND ({VERDICT}) = 'passed'""",
-)(
+ AND length(answer) BETWEEN 20 AND 5000 AND ({VERDICT}) = 'passed'"""
+)
+query("curate_thorough", CURATE_THOROUGH)(
     lambda spark, d: curate.thorough(qa(spark, d), P, fuzzy=False).select(
         "ord", "question", "answer", r6("quality_score").alias("quality_score"), r6("completeness_score").alias("completeness_score"),
         "medical_terms_count", "specialty", "severity_level",
     )
 )
-query("curate_thorough_fuzzy")(
-    lambda spark, d: curate.thorough(qa(spark, d), P, fuzzy=True).select("ord", "question", "answer", "quality_score", "specialty", "severity_level")
+# Every pair once more with an edited question: the fuzzy step must drop just these.
+query("curate_thorough_fuzzy", CURATE_THOROUGH)(
+    lambda spark, d: curate.thorough(_with_edited(qa(spark, d)), P, fuzzy=True, autojunk=False).select(
+        "ord", "question", "answer", r6("quality_score").alias("quality_score"), r6("completeness_score").alias("completeness_score"),
+        "medical_terms_count", "specialty", "severity_level",
+    )
 )
+
+
+def _with_edited(pairs):
+    again = pairs.withColumns({"ord": F.col("ord") + (1 << 55), "question": F.concat("question", F.lit(" q"))})
+    return pairs.unionByName(again)
+
+
+
 query(
     "srt1_sort_by_quality",
     f"WITH {SCORED} SELECT ord, round(quality_score, 6) AS quality_score FROM scored ORDER BY quality_score DESC, ord",

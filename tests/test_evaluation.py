@@ -31,9 +31,9 @@ def predictions(spark):
 
 
 def test_confusion_matrix(predictions):
-    got = {(r["true_label"], r["pred_label"]): r["n"] for r in ev.confusion_matrix(predictions).collect()}
+    got = {(r["true_label"], r["pred_label"]): r["n"] for r in ev.confusion_matrix(predictions, dense=True).collect()}
     assert got == {(LABELS[i], LABELS[j]): CELLS[i][j] for i in range(11) for j in range(11)}
-    share = {(r["true_label"], r["pred_label"]): r["share"] for r in ev.confusion_matrix(predictions, normalize=True).collect()}
+    share = {(r["true_label"], r["pred_label"]): r["share"] for r in ev.confusion_matrix(predictions, normalize=True, dense=True).collect()}
     assert share[("Emergency", "Infection")] == pytest.approx(0.6)
     assert all(share[("Other", p)] == 0.0 for p in LABELS)  # empty row
     wide = ev.confusion_pivot(predictions, "expected_category", "predicted_category", LABELS)

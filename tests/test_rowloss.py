@@ -83,9 +83,42 @@ def test_large_rule_tables_match_like_small_ones(spark):
         assert {r.ord: r.alert_type for r in match_rule_table(rows, rules, inline=inline).collect()} == want
 
 
+def test_odd_patterns_are_the_same_in_both_forms(spark):
+    """Null, empty and null-holding patterns match nothing, an empty keyword occurs in every text that isn't null."""
+    rows = spark.createDataFrame([(0, "abc"), (1, ""), (2, None), (3, "zz")], "ord long, question string")
+    odd = [(0, "null", None), (1, "none", []), (2, "hole", ["abc", None]), (3, "blank", ["", "b"])]
+    for last, want in (([(9, "all", [""])], {0: "blank", 1: "all", 2: None, 3: "all"}), ([], {0: "blank", 1: None, 2: None, 3: None})):
+        rules = spark.createDataFrame(odd + last, "rule_ord int, kind string, pattern array<string>")
+        for inline in (2_000, 0):
+            assert {r.ord: r.alert_type for r in match_rule_table(rows, rules, inline=inline).collect()} == want
+    nothing = spark.createDataFrame(odd[:3], "rule_ord int, kind string, pattern array<string>")
+    assert {r.alert_type for r in match_rule_table(rows, nothing).collect()} == {None}
+
+
+def test_automata_in_blocks(spark, monkeypatch):
+    """More keywords than one automaton takes: the texts go through several, and a pattern's keywords may be in different ones."""
+    words = [f"w{k:03d}x" for k in range(60)]
+    rules = spark.createDataFrame([(k, f"r{k}", [words[k], words[(7 * k + 1) % 60]]) for k in range(60)], "rule_ord int, kind string, pattern array<string>")
+    texts = [" ".join(words[(i * 13 + 5 * j) % 60] for j in range(9)) for i in range(80)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "ord long, question string")
+    want = {i: next((f"r{k}" for k in range(60) if words[k] in t and words[(7 * k + 1) % 60] in t), None) for i, t in enumerate(texts)}
+    monkeypatch.setattr("qacorpus.operators.matching.KEYWORDS", 20)
+    assert {r.ord: r.alert_type for r in match_rule_table(rows, rules, inline=0).collect()} == want
+
+
+def test_null_labels_count_as_agreement(spark):
+    from qacorpus.operators.evaluation import class_metrics, confusion_highlights
+
+    rows = spark.createDataFrame([(None, None), (None, None), ("a", None), ("a", "a")], "expected_category string, predicted_category string")
+    got = {r.label: (r.tp, r.fp, r.fn, r.support) for r in class_metrics(rows).collect()}
+    assert got == {None: (2, 1, 0, 2), "a": (1, 0, 1, 2)}
+    worst = confusion_highlights(rows).first()
+    assert (worst.confused_true, worst.confused_pred, worst.confused_n) == ("a", None, 1)
+
+
 def test_null_labels_in_the_confusion_matrix(spark):
     rows = spark.createDataFrame([("a", "a"), ("a", None), (None, "a"), (None, None), ("b", "a")], "expected_category string, predicted_category string")
-    got = {(r.true_label, r.pred_label): r.n for r in confusion_matrix(rows).collect()}
+    got = {(r.true_label, r.pred_label): r.n for r in confusion_matrix(rows, dense=True).collect()}
     assert len(got) == 9 and got[("a", None)] == got[(None, "a")] == got[(None, None)] == got[("b", "a")] == 1 and got[("b", "b")] == 0
     sparse = {(r.true_label, r.pred_label): r.share for r in confusion_matrix(rows, normalize=True, dense=False).collect()}
     assert len(sparse) == 5 and sparse[("a", None)] == 0.5 and sparse[("b", "a")] == 1.0
