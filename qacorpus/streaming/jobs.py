@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.classify import emergency_message, emergency_rule, emergency_severity
 from ..functions.text import text_hash
@@ -102,49 +102,130 @@ def start_alerts(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def dedupe_stream(rows: DataFrame, ts: str, column: str = "question", delay: str = "7 days") -> DataFrame:
-    """STR4: one row of every normalised question (whichever comes first to its task); a question is remembered for the watermark delay."""
-    return (
-        rows.withColumn("qhash", text_hash(F.col(column)))
-        .where(F.col("qhash").isNotNull())
-        .withWatermark(ts, delay)
-        .dropDuplicatesWithinWatermark(["qhash"])
-    )
+def _with_state_store(spark: SparkSession) -> None:
+    """List state and timers need the RocksDB store, which spills to disk; only that is set."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+class _FirstOfKey(StatefulProcessor):
+    """Holds the smallest (time, id) of a key with its row and emits it when the watermark has passed its time by the delay."""
+
+    def __init__(self, hold_ms: int):
+        self.hold_ms = hold_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", T.StructType([T.StructField("at", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("row", T.StringType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        best = tuple(self.best.get()) if self.best.exists() else None
+        if best is not None and best[0] // 1000 + self.hold_ms <= timerValues.getCurrentWatermarkInMs():
+            yield pd.DataFrame({"row": [best[2]]})  # its timer is due: input comes before timers
+            best = None
+            self.best.clear()
+        before = best
+        for chunk in (c for c in rows if len(c)):  # a chunk without rows has no columns
+            for at, tie, row in zip(chunk["at_us"], chunk["order_id"], chunk["packed"]):
+                if best is None or (at, tie) < best[:2]:
+                    best = (int(at), int(tie), row)
+        if best is not None and best != before:
+            self.best.update(best)
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(best[0] // 1000 + self.hold_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.best.exists():
+            row = self.best.get()[2]
+            self.best.clear()
+            yield pd.DataFrame({"row": [row]})
+
+    def close(self) -> None:
+        pass
+
+
+def dedupe_stream(rows: DataFrame, ts: str, column: str = "question", delay: str = "7 days", tie: str = "event_id", hold: str | None = None) -> DataFrame:
+    """STR4: of every normalised question the row with the smallest (``ts``, ``tie``), emitted once the watermark is ``hold`` past it.
+
+    Rows may come ``delay`` late.  State is one row for each question that waits.  A question is known until the watermark has passed
+    its first time by ``hold`` (by default ``delay``): a repeat that is processed before that never gets out, whichever micro-batch
+    or task it comes to; one that comes later is a new question.  ``tie`` must be a whole number; equal (``ts``, ``tie``) keep the row that came first.
+    """
+    _with_state_store(rows.sparkSession)
+    columns, kind = rows.columns, rows.schema
+    marked = rows.withWatermark(ts, delay).withColumn("_key", text_hash(F.col(column))).where(F.col("_key").isNotNull() & F.col(ts).isNotNull())
+    packed = marked.select(F.col("_key").alias("qhash"), _micros(ts).alias("at_us"), F.coalesce(F.col(tie).cast("long"), F.lit(0)).alias("order_id"), F.to_json(F.struct(*columns)).alias("packed"), ts)
+    out = T.StructType([T.StructField("row", T.StringType())])
+    hold_ms = int(pd.Timedelta(hold or delay).total_seconds() * 1000)
+    kept = packed.groupBy("qhash").transformWithStateInPandas(_FirstOfKey(hold_ms), out, "Append", "EventTime")
+    return kept.select(F.from_json("row", kind).alias("r")).select("r.*")
 
 
 _MEMORY_OUT = T.StructType(
     [T.StructField("user_id", T.StringType()), T.StructField("n_seen", T.LongType()), T.StructField("memory", T.StringType())]
 )
-_MEMORY_STATE = T.StructType([T.StructField("n_seen", T.LongType()), T.StructField("memory", T.StringType())])
+_EXCHANGE = T.StructType([T.StructField("at", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("question", T.StringType()), T.StructField("answer", T.StringType())])
+
+
+class _Memory(StatefulProcessor):
+    """Per user a list of the last exchanges and a count; both go when the user has been idle for long enough of event time."""
+
+    def __init__(self, keep: int, idle_ms: int):
+        self.keep, self.idle_ms = keep, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getListState("last", _EXCHANGE)
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("n", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        items = [tuple(x) for x in self.last.get()] if self.last.exists() else []
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        if items and items[-1][0] // 1000 + self.idle_ms <= timerValues.getCurrentWatermarkInMs():
+            items, seen = [], 0  # the timer is due: input comes before timers
+        for chunk in (c for c in rows if len(c)):
+            seen += len(chunk)
+            items += chunk[["ts_us", "tie", "question", "answer"]].itertuples(index=False, name=None)
+            items = sorted(items, key=lambda r: r[:2])[-self.keep :]
+        if not items:
+            return
+        items = [(int(at), int(tie), *(None if pd.isna(x) else x for x in texts)) for at, tie, *texts in items]
+        self.last.put(items)
+        self.seen.update((seen,))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(items[-1][0] // 1000 + self.idle_ms)
+        yield pd.DataFrame({"user_id": [key[0]], "n_seen": [seen], "memory": [json.dumps(items, ensure_ascii=False)]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        self.seen.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
 
 
 def conversation_memory(
-    exchanges: DataFrame, user: str = "user_id", ts: str = "ts", tie: str = "event_id", keep: int = 5
+    exchanges: DataFrame, user: str = "user_id", ts: str = "ts", tie: str = "event_id", keep: int = 5, delay: str = "1 day", idle: str = "30 days"
 ) -> DataFrame:
     """STR5: per user the last ``keep`` exchanges (JSON list, oldest first), updated by every micro-batch.
 
-    State is ``keep`` exchanges per user.  A user's new rows arrive as Arrow chunks and only ``keep`` of
-    them are held at a time.  Rows are ordered by event time inside a batch.
+    State is ``keep`` exchanges and a count per user, and leaves when the watermark (``delay`` behind) is ``idle`` past the user's last
+    exchange; after that the user starts anew.  A user's new rows arrive as Arrow chunks and only ``keep`` of them are held at a
+    time.  Rows are ordered by event time, then ``tie``; rows without a time are left out.
     """
-
-    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, memory = state.get if state.exists else (0, "[]")
-        items = json.loads(memory)
-        for chunk in chunks:
-            seen += len(chunk)
-            items += chunk[["ts_us", "tie", "question", "answer"]].values.tolist()
-            items = sorted(items, key=lambda r: (r[0], r[1]))[-keep:]
-        text = json.dumps(items, ensure_ascii=False)
-        state.update((seen, text))
-        yield pd.DataFrame({"user_id": [key[0]], "n_seen": [seen], "memory": [text]})
-
-    rows = exchanges.select(
-        F.col(user).cast("string").alias("user_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"), F.col(tie).alias("tie"),
-        "question", "answer",
-    )
-    return rows.groupBy("user_id").applyInPandasWithState(
-        update, _MEMORY_OUT, _MEMORY_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    _with_state_store(exchanges.sparkSession)
+    rows = exchanges.where(F.col(ts).isNotNull()).select(
+        F.col(user).cast("string").alias("user_id"), _micros(ts).alias("ts_us"), F.coalesce(F.col(tie).cast("long"), F.lit(0)).alias("tie"),
+        "question", "answer", F.col(ts).alias("seen_at"),
+    ).withWatermark("seen_at", delay)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    return rows.groupBy("user_id").transformWithStateInPandas(_Memory(keep, idle_ms), _MEMORY_OUT, "Update", "EventTime")
 
 
 def triage_stream(questions: DataFrame, profile: Profile = MEDICAL) -> DataFrame:

@@ -28,10 +28,17 @@ def row(i, user="u", question="q", accuracy=1.0, minutes=None):
     return (i, T0 + dt.timedelta(minutes=i if minutes is None else minutes), user, question, f"a{i}", accuracy)
 
 
-def test_dedupe_across_batches(spark, tmp_path):
-    stream = feed(spark, tmp_path, [[row(0, question="A b"), row(1, question="c")], [row(2, question="a  B "), row(3, question="d")]])
-    out = jobs.run_available(jobs.dedupe_stream(stream, "ts"))
-    assert sorted(r["event_id"] for r in out.collect()) == [0, 1, 3]
+def test_dedupe_keeps_the_earliest_row_of_a_question(spark, tmp_path):
+    """Whichever batch it comes in: a late row that is earlier in time wins, repeats within the hold never get out."""
+    batches = [[row(5, question="A b", minutes=5), row(1, question="c", minutes=1)],
+               [row(2, question="a  B ", minutes=2), row(3, question="d", minutes=3), row(4, question="D", minutes=3)],
+               [row(8, question="a b", minutes=50), row(9, question="end", minutes=60 * 24 * 3)],
+               [row(10, question="c", minutes=60 * 24 * 3 + 5), row(11, question="last", minutes=60 * 24 * 9)],
+               [row(12, question="C", minutes=60 * 24 * 10)], [row(13, question="zz", minutes=60 * 24 * 20)]]
+    out = jobs.run_available(jobs.dedupe_stream(feed(spark, tmp_path, batches), "ts", delay="1 hour", hold="1 day"))
+    # row 10 comes after the watermark has passed the hold of question c, row 12 after that of row 10
+    assert sorted(r["event_id"] for r in out.collect()) == [1, 2, 3, 9, 10, 11, 12]
+    assert out.schema.names == [c.split(" ")[0] for c in SCHEMA.split(", ")]
 
 
 def test_memory_keeps_the_last_five(spark, tmp_path):
@@ -42,6 +49,19 @@ def test_memory_keeps_the_last_five(spark, tmp_path):
     assert (last["hot"]["n_seen"], last["cold"]["n_seen"]) == (8, 1)
 
 
+def test_memory_of_idle_users_leaves_the_state(spark, tmp_path):
+    day = 60 * 24
+    batches = [[row(0, "back", minutes=0), row(1, "stays", minutes=0), row(6, "gone", minutes=0)], [row(2, "stays", minutes=4 * day)],
+               [row(3, "stays", minutes=8 * day)], [row(4, "back", minutes=9 * day), row(5, "stays", minutes=9 * day)]]
+    stream = jobs.conversation_memory(feed(spark, tmp_path / "in", batches), delay="1 hour", idle="5 days")
+    query = stream.writeStream.outputMode("update").format("memory").queryName("memory_rows").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    got = {(r.user_id, len(json.loads(r.memory)), r.n_seen) for r in spark.table("memory_rows").collect()}
+    assert ("back", 1, 1) in got and not any(u == "back" and n > 1 for u, _, n in got)  # forgotten in between
+    assert ("stays", 4, 4) in got and rows[-1] < max(rows)
+
+
 def test_alerts_per_batch(spark, tmp_path):
     batches = [[row(i, accuracy=1.0) for i in range(80)], [row(i, accuracy=1.0 if i < 100 else 0.0) for i in range(80, 160)],
                [row(i, accuracy=1.0) for i in range(160, 300)]]
