@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import moment
 from ..functions.score import exact_match
-from .ordering import quantile_values
+from .ordering import quantile_columns
 
 
 def join_truth(predictions: DataFrame, truth: DataFrame, key: str) -> DataFrame:
@@ -171,7 +171,9 @@ def eval_summary(df: DataFrame, latency: str = "inference_time", score: str = "q
     val = F.when(row_ok, F.col(score))
     size = F.when(row_ok, F.length(response))
     work = df.select(lat.alias("_lat"), val.alias("_val"), size.alias("_len"), ok.alias("_ok"))
-    medians = [F.lit(quantile_values(work, c, [0.5])[0]).cast("double") for c in ("_lat", "_val")]
+    both = quantile_columns(work, {c: F.col(c) for c in ("_lat", "_val")}, [0.5])
+    found = both.agg(F.struct(*[F.max(F.when(F.col("measure") == c, F.col("q0"))).alias(c) for c in ("_lat", "_val")])).scalar()
+    medians = [found["_lat"], found["_val"]]
     return work.agg(
         F.count(F.lit(1)).alias("total_questions"),
         F.count_if("_ok").alias("successful_responses"),

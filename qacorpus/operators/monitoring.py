@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.score import exact_match
-from .ordering import ranked, running_totals
+from .ordering import cumulative, ranked
 
 # fixed values: alert limits
 ACCURACY_DROP, LATENCY_INCREASE, ERROR_INCREASE = 0.05, 0.20, 0.10
@@ -96,7 +96,7 @@ def rolling_accuracy(
 def ks_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """WIN5 / MON4: two-sample Kolmogorov-Smirnov D with sizes, means and the asymptotic p-value.
 
-    Each sample is counted per distinct value before any shuffle; running totals come from range blocks.
+    Each sample is counted per distinct value before any shuffle; running totals come from buckets of values.
     With an empty sample the statistic, the p-value and that sample's mean are null.
     """
     def side(df: DataFrame, first: bool) -> DataFrame:
@@ -105,9 +105,8 @@ def ks_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
         return counts.select("v", (F.col("c") if first else zero).alias("a"), (zero if first else F.col("c")).alias("b"))
 
     counts = side(a, True).unionByName(side(b, False)).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    cum = running_totals(counts, [F.col("v")], {"ca": F.col("a"), "cb": F.col("b")})
-    sizes = cum.agg(F.struct(F.sum("a").alias("na"), F.sum("b").alias("nb"))).scalar()
-    gap = F.abs(F.try_divide("ca", F.nullif(sizes["na"], F.lit(0))) - F.try_divide("cb", F.nullif(sizes["nb"], F.lit(0))))
+    cum = cumulative(counts, "v", ["a", "b"])
+    gap = F.abs(F.try_divide("upto_a", F.nullif("all_a", F.lit(0))) - F.try_divide("upto_b", F.nullif("all_b", F.lit(0))))
     d = cum.agg(
         F.coalesce(F.sum("a"), F.lit(0)).alias("n_recent"),
         F.coalesce(F.sum("b"), F.lit(0)).alias("n_reference"),

@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -106,6 +106,87 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, report_rows: int = 1_0
     return ranked(df, order, "_rank").where(F.col("_rank") <= n).orderBy("_rank").drop("_rank")
 
 
+def cut_at(df: DataFrame, keys: Sequence[tuple[str, bool]], n: int) -> Row | None:
+    """The ``keys`` (name, descending) of the ``n``-th row in their order; None if there are fewer rows.
+
+    Only the key columns are ranked and written, so choosing rows by a cut costs no copy of their texts.
+    """
+    named = [F.col(name).alias(f"k{i}") for i, (name, _) in enumerate(keys)]
+    order = [F.desc(f"k{i}") if down else F.asc(f"k{i}") for i, (_, down) in enumerate(keys)]
+    return ranked(df.select(*named), order, "_rank").where(F.col("_rank") == n).drop("_rank").first() if n > 0 else None
+
+
+def up_to(keys: Sequence[tuple[str, bool]], cut: Row) -> Column:
+    """Whether a row's keys stand at or before the cut; nulls first where ascending, last where descending, as Spark sorts."""
+    out = F.lit(True)
+    for (name, down), value in reversed(list(zip(keys, cut))):
+        c = F.col(name)
+        if value is None:
+            before = c.isNotNull() if down else F.lit(False)
+        else:
+            before = (c > F.lit(value)) if down else (c.isNull() | (c < F.lit(value)))
+        out = F.coalesce(before, F.lit(False)) | (c.eqNullSafe(F.lit(value)) & out)
+    return out
+
+
+def first_n(df: DataFrame, keys: Sequence[tuple[str, bool]], n: int, report_rows: int = 1_000) -> DataFrame:
+    """First ``n`` rows in the order of ``keys`` (name, descending; the last one unique), in that order.
+
+    Small n keeps a heap in each task.  For large n the n-th key is found among the keys alone, then the rows up to it are taken
+    from the input and sorted by ranges.
+    """
+    order = [F.desc(name) if down else F.asc(name) for name, down in keys]
+    if n <= report_rows:
+        return df.orderBy(*order).limit(n)
+    cut = cut_at(df, keys, n)
+    return (df if cut is None else df.where(up_to(keys, cut))).orderBy(*order)
+
+
+#: Buckets for each doubling of a value.
+_PER_OCTAVE = 4_096
+
+
+def _bucket(v: Column) -> Column:
+    """A whole number that rises with a double, the same for every table: its sign and logarithm."""
+    size = F.floor((F.log2(F.abs(v)) + 1_100) * _PER_OCTAVE).cast("long")
+    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
+
+
+def cumulative(counts: DataFrame, value: str, sums: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
+    """Add inclusive running totals ``upto_<s>`` and group totals ``all_<s>`` along a double column; nothing runs before the result is read.
+
+    Totals are taken for each bucket of values and inside each bucket, so no task holds all values; the table of buckets is at
+    most some thousands of rows a doubling, however many values there are.
+    """
+    inside = counts.withColumn("_bucket", _bucket(F.col(value)))
+    per = inside.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
+    whole = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
+    before = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    per = per.select(*groups, "_bucket", *[F.coalesce(F.sum(f"_b_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in sums],
+                     *[F.sum(f"_b_{c}").over(whole).alias(f"all_{c}") for c in sums])
+    along = W.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    out = inside.join(per, [*groups, "_bucket"])
+    return out.withColumns({f"upto_{c}": F.sum(c).over(along) + F.col(f"_before_{c}") for c in sums}).drop("_bucket", *[f"_before_{c}" for c in sums])
+
+
+def quantile_columns(df: DataFrame, measures: dict[str, Column], probabilities: Sequence[float]) -> DataFrame:
+    """``measure, n, q0, q1, ...``: exact linear-interpolated quantiles of several columns from one pass, lazily.
+
+    Values are counted first, stacked by measure and combined before the shuffle; a measure without a value has no row.
+    """
+    stacked = df.select(F.inline(F.array(*[F.struct(F.lit(name).alias("measure"), c.cast("double").alias("v")) for name, c in measures.items()])))
+    counts = stacked.where(F.col("v").isNotNull()).groupBy("measure", "v").agg(F.count(F.lit(1)).alias("c"))
+    cum = cumulative(counts, "v", ["c"], ["measure"])
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((position >= F.col("upto_c") - F.col("c")) & (position < F.col("upto_c")), F.col("v")))
+
+    place = [(F.col("all_c") - 1) * F.lit(float(p)) for p in probabilities]
+    found = cum.groupBy("measure").agg(F.max("all_c").alias("n"), *[at(F.floor(x)).alias(f"l{i}") for i, x in enumerate(place)], *[at(F.ceil(x)).alias(f"h{i}") for i, x in enumerate(place)])
+    share = [((F.col("n") - 1) * F.lit(float(p))) - F.floor((F.col("n") - 1) * F.lit(float(p))) for p in probabilities]
+    return found.select("measure", "n", *[(F.col(f"l{i}") + (F.col(f"h{i}") - F.col(f"l{i}")) * x).alias(f"q{i}") for i, x in enumerate(share)])
+
+
 def quantile_values(df: DataFrame, value: str, probabilities: Sequence[float]) -> list[float | None]:
     """Exact linear-interpolated quantiles of one column (None for no rows).
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import word_count
 from ..functions.text import detect_language
-from .ordering import quantile_values
+from .ordering import quantile_columns
 
 
 def profile_nulls(df: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def describe(df: DataFrame, columns=LENGTHS) -> DataFrame:
     """AGG2: count, mean, sample std, min, quartiles, max per column, in one pass.
 
     Lengths are small integers, so the exact ``percentile`` holds few distinct values; for real-valued
-    columns use :func:`ordering.quantile_values`.
+    columns use :func:`ordering.quantile_columns`.
     """
     aggs = []
     for c in columns:
@@ -97,19 +97,13 @@ def histogram(df: DataFrame, value: str | Column, bins: int) -> DataFrame:
 
 def boxplot_stats(df: DataFrame, value: str) -> DataFrame:
     """AGG5: quartiles, whiskers at the last value inside 1.5 IQR, outlier count."""
-    q1, median, q3 = quantile_values(df, value, [0.25, 0.5, 0.75])
-    v = F.col(value)
-    if q1 is None:
-        inside = F.lit(False)
-    else:
-        inside = v.between(F.lit(q1 - 1.5 * (q3 - q1)), F.lit(q3 + 1.5 * (q3 - q1)))
+    v = F.col(value).cast("double")
+    q = quantile_columns(df, {"v": v}, [0.25, 0.5, 0.75]).agg(F.first(F.struct("q0", "q1", "q2"))).scalar()
+    reach = F.lit(1.5) * (q["q2"] - q["q0"])
+    inside = v.between(q["q0"] - reach, q["q2"] + reach)
     return df.where(v.isNotNull()).agg(
-        F.max(F.lit(q1)).cast("double").alias("q1"),
-        F.max(F.lit(median)).cast("double").alias("median"),
-        F.max(F.lit(q3)).cast("double").alias("q3"),
-        F.min(F.when(inside, v)).cast("double").alias("whisker_low"),
-        F.max(F.when(inside, v)).cast("double").alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"),
+        F.max(q["q0"]).alias("q1"), F.max(q["q1"]).alias("median"), F.max(q["q2"]).alias("q3"),
+        F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.count_if(~inside).alias("n_outliers"),
     )
 
 
@@ -127,7 +121,7 @@ def correlation(df: DataFrame, columns=LENGTHS) -> DataFrame:
 
 def score_stats(df: DataFrame, score: str = "score") -> DataFrame:
     """AGG7: population standard deviation."""
-    median = F.lit(quantile_values(df, score, [0.5])[0]).cast("double")
+    median = quantile_columns(df, {"v": F.col(score)}, [0.5]).agg(F.first("q0")).scalar()
     return df.agg(
         F.min(score).alias("min"),
         F.max(score).alias("max"),

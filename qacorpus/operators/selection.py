@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.features import question_variations
 from ..functions.score import selection_details
 from ..lexicon import MEDICAL, Profile
-from .ordering import hash_ranked, ranked, seeded_hash, top_n
+from .ordering import cut_at, first_n, hash_ranked, seeded_hash, up_to
 from .staging import compute, keep
 
 
@@ -30,7 +31,7 @@ def score_rows(df: DataFrame, profile: Profile = MEDICAL) -> DataFrame:
 def select_top(df: DataFrame, target: int | None = 50_000, min_score: float = 0.8, order: str = "ord") -> DataFrame:
     """SRT2 / FLT10: score at least ``min_score``, best first, at most ``target`` rows."""
     passed = keep(compute(df, {"score": F.col("score")}), F.col("score") >= F.lit(float(min_score)))
-    return passed if target is None else top_n(passed, [F.desc("score"), F.col(order)], target)
+    return passed if target is None else first_n(passed, [("score", True), (order, False)], target)
 
 
 def most_common(df: DataFrame, column: str, k: int) -> DataFrame:
@@ -51,7 +52,7 @@ def concat_all(frames: list[DataFrame]) -> DataFrame:
 def sample_n(df: DataFrame, n: int, key: str = "ord", seed: int = 42) -> DataFrame:
     """SMP1: reproducible simple random sample of ``n`` rows."""
     hashed = df.withColumn("_h", seeded_hash(F.col(key), seed))
-    return top_n(hashed, [F.col("_h"), F.col(key)], n).drop("_h")
+    return first_n(hashed, [("_h", False), (key, False)], n).drop("_h")
 
 
 def _check(ratios: tuple[float, float, float]) -> None:
@@ -102,9 +103,9 @@ def stratified_split(
 
 def sequential_split(df: DataFrame, ratio: float = 0.8, order: str = "ord") -> DataFrame:
     """SPL3: first ``int(ratio * n)`` rows are train, the rest val."""
-    r = ranked(df, [F.col(order)], "_rank")
-    n = r.agg(F.max("_rank")).scalar()
-    return r.withColumn("split", F.when(F.col("_rank") <= F.floor(n * F.lit(float(ratio))), "train").otherwise("val")).drop("_rank")
+    keys = [(order, False)]
+    cut = cut_at(df, keys, math.floor(df.count() * float(ratio)))
+    return df.withColumn("split", F.lit("val") if cut is None else F.when(up_to(keys, cut), "train").otherwise("val"))
 
 
 def augment(
@@ -113,9 +114,11 @@ def augment(
 ) -> DataFrame:
     """FEA3: append reworded copies of the first ``int(n * ratio)`` severe, specialised rows."""
     options = {} if starts is None else {"starts": starts}
-    n = df.agg(F.count(F.lit(1))).scalar()
+    keys = [(order, False)]
     candidates = df.where(F.col("severity_level").isin(*levels) & (F.col("specialty") != profile.specialty_default))
-    chosen = ranked(candidates, [F.col(order)], "_rank").where(F.col("_rank") <= F.floor(n * F.lit(float(ratio)))).drop("_rank")
+    wanted = math.floor(df.count() * float(ratio))
+    cut = cut_at(candidates, keys, wanted)
+    chosen = candidates.where(up_to(keys, cut)) if cut is not None else candidates.where(F.lit(wanted > 0))
     copies = (
         chosen.withColumn("question", F.explode(question_variations(F.col("question"), **options)))
         .withColumn("augmented", F.lit(True))

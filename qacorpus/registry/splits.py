@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profiling, selection
 from ..operators.ordering import hash_ranked
+from ..sources import readers
 from .base import LABELLED, QA, events, labelled, ntz, qa, query, r6, table
 
 RATIOS = (0.70, 0.15, 0.15)
@@ -82,3 +83,19 @@ query(
         stratified(spark, d), selection.random_split(qa(spark, d), RATIOS)
     ).withColumn("gain_pct", r6("gain_pct"))
 )
+
+
+# ---- many rows: the cut is found among the keys
+
+query(
+    "srt2_select_many",
+    "SELECT event_id, value FROM events WHERE value >= 0.5::DOUBLE ORDER BY value DESC, event_id LIMIT 3000",
+)(
+    lambda spark, d: selection.select_top(table(spark, d, "events").withColumns({"score": F.col("value"), "ord": F.col("event_id")}), 3_000, 0.5).select("event_id", "value")
+)
+query("src4_many_records", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 4000")(
+    lambda spark, d: readers.max_records(table(spark, d, "events"), 4_000, "event_id").select("event_id", "event_type")
+)
+query("smp1_large_sample", "SELECT event_id, ts FROM events ORDER BY md5('42|' || event_id::VARCHAR), event_id LIMIT 2500")(
+    lambda spark, d: selection.sample_n(table(spark, d, "events"), 2_500, "event_id").select("event_id", "ts")
+)

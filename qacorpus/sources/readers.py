@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.common import first_filled
-from ..operators.ordering import top_n
+from ..operators.ordering import first_n
 from ..schema import ENVELOPE, RAW_ROW
 
 _ROW_BITS = 33
@@ -115,7 +115,7 @@ def from_chatdoctor(df: DataFrame) -> DataFrame:
 
 def max_records(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
     """SRC4: first ``n`` rows of the load order."""
-    return top_n(df, [F.col(order)], n)
+    return first_n(df, [(order, False)], n)
 
 
 def qa_pairs(conversations: DataFrame, turn_bits: int = 24, block: int = 1_024) -> DataFrame:

@@ -71,3 +71,27 @@ def test_row_operators_do_not_shuffle_or_leave_the_jvm(spark, name):
 
     text = plan(QUERIES[name](spark, SF))
     assert "Python" not in text and "Exchange hashpartitioning(text" not in text
+
+
+def test_ranks_write_keys_only(spark, monkeypatch):
+    """Choosing many rows writes no text for the rank, and quantiles run nothing before their result is read."""
+    from qacorpus.operators import ordering, profiling
+    from qacorpus.sources.readers import max_records
+
+    written = []
+    plain = ordering.write_out
+    monkeypatch.setattr(ordering, "write_out", lambda df, kind="stage": written.append(df.columns) or plain(df, kind))
+    docs = table(spark, SF, "documents").withColumn("ord", F.col("doc_id")).withColumn("score", F.col("n_chars").cast("double"))
+    monkeypatch.setattr(ordering.first_n, "__defaults__", (10,))
+    for df in (max_records(docs, 50), selection.select_top(docs, 50, 1.0), selection.sample_n(docs, 50), selection.sequential_split(docs)):
+        assert df.count() >= 50
+    assert written and all(not {"text", "lang", "source"} & set(columns) for columns in written)
+    written.clear()
+    tracker = spark.sparkContext.statusTracker()
+    events_ = events(spark, SF)
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    frames = [profiling.boxplot_stats(events_, "value"), profiling.score_stats(events_, "value"), monitoring.ks_statistic(events_, events_, "value"),
+              evaluation.eval_summary(events_.select(F.col("value").alias("inference_time"), F.col("value").alias("quality_score"), F.lit(None).cast("string").alias("error"), F.lit("x").alias("response")))]
+    assert list(tracker.getJobIdsForGroup("lazy")) == [] and not written
+    assert all(df.count() == 1 for df in frames)
+    spark.sparkContext.setJobGroup("", "")

@@ -33,6 +33,34 @@ def test_running_totals_and_quantiles(spark):
     assert ordering.quantile_values(df.where("v > 99"), "v", [0.5]) == [None]
 
 
+def test_lazy_quantiles_and_totals(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    values = [rng.choice([0.0, -0.0, 1.5, -3.25, rng.gauss(0, 1), rng.gauss(0, 1e-9), 1e300 * rng.random(), -(2.0 ** rng.randint(-60, 60))]) for _ in range(3_000)]
+    df = spark.createDataFrame([(float(v), None if i % 3 else float(i)) for i, v in enumerate(values)], "a double, b double")
+    p = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    got = {r.measure: r for r in ordering.quantile_columns(df, {"a": F.col("a"), "b": F.col("b"), "none": F.lit(None).cast("double")}, p).collect()}
+    assert set(got) == {"a", "b"} and (got["a"].n, got["b"].n) == (3_000, 1_000)
+    for name, column in (("a", values), ("b", [float(i) for i in range(3_000) if i % 3 == 0])):
+        assert np.allclose([got[name][f"q{i}"] for i in range(len(p))], np.quantile(column, p), rtol=1e-12)
+    counts = df.groupBy("a").agg(F.count("*").alias("c"))
+    rows = ordering.cumulative(counts, "a", ["c"]).collect()
+    assert {(r.upto_c, r.all_c) for r in rows} == {(sum(v <= r.a for v in values), 3_000) for r in rows}
+
+
+@pytest.mark.parametrize("keys", [[("s", True), ("ord", False)], [("s", False), ("ord", True)], [("t", False), ("s", True), ("ord", False)]])
+def test_first_n_by_a_cut(spark, keys):
+    """Nulls, ties and every direction give what sorting all rows gives."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, 1.0, 2.0, float("nan")]), rng.choice([None, "a", "b"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "ord long, s double, t string").repartition(3)
+    order = [F.desc(k) if down else F.asc(k) for k, down in keys]
+    want = [r.ord for r in df.orderBy(*order).collect()]
+    for n in (1, 77, 150, 299, 300, 400):
+        assert [r.ord for r in ordering.first_n(df, keys, n, report_rows=0).collect()] == want[:n]
+
+
 def test_hash_rank(spark):
     df = ids(spark, 500).withColumn("g", F.when(F.col("ord") < 400, "hot").otherwise("cold"))
     got = {(r["g"], r["ord"]): (r["rank"], r["rank_n"]) for r in ordering.hash_ranked(df, ["g"], F.col("ord")).collect()}
