@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: 16 MB.
@@ -25,12 +25,17 @@ def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def maybe_in(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose 64-bit ``column`` may be among ``keys``: before a join, what can't match isn't shuffled."""
+def maybe(df: DataFrame, column: str, keys: DataFrame, key: str) -> Column:
+    """Whether the 64-bit ``column`` (no nulls) of a row may be among ``keys``; false for most values that are not."""
     shared = df.sparkSession.sparkContext.broadcast(bit_map(keys, key))
 
     @F.arrow_udf("boolean")
-    def maybe(values: pa.Array) -> pa.Array:
+    def test(values: pa.Array) -> pa.Array:
         return pa.array(in_map(shared.value, values.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-    return df.where(maybe(column))
+    return test(column)
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` (64 bits, no nulls) may be among ``keys``: what can't match isn't shuffled by the join that follows."""
+    return df.where(maybe(df, column, keys, key))

@@ -7,8 +7,9 @@ the limit is missed with a chance of 6e-4 or less, one of 0.9 with 2e-5), every
 the first line by (document id, row, line number) stays; copies of one line are one node.  Blank lines are kept, they belong to
 no component.
 
-Null texts stay null with zero lines; empty texts have no line.  Documents may repeat: the first row's lines stay.  A null
-document id comes before all others.  Extra columns don't matter.  No rows give no rows.  A node is the 64-bit hash of its line.
+Null texts stay null with zero lines; empty texts have no line.  Of rows that repeat whole one keeps its lines and the others lose all.  A
+null document id comes before all others.  Extra columns don't matter.  No rows give no rows.  Lines are told apart by 128-bit hashes
+and numbered once for union-find.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import query, staged, table
+from .bitmaps import maybe, maybe_in
 from .circulant import SEED, mix, odd
 from .components import components
 from .near import Threshold, links
@@ -31,8 +33,8 @@ CHARS, COORDINATES, ROWS = 8, 40, 4
 LIKE = Threshold(85, 100)
 #: Shingles in hand at a time: they stay in the processor's cache.
 CHUNK = 8_000
-#: Characters of lines in one batch of results.
-HELD = 1_000_000
+#: Characters of lines in one batch of results, and lines that a task remembers as signed.
+HELD, MET = 1_000_000, 1 << 18
 #: A coordinate without a shingle; above all values.
 EMPTY = np.uint64(1 << 32)
 
@@ -108,18 +110,31 @@ def normal_lines(text: str) -> list[str]:
 
 
 def _spots(rows: DataFrame) -> DataFrame:
-    """``id, row, at, node, line, bands`` of every line that isn't blank, in one pass over ``id, row, text``."""
+    """``id, row, at, a, b, bands`` of every line that isn't blank, in one pass over ``id, row, text``.
 
-    def out(batch: pa.RecordBatch, docs: list[int], ats: list[int], lines: list[str]) -> pa.RecordBatch:
-        nodes = np.array([int.from_bytes(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for x in lines], np.int64)
-        bands = line_bands(lines)
-        offsets = pa.array(np.arange(len(bands) + 1, dtype=np.int32) * bands.shape[1])
+    ``a, b`` are 128 bits of a hash of the line.  Only the first time that a task meets a line (as far as it remembers) it is signed;
+    elsewhere ``bands`` is null.
+    """
+
+    def out(batch: pa.RecordBatch, docs: list[int], ats: list[int], lines: list[str], met: set[bytes]) -> pa.RecordBatch:
+        digests = [blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines]
+        fresh = np.zeros(len(lines), bool)
+        for k, d in enumerate(digests):
+            if d not in met:
+                fresh[k] = True
+                if len(met) < MET:
+                    met.add(d)
+        halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        bands = line_bands([x for x, new in zip(lines, fresh) if new])
+        offsets = np.concatenate([[0], np.cumsum(fresh)]).astype(np.int32) * (COORDINATES // ROWS)
+        signed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel()), mask=pa.array(~fresh))
         of = pa.array(docs, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(of), batch.column(1).take(of), pa.array(ats, pa.int32()), pa.array(nodes), pa.array(lines, pa.string()),
-             pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))], names=["id", "row", "at", "node", "line", "bands"])
+            [batch.column(0).take(of), batch.column(1).take(of), pa.array(ats, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), signed],
+            names=["id", "row", "at", "a", "b", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
         for batch in batches:
             docs, ats, lines, held = [], [], [], 0
             for k, text in enumerate(batch.column(2)):
@@ -130,13 +145,30 @@ def _spots(rows: DataFrame) -> DataFrame:
                         lines.append(line)
                         held += len(line)
                         if held >= HELD:
-                            yield out(batch, docs, ats, lines)
+                            yield out(batch, docs, ats, lines, met)
                             docs, ats, lines, held = [], [], [], 0
             if lines:
-                yield out(batch, docs, ats, lines)
+                yield out(batch, docs, ats, lines, met)
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, row long, at int, node long, line string, bands array<long>")
+    return rows.mapInArrow(run, f"id {kind}, row long, at int, a long, b long, bands array<long>")
+
+
+def _lines_at(texts: DataFrame) -> DataFrame:
+    """``node, line`` from ``text, places`` (line numbers and nodes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, lines = [], []
+            for text, places in zip(batch.column(0), batch.column(1).to_pylist()):
+                every = normal_lines(text.as_py())
+                for p in places:
+                    if p["at"] < len(every):
+                        nodes.append(p["node"])
+                        lines.append(every[p["at"]])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], names=["node", "line"])
+
+    return texts.mapInArrow(run, "node long, line string")
 
 
 def _sets(lines: DataFrame) -> DataFrame:
@@ -195,32 +227,50 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     spots = staged(_spots(rows.where("text != ''")), "spots")
     # every different line once; a line that stands in very many documents leaves each task once
-    lines = staged(spots.groupBy("node").agg(F.min(F.struct("id", "row", "at")).alias("first"), F.first("bands").alias("bands")), "lines")
-    first = lines.select("node", "first")
+    counted = spots.groupBy("a", "b").agg(
+        F.min(F.struct("id", "row", "at")).alias("first"), F.first("bands", ignorenulls=True).alias("bands"), F.count("*").alias("c"))
+    lines = staged(counted.withColumn("node", F.monotonically_increasing_id()), "lines")
     # the set sizes a pair may have aren't looked at before it is verified: band keys tell more
     items = lines.select("node", F.lit(1).alias("n"), "bands")
 
     def lines_of(nodes: DataFrame) -> DataFrame:
         """The text of a line from its first place alone, so that copies don't meet in one task."""
-        owners = first.join(nodes, "node").select("node", F.xxhash64("first.id", "first.row", "first.at").alias("spot"))
-        texts = spots.select("node", F.xxhash64("id", "row", "at").alias("spot"), "line")
-        return texts.join(owners, ["node", "spot"]).select("node", "line").dropDuplicates(["node"])
+        own = lines.join(nodes, "node").groupBy("first.id", "first.row").agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "node")).alias("places"))
+        own = staged(own.select(F.xxhash64("id", "row").alias("spot"), "places"), "places")
+        texts = rows.where("text != ''").select(F.xxhash64("id", "row").alias("spot"), "text")
+        return _lines_at(maybe_in(texts, "spot", own, "spot").join(own, "spot").select("text", "places")).dropDuplicates(["node"])
 
     found = staged(components(links(items, lines_of, like, verified_lines, _sets)), "components")
-    named = staged(first.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "named")
-    # the line that stays, only for components of more than one node; then for every node
-    stays = staged(named.where("component is not null").join(found.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("first").alias("stay")), "stays")
-    nodes = staged(named.join(stays, "component", "left").select("node", F.coalesce("stay", "first").alias("stay")), "stay")
-    own = F.struct("id", "row", "at")
-    gone = spots.join(nodes, "node").where(~own.eqNullSafe(F.col("stay")))
-    dropped = staged(gone.groupBy("id", "row").agg(F.array_sort(F.collect_set("at")).alias("dropped")), "dropped")
-    out = rows.alias("d").join(dropped.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.row") == F.col("g.row")), "left")
+    named = staged(lines.select("a", "b", "c", "node", "first").join(found, "node", "left"), "named")
+    # the line that stays, only for components of more than one node; lines that stand once and by themselves stay anyway
+    stays = staged(named.where("component is not null").groupBy("component").agg(F.min("first").alias("stay")), "stays")
+    nodes = staged(named.where("c > 1 or component is not null").join(stays, "component", "left").select("a", "b", F.coalesce("stay", "first").alias("stay")), "stay")
+    places = maybe_in(spots.select("id", "row", "at", "a", "b"), "a", nodes, "a")
+    gone = places.join(nodes, ["a", "b"]).where(~F.struct("id", "row", "at").eqNullSafe(F.col("stay")))
+    dropped = gone.groupBy("id", "row").agg(F.array_sort(F.collect_set("at")).alias("dropped"))
+    # rows that repeat whole: one of them keeps its lines, the others drop all
+    again = rows.groupBy("id", "row").agg(F.count("*").alias("m")).where("m > 1")
+    marks = staged(dropped.select("id", "row", "dropped", F.lit(None).cast("long").alias("m")).union(again.select("id", "row", F.lit(None).cast("array<int>"), "m"))
+                   .groupBy("id", "row").agg(F.max("dropped").alias("dropped"), F.max("m").alias("m")), "marks")
+    whole = rows.withColumn("parts", F.split("text", "\n"))
     none = F.array().cast("array<int>")
-    out = out.select("d.id", "d.text", F.coalesce("dropped", none).alias("dropped"), F.split("d.text", "\n").alias("parts"))
+    touched = maybe(rows, "row", marks, "row")
+    plain = whole.where(~touched).select("id", "text", "parts", none.alias("dropped"))
+    met = whole.where(touched).alias("d").join(marks.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.row") == F.col("g.row")), "left")
+    met = met.select("d.id", "d.text", "d.parts", F.coalesce("g.dropped", none).alias("dropped"), "g.m")
+    full = F.transform(F.filter(F.transform("parts", lambda x, i: F.struct(i.alias("i"), _bare(x).alias("x"))), lambda p: p["x"] != ""), lambda p: p["i"])
+    one = met.where("m is null").select("id", "text", "parts", "dropped")
+    repeated = met.where("m is not null").groupBy("id", "text", "parts", "dropped").agg(F.count("*").alias("m")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    repeated = repeated.select("id", "text", "parts", F.when(F.col("k") == 1, F.col("dropped")).otherwise(F.coalesce(full, none)).alias("dropped"))
+    out = plain.union(one).union(repeated)
     kept = F.filter("parts", lambda x, i: ~F.array_contains("dropped", i))
     text = F.when(F.col("text").isNull() | (F.size("dropped") == 0), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    full = F.filter("parts", lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != "")
-    return out.select("id", text.alias("text"), F.coalesce(F.size(full).cast("long"), F.lit(0).cast("long")).alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), "dropped")
+    n_lines = F.coalesce(F.size(F.filter("parts", lambda x: _bare(x) != "")).cast("long"), F.lit(0).cast("long"))
+    return out.select("id", text.alias("text"), n_lines.alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), "dropped")
+
+
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
 
 
 @query("op2_fuzzy_line_dedup")

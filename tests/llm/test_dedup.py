@@ -218,6 +218,13 @@ def test_lines_against_brute_force(spark):
         assert got[i].n_lines == sum(j == i for j, _, _ in lines)
 
 
+def test_lines_of_repeated_rows(spark):
+    long = "a line of more than eight characters"
+    got = dedup_lines(docs(spark, [(1, long), (1, long), (2, long), (None, "x\n\ny"), (None, "x\n\ny"), (3, None), (3, None)])).collect()
+    assert sorted((r.id or 0, r.text or "", r.n_lines, r.n_dropped) for r in got) == sorted(
+        [(1, long, 1, 0), (1, "", 1, 1), (2, "", 1, 1), (0, "x\n\ny", 2, 0), (0, "", 2, 2), (3, "", 0, 0), (3, "", 0, 0)])
+
+
 def test_operators_ignore_other_columns(spark):
     clash = docs(spark, [(1, "a b c d e f"), (2, "a b c d e f")]).withColumn("row", F.lit(1)).withColumn("component", F.lit("c")).withColumn("w", F.lit(0))
     assert [r.kept for r in near_groups(clash).orderBy("id").collect()] == [True, False]
