@@ -7,8 +7,9 @@ The automata are dense tables (state x symbol), sent to the executors once.  A t
 texts are cut into segments of ``SEGMENT`` characters (a cut ends the phrase at hand, for every language alike), and numpy steps
 all segments of a batch through the tables together.  Nothing is shuffled and whole texts are read.
 
-Bounds of the fit (documented parameters): per language ``TRAIN_DOCS`` labelled texts with the smallest hash, at most
-``TRAIN_CHARS`` characters each and ``TRAIN_TOTAL`` in all.  A text is null, empty or has no letter: ``und``, score 0.  Ties go to
+Bounds of the fit (documented parameters): per language ``TRAIN_DOCS`` labelled texts that hold a letter, those with the smallest hash, a
+piece of at most ``TRAIN_CHARS`` characters at a hashed place of each and ``TRAIN_TOTAL`` in all.  The tables take at most
+2 * TRAIN_TOTAL states a language times the symbols of all samples, 4 bytes each (14 MB a language for 60 letters).  A text is null, empty or has no letter: ``und``, score 0.  Ties go to
 the language first in alphabetical order.  Rows with null text or null label aren't learned from; with nothing to learn from
 every text is ``und``.  Repeated rows are repeated in the result; other columns don't matter.
 """
@@ -115,7 +116,8 @@ class Model:
             self.starts.append(at + 1)
             at += len(dense)
         # states are kept as row offsets of the flat table, so a step is one addition and one lookup
-        self.flat = (np.concatenate(tables) * self.width).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+        wide = np.int32 if at * self.width < 1 << 31 else np.int64  # many languages or large alphabets: offsets leave 32 bits
+        self.flat = (np.concatenate(tables).astype(wide) * wide(self.width)).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, segments: list[np.ndarray]) -> np.ndarray:
         """Phrases of each segment for each language."""
@@ -128,7 +130,7 @@ class Model:
         counts = np.zeros((len(self.langs), len(segments)), np.int32)
         for row, start in enumerate(self.starts):
             root = start * self.width
-            state, n = np.full(len(segments), root, np.int32), counts[row]
+            state, n = np.full(len(segments), root, self.flat.dtype), counts[row]
             for y, k in enumerate(alive):
                 s, c = state[:k], grid[y, :k]
                 to = self.flat[s + c]
@@ -185,9 +187,11 @@ class Model:
 def training_sample(labelled: DataFrame, text_col: str, lang_col: str, seed_col: str) -> dict[str, list[str]]:
     """The bounded sample.  Every task leaves ``TRAIN_DOCS`` rows a language and part; the parts of a language are cut again on
     their own, so what one task gets in the end doesn't grow with the number of tasks."""
+    # a piece starts at a hashed place of the text, so a beginning that many texts share is no language
+    place = F.pmod(F.xxhash64(text_col, F.lit(1)), F.greatest(F.lit(1), F.char_length(text_col) - TRAIN_CHARS + 1)) + 1
     rows = (
-        labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-        .select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, TRAIN_CHARS).alias("text"), F.xxhash64(seed_col).alias("h"))
+        labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+        .select(F.col(lang_col).alias("lang"), F.substr(F.col(text_col), place.cast("int"), F.lit(TRAIN_CHARS)).alias("text"), F.xxhash64(seed_col).alias("h"))
         .withColumn("part", F.pmod("h", F.lit(PARTS)))
     )
     for keys in (["lang", "part"], ["lang"]):

@@ -148,3 +148,25 @@ def test_both_passes_against_a_plain_version():
             html.append(rng.choice([f"<{tag}>{inner}</{tag}>"] * 4 + [f"<nav><p>{inner}</p></nav>", f"<div class='sidebar'>{inner}</div>", "</article><article>" if article else "<hr>"]))
         page = ("<article>" if article else "") + "".join(html)
         assert hb.main_text(page, stops) == plain_text(hb.blocks(page), stops)
+
+
+def test_language_model_with_many_labels():
+    """200 labels, each with letters of its own and shared ones: the tables' offsets stay apart."""
+    from qacorpus.llm.language_id import Model
+
+    rng = random.Random(13)
+    letters = [chr(0x4E00 + k) for k in range(400)]
+    own = {f"l{k:03d}": letters[2 * k : 2 * k + 2] + ["a", "b"] for k in range(200)}
+    text = lambda k, n: "".join(rng.choice(own[k]) for _ in range(n))
+    model = Model({k: [text(k, 120)] for k in own})
+    names, scores = model.predict([text(k, 60) for k in own] + ["", None, "12 34"])
+    assert names == [*own, "und", "und", "und"] and all(0 < s <= 1 for s in scores[:200])
+
+
+def test_language_sample_is_cut_at_hashed_places(spark):
+    from qacorpus.llm.language_id import TRAIN_CHARS, training_sample
+
+    head = "same header " * 200
+    rows = [(k, head + f"{k} " + chr(97 + k % 26) * 6_000, "xx") for k in range(50)] + [(99, "12 34", "xx"), (98, None, "xx"), (97, "abc", None)]
+    got = training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")["xx"]
+    assert all(len(t) <= TRAIN_CHARS for t in got) and len({t[:20] for t in got}) > 5 and not any(t.startswith("12") for t in got)
