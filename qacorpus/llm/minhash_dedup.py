@@ -26,6 +26,8 @@ from .components import components
 from .near import Threshold, links
 
 WORDS, COORDINATES, ROWS = 5, 128, 4
+#: Sets that a task of the verification remembers.
+KNOWN = 256
 LIKE = Threshold(75, 100)
 
 
@@ -52,15 +54,46 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, node long, n int, h1 long, h2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """``node, items`` of ``node, text``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text.as_py(), words).view(np.int64) for text in batch.column(2)]
+            sets = [shingle_set(text.as_py(), words).view(np.int64) for text in batch.column(1)]
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["node", "items"])
+
+    return texts.mapInArrow(run, "node long, items array<long>")
+
+
+def _verify(words: int):
+    """Pairs whose full sets reach the threshold.  Texts travel with the pairs, less than half of what their sets would take."""
+
+    def verified_texts(pairs: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[int, np.ndarray] = {}
+
+            def set_of(node: int, text: pa.Scalar) -> np.ndarray:
+                if node not in known:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    known[node] = shingle_set(text.as_py(), words)
+                return known[node]
+
+            for batch in batches:
+                keep = []
+                for u, v, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                    a, b = set_of(v, y), set_of(u, x)
+                    keep.append(bool(t.holds(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
+                yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+        pairs = staged(pairs, "pairs")
+        left = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
+        both = left.join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+        return staged(both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "links")
 
-    return docs.mapInArrow(run, "node long, items array<long>")
+    return verified_texts
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, like: Threshold = LIKE) -> DataFrame:
@@ -73,14 +106,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owners = every.select("h1", "h2", "n", F.col("node").alias("spot"), "bands").join(classes, ["h1", "h2", "n", "spot"])
     items = owners.select(F.col("class").alias("node"), "n", "bands").dropDuplicates(["node"])
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
+    def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = staged(classes.select(F.col("class").alias("node"), "spot").join(nodes, "node"), "wanted")
         some = maybe_in(texts.where(F.col("text").isNotNull()).withColumnRenamed("node", "spot"), "spot", wanted, "spot")
-        found = some.join(wanted, "spot").select("id", "node", "text")
-        return _sets(found, words).dropDuplicates(["node"])
+        return some.join(wanted, "spot").groupBy("node").agg(F.first("text").alias("text"))
 
     rows = staged(every.join(classes.select("h1", "h2", "n", "class"), ["h1", "h2", "n"], "left").select("id", "n", "class"), "rows")
-    linked = links(staged(items, "items"), sets_of, like)
+    linked = links(staged(items, "items"), texts_of, like, _verify(words), lambda some: _sets(some, words))
     joined = components(linked.union(shared_ids(rows)))
     named = classes.select(F.col("class").alias("node"), "first").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .base import staged
 from .components import components
 
-SMALL = 32
+SMALL = 8
 PIVOT_ROUNDS = 2
 
 

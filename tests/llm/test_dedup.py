@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from qacorpus.llm import near
+from qacorpus.llm import minhash_dedup, near
 from qacorpus.llm.components import components
 from qacorpus.llm.decontaminate import contamination
 from qacorpus.llm.exact_dedup import exact_groups
@@ -137,8 +137,8 @@ def test_a_shared_passage_makes_few_comparisons(spark, monkeypatch):
     passage = " ".join(f"p{k}" for k in range(86))
     rows = [(k, " ".join(f"u{rng.randrange(10**8)}" for _ in range(18)) + " " + passage) for k in range(10_000)]
     compared = []
-    plain = near.verified
-    monkeypatch.setattr(near_groups.__globals__["links"], "__defaults__", (lambda p, s, t: compared.append(near.staged(p, "p")) or plain(compared[-1], s, t), lambda sets: sets))
+    plain = minhash_dedup._verify(5)
+    monkeypatch.setattr(minhash_dedup, "_verify", lambda words: lambda p, s, t: compared.append(near.staged(p, "p")) or plain(compared[-1], s, t))
     got = near_groups(docs(spark, rows)).where("kept").count()
     assert got == 10_000 and sum(p.count() for p in compared) < 1_000_000
 
