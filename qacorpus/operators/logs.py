@@ -62,9 +62,9 @@ def error_summary(errors: DataFrame, now, kind: str = "error_type", ts: str = "t
     )
 
 
-def error_burst(errors: DataFrame, kind: str = "error_type", ts: str = "ts", minutes: int = 10, more_than: int = 5) -> DataFrame:
-    """LOG5: windows with more errors of a type than allowed.  Works on batch and (watermarked) streams."""
-    w = F.window(ts, f"{minutes} minutes")
+def error_burst(errors: DataFrame, kind: str = "error_type", ts: str = "ts", minutes: int = 10, more_than: int = 5, slide: int | None = None) -> DataFrame:
+    """LOG5: windows (every ``slide`` minutes if given) with more errors of a type than allowed.  Works on batch and (watermarked) streams."""
+    w = F.window(ts, f"{minutes} minutes", f"{slide} minutes" if slide else None)
     return (
         errors.groupBy(w.alias("w"), kind)
         .agg(F.count(F.lit(1)).alias("error_count"))

@@ -116,11 +116,26 @@ def _drift(spark, d):
     )
 
 
-@query("mon4_detect_drift")
+# the p-value is a finite alternating sum, so SQL can say it
+@query(
+    "mon4_detect_drift",
+    f"""WITH d AS (SELECT text, n_chars, quality FROM documents JOIN labels USING (doc_id)),
+ x AS (SELECT 'words' AS feature, {s_nwords('text')} AS v, quality FROM d UNION ALL SELECT 'chars', n_chars, quality FROM d),
+ g AS (SELECT feature, v, count(*) FILTER (WHERE quality = 0) AS a, count(*) FILTER (WHERE quality = 1) AS b FROM x GROUP BY 1, 2),
+ c AS (SELECT feature, v, a, b, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER p AS na, sum(b) OVER p AS nb FROM g
+   WINDOW w AS (PARTITION BY feature ORDER BY v), p AS (PARTITION BY feature)),
+ s AS (SELECT feature, max(na) AS m, max(nb) AS n, max(abs(ca::DOUBLE / na - cb::DOUBLE / nb)) AS st, sum(v * a)::DOUBLE / sum(a) AS rm, sum(v * b)::DOUBLE / sum(b) AS fm FROM c GROUP BY feature),
+ q AS (SELECT *, st * st * m * n / (m + n) AS l FROM s),
+ e AS (SELECT *, CASE WHEN l < 0.01::DOUBLE THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+   2 * list_sum(list_transform(range(1, 201), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * k * k * l))))) END AS p FROM q)
+ SELECT feature, m::BIGINT AS n_recent, n::BIGINT AS n_reference, round(st, 6) AS statistic, round(rm, 6) AS recent_mean, round(fm, 6) AS reference_mean,
+ round(p, 6) AS pvalue, p < 0.05::DOUBLE AS drifted FROM e""",
+)
 def _mon4(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     good, bad = docs.where("quality = 1"), docs.where("quality = 0")
-    return monitoring.detect_drift(bad, good, {"words": word_count(F.col("text")), "chars": F.col("n_chars")})
+    found = monitoring.detect_drift(bad, good, {"words": word_count(F.col("text")), "chars": F.col("n_chars")})
+    return found.select("feature", "n_recent", "n_reference", *[r6(c).alias(c) for c in ("statistic", "recent_mean", "reference_mean", "pvalue")], "drifted")
 
 
 query(

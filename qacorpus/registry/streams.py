@@ -8,7 +8,8 @@ from ..sources import writers
 from ..sources.writers import prediction_log
 from ..session import new_path
 from ..streaming import jobs
-from . import monitoring  # noqa: F401  (registers the alert query first)
+from ..operators.monitoring import should_retrain
+from . import monitoring, retrieval  # noqa: F401  (their queries are registered first)
 from .base import EVENTS, FIXTURE, ORACLES, QA, QUERIES, events, ntz, qa, query, r6, table
 from .splits import RATIOS, STRATIFIED, stratified
 from .texts import LEVELS, pick_sql, rules_sql
@@ -197,3 +198,51 @@ def _alert_log(spark, d):
     path = new_path(spark, "alerts")
     writers.alert_log(QUERIES["mon3_latency_error_alerts"](spark, d), path, "m", "2024-01-30 12:00:00")
     return spark.read.json(path).groupBy("type", "model").agg(F.count(F.lit(1)).alias("n"))
+
+
+query("snk4_prediction_log", f"WITH {EVENTS} SELECT strftime(ts, '%Y%m%d') AS day, count(*) AS n, round(avg(ok), 6) AS accuracy FROM ev GROUP BY 1")(
+    lambda spark, d: _prediction_days(spark, d)
+)
+
+
+def _prediction_days(spark, d):
+    """The log as it lies on disk: a folder of JSON lines a day, appended twice."""
+    folder = new_path(spark, "predictions")
+    rows = events(spark, d).select(
+        F.col("event_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("question"), F.create_map(F.lit("accuracy"), F.col("ok")).alias("metrics"),
+    )
+    for half in (0, 1):
+        prediction_log(rows.where(F.col("event_id") % 2 == half).drop("event_id"), folder)
+    log = spark.read.schema("timestamp timestamp, question string, metrics map<string,double>, day string").json(folder)
+    return log.groupBy("day").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("metrics")["accuracy"])).alias("accuracy"))
+
+
+query("snk5_retrain_log", f"SELECT reasons, 'm' AS model, TIMESTAMP '2024-01-30 12:00:00' AS at FROM ({ORACLES['mon5_should_retrain']}) WHERE retrain")(
+    lambda spark, d: _retrain_log(spark, d)
+)
+
+
+def _retrain_log(spark, d):
+    path = new_path(spark, "retrain")
+    decision = should_retrain(events(spark, d), F.col("ok"), monitoring.at(monitoring.NOW), monitoring.at("2023-12-16 00:00:00"))
+    writers.retrain_log(decision, path, "m", "2024-01-30 12:00:00")
+    written = spark.read.schema("timestamp timestamp, reasons array<string>, model string").json(path)
+    return written.select(F.array_join("reasons", "|").alias("reasons"), "model", ntz("timestamp").alias("at"))
+
+
+query("str7_stream_curate", ORACLES["str7_valid_requests"])(
+    lambda spark, d: jobs.run_available(jobs.curate_stream(
+        stream(spark, d, "conversations").select(
+            "conv_id", "turn", F.when(F.col("role") == "system", "   ").otherwise(F.concat(F.lit(" "), "text", F.lit("\n"))).alias("question"),
+            F.when(F.col("role") == "user", F.col("conv_id").cast("string")).otherwise("").alias("user_id"),
+        )
+    ))
+)
+query(
+    "log5_stream_burst",
+    """WITH b AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) - i * INTERVAL 5 MINUTE AS s, event_type FROM events, range(2) r(i)),
+ w AS (SELECT s, event_type FROM b GROUP BY ALL HAVING count(*) > 1)
+ SELECT DISTINCT event_type, date_trunc('hour', s) AS period FROM w WHERE s + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+)(
+    lambda spark, d: jobs.run_available(jobs.burst_alerts(event_stream(spark, d), "event_type", more_than=1)).select("event_type", ntz("period").alias("period"))
+)

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.classify import emergency_message, emergency_rule, emergency_severity
 from ..functions.text import text_hash
 from ..lexicon import MEDICAL, Profile
+from ..operators.logs import error_burst
 from ..operators.monitoring import ACCURACY_DROP, BASE_ROWS
 from ..operators.staging import compute, keep
 from ..plans.answer import valid_requests
@@ -245,6 +246,20 @@ def curate_stream(requests: DataFrame, question: str = "question", user: str = "
     return valid_requests(requests, question, user)
 
 
+def burst_alerts(
+    errors: DataFrame, kind: str = "error_type", ts: str = "ts", minutes: int = 10, slide: int = 5, more_than: int = 5, delay: str = "1 day",
+    quiet: str = "hour",
+) -> DataFrame:
+    """LOG5 as a stream: sliding windows with more errors of a type than allowed, one alert for each type and ``quiet`` period.
+
+    Windows are counted until the watermark closes them; overlapping windows of one burst raise one alert, known for as long as the
+    watermark allows another of the same period.
+    """
+    counts = error_burst(errors.withWatermark(ts, delay), kind, ts, minutes, more_than, slide)
+    period = counts.select(kind, F.date_trunc(quiet, F.col("window_start")).alias("period"), "window_end")
+    return period.dropDuplicates([kind, "period"]).select(kind, "period")
+
+
 def run_available(stream: DataFrame, mode: str = "append", kind: str = "stream") -> DataFrame:
     """Process what is there, write Parquet under the shared folder, return it as a batch DataFrame.
 
