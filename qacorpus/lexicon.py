@@ -291,6 +291,18 @@ SYNONYMS = {
     "ความดันโลหิตสูง": ("hypertension", "ความดันสูง", "โลหิตสูง"),
     "ไข้หวัดใหญ่": ("influenza", "flu", "ไข้หวัด"),
 }
+# Fixed output texts of the answer template.
+CLARIFY = (
+    "I'm having difficulty identifying a specific condition based on the symptoms you've described.\n\n"
+    "Could you provide more details, such as:\n- When did the symptoms start?\n- How severe are they?\n"
+    "- Are there any other symptoms?"
+)
+RECOMMEND = (
+    "\n**Recommendation:**\nI strongly recommend consulting with a healthcare professional for an accurate "
+    "diagnosis and appropriate treatment plan. Would you like to know more about your symptoms or this condition?"
+)
+LIKELY = ("Based on your symptoms, you likely have **", "**.\n")
+
 ANSWER_FORMS = {
     "Yes": ("yes", "y", "true", "correct", "right", "positive"),
     "No": ("no", "n", "false", "incorrect", "wrong", "negative"),

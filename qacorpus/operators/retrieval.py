@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.common import strip
 from ..functions.text import title_name
+from ..lexicon import CLARIFY, LIKELY, RECOMMEND
 
 # A block of queries is at most this many floats (about 64 MB as float64), whatever the query count.
 QUERY_BLOCK_FLOATS = 8_000_000
@@ -173,24 +174,13 @@ def keyword_search(queries: DataFrame, knowledge: DataFrame, query_id: str = "qu
     return words.join(index, "keyword").groupBy(query_id, id_column).agg(F.count(F.lit(1)).alias("n_keywords"))
 
 
-CLARIFY = (
-    "I'm having difficulty identifying a specific condition based on the symptoms you've described.\n\n"
-    "Could you provide more details, such as:\n- When did the symptoms start?\n- How severe are they?\n"
-    "- Are there any other symptoms?"
-)
-RECOMMEND = (
-    "\n**Recommendation:**\nI strongly recommend consulting with a healthcare professional for an accurate "
-    "diagnosis and appropriate treatment plan. Would you like to know more about your symptoms or this condition?"
-)
-
-
 def answer_template(name: Column, info: Column) -> Column:
     """RET5: clarification request without a name, else name, information and recommendation."""
     about = F.when(
         F.coalesce(info, F.lit("")) != "", F.concat(F.lit("\n**About this condition:**\n"), info, F.lit("\n"))
     ).otherwise("")
     text = F.concat(
-        F.lit("Based on your symptoms, you likely have **"), title_name(name), F.lit("**.\n"), about, F.lit(RECOMMEND)
+        F.lit(LIKELY[0]), title_name(name), F.lit(LIKELY[1]), about, F.lit(RECOMMEND)
     )
     return F.when(F.coalesce(name, F.lit("")) == "", F.lit(CLARIFY)).otherwise(text)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, features, text
 from ..functions.common import NON_WS, WS
+from ..lexicon import ANSWER_FORMS
 from .base import (
     FIXTURE, QA, W_, lit, low_text, qa, qa_low, query, s_all, s_any, s_first, s_hits, s_phrase, s_squeeze, s_steps,
     s_strip, s_sub, s_word, s_words, table, texts,
@@ -115,14 +116,12 @@ ANSWER = """CASE WHEN toxic = 1 AND quality = 1 THEN 'Not Recommended for use' W
  WHEN quality = 1 AND doc_id % 5 = 2 THEN 'unclear' WHEN quality = 1 THEN 'Not sure' WHEN doc_id % 2 = 0 THEN 'FALSE'
  ELSE 'other' END"""
 _LOW = s_strip("lower(x)")
+_FORMS = " ".join(f"WHEN {_LOW} IN ({', '.join(map(lit, forms))}) THEN {lit(name)}" for name, forms in ANSWER_FORMS.items())
 query(
     "txt4_normalize_answer",
     f"""SELECT doc_id, CASE WHEN contains({_LOW}, 'not recommended') THEN 'Not recommended'
  WHEN contains({_LOW}, 'recommended') THEN 'Recommended'
- WHEN {_LOW} IN ('yes','y','true','correct','right','positive') THEN 'Yes'
- WHEN {_LOW} IN ('no','n','false','incorrect','wrong','negative') THEN 'No'
- WHEN {_LOW} IN ('maybe','possibly','uncertain','unclear','depends') THEN 'Uncertain'
- WHEN {_LOW} IN ('unknown','not known','not sure') THEN 'Unknown' ELSE x END AS x
+ {_FORMS} ELSE x END AS x
  FROM (SELECT doc_id, {ANSWER} AS x FROM labels)""",
 )(
     lambda spark, d: table(spark, d, "labels").select("doc_id", text.normalize_answer(F.expr(ANSWER)).alias("x"))

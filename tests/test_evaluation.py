@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from qacorpus.operators import evaluation as ev
 from qacorpus.operators import learning, matching, profiling
 
+# Labels and matrix of a stored evaluation.
 LABELS = ["Cardiovascular", "Emergency", "Endocrine", "Gastrointestinal", "Infection", "Mental_Health", "Musculoskeletal",
           "Neurological", "Other", "Preventive", "Respiratory"]
 MATRIX = """
