@@ -265,9 +265,10 @@ SYMBOLS = [f"s{k}" for k in range(DEPTH)]
 
 
 def subtrees(docs: DataFrame, seed: int, starts: np.ndarray, heavy: list[np.ndarray], frequent, prefixes) -> DataFrame:
-    """Nodes of the suffix tree with ``LEAST`` occurrences or more: ``s0 .. s4`` (null behind the end), ``d`` words, count ``a``.
+    """Nodes of the suffix tree with ``LEAST`` occurrences or more: ``symbols``, ``d`` words, count ``a``.
 
-    ``starts`` has the first prefix key of each group.
+    ``starts`` has the first prefix key of each group.  A task sends each group one block of its different suffixes and their counts; over
+    all tasks that is at most one suffix for every word of the corpus, and at most the frequent paths once for each task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,16 +287,23 @@ def subtrees(docs: DataFrame, seed: int, starts: np.ndarray, heavy: list[np.ndar
 
     def leaves(columns: list[np.ndarray]) -> pa.RecordBatch:
         order, first = _groups(prefix_key(columns[:DEPTH]), *columns[:DEPTH])
-        at = order[first]
+        at, counts = order[first], np.diff(np.append(first, len(order)))
+        by = np.argsort(columns[-2][at], kind="stable")
+        at, counts = at[by], counts[by]
+        group = columns[-2][at]
+        cut = np.flatnonzero(np.diff(group, prepend=-1))
+        symbols, prefix = np.stack([s[at] for s in columns[:DEPTH]], axis=1), columns[-1][at].astype(np.int8)
+        spans = list(zip(cut, np.append(cut[1:], len(at))))
         return pa.RecordBatch.from_arrays(
-            [*(pa.array(s[at].view(np.int64)) for s in columns[:DEPTH]), pa.array(columns[-2][at].astype(np.int32)), pa.array(columns[-1][at].astype(np.int8)),
-             pa.array(np.diff(np.append(first, len(order))))], names=[*SYMBOLS, "subtree", "prefix", "c"])
+            [pa.array(group[cut].astype(np.int32)), *(pa.array([part[a:b].tobytes() for a, b in spans], pa.binary()) for part in (symbols, prefix, counts.astype(np.int64)))],
+            names=["subtree", "symbols", "prefixes", "counts"])
 
     def subtree(block: pa.Table) -> pa.Table:
-        columns = [block.column(k).to_numpy() for k in SYMBOLS]
+        read = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in block.column(name)])
+        columns = list(read("symbols", np.int64).reshape(-1, DEPTH).T)
         order = np.lexsort(columns[::-1])
         columns = [c[order] for c in columns]
-        prefix, c = block.column("prefix").to_numpy()[order], block.column("c").to_numpy()[order]
+        prefix, c = read("prefixes", np.int8)[order], read("counts", np.int64)[order]
         total = np.concatenate([[0], np.cumsum(c)])
         new, out = np.zeros(len(c), bool), []
         new[0] = True
@@ -311,7 +319,7 @@ def subtrees(docs: DataFrame, seed: int, starts: np.ndarray, heavy: list[np.ndar
         return pa.table({name: pa.array(x) for name, x in zip([*SYMBOLS, "d", "a"], joined)})
 
     types = ", ".join(f"{k} long" for k in SYMBOLS)
-    nodes = docs.mapInArrow(run, f"{types}, subtree int, prefix byte, c long").groupBy("subtree").applyInArrow(subtree, f"{types}, d long, a long")
+    nodes = docs.mapInArrow(run, "subtree int, symbols binary, prefixes binary, counts binary").groupBy("subtree").applyInArrow(subtree, f"{types}, d long, a long")
     nodes = nodes.groupBy(*SYMBOLS, "d").agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
     return nodes.select(F.slice(F.array(*SYMBOLS), 1, F.col("d").cast("int")).alias("symbols"), F.col("d").cast("int").alias("d"), "a")
 
