@@ -137,8 +137,17 @@ def standardize_units(c: Column, strict: bool = False) -> Column:
     return let(c, body)
 
 
+# letters whose capital in full is several letters (sharp s: SS) but that have a capital of their own
+_OWN_CAPITAL = {"ß": "ẞ"} | {c: c.title() for c in map(chr, range(0x1F80, 0x1FFD)) if len(c.upper()) > 1 and len(c.title()) == 1}
+
+
 def capitalize(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 2147483647)))
+    """First letter in capitals, the rest in small letters, one for one: letters never become several, and a sigma is the same at the end."""
+    first = F.substring(c, 1, 1)
+    capital = F.upper(first)
+    own = F.translate(first, "".join(_OWN_CAPITAL), "".join(_OWN_CAPITAL.values()))
+    rest = F.lower(F.translate(F.substring(c, 2, 2147483647), "Σİ", "σi"))
+    return F.concat(F.when(F.char_length(capital) > 1, own).otherwise(capital), rest)
 
 
 def fix_grammar(c: Column) -> Column:

@@ -125,3 +125,17 @@ def test_small_projections(values, pairs, spark):
     assert values(lambda c: text.prompt_format(c, "answer"), ["x"]) == ["answer: x"]
     df = spark.createDataFrame([("it is fine",)], "t string")
     assert df.select(text.capitalize(F.col("t"))).first()[0] == "It is fine"
+
+
+def test_capitals_letter_by_letter(spark):
+    """As the SQL has it: a capital is one letter, also that of a sharp s or a ligature."""
+    import duckdb
+
+    texts = ["ßein. ßAU", "ŉa", "ﬁx", "ᾳΣ", "aΣ. ΣΣ", "xİ", "ᾈB", "éÀ", "dž"]
+    sql = "SELECT upper(s[1]) || lower(s[2:]) FROM (SELECT unnest(?::VARCHAR[]) AS s)"
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.capitalize(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [r[0] for r in duckdb.execute(sql, [texts]).fetchall()]
+
+
+def test_sentences_that_begin_with_a_sharp_s(values):
+    assert values(text.fix_grammar, ["ein. ßein. ßpf", "ßein"]) == ["Ein. ẞein. ẞpf", "ẞein"]
