@@ -139,3 +139,7 @@ def test_capitals_letter_by_letter(spark):
 
 def test_sentences_that_begin_with_a_sharp_s(values):
     assert values(text.fix_grammar, ["ein. ßein. ßpf", "ßein"]) == ["Ein. ẞein. ẞpf", "ẞein"]
+
+
+def test_comprehensive_clean_keeps_sharp_s(values):
+    assert values(text.comprehensive_clean, ["ein wort. ßau und ßein"]) == ["Ein wort. ẞau und ßein."]
