@@ -6,15 +6,16 @@ one-by-one scan, but no pair list is ever built:
 1. Exact copies of the normalised text are combined first (a hot text becomes one row).
 2. The remaining texts are sorted by length and cut into tiles of bounded size.  Similarity above ``t``
    forces ``min(len)/max(len) > t/(2-t)``, so a tile only meets tiles inside that length window.
-3. In a (target tile, source tile) task an inverted index of runs of three characters finds the sources that share
-   as many of them with a target as the threshold asks for, rare runs first, so the lists of common runs make no
-   candidates.  A bound on shared characters comes next.  Survivors are tested earliest first against the longest common subsequence (bit-parallel, many times faster than ``difflib``, and
-   never below its matches), then with ``difflib``; the search for a target stops at its first hit.  A
-   task therefore returns at most one row per target, however many near copies there are.
+3. In a (target tile, source tile) task a bound on shared characters comes first.  The pairs it leaves go, thousands at a
+   time, through longest common subsequences of the texts cut down to a few letters, rare letters first: what these leave
+   unmatched adds up over disjoint groups of letters, and most pairs are over the limit after a group or two.  Survivors are
+   tested earliest first against the longest common subsequence of the whole texts (never below ``difflib``'s matches), then
+   with ``difflib``; the search for a target stops at its first hit.  A task therefore returns at most one row per target,
+   however many near copies there are.
 4. Rows without an earlier neighbour are kept, rows whose earliest neighbour is kept are dropped, and the
    few undecided rows go round again against the newly kept ones until none is left.
 
-All bounds hold for every pair above the threshold, so nothing is missed, and no pair is made that shares too few runs.
+All bounds hold for every pair above the threshold, so nothing is missed.
 The texts of a length window still meet in tile pairs: at 0.9 of difflib a run of about five characters is all
 that two similar texts surely share, so no shorter list of partners is exact.
 """
@@ -35,7 +36,8 @@ from .dedupe import first_per_key
 from .ordering import running_totals
 
 TILE_WEIGHT = 2_000_000  # characters + 1000 per row: at most 2,000 rows or 2 MB of text in a tile
-_CHAR_BINS, _GRAM = 64, 3
+_GROUPS, _CHAR_BINS = 8, 16  # groups of letters, bins of characters in each
+_BATCH = 16384  # pairs looked at together: arrays that stay in the cache
 
 
 def normalized_question(c):
@@ -43,63 +45,121 @@ def normalized_question(c):
     return F.regexp_replace(normalize_key(c), rf"[^\p{{L}}\p{{N}}_{WS_INNER}]", "")
 
 
-def _char_bags(texts: list[str]) -> np.ndarray:
-    """Counts of characters, hashed into bins (merging only raises a minimum sum)."""
-    chars = np.zeros((len(texts), _CHAR_BINS), np.int32)
-    for i, t in enumerate(texts):
-        chars[i] = np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % _CHAR_BINS, minlength=_CHAR_BINS)
+def _codes(texts: list[str], letters: np.ndarray) -> list[np.ndarray]:
+    """Every text as the places of its characters in the sorted array ``letters``."""
+    return [np.searchsorted(letters, np.frombuffer(t.encode("utf-32-le"), np.uint32)) for t in texts]
+
+
+def _letter_groups(counts: np.ndarray) -> list[np.ndarray]:
+    """The alphabet in groups of some ``1 / _GROUPS`` of all characters each, rare letters first."""
+    order = np.argsort(counts, kind="stable")
+    ends = np.cumsum(counts[order]) * _GROUPS // max(1, int(counts.sum()))
+    return [g for g in np.split(order, np.flatnonzero(np.diff(ends)) + 1) if len(g)]
+
+
+def _char_bags(codes: list[np.ndarray], groups: list[np.ndarray], n_letters: int) -> np.ndarray:
+    """(group * bins + bin, text): counts of characters, dealt into bins by group (merging only raises a minimum sum)."""
+    bins = np.zeros(n_letters, np.int64)
+    for g, group in enumerate(groups):
+        bins[group] = g * _CHAR_BINS + np.arange(len(group)) % _CHAR_BINS
+    chars = np.zeros((len(groups) * _CHAR_BINS, len(codes)), np.int32)
+    for i, c in enumerate(codes):
+        chars[:, i] = np.bincount(bins[c], minlength=len(chars))
     return chars
 
 
-def _grams(text: str) -> np.ndarray:
-    """The text's runs of ``_GRAM`` characters, each with its how-manieth occurrence: sets of these share what the multisets share.
+class _Subsequences:
+    """Longest common subsequences of many (target, source) pairs at once, both texts cut down to one group of letters.
 
-    64-bit hashes; two that meet only raise a count.
+    The bit-vector recurrence of :func:`_common_subsequence` in 64-bit words, one array over all pairs for each word.
     """
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    if len(codes) < _GRAM:
-        return np.zeros(0, np.uint64)
-    gram = np.sort((codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:])
-    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    again = np.arange(len(gram)) - np.repeat(first, np.diff(np.append(first, len(gram))))
-    h = gram * np.uint64(0x9E3779B97F4A7C15) + again.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return h ^ (h >> np.uint64(29))
-
-
-class _GramIndex:
-    """Inverted lists of the grams of some texts: which texts hold a gram, so only texts that share one are ever looked at."""
-
-    def __init__(self, texts: list[str]):
-        grams = [_grams(t) for t in texts]
-        flat, owner = np.concatenate([np.zeros(0, np.uint64), *grams]), np.repeat(np.arange(len(texts)), [len(g) for g in grams])
-        order = np.argsort(flat, kind="stable")
-        self.keys, self.owner, self.size = flat[order], owner[order], len(texts)
-
-    def sharing(self, text: str, upto: int, need: np.ndarray) -> np.ndarray:
-        """The first ``upto`` texts that share at least ``need`` grams (one number each) with this one.
-
-        The rarest grams go first: a text that shares ``k`` of ``n`` grams holds one of the ``n - k + 1`` rarest ones, so the lists of
-        the commonest grams only add to texts found before.
-        """
-        grams = _grams(text)
-        low, high = np.searchsorted(self.keys, grams), np.searchsorted(self.keys, grams, side="right")
-        order = np.argsort(high - low)
-        low, high = low[order], high[order]
-        least = max(1, int(np.ceil(need.min())))
-        rare = max(0, len(grams) - least + 1)
-        found = np.zeros(self.size, bool)
-        found[self._owners(low[:rare], high[:rare])] = True
-        found = np.flatnonzero(found[:upto])
-        if not len(found):
-            return found
-        place = np.full(self.size, -1)
-        place[found] = np.arange(len(found))
-        at = place[self._owners(low, high)]
-        return found[np.bincount(at[at >= 0], minlength=len(found)) >= need[found]]
-
-    def _owners(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        sizes = high - low
-        return self.owner[np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+    def __init__(self, targets: list[np.ndarray], sources: list[np.ndarray], group: np.ndarray, n_letters: int):
+        number = np.zeros(n_letters, np.int64)  # 0: not of this group
+        number[group] = np.arange(1, len(group) + 1)
+        mine = [(c := number[t])[c > 0] for t in targets]
+        others = [(c := number[t])[c > 0] for t in sources]
+        self.t_len, self.s_len = np.array([len(c) for c in mine]), np.array([len(c) for c in others])
+        self.width = len(group) + 1
+        self.masks = np.zeros((max(1, -(-int(self.t_len.max()) // 64)), len(targets) * self.width), np.uint64)
+        for i, c in enumerate(mine):
+            at = np.arange(len(c))
+            np.bitwise_or.at(self.masks, (at >> 6, i * self.width + c), np.uint64(1) << (at & 63).astype(np.uint64))
+        self.steps = np.zeros((int(self.s_len.max()), len(sources)), np.int64)
+        for j, c in enumerate(others):
+            self.steps[: len(c), j] = c
+
+    def unmatched(self, t: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Letters of the group outside the longest common subsequence, both texts together."""
+        out = self.t_len[t] + self.s_len[s]
+        need = -(-self.t_len[t] // 64)
+        for words in np.unique(need[need > 0]):
+            at = np.flatnonzero(need == words)
+            at = at[np.argsort(-self.s_len[s[at]], kind="stable")]  # long sources first: the short ones end earlier
+            out[at] -= 2 * self._common(t[at], s[at], int(words))
+        return out
+
+    def _common(self, t: np.ndarray, s: np.ndarray, words: int) -> np.ndarray:
+        state = np.full((words, len(t)), ~np.uint64(0))
+        base, sizes, top = t * self.width, -self.s_len[s], np.uint64(63)
+        room = np.empty((3, len(t)), np.uint64)
+        for k, live in enumerate(np.searchsorted(sizes, -np.arange(int(-sizes[0])), side="left")):
+            hit, total, carry = room[:, :live]
+            at = base[:live] + self.steps[k][s[:live]]
+            for w in range(words):
+                old = state[w, :live]
+                np.take(self.masks[w], at, out=hit, mode="clip")
+                hit &= old
+                np.add(old, hit, out=total)
+                if w:
+                    total += carry
+                if w + 1 < words:
+                    np.bitwise_and(old, ~total, out=carry)
+                    carry |= hit
+                    carry >>= top
+                old ^= hit
+                old |= total
+        return np.bitwise_count(~state).sum(axis=0, dtype=np.int64)
+
+
+class _PairFilter:
+    """Drops pairs that can't be similar.
+
+    A common subsequence stays one when both texts are cut down to some letters, so the letters left unmatched in disjoint groups
+    add up to no more than those left unmatched in the whole texts.  A group not looked at yet counts with the differences of its
+    letters' numbers, which are unmatched in any case.  Groups are looked at until a pair is over its limit.
+    """
+
+    def __init__(self, targets: list[np.ndarray], sources: list[np.ndarray], n_letters: int):
+        # commonest letters, whose groups tell least, come last: most pairs never get there
+        self.groups = _letter_groups(np.bincount(np.concatenate([*targets, *sources]), minlength=n_letters))
+        self.t_chars, self.s_chars = (_char_bags(x, self.groups, n_letters) for x in (targets, sources))
+        self.made: list[_Subsequences] = []
+        self.data = targets, sources, n_letters
+
+    def shared(self, i: int, upto: int, out: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Characters that a target shares with each of the first ``upto`` sources, whatever their order."""
+        out, part = out[:upto], part[:upto]
+        out[:] = 0
+        for row, n in zip(self.s_chars, self.t_chars[:, i]):
+            if n:
+                out += np.minimum(row[:upto], n, out=part)
+        return out
+
+    def __call__(self, t: np.ndarray, s: np.ndarray, unmatched: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Places of the pairs that may leave fewer than ``limit`` characters unmatched; ``unmatched`` is what their bags leave."""
+        alive, spent = np.arange(len(t)), unmatched.copy()
+        for i, group in enumerate(self.groups):
+            if not len(alive):
+                break
+            if i == len(self.made):
+                self.made.append(_Subsequences(*self.data[:2], group, self.data[2]))
+            at, bt = t[alive], s[alive]
+            for k in range(i * _CHAR_BINS, i * _CHAR_BINS + min(len(group), _CHAR_BINS)):
+                spent[alive] -= np.abs(self.t_chars[k][at] - self.s_chars[k][bt])
+            spent[alive] += self.made[i].unmatched(at, bt)
+            alive = alive[spent[alive] < limit[alive]]
+        return alive
 
 
 def _positions(text: str) -> dict[str, int]:
@@ -128,40 +188,60 @@ def _compare(threshold: float, autojunk: bool):
         sources = group[~group["is_target"]].sort_values("ord")
         out = []
         if len(targets) and len(sources):
-            t_chars, s_chars = _char_bags(targets["norm"].tolist()), _char_bags(sources["norm"].tolist())
-            s_ord, s_len = sources["ord"].to_numpy(), sources["len"].to_numpy()
-            s_norm, s_kept = sources["norm"].tolist(), sources["kept"].to_numpy()
-            index = _GramIndex(s_norm)
+            t_norm, s_norm = targets["norm"].tolist(), sources["norm"].tolist()
+            letters = np.unique(np.frombuffer("".join([*t_norm, *s_norm]).encode("utf-32-le"), np.uint32))
+            t_codes, s_codes = _codes(t_norm, letters), _codes(s_norm, letters)
+            t_ord, s_ord = targets["ord"].to_numpy(), sources["ord"].to_numpy()
+            t_len, s_len = targets["len"].to_numpy(), sources["len"].to_numpy()
+            s_kept = sources["kept"].to_numpy()
             any_kept = bool(s_kept.any())
-            for i, (o, n, text) in enumerate(zip(targets["ord"], targets["len"], targets["norm"])):
-                earlier = int(np.searchsorted(s_ord, o))
-                total = s_len[:earlier] + n
-                # M matched characters lie in at most total-2M+1 runs and a run of m holds m-2 grams, so at least
-                # M-2(total-2M+1) grams are shared, and M > threshold/2 * total
-                need = (2.5 * threshold - 2.0) * total - 2.0
-                if not earlier:
-                    continue
-                # the shortest texts need no shared gram at all
-                cand = np.union1d(index.sharing(text, earlier, np.maximum(need, 1.0)), np.flatnonzero(need <= 0))
-                shared = np.minimum(s_chars[cand], t_chars[i]).sum(axis=1)
-                cand = cand[2.0 * shared > threshold * total[cand]]
-                first = None
-                dropped = False
-                masks = _positions(text) if len(cand) else {}
+            may = _PairFilter(t_codes, s_codes, len(letters))
+            before = np.searchsorted(s_ord, t_ord)
+
+            def search(i: int, cand: np.ndarray):
+                """The target's earliest hit, or whether it hits a kept text."""
+                n, text, masks, first = int(t_len[i]), t_norm[i], _positions(t_norm[i]), None
                 for j in cand:
                     if first is not None and not s_kept[j]:
                         continue
-                    if 2.0 * _common_subsequence(masks, int(n), s_norm[j]) <= threshold * (n + s_len[j]):
+                    if 2.0 * _common_subsequence(masks, n, s_norm[j]) <= threshold * (n + s_len[j]):
                         continue
                     if SequenceMatcher(None, text, s_norm[j], autojunk).ratio() > threshold:
                         if s_kept[j]:
-                            dropped = True
-                            break
+                            return True, None
                         first = int(s_ord[j])
                         if not any_kept:
                             break
-                if dropped or first is not None:
-                    out.append((o, dropped, first))
+                return None if first is None else (False, first)
+
+            def search_all(batch: list[tuple[int, np.ndarray, np.ndarray]]):
+                t = np.repeat([i for i, _, _ in batch], [len(c) for _, c, _ in batch])
+                s, unmatched = (np.concatenate([b[k] for b in batch]) for k in (1, 2))
+                # 2M > threshold * total, so fewer than this many characters are unmatched (the one is for rounding)
+                good = may(t, s, unmatched, (1.0 - threshold) * (t_len[t] + s_len[s]) + 1.0)
+                t, s = t[good], s[good]
+                starts = np.flatnonzero(np.diff(t, prepend=-1))
+                for i, cand in zip(t[starts], np.split(s, starts[1:])):
+                    hit = search(i, cand)
+                    if hit is not None:
+                        out.append((int(t_ord[i]), *hit))
+
+            batch, size = [], 0
+            scratch = np.empty(len(s_norm), np.int32), np.empty(len(s_norm), np.int32)
+            for i, earlier in enumerate(before):
+                if not earlier:
+                    continue
+                total = s_len[:earlier] + t_len[i]
+                shared = may.shared(i, earlier, *scratch)
+                cand = np.flatnonzero(2.0 * shared > threshold * total)
+                if len(cand):
+                    batch.append((i, cand, total[cand] - 2 * shared[cand]))
+                    size += len(cand)
+                if size >= _BATCH:
+                    search_all(batch)
+                    batch, size = [], 0
+            if batch:
+                search_all(batch)
         found = pd.DataFrame(out, columns=["ord", "hit_kept", "earliest"])
         return found.astype({"ord": "int64", "hit_kept": "bool", "earliest": "Int64"})
 

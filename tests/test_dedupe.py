@@ -4,6 +4,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
 from qacorpus.operators import dedupe, fuzzy
@@ -91,3 +92,23 @@ def test_fuzzy_hot_group_of_near_copies(spark):
     base = "how should somebody treat a cold that has lasted for many weeks without any fever number "
     texts = [base + str(i) for i in range(400)] + ["something else entirely " + "xyz" * 5]
     assert kept(fuzzy.dedupe_fuzzy(frame(spark, texts), tile_weight=100_000)) == [0, 400]
+
+
+def test_the_pair_filter_loses_no_pair_and_makes_few():
+    """Long unrelated texts of one vocabulary share their runs of three characters; the filter must still tell them apart."""
+    texts = corpus(5, 60, 300) + corpus(6, 20, 8) + ["", "a"]
+    letters = np.unique(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32))
+    codes = fuzzy._codes(texts, letters)
+    t, s = (x.ravel() for x in np.indices((len(texts), len(texts))))
+    sizes = np.array([len(x) for x in texts])
+    common = np.array([fuzzy._common_subsequence(fuzzy._positions(texts[i]), len(texts[i]), texts[j]) for i, j in zip(t, s)])
+    whole = fuzzy._Subsequences(codes, codes, np.arange(len(letters)), len(letters))
+    assert (whole.unmatched(t, s) == sizes[t] + sizes[s] - 2 * common).all()
+    may = fuzzy._PairFilter(codes, codes, len(letters))
+    room = np.empty((2, len(texts)), np.int32)
+    bags = sizes[t] + sizes[s] - 2 * np.concatenate([may.shared(i, len(texts), *room).copy() for i in range(len(texts))])
+    limit = 0.1 * (sizes[t] + sizes[s]) + 1.0
+    passed = np.zeros(len(t), bool)
+    passed[may(t, s, bags, limit)] = True
+    similar = sizes[t] + sizes[s] - 2 * common < limit
+    assert not (similar & ~passed).any() and passed.sum() < 2 * similar.sum()
