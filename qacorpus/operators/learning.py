@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import time
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StopWordsRemover, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.classify import confidence, confidence_level
 from ..functions.common import let
+from ..session import write_out
 
 
 def tfidf(df: DataFrame, id_column: str, text: str, max_features: int = 1000, stop_words: list[str] | None = None) -> DataFrame:
@@ -37,7 +40,8 @@ def tfidf(df: DataFrame, id_column: str, text: str, max_features: int = 1000, st
     vocabulary = (
         terms.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "term").limit(max_features).select("term")
     )
-    tf = terms.join(F.broadcast(vocabulary), "term").groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # read twice, for the terms' documents and for the weights
+    tf = write_out(terms.join(F.broadcast(vocabulary), "term").groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
     docs = df.agg(F.count(F.lit(1))).scalar()
     freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # <= max_features rows
     weighted = tf.join(F.broadcast(freq), "term").withColumn(
@@ -72,22 +76,45 @@ def predict(model, df: DataFrame) -> DataFrame:
     return IndexToString(inputCol="prediction", outputCol="predicted", labels=labels).transform(model.transform(df))
 
 
+def fit_features(train: DataFrame, text: str = "question", label: str = "label") -> tuple[list, DataFrame]:
+    """The fitted stages before the classifier, and the training rows as vectors.
+
+    Texts are tokenised once: their counts are written, and idf and classifier read those.
+    """
+    index, *count, idf, _ = classifier_pipeline(text=text, label=label).getStages()
+    front = [index.fit(train), *count]
+    counts = write_out(PipelineModel(front).transform(train).select("label_id", "_tf"), "counts")
+    weigh = idf.fit(counts)
+    return [*front, weigh], weigh.transform(counts)
+
+
 def train_text_classifier(train: DataFrame, test: DataFrame, estimator: str = "logistic", text: str = "question", label: str = "label"):
     """ML1: fitted model and test predictions."""
-    model = classifier_pipeline(estimator, text, label).fit(train)
+    classifier = classifier_pipeline(estimator, text, label).getStages()[-1]
+    stages, vectors = fit_features(train, text, label)
+    model = PipelineModel([*stages, classifier.fit(vectors)])
     return model, predict(model, test)
 
 
 def compare_models(train: DataFrame, val: DataFrame, text: str = "question", label: str = "label",
                    estimators=("logistic", "bayes")) -> DataFrame:
-    """ML2: one result row per estimator in the layout that the leaderboard reads."""
-    rows = []
+    """ML2: one result row per estimator in the layout that the leaderboard reads.
+
+    All estimators read the same vectors, which are made with the first one.
+    """
+    rows, made = [], None
     for i, name in enumerate(estimators):
         started = time.time()
         try:
-            model, scored = train_text_classifier(train, val, name, text, label)
-            accuracy = scored.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0]
-            size = model.stages[-1].numFeatures * model.stages[-1].numClasses
+            classifier = classifier_pipeline(name, text, label).getStages()[-1]
+            if made is None:
+                stages, vectors = fit_features(train, text, label)
+                held_out = write_out(PipelineModel(stages).transform(val).select(F.col(label).alias("_label"), "features"), "vectors")
+                made = stages[0].labels, vectors, held_out
+            model = classifier.fit(made[1])
+            scored = IndexToString(inputCol="prediction", outputCol="predicted", labels=made[0]).transform(model.transform(made[2]))
+            accuracy = scored.agg(F.avg((F.col("predicted") == F.col("_label")).cast("double"))).first()[0]
+            size = model.numFeatures * model.numClasses
             rows.append((i, name, "classifier", float(size), accuracy, time.time() - started, "success", None))
         except Exception as err:  # a failing model is a result row, not a failed comparison
             rows.append((i, name, "classifier", None, None, time.time() - started, "failed", str(err)[:200]))
@@ -100,18 +127,25 @@ def compare_models(train: DataFrame, val: DataFrame, text: str = "question", lab
 
 def tune(train: DataFrame, text: str = "question", label: str = "label", reg=(0.001, 0.01, 0.1), elastic=(0.0, 0.5),
          parallelism: int = 2, seed: int = 42) -> DataFrame:
-    """ML3: grid search minimising log loss on a held-out part; one row per trial."""
-    pipeline = classifier_pipeline("logistic", text, label)
-    lr = pipeline.getStages()[-1]
+    """ML3: grid search minimising log loss on a held-out part; one row per trial.
+
+    As Spark's ``TrainValidationSplit``, but the stages before the classifier are fitted once for all trials, not once for each, and the
+    best trial, whose model nobody asks for, is not fitted again on all rows.
+    """
+    lr = classifier_pipeline("logistic", text, label).getStages()[-1]
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg)).addGrid(lr.elasticNetParam, list(elastic)).build()
     metric = MulticlassClassificationEvaluator(labelCol="label_id", metricName="logLoss")
-    search = TrainValidationSplit(
-        estimator=pipeline, estimatorParamMaps=grid, evaluator=metric, trainRatio=0.8, parallelism=parallelism, seed=seed
-    )
-    model = search.fit(train)
+    dealt = write_out(train.withColumn("_rand", F.rand(seed)).select(text, label, "_rand"), "dealt")
+    stages, vectors = fit_features(dealt.where("_rand < 0.8"), text, label)
+    held_out = write_out(PipelineModel(stages).transform(dealt.where("_rand >= 0.8")).select("label_id", "features"), "vectors")
+
+    def trial(g) -> float:
+        return metric.evaluate(lr.fit(vectors, g).transform(held_out))
+
+    with ThreadPool(max(1, min(parallelism, len(grid)))) as pool:
+        losses = pool.map(inheritable_thread_target(train.sparkSession)(trial), grid)
     rows = [
-        (i, float(g[lr.regParam]), float(g[lr.elasticNetParam]), float(v), "COMPLETE")
-        for i, (g, v) in enumerate(zip(grid, model.validationMetrics))
+        (i, float(g[lr.regParam]), float(g[lr.elasticNetParam]), float(v), "COMPLETE") for i, (g, v) in enumerate(zip(grid, losses))
     ]
     return train.sparkSession.createDataFrame(rows, "trial int, reg double, elastic double, value double, state string")
 

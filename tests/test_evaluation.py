@@ -128,3 +128,15 @@ def test_classifier_learns(spark):
     trials = ev.trial_summary(learning.tune(df, reg=(0.01, 0.1), elastic=(0.0,))).first()
     assert trials["successful"] == 2 and trials["best_score"] <= trials["worst_score"]
     assert ev.leaderboard(learning.compare_models(df, df)).first()["n_successful"] == 2
+
+
+def test_texts_are_prepared_once_for_all_models_and_trials(spark, monkeypatch):
+    fits, fit = [], learning.IDF._fit
+    monkeypatch.setattr(learning.IDF, "_fit", lambda self, data: (fits.append(1), fit(self, data))[1])
+    rows = [(f"{'alpha beta' if i % 2 else 'gamma delta'} word{i % 5}", "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "question string, label string")
+    assert learning.tune(df, reg=(0.01, 0.1), elastic=(0.0,)).count() == 2
+    assert len(fits) == 1
+    compared = learning.compare_models(df, df)
+    assert [r["status"] for r in compared.collect()] == ["success"] * 2
+    assert len(fits) == 2
