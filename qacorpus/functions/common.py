@@ -52,6 +52,12 @@ def whole_word(alternatives: Iterable[str]) -> str:
     return f"{WORD_START}(?:{'|'.join(quote(a) for a in alternatives)}){WORD_END}"
 
 
+def whole_word_any_case(alternatives: Iterable[str]) -> str:
+    """Without case the iota below a Greek vowel is the letter iota, so it is part of a word."""
+    word = WORD.replace("_", r"_\x{345}")
+    return f"(?iu)(?<!{word})(?:{'|'.join(quote(a) for a in alternatives)})(?!{word})"
+
+
 def strip(c: Column) -> Column:
     return F.trim(c, F.lit(WS_CHARS))
 

@@ -23,7 +23,7 @@ from .common import (
     sql_text,
     squeeze,
     strip,
-    whole_word,
+    whole_word_any_case,
     words,
 )
 
@@ -165,7 +165,7 @@ def enhance_terms(c: Column, profile: Profile = MEDICAL) -> Column:
     def body(t: Column) -> Column:
         out = t
         for phrase, replacement in profile.phrases.items():
-            out = F.regexp_replace(out, "(?iu)" + whole_word([phrase]), quote_replacement(replacement))
+            out = F.regexp_replace(out, whole_word_any_case([phrase]), quote_replacement(replacement))
         return F.when(_may_hold(t, profile.phrases), out).otherwise(t)
 
     return let(c, body)
@@ -177,7 +177,7 @@ def remove_redundant(c: Column, profile: Profile = MEDICAL) -> Column:
     def body(t: Column) -> Column:
         out = t
         for alternatives in profile.fillers:
-            out = F.regexp_replace(out, "(?iu)" + whole_word(alternatives), "")
+            out = F.regexp_replace(out, whole_word_any_case(alternatives), "")
         return F.when(_may_hold(t, [p for ps in profile.fillers for p in ps]), out).otherwise(t)
 
     return strip(squeeze(let(c, body)))

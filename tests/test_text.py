@@ -1,8 +1,11 @@
 """TXT1-TXT20 with the default profile on hand-written rows."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from qacorpus.functions import text
+from qacorpus.lexicon import MEDICAL
 
 
 def test_clean_text(values):
@@ -141,5 +144,10 @@ def test_sentences_that_begin_with_a_sharp_s(values):
     assert values(text.fix_grammar, ["ein. ßein. ßpf", "ßein"]) == ["Ein. ẞein. ẞpf", "ẞein"]
 
 
+def test_iota_below_a_vowel_is_part_of_a_word_in_any_case(values):
+    profile = replace(MEDICAL, phrases={"to": "towards"}, fillers=(("for",),))
+    assert values(lambda c: text.comprehensive_clean(c, profile), ["go to x\u0345to for x\u0345for"]) == ["Go towards x\u0345to x\u0345for."]
+
+
 def test_comprehensive_clean_keeps_sharp_s(values):
     assert values(text.comprehensive_clean, ["ein wort. ßau und ßein"]) == ["Ein wort. ẞau und ßein."]
