@@ -6,8 +6,10 @@ one-by-one scan, but no pair list is ever built:
 1. Exact copies of the normalised text are combined first (a hot text becomes one row).
 2. The remaining texts are sorted by length and cut into tiles of bounded size.  Similarity above ``t``
    forces ``min(len)/max(len) > t/(2-t)``, so a tile only meets tiles inside that length window.
-3. In a (target tile, source tile) task a bound on shared characters comes first.  The pairs it leaves go, thousands at a
-   time, through longest common subsequences of the texts cut down to a few letters, rare letters first: what these leave
+3. In a (target tile, source tile) task a bound on shared runs of three characters comes first: texts are rows of a matrix of
+   run counts, and one matrix product bounds the shared runs of all pairs.  The pairs it leaves meet a bound on shared
+   characters and go, thousands at a time, through longest common subsequences of the texts cut down to a few letters, rare
+   letters first: what these leave
    unmatched adds up over disjoint groups of letters, and most pairs are over the limit after a group or two.  Survivors are
    tested earliest first against the longest common subsequence of the whole texts (never below ``difflib``'s matches), then
    with ``difflib``; the search for a target stops at its first hit.  A task therefore returns at most one row per target,
@@ -35,9 +37,12 @@ from ..session import write_out
 from .dedupe import first_per_key
 from .ordering import running_totals
 
-TILE_WEIGHT = 2_000_000  # characters + 1000 per row: at most 2,000 rows or 2 MB of text in a tile
+TILE_WEIGHT, ROW_WEIGHT = 4_000_000, 300  # characters + 300 per row: at most 13,000 rows or 4 MB of text in a tile
 _GROUPS, _CHAR_BINS = 8, 16  # groups of letters, bins of characters in each
 _BATCH = 16384  # pairs looked at together: arrays that stay in the cache
+_SEARCH = 1 << 18  # pairs that a filter is built for
+_RUN_COLUMNS = 256, 4096  # least and most columns of the matrices of runs
+_ROWS, _COLUMNS = 256, 4096  # targets and sources in one product
 
 
 def normalized_question(c):
@@ -57,6 +62,78 @@ def _letter_groups(counts: np.ndarray) -> list[np.ndarray]:
     return [g for g in np.split(order, np.flatnonzero(np.diff(ends)) + 1) if len(g)]
 
 
+def _run_length(threshold: float) -> int:
+    """Longest run, up to three characters, of which similar texts surely share enough for :class:`_SharedRuns` to tell."""
+    return 3 if threshold >= 0.85 else 2 if threshold >= 0.75 else 1
+
+
+def _numbered(values: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 for the distinct values below ``upto``, and how often each occurs; by counting where that takes little room."""
+    if upto > 1 << 24:
+        return np.unique(values, return_inverse=True, return_counts=True)[1:]
+    counts = np.bincount(values, minlength=1)
+    return (np.cumsum(counts > 0) - 1)[values], counts[counts > 0]
+
+
+class _SharedRuns:
+    """Upper bounds on the runs of ``q`` characters that pairs of texts share, repeats counted, by matrix products.
+
+    Of a text of n characters with M matched ones at most ``q (n - M)`` runs hold an unmatched character, and the gaps in the other
+    text of m characters part at most ``(q - 1) (m - M)`` more.  So two texts with ``2M > threshold (n + m)`` share more than
+    ``((2q - 1) threshold / 2 - (q - 1)) (n + m) - (q - 1)`` runs.  The k-th occurrence of a run in a text is a feature of its own;
+    features that are rarer share columns, which only raises a product.
+    """
+
+    def __init__(self, targets: list[np.ndarray], sources: list[np.ndarray], n_letters: int, threshold: float):
+        q = self.q = _run_length(threshold)
+        codes = [*targets, *sources]
+        sizes = np.array([len(c) for c in codes])
+        chars, text = np.concatenate(codes).astype(np.int64), np.repeat(np.arange(len(codes)), sizes)
+        n = max(0, len(chars) - q + 1)
+        whole = text[:n] == text[q - 1 :][:n]
+        runs = np.zeros(n, np.int64)
+        for k in range(q):
+            runs = runs * n_letters + chars[k : k + n]
+        text, runs = text[:n][whole], _numbered(runs[whole], n_letters**q)[0]
+        # (text, run) in order, so that an occurrence's number is its distance from the first
+        most = int(runs.max(initial=0)) + 1
+        both = np.sort(text * most + runs)
+        starts = np.flatnonzero(np.diff(both, prepend=-1))
+        number = np.arange(len(both)) - np.repeat(starts, np.diff(np.append(starts, len(both))))
+        text, runs = both // most, both % most
+        feature, counts = _numbered(number * most + runs, most * (int(number.max(initial=0)) + 1))
+        width = 1 << int(np.ceil(np.log2(max(1.0, 4.0 * len(text) / len(codes)))))
+        width = min(max(width, _RUN_COLUMNS[0]), _RUN_COLUMNS[1])
+        own = width - width // 4  # the commonest features have columns of their own
+        place = np.empty(len(counts), np.int64)
+        place[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        place = np.where(place < own, place, own + (place - own) % (width - own))
+        weight = (2 * q - 1) * threshold / 2 - (q - 1)
+        self.rows = np.zeros((len(codes), width + 2), np.float32)
+        np.add.at(self.rows.reshape(-1), text * (width + 2) + place[feature], np.float32(1))
+        # two more columns take what a pair must share from the product
+        t, s = slice(0, len(targets)), slice(len(targets), None)
+        self.rows[t, width], self.rows[t, width + 1] = -weight * sizes[t], 1
+        self.rows[s, width], self.rows[s, width + 1] = 1, -weight * sizes[s]
+        self.targets, self.sources = self.rows[t], self.rows[s]
+
+    def pairs(self, lo: int, hi: int, before: np.ndarray):
+        """(target, source) of the targets ``lo`` to ``hi`` and each one's first ``before`` sources that may be similar, in order."""
+        found = []
+        end = int(before[lo:hi].max(initial=0))
+        for j in range(0, end, _COLUMNS):
+            least = -(self.q - 1) - 0.5  # the half is for rounding
+            t, s = np.nonzero(self.targets[lo:hi] @ self.sources[j : min(j + _COLUMNS, end)].T > least)
+            t, s = t + lo, s + j
+            earlier = s < before[t]
+            found.append((t[earlier], s[earlier]))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        t, s = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(t, kind="stable") if len(found) > 1 else slice(None)
+        return t[order], s[order]
+
+
 def _char_bags(codes: list[np.ndarray], groups: list[np.ndarray], n_letters: int) -> np.ndarray:
     """(group * bins + bin, text): counts of characters, dealt into bins by group (merging only raises a minimum sum)."""
     bins = np.zeros(n_letters, np.int64)
@@ -77,17 +154,22 @@ class _Subsequences:
     def __init__(self, targets: list[np.ndarray], sources: list[np.ndarray], group: np.ndarray, n_letters: int):
         number = np.zeros(n_letters, np.int64)  # 0: not of this group
         number[group] = np.arange(1, len(group) + 1)
-        mine = [(c := number[t])[c > 0] for t in targets]
-        others = [(c := number[t])[c > 0] for t in sources]
-        self.t_len, self.s_len = np.array([len(c) for c in mine]), np.array([len(c) for c in others])
+        (text, c, at, self.t_len), (other, d, step, self.s_len) = (self._cut_down(x, number) for x in (targets, sources))
         self.width = len(group) + 1
         self.masks = np.zeros((max(1, -(-int(self.t_len.max()) // 64)), len(targets) * self.width), np.uint64)
-        for i, c in enumerate(mine):
-            at = np.arange(len(c))
-            np.bitwise_or.at(self.masks, (at >> 6, i * self.width + c), np.uint64(1) << (at & 63).astype(np.uint64))
+        place = (at >> 6) * self.masks.shape[1] + text * self.width + c
+        np.add.at(self.masks.reshape(-1), place, np.uint64(1) << (at & 63).astype(np.uint64))  # every bit once
         self.steps = np.zeros((int(self.s_len.max()), len(sources)), np.int64)
-        for j, c in enumerate(others):
-            self.steps[: len(c), j] = c
+        self.steps[step, other] = d
+
+    @staticmethod
+    def _cut_down(texts: list[np.ndarray], number: np.ndarray):
+        """Text, letter and place of every letter that is left, and the texts' lengths."""
+        c = number[np.concatenate(texts)]
+        left = c > 0
+        text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[left]
+        sizes = np.bincount(text, minlength=len(texts))
+        return text, c[left], np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
 
     def unmatched(self, t: np.ndarray, s: np.ndarray) -> np.ndarray:
         """Letters of the group outside the longest common subsequence, both texts together."""
@@ -146,6 +228,14 @@ class _PairFilter:
                 out += np.minimum(row[:upto], n, out=part)
         return out
 
+    def shared_by(self, t: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """The same for a list of pairs."""
+        out = np.zeros(len(t), np.int32)
+        for of_target, of_source in zip(self.t_chars, self.s_chars):
+            if of_target.any() and of_source.any():
+                out += np.minimum(of_target[t], of_source[s])
+        return out
+
     def __call__(self, t: np.ndarray, s: np.ndarray, unmatched: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Places of the pairs that may leave fewer than ``limit`` characters unmatched; ``unmatched`` is what their bags leave."""
         alive, spent = np.arange(len(t)), unmatched.copy()
@@ -184,7 +274,7 @@ def _compare(threshold: float, autojunk: bool):
     from difflib import SequenceMatcher
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        targets = group[group["is_target"]]
+        targets = group[group["is_target"]].sort_values("ord")  # so that late sources drop out of whole products
         sources = group[~group["is_target"]].sort_values("ord")
         out = []
         if len(targets) and len(sources):
@@ -195,7 +285,8 @@ def _compare(threshold: float, autojunk: bool):
             t_len, s_len = targets["len"].to_numpy(), sources["len"].to_numpy()
             s_kept = sources["kept"].to_numpy()
             any_kept = bool(s_kept.any())
-            may = _PairFilter(t_codes, s_codes, len(letters))
+            bags = _PairFilter(t_codes, s_codes, len(letters))
+            runs = _SharedRuns(t_codes, s_codes, len(letters), threshold)
             before = np.searchsorted(s_ord, t_ord)
 
             def search(i: int, cand: np.ndarray):
@@ -214,11 +305,21 @@ def _compare(threshold: float, autojunk: bool):
                             break
                 return None if first is None else (False, first)
 
-            def search_all(batch: list[tuple[int, np.ndarray, np.ndarray]]):
-                t = np.repeat([i for i, _, _ in batch], [len(c) for _, c, _ in batch])
-                s, unmatched = (np.concatenate([b[k] for b in batch]) for k in (1, 2))
+            def by_characters(t: np.ndarray, s: np.ndarray):
+                total, shared = t_len[t] + s_len[s], bags.shared_by(t, s)
+                good = 2.0 * shared > threshold * total
+                return t[good], s[good], (total - 2 * shared)[good]
+
+            def search_all(t: np.ndarray, s: np.ndarray, unmatched: np.ndarray):
+                # only the texts of these pairs
+                ts, t_at = np.unique(t, return_inverse=True)
+                ss, s_at = np.unique(s, return_inverse=True)
+                may = _PairFilter([t_codes[i] for i in ts], [s_codes[j] for j in ss], len(letters))
+                starts = np.arange(0, len(t), _BATCH)
                 # 2M > threshold * total, so fewer than this many characters are unmatched (the one is for rounding)
-                good = may(t, s, unmatched, (1.0 - threshold) * (t_len[t] + s_len[s]) + 1.0)
+                limit = (1.0 - threshold) * (t_len[t] + s_len[s]) + 1.0
+                good = [may(t_at[a:b], s_at[a:b], unmatched[a:b], limit[a:b]) + a for a, b in zip(starts, starts + _BATCH)]
+                good = np.concatenate(good)
                 t, s = t[good], s[good]
                 starts = np.flatnonzero(np.diff(t, prepend=-1))
                 for i, cand in zip(t[starts], np.split(s, starts[1:])):
@@ -226,22 +327,16 @@ def _compare(threshold: float, autojunk: bool):
                     if hit is not None:
                         out.append((int(t_ord[i]), *hit))
 
-            batch, size = [], 0
-            scratch = np.empty(len(s_norm), np.int32), np.empty(len(s_norm), np.int32)
-            for i, earlier in enumerate(before):
-                if not earlier:
-                    continue
-                total = s_len[:earlier] + t_len[i]
-                shared = may.shared(i, earlier, *scratch)
-                cand = np.flatnonzero(2.0 * shared > threshold * total)
-                if len(cand):
-                    batch.append((i, cand, total[cand] - 2 * shared[cand]))
-                    size += len(cand)
-                if size >= _BATCH:
-                    search_all(batch)
-                    batch, size = [], 0
-            if batch:
-                search_all(batch)
+            held, size = [], 0
+            for lo in range(0, len(t_norm), _ROWS):
+                t, s = runs.pairs(lo, lo + _ROWS, before)
+                for a in range(0, len(t), _BATCH):
+                    held.append(by_characters(t[a : a + _BATCH], s[a : a + _BATCH]))
+                    size += len(held[-1][0])
+                # the pairs of a target stay together
+                if size and (size >= _SEARCH or lo + _ROWS >= len(t_norm)):
+                    search_all(*(np.concatenate(x) for x in zip(*held)))
+                    held, size = [], 0
         found = pd.DataFrame(out, columns=["ord", "hit_kept", "earliest"])
         return found.astype({"ord": "int64", "hit_kept": "bool", "earliest": "Int64"})
 
@@ -299,7 +394,7 @@ def fuzzy_kept(
         F.col(order).cast("bigint").alias("ord"), normalized_question(F.col(column)).alias("norm")
     )
     unique = first_per_key(norm, F.col("norm")).withColumn("len", F.length("norm"))
-    weighted = running_totals(unique, [F.col("len"), F.col("ord")], {"cum": F.col("len") + 1000})
+    weighted = running_totals(unique, [F.col("len"), F.col("ord")], {"cum": F.col("len") + ROW_WEIGHT})
     # small inputs get smaller tiles, so that there are tile pairs for every core
     total = weighted.agg(F.max("cum")).first()[0] or 1
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -112,3 +112,22 @@ def test_the_pair_filter_loses_no_pair_and_makes_few():
     passed[may(t, s, bags, limit)] = True
     similar = sizes[t] + sizes[s] - 2 * common < limit
     assert not (similar & ~passed).any() and passed.sum() < 2 * similar.sum()
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.8, 0.6])
+def test_shared_runs_lose_no_pair_and_leave_few(threshold):
+    """One matrix product over all pairs must pass every similar pair; of unrelated texts it passes few."""
+    texts = corpus(7, 150, 25) + ["", "a", "ab"]
+    letters = np.unique(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32))
+    codes = fuzzy._codes(texts, letters)
+    n = len(texts)
+    t, s = fuzzy._SharedRuns(codes, codes, len(letters), threshold).pairs(0, n, np.arange(n))
+    passed = set(zip(t.tolist(), s.tolist()))
+    similar = set()
+    for i in range(n):
+        for j in range(i):
+            common = fuzzy._common_subsequence(fuzzy._positions(texts[i]), len(texts[i]), texts[j])
+            if 2 * common > threshold * (len(texts[i]) + len(texts[j])):
+                similar.add((i, j))
+    assert similar and not similar - passed
+    assert threshold < 0.9 or len(passed) < 2 * len(similar) + n
