@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +26,18 @@ def _block_topk(k: int, metric: str):
         if metric == "cosine":
             norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1)[None, :]
             return 1.0 - (q @ d.T) / np.where(norms == 0.0, 1.0, norms)
-        sq = (q * q).sum(1)[:, None] + (d * d).sum(1)[None, :] - 2.0 * (q @ d.T)
-        return np.maximum(sq, 0.0)
+        sq = (-2.0 * q) @ d.T
+        sq += (q * q).sum(1)[:, None]
+        sq += (d * d).sum(1)[None, :]
+        return np.maximum(sq, 0.0, out=sq)
 
-    def best(q_ids, q, d_ids, d):
+    def best(q_ids, q, d_ids, d, bound=None):
+        """``bound``: distances that a query's k nearest don't exceed, where they are known."""
         dist = distances(q, d)
         keep = min(k, len(d_ids))
-        if keep < len(d_ids):
+        if bound is not None:
+            rows, cols = np.nonzero(dist <= bound[:, None] + 1e-9)
+        elif keep < len(d_ids):
             # everything up to the k-th distance (a little slack keeps equal distances together)
             kth = np.partition(dist, keep - 1, axis=1)[:, keep - 1 : keep]
             rows, cols = np.nonzero(dist <= kth + 1e-9)
@@ -46,7 +52,7 @@ def _block_topk(k: int, metric: str):
             part["distance"] = np.einsum("ij,ij->i", diff, diff)
         part = part.sort_values(["q", "distance", "doc_id"]).groupby("q", sort=False).head(k)
         part["query_id"] = np.asarray(q_ids)[part["q"].to_numpy()]
-        return part[["query_id", "doc_id", "distance"]]
+        return part[["q", "query_id", "doc_id", "distance"]]
 
     return best
 
@@ -61,7 +67,8 @@ def vector_topk(
     A query table that fits one block (its size is counted first) travels to the tasks and the documents
     stay where they are.  A larger one is cut into blocks; every block meets every bounded part of the
     documents in a task of its own, and nothing passes through the driver.  Either way two blocks meet as
-    a matrix product and only k rows per query leave a task.
+    a matrix product and only k rows per query leave a task.  All pairs are looked at, so beyond some blocks copies of rows grow
+    with the square of the rows, divided by the rows of a block.
 
     Rows without a vector are in no result; vectors of different widths are an error.
     """
@@ -76,7 +83,7 @@ def vector_topk(
     if count <= per_block:
         out = _scan_with_broadcast(q, d, best, schema, k + int(exclude_self))
     else:
-        out = _block_by_block(q, d, best, schema, per_block)
+        out = _block_by_block(q, d, best, schema, per_block, k + int(exclude_self))
     if exclude_self:
         out = out.where(F.col("query_id") != F.col("doc_id"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "doc_id"))
@@ -103,7 +110,7 @@ def _scan_with_broadcast(q: DataFrame, d: DataFrame, best, schema: str, k: int)
         for batch in it:
             for i in range(0, len(batch) if len(q_ids) else 0, step):
                 piece = batch.iloc[i : i + step]
-                found = best(q_ids, q_vecs, piece["doc_id"].to_numpy(), _matrix(piece["embedding"]))
+                found = best(q_ids, q_vecs, piece["doc_id"].to_numpy(), _matrix(piece["embedding"]))[["query_id", "doc_id", "distance"]]
                 so_far = found if so_far is None else _first_k(pd.concat([so_far, found]), k)
         if so_far is not None:
             yield so_far
@@ -111,10 +118,15 @@ def _scan_with_broadcast(q: DataFrame, d: DataFrame, best, schema: str, k: int)
     return d.mapInPandas(scan, schema)
 
 
-def _block_by_block(q: DataFrame, d: DataFrame, best, schema: str, per_block: int) -> DataFrame:
-    per_block = min(per_block, 2_000)
-    blocks = max(1, -(-q.count() // per_block))
-    parts = max(1, -(-d.count() // 2_000))
+def _grid(rows: int, per_block: int, cores: int) -> int:
+    """Blocks that a side is cut into: enough for three pairs of blocks a core, and none above ``per_block`` rows."""
+    return max(1, -(-rows // per_block), min(math.ceil(math.sqrt(3 * cores)), -(-rows // 2_000)))
+
+
+def _block_by_block(q: DataFrame, d: DataFrame, best, schema: str, per_block: int, k: int) -> DataFrame:
+    """Every row is copied once for each block of the other side, so blocks are as large as a task may hold."""
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    blocks, parts = _grid(q.count(), per_block, cores), _grid(d.count(), per_block, cores)
     every_part, every_block = F.sequence(F.lit(0), F.lit(parts - 1)), F.sequence(F.lit(0), F.lit(blocks - 1))
     left = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("p", F.explode(every_part))
     right = d.withColumn("p", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).withColumn("b", F.explode(every_block))
@@ -122,9 +134,24 @@ def _block_by_block(q: DataFrame, d: DataFrame, best, schema: str, per_block: in
     def meet(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or ds.empty:
             return pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
-        return best(qs["query_id"].to_numpy(), _matrix(qs["embedding"]), ds["doc_id"].to_numpy(), _matrix(ds["embedding"]))
-
-    return left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(meet, schema)
+        q_ids, q_vecs, d_ids, d_vecs = qs["query_id"].to_numpy(), _matrix(qs["embedding"]), ds["doc_id"].to_numpy(), _matrix(ds["embedding"])
+        out = []
+        for i in range(0, len(q_ids), 500):
+            ids, vecs = q_ids[i : i + 500], q_vecs[i : i + 500]
+            # the first documents bound what is looked at in the others
+            found, bound = [best(ids, vecs, d_ids[:4_000], d_vecs[:4_000])], None
+            for j in range(4_000, len(d_ids), 4_000):
+                if bound is None:
+                    bound = found[0].groupby("q")["distance"].max().to_numpy()
+                found.append(best(ids, vecs, d_ids[j : j + 4_000], d_vecs[j : j + 4_000], bound))
+            part = pd.concat(found).sort_values(["q", "distance", "doc_id"])
+            out.append(part.groupby("q", sort=False).head(k))
+        return pd.concat(out)[["query_id", "doc_id", "distance"]]
+
+    # pairs of blocks are few and heavy: an explicit count keeps adaptive execution from merging them
+    tasks = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * blocks * parts)
+    left, right = (x.repartition(tasks, "b", "p").groupBy("b", "p") for x in (left, right))
+    return left.cogroup(right).applyInPandas(meet, schema)
 
 
 def source_refs(df: DataFrame, content: str = "content", topic: str = "topic", category: str = "category") -> DataFrame:
