@@ -90,7 +90,7 @@ def _dedupe(spark, d):
     )
     end = F.struct(F.lit(-1).cast("long").alias("doc_id"), F.lit("the end").alias("question"), F.timestamp_seconds(F.lit(END)).alias("at"))
     closing = F.when(F.col("doc_id") == 0, F.array(F.struct("doc_id", "question", "at"), end)).otherwise(F.array(F.struct("doc_id", "question", "at")))
-    out = jobs.run_available(jobs.dedupe_stream(rows.select(F.inline(closing)), "at", tie="doc_id", delay="1 day"))
+    out = jobs.run_available(jobs.dedupe_stream(rows.select(F.inline(closing)), "at", tie="doc_id", delay="1 day", carry=("doc_id", "at")))
     return out.where("doc_id >= 0").select("doc_id", F.unix_seconds("at").alias("at_second"))
 
 

@@ -123,41 +123,46 @@ class _FirstOfKey(StatefulProcessor):
         self.best = handle.getValueState("best", T.StructType([T.StructField("at", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("row", T.StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best = tuple(self.best.get()) if self.best.exists() else None
-        if best is not None and best[0] // 1000 + self.hold_ms <= timerValues.getCurrentWatermarkInMs():
+        # every call on state or timers is a round trip, so none is made that the state already answers
+        known = self.best.get()
+        timer = None if known is None else known[0] // 1000 + self.hold_ms
+        best = before = None if known is None else tuple(known)
+        if timer is not None and timer <= timerValues.getCurrentWatermarkInMs():
             yield pd.DataFrame({"row": [best[2]]})  # its timer is due: input comes before timers
-            best = None
+            best = before = None
             self.best.clear()
-        before = best
         for chunk in (c for c in rows if len(c)):  # a chunk without rows has no columns
             for at, tie, row in zip(chunk["at_us"], chunk["order_id"], chunk["packed"]):
                 if best is None or (at, tie) < best[:2]:
                     best = (int(at), int(tie), row)
         if best is not None and best != before:
             self.best.update(best)
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
+            if timer is not None:
+                self.handle.deleteTimer(timer)  # a key has one timer, that of its row
             self.handle.registerTimer(best[0] // 1000 + self.hold_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.best.exists():
-            row = self.best.get()[2]
+        known = self.best.get()
+        if known is not None:
             self.best.clear()
-            yield pd.DataFrame({"row": [row]})
+            yield pd.DataFrame({"row": [known[2]]})
 
     def close(self) -> None:
         pass
 
 
-def dedupe_stream(rows: DataFrame, ts: str, column: str = "question", delay: str = "7 days", tie: str = "event_id", hold: str | None = None) -> DataFrame:
+def dedupe_stream(rows: DataFrame, ts: str, column: str = "question", delay: str = "7 days", tie: str = "event_id", hold: str | None = None,
+                  carry: tuple[str, ...] | None = None) -> DataFrame:
     """STR4: of every normalised question the row with the smallest (``ts``, ``tie``), emitted once the watermark is ``hold`` past it.
 
     Rows may come ``delay`` late.  State is one row for each question that waits.  A question is known until the watermark has passed
     its first time by ``hold`` (by default ``delay``): a repeat that is processed before that never gets out, whichever micro-batch
-    or task it comes to; one that comes later is a new question.  ``tie`` must be a whole number; equal (``ts``, ``tie``) keep the row that came first.
+    or task it comes to; one that comes later is a new question.  Only the columns ``carry`` (by default all) are shuffled, held and
+    returned; a text that is only hashed need not wait in the state.  ``tie`` must be a whole number; equal (``ts``, ``tie``) keep the row that came first.
     """
     _with_state_store(rows.sparkSession)
-    columns, kind = rows.columns, rows.schema
+    columns = list(carry or rows.columns)
+    kind = T.StructType([rows.schema[c] for c in columns])
     marked = rows.withWatermark(ts, delay).withColumn("_key", text_hash(F.col(column))).where(F.col("_key").isNotNull() & F.col(ts).isNotNull())
     packed = marked.select(F.col("_key").alias("qhash"), _micros(ts).alias("at_us"), F.coalesce(F.col(tie).cast("long"), F.lit(0)).alias("order_id"), F.to_json(F.struct(*columns)).alias("packed"), ts)
     out = T.StructType([T.StructField("row", T.StringType())])

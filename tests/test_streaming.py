@@ -41,6 +41,13 @@ def test_dedupe_keeps_the_earliest_row_of_a_question(spark, tmp_path):
     assert out.schema.names == [c.split(" ")[0] for c in SCHEMA.split(", ")]
 
 
+def test_dedupe_holds_only_the_columns_asked_for(spark, tmp_path):
+    batches = [[row(5, question="A b", minutes=5), row(1, question="c", minutes=1)], [row(2, question="a  B ", minutes=2)],
+               [row(9, question="end", minutes=60 * 24 * 3)], [row(10, question="last", minutes=60 * 24 * 9)]]
+    out = jobs.run_available(jobs.dedupe_stream(feed(spark, tmp_path, batches), "ts", delay="1 hour", hold="1 day", carry=("event_id",)))
+    assert out.columns == ["event_id"] and sorted(r["event_id"] for r in out.collect()) == [1, 2, 9]
+
+
 def test_memory_keeps_the_last_five(spark, tmp_path):
     batches = [[row(i, "hot") for i in range(0, 4)], [row(i, "hot") for i in (7, 4, 6, 5)] + [row(8, "cold")]]
     out = jobs.run_available(jobs.conversation_memory(feed(spark, tmp_path, batches)), "update")
