@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -122,30 +122,29 @@ class _FirstOfKey(StatefulProcessor):
         self.handle = handle
         self.best = handle.getValueState("best", T.StructType([T.StructField("at", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("row", T.StringType())]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # every call on state or timers is a round trip, so none is made that the state already answers
         known = self.best.get()
         timer = None if known is None else known[0] // 1000 + self.hold_ms
         best = before = None if known is None else tuple(known)
         if timer is not None and timer <= timerValues.getCurrentWatermarkInMs():
-            yield pd.DataFrame({"row": [best[2]]})  # its timer is due: input comes before timers
+            yield Row(row=best[2])  # its timer is due: input comes before timers
             best = before = None
             self.best.clear()
-        for chunk in (c for c in rows if len(c)):  # a chunk without rows has no columns
-            for at, tie, row in zip(chunk["at_us"], chunk["order_id"], chunk["packed"]):
-                if best is None or (at, tie) < best[:2]:
-                    best = (int(at), int(tie), row)
+        for r in rows:
+            if best is None or (r["at_us"], r["order_id"]) < best[:2]:
+                best = (r["at_us"], r["order_id"], r["packed"])
         if best is not None and best != before:
             self.best.update(best)
             if timer is not None:
                 self.handle.deleteTimer(timer)  # a key has one timer, that of its row
             self.handle.registerTimer(best[0] // 1000 + self.hold_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = self.best.get()
         if known is not None:
             self.best.clear()
-            yield pd.DataFrame({"row": [known[2]]})
+            yield Row(row=known[2])
 
     def close(self) -> None:
         pass
@@ -167,7 +166,7 @@ def dedupe_stream(rows: DataFrame, ts: str, column: str = "question", delay: str
     packed = marked.select(F.col("_key").alias("qhash"), _micros(ts).alias("at_us"), F.coalesce(F.col(tie).cast("long"), F.lit(0)).alias("order_id"), F.to_json(F.struct(*columns)).alias("packed"), ts)
     out = T.StructType([T.StructField("row", T.StringType())])
     hold_ms = int(pd.Timedelta(hold or delay).total_seconds() * 1000)
-    kept = packed.groupBy("qhash").transformWithStateInPandas(_FirstOfKey(hold_ms), out, "Append", "EventTime")
+    kept = packed.groupBy("qhash").transformWithState(_FirstOfKey(hold_ms), out, "Append", "EventTime")
     return kept.select(F.from_json("row", kind).alias("r")).select("r.*")
 
 
