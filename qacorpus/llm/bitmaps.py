@@ -36,6 +36,22 @@ def maybe(df: DataFrame, column: str, keys: DataFrame, key: str) -> Column:
     return test(column)
 
 
+def maybe_any(column: str, keys: DataFrame, key: str) -> Column:
+    """Those entries of the array ``column`` (64 bits, no nulls in it) that may be among ``keys``; null where it is null."""
+    shared = keys.sparkSession.sparkContext.broadcast(bit_map(keys, key))
+
+    @F.arrow_udf("array<long>")
+    def test(values: pa.Array) -> pa.Array:
+        flat = values.flatten()
+        found = in_map(shared.value, flat.to_numpy(zero_copy_only=False).view(np.uint64))
+        sizes = np.where(values.is_null().to_numpy(zero_copy_only=False), 0, values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        before = np.concatenate([[0], np.cumsum(found)])
+        offsets = before[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), flat.filter(pa.array(found)), mask=values.is_null())
+
+    return test(column)
+
+
 def maybe_in(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``column`` (64 bits, no nulls) may be among ``keys``: what can't match isn't shuffled by the join that follows."""
     return df.where(maybe(df, column, keys, key))

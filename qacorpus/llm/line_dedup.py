@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import query, staged, table
-from .bitmaps import maybe, maybe_in
+from .bitmaps import maybe_in
 from .circulant import SEED, mix, odd
 from .components import components
 from .near import Threshold, links
@@ -32,27 +32,36 @@ from .near import Threshold, links
 CHARS, COORDINATES, ROWS = 8, 40, 4
 LIKE = Threshold(85, 100)
 #: Shingles in hand at a time: they stay in the processor's cache.
-CHUNK = 8_000
+CHUNK = 16_000
+#: Lines and characters of a bucket's tile, and tiles of a bucket: a line is copied once for each tile that its own one meets.
+TILE, TILE_CHARS, TILES = 512, 4_000_000, 8
+#: Bins of the counts that bound what two lines share.
+BINS, ABREAST = 256, 16
 #: Characters of lines in one batch of results, and lines that a task remembers as signed.
 HELD, MET = 1_000_000, 1 << 18
 #: A coordinate without a shingle; above all values.
 EMPTY = np.uint64(1 << 32)
 
 
+@lru_cache(maxsize=1)
+def _characters() -> np.ndarray:
+    """Hashes of the characters of the basic plane."""
+    return mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1))
+
+
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of all lines, one after the other, and the number of each line.  Lines aren't empty."""
     pad = "\0" * (CHARS - 1)
     points = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)
-    h = mix(points.astype(np.uint64) + np.uint64(1))
-    step = 1
-    while step < CHARS:  # hashes of 2, 4, 8 characters
-        h = h[:-step] * np.uint64(0x9E3779B97F4A7C15) + (h[step:] ^ (h[step:] >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        step *= 2
+    h = _characters()[points] if points.max() < 1 << 16 else mix(points.astype(np.uint64) + np.uint64(1))
+    step, factor = 1, 0x9E3779B97F4A7C15
+    while step < CHARS:  # polynomials over 2, 4, 8 characters
+        h = h[:-step] * np.uint64(factor) + h[step:]
+        step, factor = 2 * step, factor * factor & (1 << 64) - 1
     sizes = np.array([len(x) for x in lines])
     counts = np.maximum(sizes - CHARS + 1, 1)
     first = np.cumsum(sizes + CHARS - 1) - (sizes + CHARS - 1)
-    at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    return mix(h[at]), counts
+    return mix(np.concatenate([h[a : a + c] for a, c in zip(first.tolist(), counts.tolist())])), counts
 
 
 def chunks(lines: list[str]) -> Iterator[list[str]]:
@@ -222,6 +231,60 @@ def verified_lines(pairs: DataFrame, lines: DataFrame, t: Threshold) -> DataFram
     return staged(both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "links")
 
 
+def tile_links(lines: list[str], component: np.ndarray, tile: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
+    """Links between lines of two tiles (or of one, if there is just that) that join components which no link joined before.
+
+    Counts of shingles by the upper bits of their hash bound what two lines share, which leaves few pairs for their full sets.
+    """
+    sets = []
+    for part in chunks(lines):
+        h, counts = shingle_hashes(part)
+        sets.extend(np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1]))
+    n = np.array([len(x) for x in sets])
+    spot = np.repeat(np.arange(len(n)) * BINS, n) + (np.concatenate(sets) >> np.uint64(56)).astype(np.int64)
+    bins = np.bincount(spot, minlength=len(n) * BINS).reshape(-1, BINS)
+    bins = bins.astype(np.uint8 if bins.max() < 256 else np.uint32)
+    component = np.unique(component, return_inverse=True)[1]
+    crossed = tile.min() != tile.max()
+    found = []
+    for k in range(1, len(n), ABREAST):  # some lines with all lines before them at a time
+        rows = np.arange(k, min(k + ABREAST, len(n)))
+        most = np.minimum(bins[rows, None], bins[None, : rows[-1]]).sum(axis=2, dtype=np.int32)
+        near = t.holds(most, n[rows, None], n[None, : rows[-1]]) & (component[rows, None] != component[None, : rows[-1]])
+        near &= rows[:, None] > np.arange(rows[-1])
+        if crossed:
+            near &= tile[rows, None] != tile[None, : rows[-1]]
+        for x, m in zip(*(ends.tolist() for ends in np.nonzero(near))):
+            x += k
+            if component[m] != component[x] and t.holds(len(np.intersect1d(sets[m], sets[x], assume_unique=True)), n[m], n[x]):
+                found.append((m, x))
+                component[component == component[m]] = component[x]
+    return found
+
+
+def linked_tiles(rows: DataFrame, lines: DataFrame, t: Threshold, one: bool) -> tuple[DataFrame, DataFrame]:
+    """Verified ``u, v`` that join the components of each ``key`` of ``one`` or up to ``TILES`` tiles, and the keys of more.
+
+    Every two lines of a key meet in a task that holds two tiles; what a task holds and how often a line is copied is bounded.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        found = tile_links(group.column("line").to_pylist(), group.column("component").to_numpy(), group.column("tile").to_numpy(), t)
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        ends = np.sort(node[pairs], axis=1)
+        return pa.table({"u": ends[:, 1], "v": ends[:, 0]})
+
+    sized = rows.join(lines.select("node", F.char_length("line").alias("chars")), "node").groupBy("key").agg(F.count("*").alias("m"), F.sum("chars").alias("chars"))
+    keys = staged(sized.select("key", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("chars") / TILE_CHARS)).cast("int").alias("tiles")), "tiles")
+    few = F.col("tiles") <= (1 if one else TILES)
+    fit = rows.join(keys.where(few), "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    met = fit.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = met.select("key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "node", "component")
+    out = met.join(lines, "node").groupBy("key", "p", "q").applyInArrow(run, "u long, v long")
+    return staged(out.distinct(), "links"), keys.where(~few).select("key")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Threshold = LIKE) -> DataFrame:
     """One row per input row: ``id, text`` (without the dropped lines), ``n_lines``, ``n_dropped``, ``dropped`` (line numbers from 0)."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
@@ -240,7 +303,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts = rows.where("text != ''").select(F.xxhash64("id", "row").alias("spot"), "text")
         return _lines_at(maybe_in(texts, "spot", own, "spot").join(own, "spot").select("text", "places")).dropDuplicates(["node"])
 
-    found = staged(components(links(items, lines_of, like, verified_lines, _sets)), "components")
+    found = staged(components(links(items, lines_of, like, verified_lines, _sets, linked_tiles)), "components")
     named = staged(lines.select("a", "b", "c", "node", "first").join(found, "node", "left"), "named")
     # the line that stays, only for components of more than one node; lines that stand once and by themselves stay anyway
     stays = staged(named.where("component is not null").groupBy("component").agg(F.min("first").alias("stay")), "stays")
@@ -252,17 +315,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = rows.groupBy("id", "row").agg(F.count("*").alias("m")).where("m > 1")
     marks = staged(dropped.select("id", "row", "dropped", F.lit(None).cast("long").alias("m")).union(again.select("id", "row", F.lit(None).cast("array<int>"), "m"))
                    .groupBy("id", "row").agg(F.max("dropped").alias("dropped"), F.max("m").alias("m")), "marks")
-    whole = rows.withColumn("parts", F.split("text", "\n"))
     none = F.array().cast("array<int>")
-    touched = maybe(rows, "row", marks, "row")
-    plain = whole.where(~touched).select("id", "text", "parts", none.alias("dropped"))
-    met = whole.where(touched).alias("d").join(marks.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.row") == F.col("g.row")), "left")
-    met = met.select("d.id", "d.text", "d.parts", F.coalesce("g.dropped", none).alias("dropped"), "g.m")
-    full = F.transform(F.filter(F.transform("parts", lambda x, i: F.struct(i.alias("i"), _bare(x).alias("x"))), lambda p: p["x"] != ""), lambda p: p["i"])
-    one = met.where("m is null").select("id", "text", "parts", "dropped")
-    repeated = met.where("m is not null").groupBy("id", "text", "parts", "dropped").agg(F.count("*").alias("m")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m"))))
-    repeated = repeated.select("id", "text", "parts", F.when(F.col("k") == 1, F.col("dropped")).otherwise(F.coalesce(full, none)).alias("dropped"))
-    out = plain.union(one).union(repeated)
+    met = rows.alias("d").join(marks.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.row") == F.col("g.row")), "left")
+    met = met.select("d.id", "d.text", F.coalesce("g.dropped", none).alias("dropped"), "g.m")
+    out = met.where("m is null").select("id", "text", "dropped")
+    if not marks.where("m is not null").isEmpty():
+        full = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), _bare(x).alias("x"))), lambda p: p["x"] != ""), lambda p: p["i"])
+        repeated = met.where("m is not null").groupBy("id", "text", "dropped").agg(F.count("*").alias("m")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m"))))
+        out = out.union(repeated.select("id", "text", F.when(F.col("k") == 1, F.col("dropped")).otherwise(F.coalesce(full, none)).alias("dropped")))
+    # lines are cut behind the join, which moves each text once
+    out = out.withColumn("parts", F.split("text", "\n"))
     kept = F.filter("parts", lambda x, i: ~F.array_contains("dropped", i))
     text = F.when(F.col("text").isNull() | (F.size("dropped") == 0), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.size(F.filter("parts", lambda x: _bare(x) != "")).cast("long"), F.lit(0).cast("long"))

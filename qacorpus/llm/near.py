@@ -11,6 +11,9 @@ row.  Larger buckets are mostly near copies of one item, so:
    them makes no pair.  Sets meet by shingle and band of sizes.  Only pairs of different components are compared, probing from the
    items outside the largest component of a shingle.  This step has no cap, and it loses no link that the buckets held.
 
+Where a caller can compare short texts by themselves (``within``), buckets that one task holds go there before step 1, larger ones after it as
+far as their size is bounded, and only the rest to step 2.
+
 Every link is confirmed on full sets of 64-bit shingles.
 """
 
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import staged
+from .bitmaps import maybe_any
 from .components import components
 
 SMALL = 8
@@ -108,21 +112,36 @@ def _sized(larger: DataFrame, smaller: DataFrame, t: Threshold, more: Column) ->
 def links(
     items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: Threshold,
     verify: Callable[[DataFrame, DataFrame, Threshold], DataFrame] = verified, shingles: Callable[[DataFrame], DataFrame] = lambda sets: sets,
+    within: Callable[[DataFrame, DataFrame, Threshold, bool], tuple[DataFrame, DataFrame]] | None = None,
 ) -> DataFrame:
     """Verified ``u, v`` among ``items`` (``node, n, bands``: an id, its set size and its band keys; one row per node).
 
     ``sets_of`` gets a table of nodes and returns ``node, items`` (distinct shingle hashes).  Where sets are larger than what they are
     made from, it may return that instead: ``verify`` then confirms pairs on it, and ``shingles`` makes ``node, items`` of it.
+    ``within`` gets ``key, node, component`` and the sets; it returns verified links that join the components of each key as far as
+    its pairs do, and the keys that it left.  It is asked first for keys that one task can hold, then for those still open after the pivots.
     """
     rows = items.select("node", "n", F.explode("bands").alias("key"))
-    many = staged(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "many")
-    live = staged(rows.join(many, "key"), "live")
-    sets = staged(sets_of(live.select("node").distinct()), "sets")
-    small = live.where(F.col("c") <= SMALL)
-    found = verify(_pairs(small, small, "key", t), sets, t)
-    large = live.where(F.col("c") > SMALL).drop("c")
+    ends = [F.count("*").alias("c"), F.min("node").alias("v"), F.max("node").alias("u"), F.min("n").alias("lo"), F.max("n").alias("hi")]
+    many = staged(rows.groupBy("key").agg(*ends).where("c > 1"), "many")
+    # most keys hold two nodes: these are the pair, so only the rows of the other keys are looked up
+    two = many.where((F.col("c") == 2) & (F.col("u") > F.col("v")) & t.sizes(F.col("lo"), F.col("hi"))).select("u", "v")
+    keys = staged(many.where("c > 2").select("key", "c"), "keys")
+    some = items.select("node", "n", maybe_any("bands", keys, "key").alias("bands")).select("node", "n", F.explode("bands").alias("key"))
+    more = staged(some.join(keys, "key"), "more")
+    nodes = more.select("node").union(two.select("u")).union(two.select("v")).distinct()
+    sets = staged(sets_of(nodes), "sets")
+    small = more.where(F.col("c") <= SMALL)
+    found = verify(two.union(_pairs(small, small, "key", t)).distinct(), sets, t)
+    large = more.where(F.col("c") > SMALL).drop("c")
     if large.isEmpty():
         return found
+    if within is not None:
+        joined, left = within(large.select("key", "node", F.col("node").alias("component")), sets, t, True)
+        found = staged(found.union(joined).distinct(), "links")
+        large = large.join(left, "key", "left_semi")
+        if large.isEmpty():
+            return found
     large = staged(large.join(large.groupBy("node").agg(F.count("*").alias("degree")), "node"), "large")
     for _ in range(PIVOT_ROUNDS):
         open_rows = staged(_labelled(large, found), "open")
@@ -136,7 +155,14 @@ def links(
     open_rows = staged(_labelled(large, found), "open")
     if open_rows.isEmpty():
         return found
-    
+    if within is not None:
+        joined, left = within(open_rows.select("key", "node", "component"), sets, t, False)
+        found = staged(found.union(joined).distinct(), "links")
+        open_rows = open_rows.join(left, "key", "left_semi")
+        if open_rows.isEmpty():
+            return found
+        open_rows = staged(_labelled(open_rows.drop("component"), found), "open")
+
     def items_of(nodes: DataFrame) -> DataFrame:
         return shingles(sets.join(nodes, "node", "left_semi"))
 

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from qacorpus.llm import minhash_dedup, near
+from qacorpus.llm import line_dedup, minhash_dedup, near
 from qacorpus.llm.components import components
 from qacorpus.llm.decontaminate import contamination
 from qacorpus.llm.exact_dedup import exact_groups
@@ -230,3 +230,28 @@ def test_operators_ignore_other_columns(spark):
     assert [r.kept for r in near_groups(clash).orderBy("id").collect()] == [True, False]
     assert dedup_lines(clash).where("n_dropped = 1").count() == 1
     assert contamination(clash, spark.createDataFrame([(1, "b c d")], "item_id long, text string")).where("n_hit = 3").count() == 2
+
+
+@pytest.mark.parametrize("tile", [512, 7])
+def test_large_buckets_of_lines_are_compared_without_shingle_rows(spark, monkeypatch, tile):
+    """Lines of one template share band keys, but few are linked: no table of their shingles, and all links of the buckets."""
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    lines = []
+    for _ in range(60):
+        x = list(base)
+        for at in rng.sample(range(400), rng.choice([1, 3, 5, 7])):
+            x[at] = rng.choice("XYZ")
+        lines.append("".join(x))
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    plain, kinds = near.staged, []
+    monkeypatch.setattr(near, "staged", lambda df, kind: kinds.append(kind) or plain(df, kind))
+    bands = line_dedup.line_bands([lower(x) for x in lines])
+    sets, union = [chars(x) for x in lines], Union()
+    for k in range(60):
+        for m in range(k):
+            both = len(sets[k] & sets[m])
+            if 100 * both >= 85 * (len(sets[k]) + len(sets[m]) - both) and set(bands[k]) & set(bands[m]):
+                union.join(m, k)
+    got = {r.id: r.n_dropped for r in dedup_lines(docs(spark, list(enumerate(lines)))).collect()}
+    assert got == {k: int(union.find(k) != k) for k in range(60)} and "tokens" not in kinds
