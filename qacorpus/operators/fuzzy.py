@@ -4,8 +4,9 @@ A row is dropped when an earlier *kept* row is more similar than the threshold.
 one-by-one scan, but no pair list is ever built:
 
 1. Exact copies of the normalised text are combined first (a hot text becomes one row).
-2. The remaining texts are sorted by length and cut into tiles of bounded size.  Similarity above ``t``
-   forces ``min(len)/max(len) > t/(2-t)``, so a tile only meets tiles inside that length window.
+2. The remaining texts are sorted by length and cut into tiles of bounded size, each written as one row.  Similarity above ``t``
+   forces ``min(len)/max(len) > t/(2-t)``, so a tile only meets tiles inside that length window.  Tasks read the tiles that meet from
+   the shared folder; no text is shuffled for a tile pair, so disk grows with the texts, not with the pairs.
 3. In a (target tile, source tile) task a bound on shared runs of three characters comes first: texts are rows of a matrix of
    run counts, and one matrix product bounds the shared runs of all pairs.  The pairs it leaves meet a bound on shared
    characters and go, thousands at a time, through longest common subsequences of the texts cut down to a few letters, rare
@@ -25,9 +26,11 @@ that two similar texts surely share, so no shorter list of partners is exact.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -270,20 +273,49 @@ def _common_subsequence(masks: dict[str, int], size: int, other: str) -> int:
     return size - state.bit_count()
 
 
+class _Tile:
+    """Texts of a tile, earliest first, so that late sources drop out of whole products."""
+
+    def __init__(self, ord_: np.ndarray, len_: np.ndarray, norm: pa.Array, kept: np.ndarray):
+        self.ord, self.len, self.norm, self.kept = ord_, len_, norm, kept
+
+    def where(self, good: np.ndarray) -> _Tile:
+        return self if good.all() else _Tile(self.ord[good], self.len[good], self.norm.filter(pa.array(good)), self.kept[good])
+
+    @classmethod
+    def of(cls, pairs: pa.RecordBatch, side: str, i: int) -> _Tile:
+        ord_, len_, norm, kept = (pairs.column(side + name)[i].values for name in ("ord", "len", "norm", "kept"))
+        return cls(ord_.to_numpy(), len_.to_numpy(), norm, kept.to_numpy(zero_copy_only=False))
+
+
+def _may_meet(targets: _Tile, sources: _Tile, threshold: float) -> tuple[_Tile, _Tile]:
+    """What is left without the texts that no text of the other tile can be similar to, by length and order."""
+    ratio = threshold / (2.0 - threshold)
+
+    def near(some: _Tile, others: _Tile) -> _Tile:
+        if not len(others.len):
+            return some.where(np.zeros(len(some.len), bool))
+        return some.where((some.len >= others.len.min() * ratio - 1e-6) & (some.len * ratio <= others.len.max() + 1e-6))
+
+    if len(sources.ord) and len(targets.ord):
+        sources, targets = sources.where(sources.ord < targets.ord[-1]), targets.where(targets.ord > sources.ord[0])
+    targets = near(targets, sources)
+    return targets, near(sources, targets)
+
+
 def _compare(threshold: float, autojunk: bool):
     from difflib import SequenceMatcher
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        targets = group[group["is_target"]].sort_values("ord")  # so that late sources drop out of whole products
-        sources = group[~group["is_target"]].sort_values("ord")
-        out = []
-        if len(targets) and len(sources):
-            t_norm, s_norm = targets["norm"].tolist(), sources["norm"].tolist()
+    def run(targets: _Tile, sources: _Tile) -> list[tuple]:
+        """(ord, hit_kept, earliest) of every target with a hit."""
+        out: list[tuple] = []
+        if len(targets.ord) and len(sources.ord):
+            t_norm, s_norm = targets.norm.to_pylist(), sources.norm.to_pylist()
             letters = np.unique(np.frombuffer("".join([*t_norm, *s_norm]).encode("utf-32-le"), np.uint32))
             t_codes, s_codes = _codes(t_norm, letters), _codes(s_norm, letters)
-            t_ord, s_ord = targets["ord"].to_numpy(), sources["ord"].to_numpy()
-            t_len, s_len = targets["len"].to_numpy(), sources["len"].to_numpy()
-            s_kept = sources["kept"].to_numpy()
+            t_ord, s_ord = targets.ord, sources.ord
+            t_len, s_len = targets.len, sources.len
+            s_kept = sources.kept
             any_kept = bool(s_kept.any())
             bags = _PairFilter(t_codes, s_codes, len(letters))
             runs = _SharedRuns(t_codes, s_codes, len(letters), threshold)
@@ -337,47 +369,52 @@ def _compare(threshold: float, autojunk: bool):
                 if size and (size >= _SEARCH or lo + _ROWS >= len(t_norm)):
                     search_all(*(np.concatenate(x) for x in zip(*held)))
                     held, size = [], 0
-        found = pd.DataFrame(out, columns=["ord", "hit_kept", "earliest"])
-        return found.astype({"ord": "int64", "hit_kept": "bool", "earliest": "Int64"})
+        return out
+
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = run(*_may_meet(_Tile.of(batch, "t_", i), _Tile.of(batch, "s_", i), threshold))
+                if found:
+                    columns = zip(*found), (pa.int64(), pa.bool_(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(*columns)], ["ord", "hit_kept", "earliest"])
+
+    return run_all
 
-    return run
 
+def _pack(rows: pa.Table) -> pa.Table:
+    """A tile as one row."""
+    rows = rows.sort_by("ord").combine_chunks()
+    ends = pa.array([0, rows.num_rows], pa.int32())
+    lists = {c: pa.ListArray.from_arrays(ends, rows[c].combine_chunks()) for c in ("ord", "len", "norm", "kept")}
+    bounds = {"shortest": pc.min(rows["len"]), "longest": pc.max(rows["len"]), "first": rows["ord"][0], "last": rows["ord"][-1]}
+    return pa.table({"tile": rows["tile"][:1], **{k: pa.array([v.as_py()], v.type) for k, v in bounds.items()}, **lists})
 
-def _tile_ranges(tiled: DataFrame, threshold: float) -> DataFrame:
-    """(len, lo, hi): tiles that may hold partners of a text of that length; one row per distinct length."""
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows with ``tile, ord, len, norm, kept`` as one row for each tile, in files of their own."""
+    kinds = "tile bigint, shortest int, longest int, first bigint, last bigint, ord array<bigint>, len array<int>, norm array<string>, kept array<boolean>"
+    return write_out(rows.groupBy("tile").applyInArrow(_pack, kinds), "tiles", rows_per_file=1)
+
+
+def _unpacked(tiles: DataFrame) -> DataFrame:
+    return tiles.select("tile", F.inline(F.arrays_zip("ord", "len", "norm", "kept")))
+
+
+def _neighbours(targets: DataFrame, sources: DataFrame, threshold: float, autojunk: bool) -> DataFrame:
+    """Per target with a hit: whether it hit a kept source, and its earliest undecided hit.
+
+    A Cartesian product of tiles whose tasks read the sources from the shared folder, so no text is copied for the tiles it meets.
+    """
     ratio = threshold / (2.0 - threshold)
-    rows = sorted(tuple(r) for r in tiled.groupBy("len").agg(F.min("tile"), F.max("tile")).collect())
-    lens = np.array([r[0] for r in rows], float)
-    lo_tile, hi_tile = [r[1] for r in rows], [r[2] for r in rows]
-    out = []
-    for n in lens:
-        i = min(int(np.searchsorted(lens, n * ratio - 1e-9)), len(rows) - 1)
-        j = max(int(np.searchsorted(lens, n / ratio + 1e-9, side="right")) - 1, 0)
-        out.append((int(n), int(lo_tile[i]), int(hi_tile[j])))
-    return tiled.sparkSession.createDataFrame(out, "len int, lo bigint, hi bigint")
-
-
-def _neighbours(targets: DataFrame, sources: DataFrame, ranges: DataFrame, threshold: float, autojunk: bool) -> DataFrame:
-    """Per target with a hit: whether it hit a kept source, and its earliest undecided hit."""
-    cols = ["ord", "len", "norm"]
-    window = F.broadcast(ranges)  # one row per distinct text length
-    spread = F.explode(F.sequence("lo", "hi"))
-    left = targets.join(window, "len").select(
-        *cols, F.lit(False).alias("kept"), F.lit(True).alias("is_target"), F.col("tile").alias("tt"), spread.alias("st")
-    )
-    right = sources.join(window, "len").select(
-        *cols, "kept", F.lit(False).alias("is_target"), spread.alias("tt"), F.col("tile").alias("st")
-    )
-    # tile pairs are few and heavy: an explicit count keeps adaptive execution from merging them
-    tasks = max(
-        int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * left.sparkSession.sparkContext.defaultParallelism
-    )
-    hits = (
-        left.unionByName(right)
-        .repartition(tasks, "tt", "st")
-        .groupBy("tt", "st")
-        .applyInPandas(_compare(threshold, autojunk), "ord bigint, hit_kept boolean, earliest bigint")
-    )
+    t, s = (tiles.select([F.col(c).alias(side + c) for c in tiles.columns]) for tiles, side in ((targets, "t_"), (sources, "s_")))
+    # a scan packs small files into a task per core: deal the targets out once, so that the tasks are many and alike
+    parts = min(targets.count(), 4 * targets.sparkSession.sparkContext.defaultParallelism)
+    if t.rdd.getNumPartitions() < parts:
+        t = t.repartitionByRange(parts, "t_tile")
+    near = (F.col("s_longest") >= F.col("t_shortest") * ratio - 1e-6) & (F.col("s_shortest") * ratio <= F.col("t_longest") + 1e-6)
+    pairs = t.join(s.hint("shuffle_replicate_nl"), near & (F.col("s_first") < F.col("t_last")))
+    hits = pairs.mapInArrow(_compare(threshold, autojunk), "ord bigint, hit_kept boolean, earliest bigint")
     return hits.groupBy("ord").agg(F.max("hit_kept").alias("hit_kept"), F.min("earliest").alias("earliest"))
 
 
@@ -399,26 +436,22 @@ def fuzzy_kept(
     total = weighted.agg(F.max("cum")).first()[0] or 1
     cores = df.sparkSession.sparkContext.defaultParallelism
     tile_weight = max(1, min(tile_weight, int(total / math.ceil(math.sqrt(4 * cores)))))
-    tiled = write_out(
-        weighted.select("ord", "len", "norm", F.floor(F.col("cum") / tile_weight).alias("tile")), "tiles"
-    )
-    ranges = _tile_ranges(tiled, threshold)
-    targets, sources = tiled, tiled.withColumn("kept", F.lit(False))
+    tile = F.floor(F.col("cum") / tile_weight).alias("tile")
+    targets = sources = _packed(weighted.select(tile, "ord", "len", "norm", F.lit(False).alias("kept")))
     kept = None
     while True:
-        found = _neighbours(targets, sources, ranges, threshold, autojunk)
-        state = write_out(targets.join(found, "ord", "left"), "round")
-        new = state.where(F.col("hit_kept").isNull())
-        kept = new.select("ord") if kept is None else kept.unionByName(new.select("ord"))
+        found = _neighbours(targets, sources, threshold, autojunk)
+        state = write_out(targets.select(F.explode("ord").alias("ord")).join(found, "ord", "left"), "round")
+        new = state.where(F.col("hit_kept").isNull()).select("ord")
+        kept = new if kept is None else kept.unionByName(new)
         waiting = state.where(~F.col("hit_kept"))
-        pending = waiting.join(new.select(F.col("ord").alias("earliest")), "earliest", "left_anti")
-        pending = write_out(pending.select("ord", "len", "norm", "tile"), "pending")
+        pending = waiting.join(new.withColumnRenamed("ord", "earliest"), "earliest", "left_anti").select("ord")
+        pending = write_out(pending, "pending")
         if pending.isEmpty():
             return kept
-        targets = pending
-        sources = pending.withColumn("kept", F.lit(False)).unionByName(
-            new.select("ord", "len", "norm", "tile", F.lit(True).alias("kept"))
-        )
+        marked = pending.withColumn("kept", F.lit(False)).unionByName(new.withColumn("kept", F.lit(True)))
+        sources = _packed(_unpacked(targets).drop("kept").join(marked, "ord"))
+        targets = _packed(_unpacked(sources).where(~F.col("kept")))
 
 
 def dedupe_fuzzy(df: DataFrame, column: str = "question", order: str = "ord", **options) -> DataFrame:

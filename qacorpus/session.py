@@ -50,13 +50,14 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def write_out(df: DataFrame, kind: str = "stage") -> DataFrame:
+def write_out(df: DataFrame, kind: str = "stage", rows_per_file: int = 0) -> DataFrame:
     """Write Parquet to the shared folder and read it back.
 
-    Cuts lineage, survives the loss of executors, and later steps read only the columns they need.
+    Cuts lineage, survives the loss of executors, and later steps read only the columns they need.  ``rows_per_file`` is for
+    large rows, of which a task should not read many; 0 sets no limit.
     """
     path = new_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -94,6 +94,26 @@ def test_fuzzy_hot_group_of_near_copies(spark):
     assert kept(fuzzy.dedupe_fuzzy(frame(spark, texts), tile_weight=100_000)) == [0, 400]
 
 
+def test_fuzzy_shuffles_no_text_for_the_tiles_it_meets(spark, monkeypatch, capsys):
+    """What goes through an exchange for each tile pair grows with the square of the texts."""
+    plans, write = [], fuzzy.write_out
+
+    def written(df, kind="stage", **options):
+        if kind == "round":
+            capsys.readouterr()
+            df.explain(mode="formatted")
+            plans.append(capsys.readouterr().out)
+        return write(df, kind, **options)
+
+    monkeypatch.setattr(fuzzy, "write_out", written)
+    texts = corpus(8, 150, 20)
+    assert kept(fuzzy.dedupe_fuzzy(frame(spark, texts), autojunk=False, tile_weight=6_000)) == scan(texts, autojunk=False)
+    assert len(plans) > 1  # later rounds too
+    sections = [x for plan in plans for x in plan.split("\n\n") if re.match(r"\s*\(\d+\) (Broadcast)?Exchange", x)]
+    # a target tile may be dealt out once, as one row
+    assert sections and not [x for x in sections if "norm" in x and "rangepartitioning(t_tile" not in x]
+
+
 def test_the_pair_filter_loses_no_pair_and_makes_few():
     """Long unrelated texts of one vocabulary share their runs of three characters; the filter must still tell them apart."""
     texts = corpus(5, 60, 300) + corpus(6, 20, 8) + ["", "a"]
